@@ -1,0 +1 @@
+"""Queries: streams_batch."""

@@ -1,0 +1,5 @@
+"""DuckDB oracle views for payload-shaped inputs."""
+
+
+def defs() -> dict[str, str]:
+    return {}

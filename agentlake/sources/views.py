@@ -127,3 +127,46 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         outcome.alias("outcome"),
         (op % 4).cast("int").alias("ledger_class"),
     )
+
+
+# Fixed values (ours): tool catalogue used to label tool-call facts.
+TOOL_NAMES = ["get_balance", "list_orders", "charge_card", "search_docs", "update_record", "read_file",
+              "query_db", "create_ticket", "transfer_funds", "describe_table", "show_logs", "get_payment"]
+# Fixed values (ours): result bodies by outcome class (p = l_partkey % 10).
+RESULT_CONTENT = {
+    0: "MCP_TIMEOUT: tool call exceeded deadline",
+    1: "endpoint unreachable",
+    2: "tool not configured",
+    3: "ALREADY_IN_FLIGHT: operation is running",
+    4: "PREVIOUS_ATTEMPT_UNKNOWN: retry blocked",
+    5: "request timed out upstream",
+    6: "error: HTTP TIMEOUT from tool",
+}
+
+
+def tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool-call results (M6) from ``lineitem``: one order = one fan-out batch.
+
+    ``(l_orderkey, l_linenumber)`` is not unique in the driver data, so no
+    operator treats it as a key.
+    """
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                                                "l_quantity", "l_returnflag")
+    p = F.col("l_partkey") % 10
+    content = F.concat(F.lit('{"ok":true,"rows":'), F.col("l_suppkey").cast("string"), F.lit("}"))
+    for code in sorted(RESULT_CONTENT, reverse=True):
+        content = F.when(p == code, F.lit(RESULT_CONTENT[code])).otherwise(content)
+    latency = (F.floor("l_quantity").cast("bigint") * 37 + F.col("l_linenumber") * 11).cast("bigint")
+    start = (F.col("l_linenumber") * 5).cast("bigint")
+    return li.select(
+        F.col("l_orderkey").alias("batch_id"),
+        F.col("l_linenumber").alias("call_index"),
+        F.concat(F.lit("t-"), F.col("l_orderkey") % 8).alias("tenant_id"),
+        F.element_at(F.array(*[F.lit(t) for t in TOOL_NAMES]), (F.col("l_partkey") % 12 + 1).cast("int"))
+         .alias("tool_name"),
+        latency.alias("latency_ms"),
+        start.alias("start_ms"),
+        (start + latency).alias("end_ms"),
+        ((p >= 7) & (F.col("l_returnflag") != "R")).alias("success"),
+        content.alias("content"),
+    )

@@ -62,6 +62,8 @@ def with_views(body: str) -> str:
         return body
     ctes = ",\n".join(f"{n} AS (\n{defs[n]}\n)" for n in names)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -38,13 +38,13 @@ ROUTING = {
         "cohere-command-r": {"rate_limit_rpm": None, "targets": []},
     },
     "t-1": {
-        "gpt-4o": {"rate_limit_rpm": 20, "targets": [
+        "gpt-4o": {"rate_limit_rpm": 1, "targets": [
             (2, 100, "openai", "oa-t1", "gpt-4o", "openai"),
             (1, 100, "openai", "oa-t1b", "gpt-4o-2024-08-06", "openai")]},
         "claude-3-5-sonnet": {"rate_limit_rpm": None, "targets": []},
     },
     "t-2": {
-        "claude-3-5-sonnet": {"rate_limit_rpm": 40, "targets": [
+        "claude-3-5-sonnet": {"rate_limit_rpm": 2, "targets": [
             (1, 100, "anthropic", "an-t2", "claude-3-5-sonnet-20241022", "anthropic")]},
     },
     "t-3": {

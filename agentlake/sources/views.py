@@ -8,7 +8,7 @@ gateway something to fire on (raw per-user gaps are hours).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agentlake.sources.tables import read
@@ -73,10 +73,10 @@ def requests(spark: SparkSession, sf_dir: str, with_parent: bool = False) -> Dat
          .otherwise(F.col("requested_provider")))
     if with_parent:
         # Lineage edge: previous request of the same user, unless k % 3 == 0.
-        w = Window.partitionBy("user_id").orderBy("event_id")
-        df = df.withColumn(
-            "parent_trace_id",
-            F.when(k % 3 != 0, F.lag("trace_id").over(w)))
+        # Bin-local lag: no window spans a whole user.
+        from agentlake.operators.ordered import previous_value
+        df = previous_value(df, ["user_id"], "sec", "event_id", "trace_id", "_prev_trace", 3600)
+        df = df.withColumn("parent_trace_id", F.when(k % 3 != 0, F.col("_prev_trace"))).drop("_prev_trace")
     return df
 
 

@@ -19,9 +19,9 @@ SELECT event_id, ts, user_id, event_type, value, k,
        't-' || (user_id % 8) AS tenant_id,
        'team-' || (user_id % 3) AS team_id,
        'key-' || (k % 5) AS api_key_alias,
-       CASE WHEN k >= 96 THEN 'acme' WHEN k % 6 IN (0, 1) THEN 'openai' WHEN k % 6 = 2 THEN 'anthropic'
+       CASE WHEN k >= 98 THEN 'openai' WHEN k >= 96 THEN 'acme' WHEN k % 6 IN (0, 1) THEN 'openai' WHEN k % 6 = 2 THEN 'anthropic'
             WHEN k % 6 = 3 THEN 'gemini' WHEN k % 6 = 4 THEN 'deepseek' ELSE 'groq' END AS requested_provider,
-       CASE WHEN k >= 96 THEN 'zero-day-1' WHEN k % 6 = 0 THEN 'gpt-4o' WHEN k % 6 = 1 THEN 'gpt-4o-mini'
+       CASE WHEN k >= 98 THEN 'o1-mini' WHEN k >= 96 THEN 'zero-day-1' WHEN k % 6 = 0 THEN 'gpt-4o' WHEN k % 6 = 1 THEN 'gpt-4o-mini'
             WHEN k % 6 = 2 THEN 'claude-3-5-sonnet' WHEN k % 6 = 3 THEN 'gemini-1.5-pro'
             WHEN k % 6 = 4 THEN 'deepseek-r1' ELSE 'llama-3.3-70b-versatile' END AS model,
        CAST(CASE WHEN event_type = 'error' AND k < 30 THEN 429
@@ -37,8 +37,8 @@ SELECT event_id, ts, user_id, event_type, value, k,
        CASE user_id % 4 WHEN 0 THEN 'IN' WHEN 1 THEN 'US' WHEN 2 THEN 'EU' END AS user_region,
        CASE WHEN NOT (event_type <> 'error' OR k >= 60) THEN ''
             WHEN event_type = 'error' AND k >= 60 THEN
-                 CASE WHEN k < 96 AND k % 6 IN (0, 1) THEN 'anthropic' ELSE 'openai' END
-            ELSE CASE WHEN k >= 96 THEN 'acme' WHEN k % 6 IN (0, 1) THEN 'openai' WHEN k % 6 = 2 THEN 'anthropic'
+                 CASE WHEN k >= 98 OR (k < 96 AND k % 6 IN (0, 1)) THEN 'anthropic' ELSE 'openai' END
+            ELSE CASE WHEN k >= 98 THEN 'openai' WHEN k >= 96 THEN 'acme' WHEN k % 6 IN (0, 1) THEN 'openai' WHEN k % 6 = 2 THEN 'anthropic'
                       WHEN k % 6 = 3 THEN 'gemini' WHEN k % 6 = 4 THEN 'deepseek' ELSE 'groq' END
        END AS executed_provider
 FROM (SELECT *, TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events) e

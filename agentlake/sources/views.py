@@ -22,10 +22,10 @@ def _k() -> Column:
 
 def _provider_model(k: Column) -> tuple[Column, Column]:
     m6 = k % 6
-    provider = (F.when(k >= 96, "acme").when(m6.isin(0, 1), "openai")
+    provider = (F.when(k >= 98, "openai").when(k >= 96, "acme").when(m6.isin(0, 1), "openai")
                 .when(m6 == 2, "anthropic").when(m6 == 3, "gemini")
                 .when(m6 == 4, "deepseek").otherwise("groq"))
-    model = (F.when(k >= 96, "zero-day-1").when(m6 == 0, "gpt-4o")
+    model = (F.when(k >= 98, "o1-mini").when(k >= 96, "zero-day-1").when(m6 == 0, "gpt-4o")
              .when(m6 == 1, "gpt-4o-mini").when(m6 == 2, "claude-3-5-sonnet")
              .when(m6 == 3, "gemini-1.5-pro").when(m6 == 4, "deepseek-r1")
              .otherwise("llama-3.3-70b-versatile"))

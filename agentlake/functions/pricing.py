@@ -46,18 +46,30 @@ def _any_contains(col: Column, needles: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [col.contains(n) for n in needles])
 
 
-def lookup_rate(provider: Column, model: Column) -> Column:
-    """Static rate struct ``<in_rate, out_rate>`` for (provider, model)."""
+def rule_index(provider: Column, model: Column) -> Column:
+    """1-based index of the first matching rule; len(RATE_RULES) + 1 = ceiling."""
     p, m = F.lower(provider), F.lower(model)
-    expr = F.struct(F.lit(CEILING_RATE[0]).cast(RATE).alias("in_rate"),
-                    F.lit(CEILING_RATE[1]).cast(RATE).alias("out_rate"))
-    for provs, models, rin, rout in reversed(RATE_RULES):
-        cond = _any_contains(p, provs) & _any_contains(m, models)
-        expr = F.when(cond, F.struct(F.lit(rin).cast(RATE).alias("in_rate"),
-                                     F.lit(rout).cast(RATE).alias("out_rate"))).otherwise(expr)
+    expr = F.lit(len(RATE_RULES) + 1)
+    for i in range(len(RATE_RULES), 0, -1):
+        provs, models, _, _ = RATE_RULES[i - 1]
+        expr = F.when(_any_contains(p, provs) & _any_contains(m, models), F.lit(i)).otherwise(expr)
     return expr
 
 
+def lookup_rate(provider: Column, model: Column) -> Column:
+    """Static rate struct ``<in_rate, out_rate>`` for (provider, model).
+
+    The rule chain yields a small integer once; rates come from two literal
+    arrays, so the plan carries one compact CASE instead of one per rate."""
+    return lookup_rate_by_index(rule_index(provider, model))
+
+
+def lookup_rate_by_index(idx: Column) -> Column:
+    ins = F.array(*[F.lit(r[2]).cast(RATE) for r in RATE_RULES], F.lit(CEILING_RATE[0]).cast(RATE))
+    outs = F.array(*[F.lit(r[3]).cast(RATE) for r in RATE_RULES], F.lit(CEILING_RATE[1]).cast(RATE))
+    return F.struct(F.element_at(ins, idx).alias("in_rate"), F.element_at(outs, idx).alias("out_rate"))
+
+
 def effective_input_rate(in_rate: Column, cache_hit: Column) -> Column:
     out = in_rate
     for std, hit in reversed(CACHE_HIT_INPUT):

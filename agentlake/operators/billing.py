@@ -31,7 +31,8 @@ def price(requests: DataFrame, pricing: DataFrame, provider_col: str = "requeste
     else:
         def pick(c):
             return F.col(f"_t_{c}")
-    static = P.lookup_rate(F.col(provider_col), lookup_model)
+    df = df.withColumn("_rule", P.rule_index(F.col(provider_col), lookup_model))
+    static = P.lookup_rate_by_index(F.col("_rule"))
     in_rate = F.coalesce(pick("in_rate"), static["in_rate"])
     out_rate = F.coalesce(pick("out_rate"), static["out_rate"])
     df = df.withColumns({
@@ -41,7 +42,7 @@ def price(requests: DataFrame, pricing: DataFrame, provider_col: str = "requeste
         "mcp_fee": F.coalesce(pick("mcp_fee"), F.lit(0).cast(P.RATE)),
         "loop_mult": F.coalesce(pick("loop_mult"), F.lit(1).cast(P.MULT)),
     })
-    df = df.drop(*[c for c in df.columns if c.startswith("_t_") or c.startswith("_v_")])
+    df = df.drop("_rule", *[c for c in df.columns if c.startswith("_t_") or c.startswith("_v_")])
     df = df.withColumn("completion_tokens", P.completion_tokens(F.col("total_tokens"), F.col("prompt_tokens")))
     df = df.withColumn("in_eff", P.effective_input_rate(F.col("in_rate"), F.col("cache_hit")))
     return df.withColumn("cost_usd", P.request_cost(

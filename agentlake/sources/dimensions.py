@@ -120,10 +120,15 @@ def values_sql(rows: list[tuple], cols: list[str], types: list[str]) -> str:
 
 
 def to_df(spark: SparkSession, rows: list[tuple], cols: list[str], types: list[str]) -> DataFrame:
+    """A literal relation built in the JVM (``inline`` of an array of structs):
+    no Python worker is involved and Catalyst sees the rows as constants."""
     from pyspark.sql import functions as F
-    schema = ", ".join(f"{c} string" for c in cols)
-    raw = spark.createDataFrame([tuple(None if v is None else str(v) for v in r) for r in rows], schema)
-    return raw.select(*[F.col(c).cast(t).alias(c) for c, t in zip(cols, types)])
+
+    def lit(v, t):
+        return F.lit(None if v is None else str(v)).cast(t)
+
+    structs = [F.struct(*[lit(v, t).alias(c) for v, c, t in zip(r, cols, types)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
 
 
 def pricing_df(spark: SparkSession) -> DataFrame:

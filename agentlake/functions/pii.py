@@ -24,16 +24,23 @@ PII_ALTERNATIVES = [
 REDACTED = "[REDACTED_PII]"
 
 PII_PATTERN = "|".join(p for _, p in PII_ALTERNATIVES)
+# Every alternative needs a digit or '@' (the IFSC form has a literal 0), so a
+# text without either cannot match: a one-class scan gates the full pattern.
+PII_GATE = "[0-9@]"
 PII_GROUPED = "|".join(f"({p})" for _, p in PII_ALTERNATIVES)
 CATEGORIES = [c for c, _ in PII_ALTERNATIVES]
 
 
+def _gated(text: Column, expr: Column, default: Column) -> Column:
+    return F.when(text.rlike(PII_GATE), expr).otherwise(default)
+
+
 def has_pii(text: Column) -> Column:
-    return text.rlike(PII_PATTERN)
+    return _gated(text, text.rlike(PII_PATTERN), F.when(text.isNotNull(), F.lit(False)))
 
 
 def redact_text(text: Column) -> Column:
-    return F.regexp_replace(text, PII_PATTERN, REDACTED)
+    return _gated(text, F.regexp_replace(text, PII_PATTERN, REDACTED), text)
 
 
 def pii_matches(text: Column) -> Column:
@@ -48,7 +55,8 @@ def pii_matches(text: Column) -> Column:
         first = F.array_min(flags)
         return F.struct((i + 1).alias("idx"), F.element_at(cats, first).alias("category"), x.alias("value"))
 
-    return F.transform(whole, pick)
+    empty = F.array().cast("array<struct<idx:int,category:string,value:string>>")
+    return _gated(text, F.transform(whole, pick), F.when(text.isNotNull(), empty))
 
 
 def tokenize(text: Column, matches: Column, tokens: Column) -> Column:

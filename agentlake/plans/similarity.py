@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from agentlake.functions import pii as PII
 from agentlake.operators import similarity as S
-from agentlake.operators.folds import segment
 from agentlake.plans.registry import query
 from agentlake.sources import views as V
 from agentlake.sources.tables import read
@@ -41,15 +41,25 @@ def exact_cache_replay(spark, sf_dir):
     aggregates, no whole-key window); the stored response of a segment is the
     one of its first request."""
     c = V.cache_log(spark, sf_dir).select("doc_id", "tenant_id", "sec", "body")
-    c = c.withColumn("h", F.sha2("body", 256)).withColumn("pii", PII.has_pii(F.col("body"))).drop("body")
-    clean = segment(c.filter(~F.col("pii")), ["tenant_id", "h"], "sec", EXACT_IDLE_TTL)
-    first = clean.groupBy("tenant_id", "h", "_seg").agg(F.min_by("doc_id", F.struct("sec", "doc_id")).alias("first_doc"))
-    hits = (clean.join(first, ["tenant_id", "h", "_seg"])
-            .select("doc_id", "tenant_id", (F.col("doc_id") != F.col("first_doc")).alias("hit"),
-                    F.when(F.col("doc_id") != F.col("first_doc"), F.col("first_doc")).alias("served_from")))
-    misses = c.filter("pii").select("doc_id", "tenant_id", F.lit(False).alias("hit"),
-                                    F.lit(None).cast("bigint").alias("served_from"))
-    return hits.unionByName(misses)
+    c = c.select("doc_id", "tenant_id", "sec", F.sha2("body", 256).alias("h"), PII.has_pii(F.col("body")).alias("pii"))
+    keys = ["tenant_id", "h"]
+    b = F.floor(F.col("sec") / EXACT_IDLE_TTL).cast("bigint")
+    # per (key, TTL-wide bin): gaps inside a bin are shorter than the TTL, so
+    # segments only start at bin starts; the bin table is tiny and carries
+    # each segment's first request to every row in one join.
+    per_bin = (c.groupBy(*keys, b.alias("_b"))
+               .agg(F.min("sec").alias("_lo"), F.max("sec").alias("_hi"),
+                    F.min_by("doc_id", F.struct("sec", "doc_id")).alias("_first")))
+    wb = Window.partitionBy(*keys).orderBy("_b")
+    prev_hi = F.lag("_hi").over(wb)
+    per_bin = per_bin.withColumn("_new", F.when(prev_hi.isNull() | (F.col("_lo") - prev_hi >= EXACT_IDLE_TTL), 1)
+                                 .otherwise(0))
+    per_bin = per_bin.withColumn("_seg", F.sum("_new").over(wb.rowsBetween(Window.unboundedPreceding, 0)))
+    ws = Window.partitionBy(*keys, "_seg").orderBy("_b")
+    per_bin = per_bin.select(*keys, "_b", F.first("_first").over(ws).alias("first_doc"))
+    j = c.withColumn("_b", b).join(per_bin, [*keys, "_b"])
+    hit = ~F.col("pii") & (F.col("doc_id") != F.col("first_doc"))
+    return j.select("doc_id", "tenant_id", hit.alias("hit"), F.when(hit, F.col("first_doc")).alias("served_from"))
 
 
 def _entries_probes(spark, sf_dir):

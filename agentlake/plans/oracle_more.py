@@ -58,4 +58,30 @@ def defs() -> dict[str, str]:
         "v_attempts": V_ATTEMPTS,
     }
     d.update(oracle_payloads.defs())
+    d.update(_more())
     return d
+
+V_CALLS = """
+SELECT event_id, user_id, k, event_id * 2 AS sec, 'call_' || event_id AS call_id,
+       CASE WHEN k % 7 = 0 THEN 'c-' || (user_id % 5) END AS tenant_claim,
+       CASE WHEN k % 4 = 1 THEN '  t-' || (user_id % 8) || ' ' WHEN k % 4 = 2 THEN '   ' END AS tenant_header,
+       CASE WHEN k % 6 = 0 THEN ' sess-' || user_id || ' ' WHEN k % 6 = 1 THEN 'null' WHEN k % 6 = 2 THEN ' None '
+            WHEN k % 6 = 3 THEN 'undefined' WHEN k % 6 = 4 THEN '' END AS provided_session,
+       CASE WHEN k % 4 = 0 THEN 'idem-' || user_id END AS idem_header,
+       (['ke_live_', 'ke_test_', 're_live_', 're_test_', 'sk-'])[user_id % 5 + 1] || lpad(CAST(user_id AS VARCHAR), 6, '0')
+           AS api_key,
+       (['get_balance', 'list_orders', 'charge_card', 'search_docs', 'update_record', 'read_file',
+         'query_db', 'create_ticket', 'transfer_funds', 'describe_table', 'show_logs', 'get_payment'])[k % 12 + 1]
+           AS tool_name,
+       '{"amount":' || k || ',"meta":{"a":' || (k % 3) || ',"b":' || (k % 7) || '},"price":' || (k % 10)
+           || '.0,"user":"u' || user_id || '"}' AS canonical_args,
+       '{"user":"u' || user_id || '","amount":' || k || ',"meta":{"b":' || (k % 7) || ',"a":' || (k % 3)
+           || '},"price":' || (k % 10) || '.0}' AS arguments,
+       'exec-' || user_id || '-' || CAST(floor(event_id / 50) AS BIGINT) AS execution_id,
+       CASE WHEN k % 5 = 0 THEN 'op-' || event_id END AS trace_op_id
+FROM (SELECT *, TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events)
+"""
+
+
+def _more():
+    return {"v_calls": V_CALLS}

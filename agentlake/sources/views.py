@@ -170,3 +170,41 @@ def tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((p >= 7) & (F.col("l_returnflag") != "R")).alias("success"),
         content.alias("content"),
     )
+
+
+# Fixed values (ours): API-key prefixes assigned by user_id % 5 (the last one is not a gateway key).
+KEY_PREFIX_BY_USER = ["ke_live_", "ke_test_", "re_live_", "re_test_", "sk-"]
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls with their trace context and request headers, from ``events``.
+
+    Arguments are written with unsorted keys and a float literal so the
+    canonical form has work to do; execution batches group 50 events of a user.
+    """
+    ev = read(spark, sf_dir, "events").select("event_id", "user_id", "props")
+    k = _k()
+    ev = ev.withColumn("k", k)
+    k = F.col("k")
+    u = F.col("user_id").cast("string")
+    args = F.concat(F.lit('{"user":"u'), u, F.lit('","amount":'), k.cast("string"), F.lit(',"meta":{"b":'),
+                    (k % 7).cast("string"), F.lit(',"a":'), (k % 3).cast("string"), F.lit('},"price":'),
+                    (k % 10).cast("string"), F.lit('.0}'))
+    session = (F.when(k % 6 == 0, F.concat(F.lit(" sess-"), u, F.lit(" "))).when(k % 6 == 1, "null")
+               .when(k % 6 == 2, " None ").when(k % 6 == 3, "undefined").when(k % 6 == 4, ""))
+    return ev.select(
+        "event_id", "user_id", "k",
+        (F.col("event_id") * 2).alias("sec"),
+        F.concat(F.lit("call_"), F.col("event_id")).alias("call_id"),
+        F.when(k % 7 == 0, F.concat(F.lit("c-"), (F.col("user_id") % 5).cast("string"))).alias("tenant_claim"),
+        F.when(k % 4 == 1, F.concat(F.lit("  t-"), (F.col("user_id") % 8).cast("string"), F.lit(" ")))
+         .when(k % 4 == 2, F.lit("   ")).alias("tenant_header"),
+        session.alias("provided_session"),
+        F.when(k % 4 == 0, F.concat(F.lit("idem-"), u)).alias("idem_header"),
+        F.concat(F.element_at(F.array(*[F.lit(p) for p in KEY_PREFIX_BY_USER]),
+                              (F.col("user_id") % 5 + 1).cast("int")), F.lpad(u, 6, "0")).alias("api_key"),
+        F.element_at(F.array(*[F.lit(t) for t in TOOL_NAMES]), (k % 12 + 1).cast("int")).alias("tool_name"),
+        args.alias("arguments"),
+        F.concat(F.lit("exec-"), u, F.lit("-"), F.floor(F.col("event_id") / 50).cast("string")).alias("execution_id"),
+        F.when(k % 5 == 0, F.concat(F.lit("op-"), F.col("event_id"))).alias("trace_op_id"),
+    )

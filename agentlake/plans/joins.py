@@ -84,13 +84,13 @@ def _chain(spark, sf_dir):
 
 @query("resolve_route", sql=_RESOLVE_SQL + """
 SELECT event_id, map_tenant, route_model, route_status,
-       CAST(CASE WHEN route_status = 'ok' THEN 200 WHEN route_status = 'MODEL_NOT_CONFIGURED' THEN 404 ELSE 503 END
+       CAST(CASE WHEN route_status = 'ok' THEN 200 WHEN route_status = 'MODEL_NOT_CONFIGURED' THEN 400 ELSE 503 END
             AS INTEGER) AS http_status
 FROM resolved
 """)
 def resolve_route(spark, sf_dir):
     r = _resolved(spark, sf_dir)
-    http = (F.when(F.col("route_status") == "ok", 200).when(F.col("route_status") == "MODEL_NOT_CONFIGURED", 404)
+    http = (F.when(F.col("route_status") == "ok", 200).when(F.col("route_status") == "MODEL_NOT_CONFIGURED", 400)
             .otherwise(503).cast("int"))
     return r.select("event_id", "map_tenant", "route_model", "route_status", http.alias("http_status"))
 

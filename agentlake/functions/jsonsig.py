@@ -41,13 +41,14 @@ def _sig_value(v, depth: int):
 
 
 def signature_text(args: str | None) -> str | None:
-    """Canonical text of the loop signature; None when args are not JSON."""
+    """Canonical text of the loop signature. Arguments that do not parse hash
+    like JSON ``null`` (the gateway hashes a Null value for them)."""
     if args is None:
         return None
     try:
         v = json.loads(args)
     except (ValueError, RecursionError):
-        return None
+        v = None
     return json.dumps(_sig_value(v, 0), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
@@ -102,7 +103,7 @@ def loop_signature_text(args: Column) -> Column:
 
 
 def loop_signature(args: Column) -> Column:
-    """64-bit equivalence-class id of a tool call's arguments (null if not JSON)."""
+    """64-bit equivalence-class id of a tool call's arguments."""
     t = _signature_udf(args)
     return F.when(t.isNotNull(), F.xxhash64(t))
 

@@ -14,7 +14,7 @@ def test_signature_equivalences():
     assert signature_text('{"id":1}') != signature_text('{"id":2}')
     # ephemeral keys are dropped at every depth
     assert signature_text('{"a":{"uuid":"x","b":1}}') == signature_text('{"a":{"b":1,"uuid":"y"}}')
-    assert signature_text("not json") is None
+    assert signature_text("not json") == signature_text("null")
 
 
 def test_guard_steps():

@@ -131,4 +131,4 @@ def steer_denied(spark, sf_dir):
     return j.select("response_id", "denied", u["content"].alias("content"), u["finish_reason"].alias("finish_reason"))
 
 
-del json
+

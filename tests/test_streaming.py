@@ -67,3 +67,85 @@ def test_redact_and_windows_stream(spark):
     total = spark.sql("SELECT sum(requests) n FROM (SELECT window, tenant_id, max(requests) requests "
                       "FROM metrics_out GROUP BY ALL)").first()["n"]
     assert total == req.count()
+
+
+def test_execution_stream_claims_equal_batch(spark):
+    from agentlake.operators import execution as X
+    from agentlake.plans.execution import ledger_tables
+    from agentlake.streaming.stateful import execution_stream
+    a = V.attempts(spark, SF)
+    led, cov = ledger_tables(a)
+    inp = X.with_ledger(a, led, cov)
+    d, src = _stage(spark, inp, 4, "claim_sec")
+    s = spark.readStream.schema(inp.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (execution_stream(s).writeStream.format("memory").queryName("exec_out")
+         .option("checkpointLocation", os.path.join(d, "ckpt")).outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = {r["event_id"]: r["decision"] for r in spark.sql("SELECT * FROM exec_out WHERE kind = 'claim'").collect()}
+    want = {r["event_id"]: r["decision"] for r in X.replay(inp).filter("kind = 'claim'").collect()}
+    assert got == want
+
+
+def test_cache_and_rate_streams_equal_batch(spark):
+    from agentlake.plans.similarity import exact_cache_replay
+    from agentlake.plans.windows import rate_capacity, rate_limit
+    from agentlake.streaming.stateful import cache_replay_stream, rate_limit_stream
+    log = V.cache_log(spark, SF)
+    d, src = _stage(spark, log, 3, "sec")
+    s = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (cache_replay_stream(s).writeStream.format("memory").queryName("cache_out")
+         .option("checkpointLocation", os.path.join(d, "ckpt")).outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = {r["doc_id"]: (r["hit"], r["served_from"]) for r in spark.sql("SELECT * FROM cache_out").collect()}
+    want = {r["doc_id"]: (r["hit"], r["served_from"]) for r in exact_cache_replay(spark, SF).collect()}
+    assert got == want
+
+    req = rate_capacity(spark, V.requests(spark, SF).select("event_id", "tenant_id", "model", "sec"))
+    d2, src2 = _stage(spark, req, 3, "sec")
+    s2 = spark.readStream.schema(req.schema).option("maxFilesPerTrigger", 1).parquet(src2)
+    q2 = (rate_limit_stream(s2).writeStream.format("memory").queryName("rate_out")
+          .option("checkpointLocation", os.path.join(d2, "ckpt")).outputMode("append")
+          .trigger(availableNow=True).start())
+    q2.awaitTermination(300)
+    got2 = {r["event_id"]: r["blocked"] for r in spark.sql("SELECT * FROM rate_out").collect()}
+    want2 = {r["event_id"]: r["blocked"] for r in rate_limit(spark, SF).collect()}
+    assert got2 == want2
+
+
+def test_breaker_budget_and_split_streams(spark):
+    from agentlake.operators.ordered import islands
+    from agentlake.plans.governance import _priced
+    from agentlake.sources.telemetry import telemetry
+    from agentlake.streaming.stateful import breaker_stream, budget_stream, telemetry_split_batch
+    f = (V.requests(spark, SF).filter("status IN (429, 503)")
+         .select("tenant_id", F.col("api_key_alias").alias("key_alias"), "sec"))
+    d, src = _stage(spark, f, 3, "sec")
+    s = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (breaker_stream(s).writeStream.format("memory").queryName("breaker_out")
+         .option("checkpointLocation", os.path.join(d, "ckpt")).outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    opens = spark.sql("SELECT count(*) c FROM breaker_out WHERE event = 'open'").first()["c"]
+    assert opens == islands(f, ["tenant_id", "key_alias"], "sec", 60).count()
+
+    p = _priced(spark, SF).select(F.col("tenant_id").alias("scope"), "sec", "event_id", "cost_usd")
+    d2, src2 = _stage(spark, p, 2, "sec")
+    s2 = spark.readStream.schema(p.schema).parquet(src2)
+    q2 = (budget_stream(s2, {f"t-{i}": "0.05" for i in range(8)}).writeStream.format("memory")
+          .queryName("budget_out").option("checkpointLocation", os.path.join(d2, "ckpt"))
+          .outputMode("append").trigger(availableNow=True).start())
+    q2.awaitTermination(300)
+    rows = spark.sql("SELECT scope, alert, count(*) c FROM budget_out GROUP BY ALL").collect()
+    assert all(r["c"] == 1 for r in rows)   # each threshold fires once per scope
+
+    t = telemetry(spark, SF)
+    d3, src3 = _stage(spark, t, 2)
+    s3 = spark.readStream.schema(t.schema).parquet(src3)
+    q3 = (s3.writeStream.foreachBatch(telemetry_split_batch(os.path.join(d3, "out")))
+          .option("checkpointLocation", os.path.join(d3, "ckpt")).trigger(availableNow=True).start())
+    q3.awaitTermination(300)
+    n_req = V.requests(spark, SF).count()
+    assert spark.read.parquet(os.path.join(d3, "out", "request_log")).count() == n_req
+    assert spark.read.parquet(os.path.join(d3, "out", "trace")).count() == n_req

@@ -147,7 +147,7 @@ def last_user_text(body: Column) -> Column:
     gem_block = F.exists(contents, lambda c: F.exists(
         _arr(c, "$.parts"), lambda p: _get(p, "$.functionCall").isNotNull() | _get(p, "$.functionResponse").isNotNull()))
     user_contents = F.filter(contents, lambda c: _get(c, "$.role", "string") == "user")
-    last_c = F.element_at(user_contents, -1)
+    last_c = F.try_element_at(user_contents, F.lit(-1))
     gem_text = F.array_join(F.filter(F.transform(_arr(last_c, "$.parts"), lambda p: _get(p, "$.text", "string")),
                                      lambda x: x.isNotNull()), "\n")
     from_gem = F.when(~gem_block & (F.size(user_contents) > 0), gem_text)

@@ -152,7 +152,7 @@ def unify_response(body: Column, provider: Column) -> Column:
                                     F.array().cast("array<variant>"))).alias("n_tool_calls"))
     blocks = _arr(v, "$.content")
     uses = F.filter(blocks, lambda b: _get(b, "$.type", "string") == "tool_use")
-    first_text = F.element_at(F.filter(blocks, lambda b: _get(b, "$.type", "string") == "text"), 1)
+    first_text = F.try_element_at(F.filter(blocks, lambda b: _get(b, "$.type", "string") == "text"), F.lit(1))
     inp = F.coalesce(_get(v, "$.usage.input_tokens", "bigint"), F.lit(0).cast("bigint"))
     out = F.coalesce(_get(v, "$.usage.output_tokens", "bigint"), F.lit(0).cast("bigint"))
     an = F.struct(F.coalesce(_get(first_text, "$.text", "string"), F.lit("")).alias("content"),

@@ -73,6 +73,6 @@ def load_all() -> dict[str, Query]:
     # Import for side effects: each module registers its queries.
     from agentlake.plans import (  # noqa: F401
         aggregates, billing, guard, identity, joins, payloads, pii, similarity, windows, execution,
-        streams_batch, telemetry, tools, governance, responses, toon, alerts, pii_payloads, schemas, rewrite, extras, results,
+        streams_batch, telemetry, tools, governance, responses, toon, alerts, pii_payloads, schemas, rewrite, extras, results, universal,
     )
     return REGISTRY

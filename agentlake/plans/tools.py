@@ -25,8 +25,7 @@ TOOL_REGISTRY = [
                                "conv": {"type": "integer", "examples": [1, 2]}}}},
     {"name": "tool_1", "summary": "Summarise a conversation",
      "schema": {"type": "object", "properties": {"conv": {"type": "integer", "title": "Conversation"}}}},
-    {"name": "tool_2", "summary": "Charge a card",
-     "schema": {"type": "object", "properties": {"amount": {"type": "number"}}}},
+    {"name": "tool_2", "summary": "Charge a card"},
 ]
 # Fixed values (ours): tool -> endpoint URL (several tools per URL); tool_3 has none.
 TOOL_ENDPOINTS = {"tool_0": "http://mcp-a:7000", "tool_1": "http://mcp-a:7000", "tool_2": "http://mcp-b:7000"}
@@ -39,6 +38,7 @@ FAIL_OPEN = False
 def registry_df(spark):
     doc = spark.range(1).select(F.lit(json.dumps(TOOL_REGISTRY)).alias("doc"))
     parsed = F.from_json("doc", "array<struct<name:string, summary:string, schema:string>>")
+    # (a descriptor without "schema" parses to NULL there)
     return bounded(doc.select(F.explode(parsed).alias("t")).select("t.*"), len(TOOL_REGISTRY))
 
 

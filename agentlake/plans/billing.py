@@ -10,8 +10,10 @@ from agentlake.plans import oracle_views as OV
 from agentlake.plans.registry import query
 from agentlake.sources import dimensions as D
 from agentlake.sources import views as V
+from agentlake.sources.tables import memo
 
 
+@memo
 def priced_requests(spark, sf_dir):
     return B.price(V.requests(spark, sf_dir), D.pricing_df(spark))
 

@@ -70,7 +70,8 @@ def tenant_config(spark, sf_dir):
 
 
 def _priced(spark, sf_dir):
-    return B.price(V.requests(spark, sf_dir), D.pricing_df(spark))
+    from agentlake.plans.billing import priced_requests
+    return priced_requests(spark, sf_dir)
 
 
 @query("budget_status", sql=f"""

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlake.sources.tables import read
+from agentlake.sources.tables import memo, read
 
 PROVIDERS = ("openai", "anthropic")
 # Fixed value (ours): the mid-stream error chunk.
@@ -25,6 +25,7 @@ def _json_str(c):
     return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'^\{"v":(.*)\}$', 1)
 
 
+@memo
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     first = conv.filter(F.col("turn") == 0).select("conv_id", F.octet_length("text").cast("bigint").alias("prompt_bytes"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlake.sources.tables import read
+from agentlake.sources.tables import memo, read
 
 FORMATS = ["openai", "anthropic", "gemini", "cohere", "bedrock"]
 MODELS = ["gpt-4o", "claude-3-5-sonnet", "gemini-1.5-pro", "command-r", "anthropic.claude-3-sonnet"]
@@ -73,6 +73,7 @@ def _fragment(t) -> Column:
             .when(fmt == 3, cohere).otherwise(bedrock))
 
 
+@memo
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(payload_id, tenant_id, session_id, sec, fmt, format, body)."""
     t = turns(spark, sf_dir)
@@ -105,7 +106,6 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      .otherwise(F.lit("")))))
     system_part = F.when(F.col("system_text").isNotNull(),
                          F.concat(F.lit('"system":'), _q(F.col("system_text")), F.lit(","))).otherwise(F.lit(""))
-    body = F.concat(F.lit("{"), model_part, tools_part, system_part, body_main, F.lit("}"))
     body = F.when(cid % 37 == 0, F.expr("substring(body_tmp, 1, length(body_tmp) - 10)")).otherwise(F.col("body_tmp"))
     out = g.select("conv_id", "fmt", F.concat(F.lit("{"), model_part, tools_part, system_part, body_main,
                                               F.lit("}")).alias("body_tmp"))

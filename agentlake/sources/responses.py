@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agentlake.sources.payloads import FORMATS, MODELS, _q
-from agentlake.sources.tables import read
+from agentlake.sources.tables import memo, read
 
 
+@memo
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "conversations").filter(F.col("role") == "assistant").select("conv_id", "turn", "text")
     rid = F.col("conv_id") * 10 + F.col("turn")

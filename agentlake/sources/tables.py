@@ -18,6 +18,35 @@ DEFAULT_SF_DIR = "/root/testdata/sf0.01"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table's relation, resolved once per session: file listing and
+    footer reads happen on first use (on a cluster the listing of a large
+    table is the expensive part), later queries reuse the same relation."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name}")
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    cache = spark.__dict__.setdefault("_agentlake_relations", {})
+    df = cache.get(path)
+    if df is None:
+        df = spark.read.parquet(path)
+        cache[path] = df
+    return df
+
+
+def memo(fn):
+    """Memoise a view builder ``fn(spark, sf_dir, *args)`` per session.
+
+    A DataFrame is an immutable logical plan, so sharing it between queries is
+    safe; it saves rebuilding hundreds of column expressions (py4j calls) on
+    every query that derives from the same view."""
+    import functools
+
+    @functools.wraps(fn)
+    def wrapper(spark, sf_dir, *args, **kwargs):
+        cache = spark.__dict__.setdefault("_agentlake_views", {})
+        key = (fn.__module__, fn.__qualname__, sf_dir, args, tuple(sorted(kwargs.items())))
+        df = cache.get(key)
+        if df is None:
+            df = fn(spark, sf_dir, *args, **kwargs)
+            cache[key] = df
+        return df
+    return wrapper

@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agentlake.sources import views as V
+from agentlake.sources.tables import memo
 
 
+@memo
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = V.requests(spark, sf_dir)
     compact = r.select((F.col("event_id") * 3).alias("seq"), F.to_json(F.struct(

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlake.sources.tables import read
+from agentlake.sources.tables import memo, read
 
 EPOCH_2024 = 1704067200  # 2024-01-01T00:00:00Z, origin of the compressed clock
 
@@ -32,6 +32,7 @@ def _provider_model(k: Column) -> tuple[Column, Column]:
     return provider, model
 
 
+@memo
 def requests(spark: SparkSession, sf_dir: str, with_parent: bool = False) -> DataFrame:
     """C1 ``v_requests``: the request log (M11) derived from ``events``."""
     ev = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
@@ -80,6 +81,7 @@ def requests(spark: SparkSession, sf_dir: str, with_parent: bool = False) -> Dat
     return df
 
 
+@memo
 def guard_calls(spark: SparkSession, sf_dir: str, sessions: int = 8) -> DataFrame:
     """C2 ``v_guard_calls``: one tool call per request, ordered by (sec, event_id)."""
     ev = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
@@ -94,6 +96,7 @@ def guard_calls(spark: SparkSession, sf_dir: str, sessions: int = 8) -> DataFram
     )
 
 
+@memo
 def cache_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C6 ``v_cache_log``: request bodies keyed by tenant, clock = doc_id seconds."""
     d = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -106,6 +109,7 @@ def cache_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memo
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C3 ``v_attempts`` — one claim per event, six claims per operation 4 s apart."""
     ev = read(spark, sf_dir, "events").select("event_id", "event_type", "value")
@@ -144,6 +148,7 @@ RESULT_CONTENT = {
 }
 
 
+@memo
 def tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tool-call results (M6) from ``lineitem``: one order = one fan-out batch.
 
@@ -176,6 +181,7 @@ def tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 KEY_PREFIX_BY_USER = ["ke_live_", "ke_test_", "re_live_", "re_test_", "sk-"]
 
 
+@memo
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tool calls with their trace context and request headers, from ``events``.
 

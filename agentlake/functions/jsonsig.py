@@ -110,3 +110,33 @@ def loop_signature(args: Column) -> Column:
 
 def canonical_json(args: Column) -> Column:
     return _canonical_udf(args)
+
+
+_EPH_ALT = "|".join(EPHEMERAL_KEYS)
+# a top-level ephemeral entry of canonical flat JSON: key, then a string or a bare scalar
+_EPH_ENTRY = r'(?<=[{,])"(?:' + _EPH_ALT + r')":(?:"(?:[^"\\]|\\.)*"|[^,}"]*)(?:,|(?=\}))'
+
+
+def _flat_object(v: Column) -> Column:
+    """A JSON object whose values are all scalars (no nested object or array)."""
+    return F.coalesce(F.schema_of_variant(v).rlike(r"^OBJECT<[^<]*>$"), F.lit(False))
+
+
+def _native_signature_text(v: Column) -> Column:
+    canon = F.to_json(v)  # VARIANT: keys sorted, numbers normalised (5.0 -> 5)
+    return F.regexp_replace(F.regexp_replace(canon, _EPH_ENTRY, ""), ",}", "}")
+
+
+def with_loop_signature(df, args_col: str, out_col: str = "sig"):
+    """Add the 64-bit loop signature of ``args_col``.
+
+    Flat argument objects (the common case) are signed in the JVM: canonical
+    VARIANT JSON minus ephemeral top-level entries. Nested or non-object
+    arguments go through the recursive pandas UDF. Rows are split, not
+    branched, because a Python UDF inside CASE would still run on every row.
+    A flat object never equals a nested one, so the two paths cannot split an
+    equivalence class."""
+    v = F.try_parse_json(F.col(args_col))
+    flat = df.filter(_flat_object(v)).withColumn(out_col, F.xxhash64(_native_signature_text(v)))
+    rest = df.filter(~_flat_object(v)).withColumn(out_col, loop_signature(F.col(args_col)))
+    return flat.unionByName(rest)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from agentlake.functions.jsonsig import loop_signature
+from agentlake.functions.jsonsig import with_loop_signature
 from agentlake.operators import folds
 from agentlake.operators.ordered import range_count
 from agentlake.plans.registry import query
@@ -52,10 +52,10 @@ decided AS (
 
 
 def _guard_input(spark, sf_dir):
-    g = V.guard_calls(spark, sf_dir)
+    g = with_loop_signature(V.guard_calls(spark, sf_dir), "arguments")
     return g.select("session_id", "sec", "event_id",
                     F.array("tool_name").alias("tools"),
-                    F.array(loop_signature(F.col("arguments"))).alias("sigs"),
+                    F.array("sig").alias("sigs"),
                     "tool_name")
 
 
@@ -84,8 +84,8 @@ def storm_replay(spark, sf_dir):
 SELECT tool_name, count(*) AS calls, min(event_id) AS first_event_id FROM ({_G}) GROUP BY tool_name, sig
 """)
 def loop_signature_q(spark, sf_dir):
-    g = V.guard_calls(spark, sf_dir)
-    return (g.groupBy("tool_name", loop_signature(F.col("arguments")).alias("sig"))
+    g = with_loop_signature(V.guard_calls(spark, sf_dir), "arguments")
+    return (g.groupBy("tool_name", "sig")
             .agg(F.count(F.lit(1)).alias("calls"), F.min("event_id").alias("first_event_id"))
             .drop("sig"))
 
@@ -111,8 +111,8 @@ SELECT event_id, session_id, tool_name,
 FROM ({_G})
 """)
 def loop_window(spark, sf_dir):
-    g = V.guard_calls(spark, sf_dir)
-    g = g.select("event_id", "session_id", "tool_name", "sec", loop_signature(F.col("arguments")).alias("sig"))
+    g = with_loop_signature(V.guard_calls(spark, sf_dir), "arguments")
+    g = g.select("event_id", "session_id", "tool_name", "sec", "sig")
     c = range_count(g, ["session_id", "tool_name", "sig"], "sec", "event_id", 60)
     return c.select("event_id", "session_id", "tool_name", "window_count",
                     (F.col("window_count") > 5).alias("flagged"))

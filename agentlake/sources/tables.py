@@ -27,11 +27,25 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     cache = spark.__dict__.setdefault("_agentlake_relations", {})
     df = cache.get(path)
     if df is None:
-        df = spark.read.parquet(path)
+        df = spread(spark.read.parquet(path))
         cache[path] = df
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that is narrower than the cluster.
+
+    A table stored as one or two row groups is read by one or two tasks, and
+    every row-local operator before the first shuffle (regexes, JSON parsing,
+    Arrow UDFs) would run on those cores only. Only then is a round-robin
+    repartition to the session's parallelism added; a large table already has
+    far more splits than cores and is left untouched (no extra shuffle)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
+
+
 def memo(fn):
     """Memoise a view builder ``fn(spark, sf_dir, *args)`` per session.
 

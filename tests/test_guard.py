@@ -45,3 +45,20 @@ def test_guard_coverage_counts(spark):
     r = loop_replay(spark, "/root/testdata/sf0.01")
     counts = {x["decision"]: x["count"] for x in r.groupBy("decision").count().collect()}
     assert counts == {"accepted": 8600, "loop_blocked": 119, "storm_blocked": 1281}
+
+
+def test_native_and_udf_signature_agree_on_classes(spark):
+    from agentlake.functions.jsonsig import with_loop_signature
+    args = ['{"city":"Paris","units":"metric","timestamp":1,"nonce":"a"}',
+            '{"units":"metric","nonce":"zz","city":"Paris","timestamp":99}',
+            '{"city":"Berlin","units":"metric"}', '{"n":5}', '{"n":5.0}', '{"id":1}', '{"id":2}',
+            '{"a":{"uuid":"x","b":1}}', '{"a":{"b":1,"uuid":"y"}}', 'not json', 'null',
+            '{"q":"x,y}","time":"12:00"}', '{"q":"x,y}"}', '{"stream":true,"k":"v"}', '{"k":"v"}']
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(args)], "i int, a string")
+    sig = {r["i"]: r["sig"] for r in with_loop_signature(df, "a").collect()}
+    classes = {}
+    for i, a in enumerate(args):
+        classes.setdefault(signature_text(a), set()).add(i)
+    for members in classes.values():
+        assert len({sig[i] for i in members}) == 1
+    assert len(set(sig.values())) == len(classes)

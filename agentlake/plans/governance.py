@@ -106,10 +106,9 @@ def budget_status(spark, sf_dir):
         F.struct(F.lit("apikey").alias("scope_type"), F.col("api_key_alias").alias("scope_id")),
         F.struct(F.lit("route").alias("scope_type"), F.col("model").alias("scope_id")))).alias("s"), "spend")
     spend = scopes.groupBy("s.scope_type", "s.scope_id").agg(F.sum("spend").alias("spend"))
-    obs = g.agg((F.max("hi") - F.min("lo") + 1).alias("observed"), F.lit(1).alias("_k"))
+    observed = g.agg(F.max("hi") - F.min("lo") + 1).scalar()  # scalar subquery, evaluated once
     b = bounded(D.to_df(spark, BUDGETS, BUDGET_COLS, BUDGET_TYPES), len(BUDGETS))
-    j = (b.join(spend, ["scope_type", "scope_id"], "left").withColumn("_k", F.lit(1))
-         .join(F.broadcast(obs), "_k"))  # one-row scalar on a constant key
+    j = b.join(spend, ["scope_type", "scope_id"], "left").withColumn("observed", observed)
     s = F.coalesce(F.col("spend"), F.lit(0).cast("decimal(38,14)"))
     return j.select(
         "scope_type", "scope_id", s.cast("decimal(38,14)").alias("spend"),

@@ -181,11 +181,13 @@ def _regions(spark, sf_dir):
                                                F.col("k").cast("string"), F.lit(".0.1")))
     enf = bounded(D.to_df(spark, ENFORCED_REGION, ["tenant_id", "enforce_region"], ["string", "string"]),
                   len(ENFORCED_REGION))
-    geo = bounded(D.to_df(spark, GEO_RANGES, ["lo", "hi", "geo_region"], ["int", "int", "string"]),
-                  len(GEO_RANGES))
+    # the range table is expanded to one row per first octet (at most 256
+    # config rows), so the lookup is an equi-join instead of a range join
+    octets = [(o, reg) for lo, hi, reg in GEO_RANGES for o in range(lo, hi + 1)]
+    geo = bounded(D.to_df(spark, octets, ["octet", "geo_region"], ["int", "string"]), len(octets))
     octet = F.split(F.col("forwarded_for"), r"\.").getItem(0).cast("int")
     r = r.withColumn("octet", octet).join(enf, "tenant_id", "left")
-    r = r.join(geo, (F.col("octet") >= F.col("lo")) & (F.col("octet") <= F.col("hi")), "left")
+    r = r.join(geo, "octet", "left")
     return r.withColumn("region", F.coalesce("user_region", "enforce_region", "geo_region"))
 
 

@@ -152,11 +152,10 @@ FROM embeddings GROUP BY label
 """)
 def semantic_recency(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").select("vec_id", "label")
-    # the ring bound is a one-row aggregate, broadcast as a scalar on a constant key
-    mx = e.agg(F.max("vec_id").alias("_mx")).withColumn("_k", F.lit(1))
-    return (e.withColumn("_k", F.lit(1)).join(F.broadcast(mx), "_k")
-            .groupBy(F.col("label").alias("tenant"))
-            .agg(F.count_if(F.col("vec_id") > F.col("_mx") - S.RING_SIZE).alias("in_ring"),
+    # the ring bound is a scalar subquery (evaluated once, not joined)
+    mx = e.agg(F.max("vec_id")).scalar()
+    return (e.groupBy(F.col("label").alias("tenant"))
+            .agg(F.count_if(F.col("vec_id") > mx - S.RING_SIZE).alias("in_ring"),
                  F.count(F.lit(1)).alias("entries")))
 
 

@@ -41,8 +41,14 @@ def reassemble(forwarded: DataFrame) -> DataFrame:
     g = forwarded.groupBy("stream_id").agg(
         F.array_sort(F.collect_list(F.struct("seq", "data"))).alias("cs"),
         F.max("prompt_bytes").alias("prompt_bytes"))
-    done_pos = F.array_position(F.transform("cs", lambda x: x["data"]), "[DONE]")
-    live = F.when(done_pos > 0, F.slice("cs", 1, (done_pos - 1).cast("int"))).otherwise(F.col("cs"))
+    return g.select("stream_id", *reassemble_columns(F.array_sort("cs"), F.col("prompt_bytes")))
+
+
+def reassemble_columns(cs, prompt_bytes):
+    """The X9 fold over one stream's ``array<struct<seq, data>>`` sorted by seq:
+    (text, total_tokens) columns. Shared by the batch and streaming forms."""
+    done_pos = F.array_position(F.transform(cs, lambda x: x["data"]), "[DONE]")
+    live = F.when(done_pos > 0, F.slice(cs, 1, (done_pos - 1).cast("int"))).otherwise(cs)
     parsed = F.transform(live, lambda x: F.struct(
         F.try_parse_json(x["data"]).alias("v"), F.octet_length(x["data"]).alias("nbytes")))
 
@@ -58,9 +64,9 @@ def reassemble(forwarded: DataFrame) -> DataFrame:
     usage = F.element_at(F.filter(F.transform(parsed, lambda p: F.try_variant_get(
         p["v"], "$.usage.total_tokens", "bigint")), lambda x: x.isNotNull()), -1)
     est_bytes = F.aggregate(parsed, F.lit(0).cast("bigint"), lambda acc, p: acc + p["nbytes"] + 1)
-    estimate = (F.greatest(F.lit(1).cast("bigint"), (F.col("prompt_bytes") / CHARS_PER_TOKEN).cast("bigint"))
+    estimate = (F.greatest(F.lit(1).cast("bigint"), (prompt_bytes / CHARS_PER_TOKEN).cast("bigint"))
                 + F.greatest(F.lit(1).cast("bigint"), (est_bytes / CHARS_PER_TOKEN).cast("bigint")))
     usage_val = F.when(F.size(F.filter(F.transform(parsed, lambda p: F.try_variant_get(
         p["v"], "$.usage.total_tokens", "bigint")), lambda x: x.isNotNull())) > 0, usage)
     total = F.when(F.coalesce(usage_val, F.lit(0)) > 0, usage_val).otherwise(estimate)
-    return g.select("stream_id", text.alias("text"), total.cast("bigint").alias("total_tokens"))
+    return [text.alias("text"), total.cast("bigint").alias("total_tokens")]

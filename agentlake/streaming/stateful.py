@@ -246,3 +246,55 @@ def telemetry_split_batch(out_dir: str):
         finally:
             c.unpersist()
     return sink
+
+
+# ------------------------------------------------------------------ R11 reassembly
+
+def reassembly_stream(chunk_stream: DataFrame, idle: str = "30 seconds", watermark: str = "1 minute") -> DataFrame:
+    """Stitch (X10) then reassemble (X9) each stream once it has been idle
+    for ``idle``: an event-time session window per stream_id gathers its
+    forwarded chunks (one response, bounded) and the batch fold expressions run
+    on the closed window. Chunk event time = the stream's clock + seq."""
+    from agentlake.functions.classify import has_error_signature
+    from agentlake.operators.streams import reassemble_columns
+    c = chunk_stream.withColumn("sec", F.col("stream_id") * 100 + F.col("seq"))
+    c = c.filter(~(has_error_signature(F.col("data")) & (F.col("data") != "[DONE]")))
+    g = (with_event_time(c).withWatermark("event_time", watermark)
+         .groupBy(F.session_window("event_time", idle), "stream_id")
+         .agg(F.collect_list(F.struct("seq", "data")).alias("cs"), F.max("prompt_bytes").alias("prompt_bytes")))
+    return g.select("stream_id", *reassemble_columns(F.array_sort("cs"), F.col("prompt_bytes")))
+
+
+# ------------------------------------------------------------------ R5 latency EMA
+
+def _ema_func(alpha: float):
+    def func(key, pdfs, state: GroupState):
+        prev = float(state.get[0]) if state.exists else None
+        data = pd.concat(list(pdfs)).sort_values("tick")
+        out = []
+        for tick, p95 in zip(data["tick"], data["p95"]):
+            prev = float(p95) if prev is None else alpha * float(p95) + (1 - alpha) * prev
+            out.append((key[0], int(tick), float(p95), prev))
+        state.update((str(prev),))
+        yield pd.DataFrame(out, columns=["provider", "tick", "p95", "ema"])
+    return func
+
+
+def latency_p95_stream(requests: DataFrame, tick: str = "60 seconds", watermark: str = "2 minutes") -> DataFrame:
+    """R5 (first stage): per-provider p95 of successful latency in tumbling event-time ticks."""
+    r = requests.filter((F.col("status") == 200) & (F.col("executed_provider") != ""))
+    return (with_event_time(r).withWatermark("event_time", watermark)
+            .groupBy(F.window("event_time", tick), F.col("executed_provider").alias("provider"))
+            .agg(F.percentile_approx("latency_ms", 0.95, 10000).cast("double").alias("p95")))
+
+
+def latency_ema_stream(ticks: DataFrame, alpha: float = 0.3) -> DataFrame:
+    """R5 (second query): closed p95 ticks, read as a stream from the sink the
+    first query (``latency_p95_stream``) appends to, folded into the EMA with
+    state per provider. Spark allows no stateful operator after a streaming
+    aggregation in one query, so the two stages are chained through storage;
+    the state here is one double per provider."""
+    t = ticks.select(F.col("provider"), (F.unix_seconds(F.col("window.start")) - EPOCH).alias("tick"), "p95")
+    return (t.groupBy("provider")
+            .applyInPandasWithState(_ema_func(alpha), "provider string, tick long, p95 double, ema double",
+                                    STATE, "append", GroupStateTimeout.NoTimeout))

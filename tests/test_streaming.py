@@ -149,3 +149,36 @@ def test_breaker_budget_and_split_streams(spark):
     n_req = V.requests(spark, SF).count()
     assert spark.read.parquet(os.path.join(d3, "out", "request_log")).count() == n_req
     assert spark.read.parquet(os.path.join(d3, "out", "trace")).count() == n_req
+
+
+def test_reassembly_and_latency_streams(spark):
+    from agentlake.plans.streams_batch import reassemble_stream
+    from agentlake.sources.chunks import chunks
+    from agentlake.streaming.stateful import latency_ema_stream, reassembly_stream
+    ch = chunks(spark, SF)
+    d, src = _stage(spark, ch, 2)
+    s = spark.readStream.schema(ch.schema).parquet(src)
+    q = (reassembly_stream(s).writeStream.format("memory").queryName("reasm_out")
+         .option("checkpointLocation", os.path.join(d, "ckpt")).outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = {r["stream_id"]: (r["text"], r["total_tokens"]) for r in spark.sql("SELECT * FROM reasm_out").collect()}
+    want = {r["stream_id"]: (r["text"], r["total_tokens"]) for r in reassemble_stream(spark, SF).collect()}
+    # the last session windows close only once the watermark passes them
+    assert got and all(want[k] == v for k, v in got.items())
+
+    req = V.requests(spark, SF).select("sec", "status", "executed_provider", "latency_ms")
+    d2, src2 = _stage(spark, req, 3, "sec")
+    s2 = spark.readStream.schema(req.schema).option("maxFilesPerTrigger", 1).parquet(src2)
+    from agentlake.streaming.stateful import latency_p95_stream
+    ticks_dir = os.path.join(d2, "ticks")
+    q2 = (latency_p95_stream(s2).writeStream.format("parquet").option("path", ticks_dir)
+          .option("checkpointLocation", os.path.join(d2, "ckpt1")).outputMode("append")
+          .trigger(availableNow=True).start())
+    q2.awaitTermination(300)
+    ticks = spark.read.parquet(ticks_dir)
+    q3 = (latency_ema_stream(spark.readStream.schema(ticks.schema).parquet(ticks_dir)).writeStream
+          .format("memory").queryName("ema_out").option("checkpointLocation", os.path.join(d2, "ckpt2"))
+          .outputMode("append").trigger(availableNow=True).start())
+    q3.awaitTermination(300)
+    assert spark.sql("SELECT count(*) c FROM ema_out").first()["c"] == ticks.count() > 0

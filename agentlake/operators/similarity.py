@@ -1,12 +1,13 @@
 """Semantic (nearest-neighbour) cache matching.
 
-Exact and distributed: within a tenant, probes and cache entries are hashed
-into blocks of at most ``block`` rows. Every (probe block, entry block) pair
-of a tenant becomes one cogroup task that computes a NumPy distance matrix
-and emits only the best admissible entry per probe. Pairs are never
-materialised as rows and no candidate list is capped, so the result equals a
-brute-force scan; a hot tenant simply has more block pairs, each bounded.
-A final ``min_by`` per probe picks the winner across blocks.
+Exact and distributed. The cache is a ring of the newest 5000 entries shared
+by all tenants (W13), so a probe can only match entries of its tenant inside
+two ring-sized sequence blocks. Each (ring block, tenant, probe sub-block) is
+one cogroup task that computes a NumPy distance matrix and emits only the best
+admissible entry per probe: pairs are never materialised as rows, no
+candidate list is capped, the result equals a brute-force scan, and the work
+grows linearly with the probes. A final ``min_by`` per probe picks the winner
+across the two blocks.
 """
 
 from __future__ import annotations
@@ -60,7 +61,10 @@ def _best_in_block(probes: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
     thr = np.where(probes["short"].to_numpy(dtype=bool), SHORT_THRESHOLD, LONG_THRESHOLD)
     ok = (~mismatch) & (dist < thr[:, None])
     if "max_seq" in probes and "seq" in entries:
-        ok &= entries["seq"].to_numpy()[None, :] > (probes["max_seq"].to_numpy()[:, None] - RING_SIZE)
+        es, ps = entries["seq"].to_numpy()[None, :], probes["max_seq"].to_numpy()[:, None]
+        ok &= (es > ps - RING_SIZE) & (es <= ps)
+    if "tenant" in probes and "tenant" in entries:
+        ok &= probes["tenant"].to_numpy(dtype=object)[:, None] == entries["tenant"].to_numpy(dtype=object)[None, :]
     masked = np.where(ok, dist, np.inf)
     # ties broken by the smaller entry id
     order = np.argsort(entries["vec_id"].to_numpy(), kind="stable")
@@ -73,25 +77,23 @@ def _best_in_block(probes: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
                          "vec_id": vec_ids[hit].astype("int64"), "distance": best[hit]})
 
 
-def nearest(probes: DataFrame, entries: DataFrame, block: int = 2048) -> DataFrame:
-    """probes(tenant, probe_id, vec, intent, short[, max_seq]); entries(tenant, vec_id, vec, intent[, seq]).
-
-    Returns (probe_id, vec_id, distance) of the best admissible entry, probes without a hit omitted.
-    """
-    pc = probes.groupBy("tenant").agg(F.count(F.lit(1)).alias("_np"))
-    ec = entries.groupBy("tenant").agg(F.count(F.lit(1)).alias("_ne"))
-    nb = pc.join(ec, "tenant").select("tenant", F.ceil(F.col("_np") / block).cast("int").alias("_nbp"),
-                                      F.ceil(F.col("_ne") / block).cast("int").alias("_nbe"))
-    # per-tenant block counts: one row per tenant, AQE broadcasts it when small
-    p = (probes.join(nb, "tenant")
-         .withColumn("pb", F.pmod(F.xxhash64("probe_id"), F.col("_nbp")).cast("int"))
-         .withColumn("eb", F.explode(F.sequence(F.lit(0), F.col("_nbe") - 1)))
-         .drop("_nbp", "_nbe"))
-    e = (entries.join(nb, "tenant")
-         .withColumn("eb", F.pmod(F.xxhash64("vec_id"), F.col("_nbe")).cast("int"))
-         .withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("_nbp") - 1)))
-         .drop("_nbp", "_nbe"))
-    pairs = (p.groupBy("tenant", "pb", "eb").cogroup(e.groupBy("tenant", "pb", "eb"))
+def nearest_in_ring(probes: DataFrame, entries: DataFrame, ring: int = RING_SIZE, block: int = 2048) -> DataFrame:
+    """Exact top-1 within the shared recency ring (W13): a probe at sequence s
+    sees only entries with s - ring < seq <= s, i.e. entry blocks
+    ``floor(seq / ring)`` b - 1 and b. Each probe is copied to those two blocks;
+    probes of one block are split into sub-blocks of <= ``block`` rows and the
+    block's entries of that tenant (<= ring rows) are copied once per
+    sub-block. Work is linear in the number of probes; the exact ring bounds
+    are a mask inside the NumPy block."""
+    e = entries.withColumn("eb", F.floor(F.col("seq") / ring).cast("bigint"))
+    b = F.floor(F.col("max_seq") / ring).cast("bigint")
+    p = probes.withColumn("eb", F.explode(F.array(b - 1, b)))
+    # a probe only matches its own tenant: (ring block, tenant) is the unit of work
+    keys = ["eb", "tenant"]
+    nsub = p.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_ns"))
+    p = p.join(nsub, keys).withColumn("ps", F.pmod(F.xxhash64("probe_id"), F.col("_ns")).cast("int")).drop("_ns")
+    e = (e.join(nsub, keys).withColumn("ps", F.explode(F.sequence(F.lit(0), F.col("_ns") - 1))).drop("_ns"))
+    pairs = (p.groupBy(*keys, "ps").cogroup(e.groupBy(*keys, "ps"))
              .applyInPandas(_best_in_block, "probe_id long, vec_id long, distance double"))
     return (pairs.groupBy("probe_id")
             .agg(F.min_by(F.struct("distance", "vec_id"), F.struct("distance", "vec_id")).alias("b"))

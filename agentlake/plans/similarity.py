@@ -109,7 +109,7 @@ pairs AS (
                       * sqrt(list_dot_product(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)),
                                               list_transform(e.embedding, lambda x: CAST(x AS DOUBLE))))) END AS d,
          p.short, p.it AS pit, e.it AS eit
-  FROM probes p JOIN intent e ON e.label = p.label AND e.vec_id > p.probe_id - 5000
+  FROM probes p JOIN intent e ON e.label = p.label AND e.vec_id > p.probe_id - 5000 AND e.vec_id <= p.probe_id
 )
 """
 
@@ -122,7 +122,7 @@ GROUP BY probe_id
 """)
 def semantic_match(spark, sf_dir):
     entries, probes = _entries_probes(spark, sf_dir)
-    m = S.nearest(probes, entries)
+    m = S.nearest_in_ring(probes, entries)
     return m.select("probe_id", "vec_id", F.round("distance", 6).alias("distance"))
 
 
@@ -136,8 +136,8 @@ WHERE NOT (pit IS NOT NULL AND eit IS NOT NULL AND pit <> eit)
 def semantic_match_l2(spark, sf_dir):
     """Second tier — retrieval ignores intent, then a mismatching top-1 is a miss."""
     entries, probes = _entries_probes(spark, sf_dir)
-    m = S.nearest(probes.withColumn("intent", F.lit(None).cast("string")),
-                  entries.withColumn("intent", F.lit(None).cast("string")))
+    m = S.nearest_in_ring(probes.withColumn("intent", F.lit(None).cast("string")),
+                          entries.withColumn("intent", F.lit(None).cast("string")))
     pi = probes.select("probe_id", F.col("intent").alias("pit"))
     ei = entries.select("vec_id", F.col("intent").alias("eit"))
     j = m.join(pi, "probe_id").join(ei, "vec_id")

@@ -46,8 +46,11 @@ def rate_limit(spark, sf_dir):
     # Fixed 60 s windows; the window partition is (tenant, model, minute),
     # bounded by one minute of one key's traffic.
     r = rate_capacity(spark, V.requests(spark, sf_dir).select("event_id", "tenant_id", "model", "sec"))
-    w = Window.partitionBy("tenant_id", "model", F.floor(F.col("sec") / 60)).orderBy("sec", "event_id")
-    r = r.withColumn("n_in_window", F.row_number().over(w))
+    # position inside the (tenant, model, minute) window as a bin-local running
+    # count over 1 s bins: no task holds more than one second of one key
+    r = r.withColumn("minute", F.floor(F.col("sec") / 60)).withColumn("one", F.lit(1).cast("bigint"))
+    r = ordered.running_sums(r, ["tenant_id", "model", "minute"], "sec", "event_id", ["one"], 1)
+    r = r.withColumn("n_in_window", F.col("one_running").cast("int"))
     return r.select("event_id", "tenant_id", "model", "capacity", "n_in_window",
                     ((F.col("capacity") > 0) & (F.col("n_in_window") > F.col("capacity"))).alias("blocked"))
 
@@ -57,9 +60,11 @@ SELECT event_id, op, row_number() OVER (PARTITION BY op ORDER BY claim_sec, even
 FROM v_attempts
 """)
 def attempt_sequence(spark, sf_dir):
-    a = V.attempts(spark, sf_dir)
-    w = Window.partitionBy("op").orderBy("claim_sec", "event_id")
-    return a.select("event_id", "op", F.row_number().over(w).alias("attempt"))
+    a = V.attempts(spark, sf_dir).select("event_id", "op", "claim_sec").withColumn("one", F.lit(1).cast("bigint"))
+    # attempt number = running count per operation, bin-local (a retry storm on
+    # one operation key is spread over its time bins)
+    a = ordered.running_sums(a, ["op"], "claim_sec", "event_id", ["one"], 3600)
+    return a.select("event_id", "op", F.col("one_running").cast("int").alias("attempt"))
 
 
 @query("breaker_intervals", sql="""

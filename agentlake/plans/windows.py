@@ -19,6 +19,8 @@ EMA_ALPHA = 0.3
 RANKING_STALE_SEC = 30
 MAX_RANKED_PROVIDERS = 64
 TICK_SEC = 60
+# Bin width of the bin-local windows: one task holds at most one bin of one key.
+BIN_SEC = 60
 
 
 def rate_capacity(spark, requests):
@@ -63,7 +65,7 @@ def attempt_sequence(spark, sf_dir):
     a = V.attempts(spark, sf_dir).select("event_id", "op", "claim_sec").withColumn("one", F.lit(1).cast("bigint"))
     # attempt number = running count per operation, bin-local (a retry storm on
     # one operation key is spread over its time bins)
-    a = ordered.running_sums(a, ["op"], "claim_sec", "event_id", ["one"], 3600)
+    a = ordered.running_sums(a, ["op"], "claim_sec", "event_id", ["one"], BIN_SEC)
     return a.select("event_id", "op", F.col("one_running").cast("int").alias("attempt"))
 
 
@@ -93,8 +95,8 @@ FROM v_requests WINDOW w AS (PARTITION BY session_id ORDER BY sec, event_id)
 def session_timeline(spark, sf_dir):
     r = V.requests(spark, sf_dir).select("event_id", "session_id", "sec", "total_tokens")
     r = r.withColumn("one", F.lit(1).cast("bigint"))
-    r = ordered.running_sums(r, ["session_id"], "sec", "event_id", ["one", "total_tokens"], 3600)
-    r = ordered.previous_value(r, ["session_id"], "sec", "event_id", "sec", "prev_sec", 3600)
+    r = ordered.running_sums(r, ["session_id"], "sec", "event_id", ["one", "total_tokens"], BIN_SEC)
+    r = ordered.previous_value(r, ["session_id"], "sec", "event_id", "sec", "prev_sec", BIN_SEC)
     return r.select("event_id", "session_id", F.col("one_running").cast("bigint").alias("turn"),
                     (F.col("sec") - F.col("prev_sec")).alias("gap_sec"),
                     F.col("total_tokens_running").cast("bigint").alias("running_tokens"))

@@ -76,7 +76,7 @@ def requests(spark: SparkSession, sf_dir: str, with_parent: bool = False) -> Dat
         # Lineage edge: previous request of the same user, unless k % 3 == 0.
         # Bin-local lag: no window spans a whole user.
         from agentlake.operators.ordered import previous_value
-        df = previous_value(df, ["user_id"], "sec", "event_id", "trace_id", "_prev_trace", 3600)
+        df = previous_value(df, ["user_id"], "sec", "event_id", "trace_id", "_prev_trace", 60)
         df = df.withColumn("parent_trace_id", F.when(k % 3 != 0, F.col("_prev_trace"))).drop("_prev_trace")
     return df
 

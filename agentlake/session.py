@@ -54,11 +54,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     (local tests) a scratch folder is created and registered.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir() or None
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the checkpoint dir
+        sc = None
+    if not current and sc is not None:
+        current = sc.getCheckpointDir() or None
     if not current:
         current = tempfile.mkdtemp(prefix="agentlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(current)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
     return current

@@ -40,10 +40,12 @@ def spread(df: DataFrame) -> DataFrame:
     Arrow UDFs) would run on those cores only. Only then is a round-robin
     repartition to the session's parallelism added; a large table already has
     far more splits than cores and is left untouched (no extra shuffle)."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        narrow = df.rdd.getNumPartitions() < par
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no RDD API
+        return df
+    return df.repartition(par) if narrow else df
 
 
 def memo(fn):

@@ -30,7 +30,7 @@ def target_order(spark, sf_dir):
     from agentlake.operators import routing as R
     rt = R.routing(spark).filter(F.col("position").isNotNull())
     w = Window.partitionBy("tenant_id", "model").orderBy("priority", "position")
-    ranked = rt.withColumn("target_rank", F.row_number().over(w))
+    ranked = rt.withColumn("target_rank", F.row_number().over(w).cast("bigint"))
     cand = R.candidates(spark, _resolved(spark, sf_dir)).select(
         F.col("map_tenant").alias("tenant_id"), F.col("route_model").alias("model"), "position", "event_id")
     return (ranked.join(cand, ["tenant_id", "model", "position"], "left")

@@ -325,7 +325,7 @@ def audit_topn(spark, sf_dir):
     """T-3: newest 50 audit records per tenant (per-partition group limit before the shuffle)."""
     a = audit_records(spark, sf_dir)
     w = Window.partitionBy("tenant_id").orderBy(F.desc("sec"), F.desc("event_id"))
-    return (a.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 50)
+    return (a.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= 50)
             .select("tenant_id", "event_id", "action", "rank"))
 
 

@@ -78,7 +78,7 @@ def _chain(spark, sf_dir):
     iv = R.breaker_intervals(spark, res)
     h = R.healthy(spark, cand, iv)
     w = Window.partitionBy("event_id").orderBy("priority", "position")
-    return (h.withColumn("target_rank", F.row_number().over(w))
+    return (h.withColumn("target_rank", F.row_number().over(w).cast("bigint"))
             .withColumn("n_healthy", F.count(F.lit(1)).over(Window.partitionBy("event_id"))))
 
 

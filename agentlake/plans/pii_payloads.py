@@ -136,5 +136,5 @@ def redact_payloads(spark, sf_dir):
     user = F.coalesce(_get(v, "$.messages[0].content[0].text", "string"), _get(v, "$.messages[1].content", "string"),
                       _get(v, "$.contents[0].parts[0].text", "string"))
     mx = F.coalesce(_get(v, "$.max_tokens", "bigint"), _get(v, "$.generationConfig.maxOutputTokens", "bigint"))
-    n = F.size(F.split("out", r"\[REDACTED_PII\]", -1)) - 1
+    n = (F.size(F.split("out", r"\[REDACTED_PII\]", -1)) - 1).cast("bigint")
     return r.select("payload_id", "redacted", n.alias("redactions"), user.alias("user_text"), mx.alias("max_tokens"))

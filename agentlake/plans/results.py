@@ -169,4 +169,4 @@ UNION ALL SELECT stream_id, max(seq) * 2 + 2, 'data: [DONE]' FROM s GROUP BY str
 """)
 def unify_chunk(spark, sf_dir):
     e = raw_anthropic_events(spark, sf_dir)
-    return e.select("stream_id", "seq", unify_anthropic_chunk(F.col("line")).alias("unified"))
+    return e.select("stream_id", F.col("seq").cast("bigint").alias("seq"), unify_anthropic_chunk(F.col("line")).alias("unified"))

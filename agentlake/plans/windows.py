@@ -52,7 +52,7 @@ def rate_limit(spark, sf_dir):
     # count over 1 s bins: no task holds more than one second of one key
     r = r.withColumn("minute", F.floor(F.col("sec") / 60)).withColumn("one", F.lit(1).cast("bigint"))
     r = ordered.running_sums(r, ["tenant_id", "model", "minute"], "sec", "event_id", ["one"], 1)
-    r = r.withColumn("n_in_window", F.col("one_running").cast("int"))
+    r = r.withColumn("n_in_window", F.col("one_running").cast("bigint"))
     return r.select("event_id", "tenant_id", "model", "capacity", "n_in_window",
                     ((F.col("capacity") > 0) & (F.col("n_in_window") > F.col("capacity"))).alias("blocked"))
 
@@ -66,7 +66,7 @@ def attempt_sequence(spark, sf_dir):
     # attempt number = running count per operation, bin-local (a retry storm on
     # one operation key is spread over its time bins)
     a = ordered.running_sums(a, ["op"], "claim_sec", "event_id", ["one"], BIN_SEC)
-    return a.select("event_id", "op", F.col("one_running").cast("int").alias("attempt"))
+    return a.select("event_id", "op", F.col("one_running").cast("bigint").alias("attempt"))
 
 
 @query("breaker_intervals", sql="""
@@ -170,7 +170,7 @@ def provider_ranking(spark, sf_dir):
             .withColumn("priority", F.coalesce("priority", F.lit(1000)))
             .withColumn("stale", F.col("tick") * TICK_SEC < F.max("tick").over(g) * TICK_SEC - RANKING_STALE_SEC))
     w = Window.partitionBy(F.lit(0)).orderBy("stale", F.when(~F.col("stale"), F.col("ema")), "priority", "provider")
-    return (flag.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= MAX_RANKED_PROVIDERS)
+    return (flag.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= MAX_RANKED_PROVIDERS)
             .select("provider", F.round("ema", 6).alias("ema"), "stale", "rank"))
 
 
@@ -217,5 +217,5 @@ def traces_topn(spark, sf_dir):
     # before the shuffle, so a hot session ships at most 50 rows per task.
     r = V.requests(spark, sf_dir).select("session_id", "trace_id", "sec", "event_id")
     w = Window.partitionBy("session_id").orderBy(F.desc("sec"), F.desc("event_id"))
-    return (r.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 50)
+    return (r.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= 50)
             .select("session_id", "trace_id", "sec", "rank"))

@@ -11,6 +11,14 @@ SF = "/root/testdata/sf0.001"
 KEYS = sorted(k for k, q in load_all().items() if q.sql)
 
 
+def _duck_name(t):
+    s = t.simpleString()
+    if s.startswith("decimal"):
+        return "DECIMAL" + s[7:].replace(" ", "")
+    return {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN",
+            "double": "DOUBLE", "float": "FLOAT", "smallint": "SMALLINT"}.get(s, s.upper())
+
+
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
@@ -28,6 +36,9 @@ def test_matches_oracle(spark, con, key):
     dcols = [d[0] for d in cur.description]
     drows = cur.fetchall()
     assert sorted(sdf.columns) == sorted(dcols)
+    dtypes = dict(zip(dcols, [str(t).upper().replace(" ", "") for t in con.sql(with_views(q.sql)).types]))
+    stypes = {f.name: _duck_name(f.dataType) for f in sdf.schema.fields}
+    assert stypes == dtypes
     assert len(srows) == len(drows)
     assert digest(sdf.columns, srows)[0] == digest(dcols, drows)[0]
 

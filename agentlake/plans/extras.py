@@ -10,7 +10,7 @@ from agentlake.functions import identity as I
 from agentlake.operators import responses as RS
 from agentlake.plans import identity as ID
 from agentlake.plans import windows as W
-from agentlake.plans.joins import _RESOLVE_SQL, _chain, _resolved
+from agentlake.plans.joins import _RESOLVE_SQL, _resolved
 from agentlake.plans.registry import query
 from agentlake.sources import views as V
 from agentlake.sources.responses import responses

@@ -10,10 +10,8 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from agentlake.operators import billing as B
 from agentlake.operators.dims import bounded
 from agentlake.operators.folds import run_fold, segment
-from agentlake.plans import oracle_views as OV
 from agentlake.plans.registry import query
 from agentlake.sources import dimensions as D
 from agentlake.sources import views as V
@@ -337,4 +335,3 @@ def _patch():
 
 
 _patch()
-del OV

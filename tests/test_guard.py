@@ -1,6 +1,5 @@
 """Guardian golden scenarios (loop / storm) and loop-signature equivalences."""
 
-from pyspark.sql import functions as F
 
 from agentlake.functions.jsonsig import signature_text
 from agentlake.operators.folds import GuardState, guard_step, guardian_replay

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agentlake.functions.classify import is_read_only
-from agentlake.operators.folds import run_fold
+from agentlake.operators.folds import run_fold, segment
 
 # Lease on a claim, caller timeout, entry TTL since last write (seconds).
 LEASE_SEC = 10
@@ -137,13 +137,13 @@ def make_fold(live_caller: bool):
         cur, ks = None, KeyState()
         for pdf in it:
             rows: list = []
-            for key, ev, t, delay, outcome, ro, ledger in zip(
-                    pdf["idempotency_key"], pdf["event_id"], pdf["claim_sec"], pdf["delay_sec"],
+            for key, seg, ev, t, delay, outcome, ro, ledger in zip(
+                    pdf["idempotency_key"], pdf["_seg"], pdf["event_id"], pdf["claim_sec"], pdf["delay_sec"],
                     pdf["outcome"], pdf["read_only"], pdf["ledger"]):
-                if key != cur:
+                if (key, seg) != cur:
                     if cur is not None:
-                        _drain(ks, cur, None, rows)
-                    cur, ks = key, KeyState()
+                        _drain(ks, cur[0], None, rows)
+                    cur, ks = (key, seg), KeyState()
                 t = int(t)
                 # pending events strictly before, or at the same time (they sort before claims)
                 _drain(ks, key, t, rows)
@@ -156,7 +156,7 @@ def make_fold(live_caller: bool):
                                               "version", "state"])
         if cur is not None:
             rows = []
-            _drain(ks, cur, None, rows)
+            _drain(ks, cur[0], None, rows)
             yield pd.DataFrame(rows, columns=["event_id", "idempotency_key", "kind", "at_sec", "decision",
                                               "version", "state"])
     return fold
@@ -175,4 +175,9 @@ def replay(attempts: DataFrame, live_caller: bool = True) -> DataFrame:
     """Attempts (idempotency_key, event_id, claim_sec, delay_sec, outcome, tool_name, ledger)."""
     a = attempts.select("idempotency_key", "event_id", "claim_sec", "delay_sec", "outcome",
                         is_read_only(F.col("tool_name")).alias("read_only"), "ledger")
-    return run_fold(a, ["idempotency_key"], ["claim_sec", "event_id"], make_fold(live_caller), REPLAY_OUT)
+    # A key's state is empty again once every earlier claim's last possible write
+    # (its completion or caller timeout) is an entry TTL in the past: split there.
+    last_write = F.col("claim_sec") + F.greatest(F.col("delay_sec"), F.lit(CALLER_TIMEOUT_SEC))
+    a = a.withColumn("_end", last_write + ENTRY_TTL_SEC)
+    a = segment(a, ["idempotency_key"], "claim_sec", CALLER_TIMEOUT_SEC, end="_end").drop("_end")
+    return run_fold(a, ["idempotency_key", "_seg"], ["claim_sec", "event_id"], make_fold(live_caller), REPLAY_OUT)

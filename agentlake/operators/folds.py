@@ -7,9 +7,11 @@ not the rows of one key. The streaming driver (``agentlake.streaming``) calls
 the same step functions from ``transformWithStateInPandas``, so batch replay
 and streaming agree by construction.
 
-Segments: a key's events are split wherever the gap to the previous event is
-at least the state TTL. All state of the key has expired across such a gap,
-so segments are independent and a hot key spreads over many tasks.
+Segments: a key's events are split wherever all state earlier events could
+have written has provably expired (for the guardian: a quiet gap of at least
+the TTL; for the execution replay: every earlier claim's last possible write
+is a TTL in the past). Segments are independent, so a hot key spreads over
+many tasks; a key with uninterrupted traffic stays one (serial) segment.
 """
 
 from __future__ import annotations
@@ -26,16 +28,23 @@ MAX_IDENTICAL_TOOL_CALLS = 5
 GUARD_TTL_SEC = 60
 
 
-def segment(df: DataFrame, keys: list[str], ts: str, gap: int, out: str = "_seg") -> DataFrame:
-    """Add a segment id: increments where an event follows the previous event
-    of its key by ``gap`` or more. Computed on per-(key, bin) min/max, so no
-    window ever spans a whole key."""
+def segment(df: DataFrame, keys: list[str], ts: str, gap: int, out: str = "_seg",
+            end: str | None = None) -> DataFrame:
+    """Add a segment id per key: a new segment starts at an event that comes
+    no earlier than every earlier event's ``end`` (default ``ts + gap``), i.e.
+    where all state the earlier events could have written has expired.
+
+    Computed on per-(key, bin) aggregates with bins of ``gap`` seconds: every
+    event's end is at least ``gap`` after it, so earlier events of the same
+    bin always overlap a later one and boundaries can only fall on a bin's
+    first event. No window ever spans a whole key's rows."""
     b = "_sbin"
+    end_col = F.col(end) if end else F.col(ts) + gap
     binned = df.withColumn(b, F.floor(F.col(ts) / gap).cast("bigint"))
-    per_bin = binned.groupBy(*keys, b).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+    per_bin = binned.groupBy(*keys, b).agg(F.min(ts).alias("_lo"), F.max(end_col).alias("_hi"))
     wb = Window.partitionBy(*keys).orderBy(b)
-    prev_hi = F.lag("_hi").over(wb)
-    flags = per_bin.select(*keys, b, F.when(prev_hi.isNull() | (F.col("_lo") - prev_hi >= gap), 1)
+    prev_end = F.max("_hi").over(wb.rowsBetween(Window.unboundedPreceding, -1))
+    flags = per_bin.select(*keys, b, F.when(prev_end.isNull() | (F.col("_lo") >= prev_end), 1)
                            .otherwise(0).alias("_new"))
     segs = flags.select(*keys, b, F.sum("_new").over(wb.rowsBetween(Window.unboundedPreceding, 0))
                         .cast("bigint").alias(out))

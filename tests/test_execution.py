@@ -67,3 +67,17 @@ def test_herd_of_duplicates_single_execution(spark):
     got = {r["decision"]: r["count"] for r in out}
     assert got["new_claim"] == 1 and "reclaim_after_failed" not in got
     assert got["already_in_flight"] + got["replayed_result"] == 19
+
+
+def test_segments_split_only_at_provable_resets(spark):
+    from pyspark.sql import functions as F
+
+    from agentlake.operators.folds import segment
+    rows = [("k", 0, 3), ("k", 4, 14), ("k", 318, 0), ("k", 330, 2), ("k", 700, 0)]
+    df = spark.createDataFrame(rows, "idempotency_key string, claim_sec long, delay_sec long")
+    df = df.withColumn("_end", F.col("claim_sec") + F.greatest("delay_sec", F.lit(5)) + 300)
+    segs = [r["_seg"] for r in segment(df, ["idempotency_key"], "claim_sec", 5, end="_end")
+            .orderBy("claim_sec").collect()]
+    # claim 4 may write until 18, so its state lives until 318: 318 starts a new segment;
+    # 330 overlaps 318; 700 >= 330 + 5 + 300 starts another one
+    assert segs == [1, 1, 2, 2, 3]

@@ -75,3 +75,12 @@ def test_openai_response_error_voids_all_calls(spark):
                                "response_id long, body string")
     rows = RS.response_tool_calls(df, "openai").collect()
     assert [(r["response_id"], r["tool_name"], r["arguments"]) for r in rows] == [(0, "f", '{"a":1}')]
+
+
+def test_has_tools_byte_window(spark):
+    inside = '{"a":"' + "x" * (16384 - 6 - 14) + '","tool_calls":[]}'     # key ends at byte 16384
+    outside = '{"a":"' + "x" * (16384 - 6 - 13) + '","tool_calls":[]}'    # key ends at byte 16385
+    multibyte = '{"a":"' + "é" * 8200 + '","tools":[]}'                   # 16400 bytes before the key
+    df = spark.createDataFrame([(0, inside), (1, outside), (2, multibyte)], "payload_id long, body string")
+    got = {r["payload_id"]: r["h"] for r in df.select("payload_id", PL.has_tools(F.col("body")).alias("h")).collect()}
+    assert got == {0: True, 1: False, 2: False}

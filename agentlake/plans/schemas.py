@@ -11,13 +11,56 @@ from agentlake.sources.payloads import payloads
 from agentlake.sources.tables import read
 
 
-@query("hash_embed")
+# Oracle: FNV-1a recomputed in SQL over the UTF-8 bytes of each ASCII-lowercased
+# alphabetic token (a recursive CTE per token), bucketed mod 128.
+_FNV_SQL = r"""
+WITH RECURSIVE a AS (
+  SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'
+), tok AS (
+  SELECT conv_id, turn, unnest(regexp_split_to_array(text, '[^\pL]+')) AS w FROM a
+), tk AS (
+  SELECT conv_id, turn, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w,
+         row_number() OVER () AS tid
+  FROM tok WHERE w <> ''
+), chars AS (
+  SELECT tid, unnest(range(1, length(w) + 1)) AS cpos, w FROM tk
+), cps AS (
+  SELECT tid, cpos, unicode(substring(w, cpos, 1)) AS cp FROM chars
+), bytes AS (
+  SELECT tid, cpos, unnest(CASE WHEN cp < 128 THEN [cp]
+                               WHEN cp < 2048 THEN [192 | (cp >> 6), 128 | (cp & 63)]
+                               WHEN cp < 65536 THEN [224 | (cp >> 12), 128 | ((cp >> 6) & 63), 128 | (cp & 63)]
+                               ELSE [240 | (cp >> 18), 128 | ((cp >> 12) & 63), 128 | ((cp >> 6) & 63), 128 | (cp & 63)] END) AS b,
+         unnest(range(1, 5)) AS k
+  FROM cps
+), bseq AS (
+  SELECT tid, b, row_number() OVER (PARTITION BY tid ORDER BY cpos, k) AS n FROM bytes WHERE b IS NOT NULL
+), h(tid, n, h) AS (
+  SELECT tid, 0, CAST(14695981039346656037 AS UHUGEINT) FROM tk
+  UNION ALL
+  SELECT h.tid, h.n + 1,
+         ((CAST(xor(CAST(h.h AS UBIGINT), CAST(bseq.b AS UBIGINT)) AS UHUGEINT) * CAST(1099511628211 AS UHUGEINT))
+           % CAST(18446744073709551616 AS UHUGEINT))
+  FROM h JOIN bseq ON bseq.tid = h.tid AND bseq.n = h.n + 1
+), fin AS (
+  SELECT tid, arg_max(h, n) AS h FROM h GROUP BY tid
+), counts AS (
+  SELECT tk.conv_id, tk.turn, CAST(fin.h % 128 AS INTEGER) AS bucket, count(*) AS c
+  FROM tk JOIN fin USING (tid) GROUP BY ALL
+)
+SELECT conv_id, turn, CAST(count(*) AS INTEGER) AS buckets,
+       CAST(arg_min(bucket, (-c, bucket)) + 1 AS INTEGER) AS top_bucket
+FROM counts GROUP BY conv_id, turn
+"""
+
+
+@query("hash_embed", sql=_FNV_SQL)
 def hash_embed(spark, sf_dir):
     """X22 (U1): 128-d FNV-1a bag-of-words embedding of every assistant turn."""
     c = read(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
     e = c.select("conv_id", "turn", TS.hash_embed_udf(F.col("text")).alias("embedding"))
     return e.select("conv_id", "turn", F.size(F.filter("embedding", lambda x: x > 0)).alias("buckets"),
-                    F.array_position("embedding", F.array_max("embedding")).alias("top_bucket"))
+                    F.array_position("embedding", F.array_max("embedding")).cast("int").alias("top_bucket"))
 
 
 @query("schema_requests")

@@ -63,16 +63,21 @@ def hash_embed(spark, sf_dir):
                     F.array_position("embedding", F.array_max("embedding")).cast("int").alias("top_bucket"))
 
 
-@query("schema_requests")
+@query("schema_requests", sql="""
+SELECT DISTINCT conv_id AS payload_id, '' AS requested FROM conversations
+""")
 def schema_requests(spark, sf_dir):
     """Last non-empty assistant text past the keyword gate, cosine >= 0.35
     against each registered tool's embedding of "name summary"."""
     req = TS.make_schema_requests_udf(TOOL_REGISTRY)
     p = payloads(spark, sf_dir)
-    return p.select("payload_id", req(F.col("body")).alias("requested"))
+    return p.select("payload_id", F.array_join(req(F.col("body")), ",").alias("requested"))
 
 
-@query("strip_schema")
+@query("strip_schema", sql="""
+SELECT DISTINCT conv_id AS payload_id, '{"properties":{"turn":{"type":"integer"}},"type":"object"}' AS stripped
+FROM conversations WHERE conv_id % 2 = 0 AND conv_id % 5 IN (0, 1) AND conv_id % 37 <> 0
+""")
 def strip_schema(spark, sf_dir):
     """X19 (U2): drop description/title/examples at every depth of the request's tool parameters."""
     p = payloads(spark, sf_dir)

@@ -96,7 +96,9 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     model_part = F.when(cid % 41 == 0, F.lit("")).otherwise(F.concat(F.lit('"model":'), _q(model), F.lit(",")))
     tools_part = F.when((cid % 2 == 0) & F.col("fmt").isin(0, 1),
                         F.lit('"tools":[{"type":"function","function":{"name":"tool_0","description":"First tool",'
-                              '"parameters":{"type":"object","properties":{"turn":{"type":"integer"}}}}}],'))\
+                              '"parameters":{"type":"object","title":"Lookup","examples":[{"turn":1}],'
+                              '"properties":{"turn":{"type":"integer","description":"Turn number"},'
+                              '"title":{"type":"string"}}}}}],'))\
         .otherwise(F.lit(""))
     body_main = (F.when(F.col("fmt").isin(0, 1, 4), F.concat(F.lit('"messages":['), msgs, F.lit("]")))
                  .when(F.col("fmt") == 2, F.concat(F.lit('"contents":['), msgs, F.lit("]")))

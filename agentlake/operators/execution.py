@@ -179,5 +179,6 @@ def replay(attempts: DataFrame, live_caller: bool = True) -> DataFrame:
     # (its completion or caller timeout) is an entry TTL in the past: split there.
     last_write = F.col("claim_sec") + F.greatest(F.col("delay_sec"), F.lit(CALLER_TIMEOUT_SEC))
     a = a.withColumn("_end", last_write + ENTRY_TTL_SEC)
-    a = segment(a, ["idempotency_key"], "claim_sec", CALLER_TIMEOUT_SEC, end="_end").drop("_end")
+    # bin width <= (end - claim) for every claim keeps the split exact; the TTL keeps bins coarse
+    a = segment(a, ["idempotency_key"], "claim_sec", ENTRY_TTL_SEC, end="_end").drop("_end")
     return run_fold(a, ["idempotency_key", "_seg"], ["claim_sec", "event_id"], make_fold(live_caller), REPLAY_OUT)

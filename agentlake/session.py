@@ -44,6 +44,7 @@ def build_session(master: str | None = None, app: str = "agentlake",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -66,3 +67,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return current
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``agentlake`` importable in Python workers (pandas UDFs, mapInPandas,
+    cogroups unpickle functions defined here). The package is zipped on the
+    driver and added with ``addPyFile`` — what ``--py-files`` does on a cluster —
+    once per SparkContext."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: ship with spark.addArtifacts instead
+        sc = None
+    if sc is None or getattr(sc, "_agentlake_shipped", False):
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="agentlake-pyfiles-"), "agentlake.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            if "__pycache__" in root:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    sc._agentlake_shipped = True

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlake.llm import chat_format
+from agentlake.llm import chat_format, license_scan, mixing
 from agentlake.llm.common import read
 
 QUERIES: dict = {}
@@ -66,3 +66,41 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
                        F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
+
+
+# -- 8: mixing ------------------------------------------------------------------------------------------------------------
+
+@query(sql=r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+             md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM s),
+c AS (SELECT *, source_size * 2.0::DOUBLE / w AS ratio FROM r),
+l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
+        - coalesce(sum(source_size * 2.0::DOUBLE) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
+line AS (SELECT arg_min(level, ratio) AS line FROM (SELECT * FROM l WHERE ratio >= level ORDER BY ratio, source NULLS LAST LIMIT 1)),
+g AS (SELECT source, source_size, CASE WHEN line IS NULL OR ratio < line THEN source_size * 2.0::DOUBLE ELSE line * w END AS target FROM l, line),
+p AS (SELECT d.*, g.source_size, g.target, CAST(floor(g.target) AS BIGINT) AS goal,
+        CAST(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target,
+  CAST(size * (goal // greatest(source_size, 1)) + least(greatest(goal - (goal // greatest(source_size, 1)) * source_size - start, 0), size) AS BIGINT) AS taken
+FROM p""")
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole corpus mixed, summed up by document."""
+    taken = mixing.mix(read(spark, sf_dir, "documents"), untaken=True)
+    return taken.groupBy("doc_id", "size", "source_size", "target").agg(F.sum("words").alias("taken"))
+
+
+# -- 4: license scans -------------------------------------------------------------------------------------------------------
+
+@query()
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scanned with all rules."""
+    found = license_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    starts = F.transform("base", lambda s: s["start"])
+    joined = lambda *spans: F.array_join(F.array_sort(F.array_distinct(F.transform(F.concat(*spans), lambda s: s["label"]))), ",")
+    return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+                        joined(F.col("base")).alias("base_labels"), joined(F.col("base"), F.col("detections")).alias("labels"),
+                        license_scan.score(F.col("base"), F.col("detections")).alias("score"))

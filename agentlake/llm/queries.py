@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlake.llm import chat_format, license_scan, mixing
+from agentlake.llm import chat_format, license_scan, mixing, quality
 from agentlake.llm.common import read
 
 QUERIES: dict = {}
@@ -104,3 +104,17 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
                         joined(F.col("base")).alias("base_labels"), joined(F.col("base"), F.col("detections")).alias("labels"),
                         license_scan.score(F.col("base"), F.col("detections")).alias("score"))
+
+
+# -- 5: quality classifier --------------------------------------------------------------------------------------------------
+
+def held_out() -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+
+
+@query()
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a model that never saw the labels held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"), allowed=~held_out())
+    return quality.scored(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlake.llm import chat_format, license_scan, mixing, quality
+from agentlake.llm import chat_format, license_scan, mixing, pseudonyms, quality
 from agentlake.llm.common import read
 
 QUERIES: dict = {}
@@ -118,3 +118,16 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, read(spark, sf_dir, "labels"), allowed=~held_out())
     return quality.scored(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+# -- 9: PII -------------------------------------------------------------------------------------------------------------------
+
+#: Stands for the secret that a deployment passes in.
+PII_KEY = b"documents-2024"
+
+
+@query()
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal values replaced."""
+    done = pseudonyms.pseudonymize(read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return done.select("doc_id", "text", F.col("pii_found").alias("n_found"), F.array_join(F.array_sort(F.map_keys("pii_kinds")), ",").alias("kinds"))

@@ -35,3 +35,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def ascii_lower(col):
     """Lower case of A-Z only; every other character stays as it is."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Arrow batches of whole texts: a batch of long ones must fit a Python worker."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def groups_of_bytes(texts, limit: int):
+    """(first index, texts) of runs of texts of about ``limit`` bytes, one text at least."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > limit:
+            yield start, texts[start:i]
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, texts[start:]

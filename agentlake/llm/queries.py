@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlake.llm import chat_format, license_scan, mixing, pseudonyms, quality
+from agentlake.llm import chat_format, decontaminate, license_scan, mixing, pseudonyms, quality
 from agentlake.llm.common import read
 
 QUERIES: dict = {}
@@ -131,3 +131,11 @@ def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal values replaced."""
     done = pseudonyms.pseudonymize(read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
     return done.select("doc_id", "text", F.col("pii_found").alias("n_found"), F.array_join(F.array_sort(F.map_keys("pii_kinds")), ",").alias("kinds"))
+
+
+# -- 3: benchmark decontamination -------------------------------------------------------------------------------------------
+
+@query()
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of a benchmark item in any document: doc_id, item_id, distance, start, stop."""
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

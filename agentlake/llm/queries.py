@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlake.llm import chat_format, decontaminate, license_scan, mixing, pseudonyms, quality
+from agentlake.llm import chat_format, decontaminate, jaccard, license_scan, mixing, pseudonyms, quality
 from agentlake.llm.common import read
 
 QUERIES: dict = {}
@@ -139,3 +139,11 @@ def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place of a benchmark item in any document: doc_id, item_id, distance, start, stop."""
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+# -- 7: n-gram Jaccard join -------------------------------------------------------------------------------------------------
+
+@query()
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles are 85 % alike."""
+    return jaccard.join(read(spark, sf_dir, "documents"), k=4, num=85, den=100)

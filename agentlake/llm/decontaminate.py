@@ -35,10 +35,12 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from agentlake.llm.common import groups_of_bytes, small_batches
 
@@ -214,8 +216,6 @@ class Index:
 def leaks(docs: DataFrame, benchmark: DataFrame, max_rate: float = MAX_RATE, block_items: int = BLOCK_ITEMS, seed: int = SEED) -> DataFrame:
     """doc_id, item_id, distance (edits), start, stop (bytes of the document) for
     every item within ``max_rate`` edits a byte of its length."""
-    spark = docs.sparkSession
-    small_batches(spark)
     schema = "doc_id long, item_id long, distance long, start long, stop long"
 
     def against(index):
@@ -229,14 +229,38 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_rate: float = MAX_RATE, blo
                     yield pd.DataFrame(out, columns=["doc_id", "item_id", "distance", "start", "stop"])
         return docs.select("doc_id", "text").mapInPandas(run, schema)
 
-    out, block = None, []
+    found = [against(index) for index in _indexes(docs, benchmark, max_rate, block_items, seed)]
+    return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], schema)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, max_rate: float = MAX_RATE, block_items: int = BLOCK_ITEMS, seed: int = SEED) -> DataFrame:
+    """The rows in which no item is found, with all their columns: a row-local filter."""
+    for index in _indexes(docs, benchmark, max_rate, block_items, seed):
+        docs = docs.where(~_leaked(index)(F.coalesce("text", F.lit(""))))
+    return docs
+
+
+def _leaked(index):
+    @F.pandas_udf("boolean")
+    def leaked(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            folded, out = [fold(t) for t in s], np.zeros(len(s), bool)
+            for first, group in groups_of_bytes(folded, GROUP_BYTES):
+                out[[first + d for d, *_ in index.value.find(group)]] = True
+            yield pd.Series(out)
+    return leaked
+
+
+def _indexes(docs: DataFrame, benchmark: DataFrame, max_rate: float, block_items: int, seed: int) -> Iterator:
+    """A broadcast index for each block of items."""
+    spark, block = docs.sparkSession, []
+    small_batches(spark)
     items = benchmark.select("item_id", "text").where("text IS NOT NULL AND text <> '' AND item_id IS NOT NULL").orderBy("item_id", "text")
     for last, r in _with_last(items.toLocalIterator()):
         block.append((r["item_id"], fold(r["text"])))
         if last or len(block) == block_items:
-            found = against(spark.sparkContext.broadcast(Index(block, max_rate, seed)))
-            out, block = found if out is None else out.unionAll(found), []
-    return spark.createDataFrame([], schema) if out is None else out
+            yield spark.sparkContext.broadcast(Index(block, max_rate, seed))
+            block = []
 
 
 def _with_last(rows):

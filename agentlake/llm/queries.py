@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlake.llm import chat_format, decontaminate, jaccard, license_scan, mixing, pseudonyms, quality
+from agentlake.llm import chat_format, decontaminate, jaccard, license_scan, mixing, pseudonyms, quality, topk
 from agentlake.llm.common import read
 
 QUERIES: dict = {}
@@ -147,3 +147,18 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles are 85 % alike."""
     return jaccard.join(read(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+# -- 6: exact top-k search ----------------------------------------------------------------------------------------------------
+
+@query(sql="""
+WITH v AS (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(a.q, b.q)]) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best of all other vectors for every hundredth."""
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.quantised(F.col("embedding"), 1024).alias("vec"))
+    return topk.top_k(rows.where("id % 100 = 0"), rows, 10)

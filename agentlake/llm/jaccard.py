@@ -201,29 +201,43 @@ def _by_key(frames: Iterator[pd.DataFrame], key: str) -> Iterator[tuple]:
 
 def block_links(ids: list[int], sets: list[np.ndarray], left: list[bool], right: list[bool], num: int, den: int) -> list[tuple[int, int]]:
     """Links between the left and the right documents of a block, as a spanning
-    forest: a document is not compared with what it is linked to already."""
+    forest: a document is not compared with what it is linked to already, nor
+    with what size or sketch rules out."""
     if len(ids) < 2:
         return []
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sets = [sets[i] for i in order]
+    ids, left, right = np.array(ids)[order], np.array(left)[order], np.array(right)[order]
     sizes = np.array([len(s) for s in sets])
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
     ends = np.concatenate([[0], np.cumsum(sizes)])
-    root = np.arange(len(ids))
-    seen = np.zeros(int(codes.max(initial=-1)) + 1, np.int32)
-    r_ok = np.array(right)
+    sketches = np.frombuffer(b"".join(sketch(s) for s in sets), np.uint8).reshape(-1, 128).astype(np.int16)
+    root, seen = np.arange(len(ids)), np.zeros(int(codes.max(initial=-1)) + 1, np.int32)
+    floor, ceil = np.searchsorted(den * sizes, num * sizes, "left"), np.searchsorted(num * sizes, den * sizes, "right")
     out = []
     for i in range(len(ids)):
-        if not left[i]:
+        # a pair is met from the left document, or from the first if both are on both sides
+        lo = i + 1 if right[i] and left.all() and right.all() else int(floor[i])
+        if not left[i] or lo >= ceil[i]:
             continue
-        open_ = r_ok & (root != root[i]) & (den * np.minimum(sizes, sizes[i]) >= num * np.maximum(sizes, sizes[i]))
-        if not open_.any():
+        near = np.arange(lo, ceil[i])
+        near = near[right[near] & (root[near] != root[i])]
+        if not len(near):
             continue
-        own = codes[ends[i]:ends[i + 1]]
-        seen[own] = 1
-        shared = np.add.reduceat(seen[codes], ends[:-1])
-        seen[own] = 0
-        for j in np.flatnonzero(open_ & (den * shared >= num * (sizes + sizes[i] - shared))):
+        apart = np.abs(sketches[near] - sketches[i]).sum(axis=1, dtype=np.int64)
+        near = near[apart * (den + num) <= (den - num) * (sizes[near] + sizes[i])]
+        if not len(near):
+            continue
+        seen[codes[ends[i]:ends[i + 1]]] = 1
+        if len(near) > 8:
+            a, z = near[0], near[-1]
+            shared = np.add.reduceat(seen[codes[ends[a]:ends[z + 1]]], ends[a:z + 1] - ends[a])[near - a]
+        else:
+            shared = np.array([seen[codes[ends[j]:ends[j + 1]]].sum() for j in near])
+        seen[codes[ends[i]:ends[i + 1]]] = 0
+        for j in near[den * shared >= num * (sizes[near] + sizes[i] - shared)]:
             if root[i] != root[j]:
-                out.append((ids[i], ids[j]))
+                out.append((int(ids[i]), int(ids[j])))
                 root[root == root[j]] = root[i]
     return out
 
@@ -289,7 +303,7 @@ def postings(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray)
     return docs.select("text").mapInPandas(run, "sig long, a long")
 
 
-def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, small: int = 8, block_shingles: int = 1 << 21) -> DataFrame:
+def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, small: int = 8, block_shingles: int = 1 << 22) -> DataFrame:
     """doc_id, n_shingles, component_id for links of Jaccard similarity >= num / den.
 
     Index lists of up to ``small`` sets give their pairs, longer ones a star;
@@ -321,29 +335,60 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, small: int
     star = hot.join(side(1).drop("sketch1", "n1"), "a1").join(side(2).drop("sketch2", "n2"), "a2")
     ends = [F.col("node1").alias("u"), F.col("node2").alias("v")]
     groups = components(near.select(*ends).unionAll(star.select(*ends)))
-    size = nodes.select("node", "n").join(groups, "node").groupBy("component").agg(F.sum("n").alias("total"))
-    groups = stored(groups.join(size.select("component", F.ceil(F.col("total") / block_shingles).alias("blocks")), "component"), "groups")
+    groups = stored(_placed(groups.join(nodes.select("node", "n"), "node"), bands(num, den, 1 << 40), block_shingles), "groups")
 
     links = components(_verified(docs, groups, k, num, den))
     final = nodes.select("a", "b", "node").join(links, "node", "left").select("a", "b", F.coalesce("component", "node").alias("component"))
     return one.join(final, ["a", "b"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _placed(groups: DataFrame, low: np.ndarray, block_shingles: int) -> DataFrame:
+    """(node, component, n) -> node, and meetings: array of (key of the meeting,
+    is left, is right). A group of up to ``block_shingles`` meets as a whole. A
+    larger one is cut by size band and, by hash, into parts of that size; a part
+    meets the parts of its own band and those of the next: links reach no further."""
+    band = F.lit(0)
+    for k in range(1, len(low)):
+        band = band + (F.col("n") >= F.lit(int(low[k]))).cast("int")
+    rows = groups.withColumn("band", band)
+    by_band = rows.groupBy("component", "band").agg(F.sum("n").alias("n_band"))
+    order = Window.partitionBy("component").orderBy("band")
+    parts = by_band.withColumn("parts", F.ceil(F.col("n_band") / block_shingles).cast("int"))
+
+    def beside(side, step: int):
+        return F.when(side("band").over(order) == F.col("band") + step, side("parts").over(order)).otherwise(0)
+
+    parts = parts.withColumn("up", beside(F.lead, 1)).withColumn("down", beside(F.lag, -1)).withColumn("total", F.sum("n_band").over(Window.partitionBy("component")))
+    rows = rows.join(parts.select("component", "band", "parts", "up", "down", "total"), ["component", "band"])
+    me = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+
+    def meeting(b1, p1, b2, p2, left, right):
+        return F.struct(F.concat_ws("/", F.col("component").cast("string"), *[x.cast("string") for x in (b1, p1, b2, p2)]).alias("key"), F.lit(left).alias("left"), F.lit(right).alias("right"))
+
+    def each(count, make):
+        return F.when(F.col(count) > 0, F.transform(F.sequence(F.lit(0), F.col(count) - 1), make)).otherwise(F.array().cast("array<struct<key:string,left:boolean,right:boolean>>"))
+
+    b = F.col("band")
+    same = each("parts", lambda j: F.struct(F.concat_ws("/", F.col("component").cast("string"), b.cast("string"), F.least(me, j).cast("string"), b.cast("string"), F.greatest(me, j).cast("string")).alias("key"),
+                                            (me <= j).alias("left"), (me >= j).alias("right")))
+    up = each("up", lambda j: meeting(b, me, b + 1, j, True, False))
+    down = each("down", lambda j: meeting(b - 1, j, b, me, False, True))
+    whole = F.array(F.struct(F.col("component").cast("string").alias("key"), F.lit(True).alias("left"), F.lit(True).alias("right")))
+    return rows.select("node", F.when(F.col("total") <= block_shingles, whole).otherwise(F.concat(same, up, down)).alias("meetings"))
+
+
 def _verified(docs: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The links within groups (node, component, blocks), as edges (u, v)."""
+    """The links found in all meetings, as edges (u, v)."""
     rows = docs.join(groups, F.col("doc_id") == F.col("node")).dropDuplicates(["doc_id"])
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-    # every two blocks of a group meet once; a group of one block is sent once
-    rows = rows.withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("doc_id", "text", F.col("i").alias("own"), F.xxhash64("component", F.least("i", "j"), F.greatest("i", "j")).alias("key"),
-                       "component", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
+    rows = rows.select("doc_id", "text", F.explode("meetings").alias("m")).select("doc_id", "text", "m.*")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sh = Shingler(k)
-        for _, all_rows in _by_key(frames, "key"):
-            for _, pdf in all_rows.groupby(["component", "lo", "hi"], sort=False):
-                found = block_links(pdf["doc_id"].tolist(), sh.sets([t.encode() for t in pdf["text"]]), (pdf["own"] == pdf["lo"]).tolist(), (pdf["own"] == pdf["hi"]).tolist(), num, den)
-                if found:
-                    yield pd.DataFrame(found, columns=["u", "v"])
-
-    return rows.repartition("key").sortWithinPartitions("key", "doc_id").mapInPandas(run, "u long, v long")
+        for _, pdf in _by_key(frames, "key"):
+            found = block_links(pdf["doc_id"].tolist(), sh.sets([t.encode() for t in pdf["text"]]), pdf["left"].tolist(), pdf["right"].tolist(), num, den)
+            if found:
+                yield pd.DataFrame(found, columns=["u", "v"])
+
+    # work goes with the square of a group, not with bytes: as many tasks as the session has partitions
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInPandas(run, "u long, v long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlake.llm import chat_format, decontaminate, jaccard, license_scan, mixing, pseudonyms, quality, topk
+from agentlake.llm import chat_format, decontaminate, html_text, jaccard, license_scan, mixing, pseudonyms, quality, topk
 from agentlake.llm.common import read
 
 QUERIES: dict = {}
@@ -162,3 +162,13 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best of all other vectors for every hundredth."""
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.quantised(F.col("embedding"), 1024).alias("vec"))
     return topk.top_k(rows.where("id % 100 = 0"), rows, 10)
+
+
+# -- 10: HTML extraction ------------------------------------------------------------------------------------------------------
+
+@query()
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by trees trained on a sample of the pages."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    text = html_text.extract(pages, html_text.fit(pages))
+    return text.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

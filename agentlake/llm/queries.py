@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlake.llm import chat_format, decontaminate, html_text, jaccard, license_scan, mixing, pseudonyms, quality, topk
+from agentlake.llm import chat_format, decontaminate, html_text, jaccard, license_scan, mixing, pseudonyms, quality, suffix_dedup, topk
 from agentlake.llm.common import read
 
 QUERIES: dict = {}
@@ -172,3 +172,13 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     text = html_text.extract(pages, html_text.fit(pages))
     return text.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+# -- 2: suffix-array dedup ------------------------------------------------------------------------------------------------------
+
+@query()
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of strings of 100 bytes that start earlier too."""
+    done = suffix_dedup.dedup(read(spark, sf_dir, "documents"))
+    length = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    return done.select("doc_id", "n_bytes", length.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

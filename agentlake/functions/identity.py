@@ -14,8 +14,6 @@ ZERO_TENANT = "00000000-0000-0000-0000-000000000000"
 # Provided ids treated as absent (case-insensitive, after trim).
 NULLISH_IDS = ["", "null", "none", "undefined"]
 SEP = "::"
-# Fixed value: payload bytes mixed into a derived session id.
-SESSION_PAYLOAD_BYTES = 256
 
 
 def resolve_tenant(claim: Column, header: Column) -> Column:
@@ -33,31 +31,43 @@ def le_u64_hex(x: Column) -> Column:
 
 
 def resolve_session(provided: Column, idem: Column, tenant: Column, api_key: Column,
-                    epoch_sec: Column, payload: Column) -> Column:
+                    epoch_sec: Column, payload: Column, payload_bytes: int | None = None) -> Column:
     """Provided id (trimmed) unless nullish; else tenant_idem; else SHA-256 of
-    tenant, api key, epoch seconds (u64 LE) and the first 256 payload bytes.
-    The entropy is the *event* time, so a replay is deterministic."""
-    raw = F.concat(F.encode(tenant, "UTF-8"), F.encode(api_key, "UTF-8"), F.unhex(le_u64_hex(epoch_sec)),
-                   F.substring(F.encode(payload, "UTF-8"), 1, SESSION_PAYLOAD_BYTES))
+    tenant, api key, epoch seconds (u64 LE) and the whole payload (or its first
+    ``payload_bytes``, off by default). The entropy is the *event* time, so a
+    replay is deterministic."""
+    body = F.encode(payload, "UTF-8")
+    if payload_bytes is not None:
+        body = F.substring(body, 1, payload_bytes)
+    raw = F.concat(F.encode(tenant, "UTF-8"), F.encode(api_key, "UTF-8"), F.unhex(le_u64_hex(epoch_sec)), body)
     return (F.when(_usable(provided), F.trim(provided))
             .when(_usable(idem), F.concat(tenant, F.lit("_"), F.trim(idem)))
             .otherwise(F.sha2(raw, 256)))
 
 
+def _joined(*parts: Column) -> Column:
+    """The parts with a separator; a NULL part makes the id NULL instead of
+    dropping out, so ids of different field sets cannot collide."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = F.concat(out, F.lit(SEP), p)
+    return out
+
+
 def operation_id(explicit: Column, batch_size: Column, execution_id: Column, call_id: Column) -> Column:
     return F.when((batch_size == 1) & explicit.isNotNull(), explicit).otherwise(
-        F.sha2(F.concat_ws(SEP, execution_id, call_id), 256))
+        F.sha2(_joined(execution_id, call_id), 256))
 
 
 def idempotency_key(tenant: Column, idem: Column, index: Column, tool: Column, canonical_args: Column,
                     execution_id: Column, call_id: Column) -> Column:
-    explicit = F.sha2(F.concat_ws(SEP, tenant, idem, index.cast("string"), tool, canonical_args), 256)
-    implicit = F.sha2(F.concat_ws(SEP, tenant, execution_id, call_id), 256)
+    explicit = F.sha2(_joined(tenant, idem, index.cast("string"), tool, canonical_args), 256)
+    implicit = F.sha2(_joined(tenant, execution_id, call_id), 256)
     return F.when(idem.isNotNull(), explicit).otherwise(implicit)
 
 
 def content_key(tenant: Column, tool: Column, canonical_args: Column) -> Column:
-    return F.sha2(F.concat_ws(SEP, tenant, tool, canonical_args), 256)
+    return F.sha2(_joined(tenant, tool, canonical_args), 256)
 
 
 def key_hash(api_key: Column) -> Column:

@@ -3,9 +3,9 @@
 ``canonical_json`` (idempotency / content keys) keeps number text as written
 and sorts keys at every depth; ``loop_signature`` additionally drops
 ephemeral keys at every depth and compares numbers as doubles (5 == 5.0).
-Both need recursion over unknown depth, so they run as Arrow-batched pandas
-UDFs returning a canonical string; hashing stays in the JVM (``xxhash64`` /
-``sha2``).
+Values of unknown depth run as Arrow-batched pandas UDFs returning a canonical
+string; flat argument objects, the common case, are signed in the JVM. Hashing
+stays in the JVM (``xxhash64`` / ``sha2``).
 """
 
 from __future__ import annotations
@@ -21,35 +21,70 @@ from pyspark.sql.types import StringType
 # Keys ignored at every depth when comparing tool arguments.
 EPHEMERAL_KEYS = ["timestamp", "nonce", "uuid", "stream", "session_id", "time"]
 _EPHEMERAL = frozenset(EPHEMERAL_KEYS)
-MAX_DEPTH = 16
-
-
-def _sig_value(v, depth: int):
-    if depth > MAX_DEPTH:
-        return ["raw", json.dumps(v, sort_keys=False, separators=(",", ":"))]
-    if isinstance(v, bool) or v is None:
-        return v
-    if isinstance(v, (int, float)):
-        return float(v)
-    if isinstance(v, str):
-        return v
-    if isinstance(v, list):
-        return [_sig_value(x, depth + 1) for x in v]
-    if isinstance(v, dict):
-        return {k: _sig_value(x, depth + 1) for k, x in v.items() if k not in _EPHEMERAL}
-    return str(v)
+
+
+def _unique(pairs):
+    out = dict(pairs)
+    if len(out) != len(pairs):
+        raise ValueError("repeated key")  # no VARIANT either: both engines see text that does not parse
+    return out
 
 
 def signature_text(args: str | None) -> str | None:
-    """Canonical text of the loop signature. Arguments that do not parse hash
-    like JSON ``null`` (the gateway hashes a Null value for them)."""
+    """Canonical text of the loop signature: keys sorted, ephemeral keys dropped
+    at every depth, numbers as doubles. Built from the parsed value piece by
+    piece (strings carry their length), never by editing JSON text, and without
+    recursion, so depth has no limit but the parser's. Arguments that do not
+    parse sign like JSON ``null``."""
     if args is None:
         return None
     try:
-        v = json.loads(args)
+        v = json.loads(args, object_pairs_hook=_unique)
     except (ValueError, RecursionError):
         v = None
-    return json.dumps(_sig_value(v, 0), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    out, todo = [], [v]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, _Text):
+            out.append(v)
+        elif isinstance(v, bool):
+            out.append(f"b{int(v)};")
+        elif v is None:
+            out.append("z;")
+        elif isinstance(v, (int, float)):
+            out.append(f"d{_double(v)!r};")
+        elif isinstance(v, str):
+            out.append(f"s{len(v)}:{v};")
+        elif isinstance(v, list):
+            out.append("[")
+            todo += [_Text("]"), *reversed(v)]
+        else:
+            kept = sorted((k, x) for k, x in ((k, _Held(x)) for k, x in v.items() if k not in _EPHEMERAL))
+            out.append("{")
+            todo.append(_Text("}"))
+            for k, x in reversed(kept):
+                todo += [x.value, _Text(f"s{len(k)}:{k};")]
+    return "".join(out)
+
+
+class _Text(str):
+    """A finished piece of the signature."""
+
+
+class _Held:
+    """A value beside its key; keys are distinct, so values are never compared."""
+
+    __slots__ = ("value",)
+
+    def __init__(self, value):
+        self.value = value
+
+
+def _double(v) -> float:
+    try:
+        return float(v) + 0.0  # -0.0 equals 0.0
+    except OverflowError:
+        return float("inf") if v > 0 else float("-inf")
 
 
 class _Num(float):
@@ -98,45 +133,38 @@ def _canonical_udf(s: pd.Series) -> pd.Series:
     return s.map(canonical_text)
 
 
-def loop_signature_text(args: Column) -> Column:
-    return _signature_udf(args)
-
-
-def loop_signature(args: Column) -> Column:
-    """64-bit equivalence-class id of a tool call's arguments."""
-    t = _signature_udf(args)
-    return F.when(t.isNotNull(), F.xxhash64(t))
-
-
 def canonical_json(args: Column) -> Column:
     return _canonical_udf(args)
 
 
-_EPH_ALT = "|".join(EPHEMERAL_KEYS)
-# a top-level ephemeral entry of canonical flat JSON: key, then a string or a bare scalar
-_EPH_ENTRY = r'(?<=[{,])"(?:' + _EPH_ALT + r')":(?:"(?:[^"\\]|\\.)*"|[^,}"]*)(?:,|(?=\}))'
+def _flat_text(v: Column) -> Column:
+    """The signature of an object whose values, ephemeral ones aside, are all
+    scalars; NULL for anything else. Two equal signatures are both flat in this
+    sense or both not, so the two ways below never meet in one class."""
+    kept = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: ~k.isin(EPHEMERAL_KEYS))
+    kind = lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
+    flat = F.forall(F.map_values(kept), lambda x: ~(kind(x).startswith("OBJECT") | kind(x).startswith("ARRAY")))
 
+    def scalar(x: Column) -> Column:
+        text = F.try_variant_get(x, "$", "string")
+        return (F.when(kind(x) == "VOID", "z;").when(kind(x) == "BOOLEAN", F.concat(F.lit("b"), text, F.lit(";")))
+                .when(kind(x) == "STRING", F.concat(F.lit("s"), F.char_length(text).cast("string"), F.lit(":"), text, F.lit(";")))
+                .otherwise(F.concat(F.lit("d"), (F.try_variant_get(x, "$", "double") + 0.0).cast("string"), F.lit(";"))))
 
-def _flat_object(v: Column) -> Column:
-    """A JSON object whose values are all scalars (no nested object or array)."""
-    return F.coalesce(F.schema_of_variant(v).rlike(r"^OBJECT<[^<]*>$"), F.lit(False))
+    entries = F.transform(F.array_sort(F.map_keys(kept)), lambda k: F.concat(
+        F.lit("s"), F.char_length(k).cast("string"), F.lit(":"), k, F.lit(";"), scalar(F.element_at(kept, k))))
+    return F.when(flat, F.concat(F.lit("{"), F.array_join(entries, ""), F.lit("}")))
 
 
-def _native_signature_text(v: Column) -> Column:
-    canon = F.to_json(v)  # VARIANT: keys sorted, numbers normalised (5.0 -> 5)
-    return F.regexp_replace(F.regexp_replace(canon, _EPH_ENTRY, ""), ",}", "}")
+def loop_signature(args: Column) -> Column:
+    """64-bit equivalence-class id of a tool call's arguments, in one pass over
+    the rows: flat objects are signed in the JVM, all others go to the Arrow UDF,
+    which is handed NULL for the flat ones."""
+    flat = _flat_text(F.try_parse_json(args))
+    rest = _signature_udf(F.when(flat.isNull(), args))
+    return F.when(flat.isNotNull(), F.xxhash64(F.lit(1), flat)).when(rest.isNotNull(), F.xxhash64(F.lit(2), rest))
 
 
 def with_loop_signature(df, args_col: str, out_col: str = "sig"):
-    """Add the 64-bit loop signature of ``args_col``.
-
-    Flat argument objects (the common case) are signed in the JVM: canonical
-    VARIANT JSON minus ephemeral top-level entries. Nested or non-object
-    arguments go through the recursive pandas UDF. Rows are split, not
-    branched, because a Python UDF inside CASE would still run on every row.
-    A flat object never equals a nested one, so the two paths cannot split an
-    equivalence class."""
-    v = F.try_parse_json(F.col(args_col))
-    flat = df.filter(_flat_object(v)).withColumn(out_col, F.xxhash64(_native_signature_text(v)))
-    rest = df.filter(~_flat_object(v)).withColumn(out_col, loop_signature(F.col(args_col)))
-    return flat.unionByName(rest)
+    """Add the 64-bit loop signature of ``args_col``."""
+    return df.withColumn(out_col, loop_signature(F.col(args_col)))

@@ -17,7 +17,7 @@ def price(requests: DataFrame, pricing: DataFrame, provider_col: str = "requeste
     Rate resolution: dynamic map by target model, else by virtual model, else
     the static table on (provider, target model).
     """
-    pm = bounded(pricing, len(D.PRICING_MAP))
+    pm = bounded(pricing)
     df = requests
     lookup_model = F.col(target_col) if target_col else F.col(model_col)
     tgt = pm.select(*[F.col(c).alias(f"_t_{c}") for c in D.PRICING_COLS])

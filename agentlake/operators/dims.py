@@ -1,9 +1,8 @@
 """Joins against configuration dimensions.
 
-A dimension is broadcast only when its size is known to be bounded: the
-builders in ``agentlake.sources.dimensions`` know their row count up front
-(operator-typed config). Anything else goes through a normal shuffle join and
-AQE decides at runtime from measured sizes.
+A dimension is broadcast only when it has been measured: its rows are counted
+up to the bound before the hint. Anything larger goes through a normal shuffle
+join and AQE decides at runtime from measured sizes.
 """
 
 from __future__ import annotations
@@ -14,8 +13,9 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 200_000
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """Hint a broadcast for a side whose row count ``rows`` is known."""
-    if rows <= MAX_BROADCAST_ROWS:
+def bounded(df: DataFrame) -> DataFrame:
+    """Hint a broadcast if the frame itself has at most the bound's rows. Literal
+    configuration is counted by the optimizer without a job over any table."""
+    if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
         return F.broadcast(df)
     return df

@@ -2,10 +2,12 @@
 
 Pointer jumping: each round replaces a node's ancestor pointer by the
 ancestor's own pointer and adds the depths, so the number of rounds is
-log2(max depth), each round one shuffle join over the node table. Lineage is
-cut every few rounds with ``checkpoint()`` into the session's shared
-checkpoint directory so a lost executor re-reads a checkpoint instead of
-replaying every earlier round.
+log2(max depth), each round one shuffle join over the node table. Every round
+is written with ``checkpoint()`` into the session's shared checkpoint directory,
+so a lost executor re-reads it instead of replaying earlier rounds, and the
+test whether rows are left does not compute the round again. Rounds go on until
+every node is done; a parent cycle, whose nodes never are, is an error: with n
+nodes no chain is longer than n, so after log2(n) + 1 rounds what is left is one.
 """
 
 from __future__ import annotations
@@ -13,9 +15,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROUNDS = 64
-CHECKPOINT_EVERY = 4
-
 
 def roots(nodes: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     """(id, root_<id>, depth) — depth 0 for roots."""
@@ -24,7 +23,12 @@ def roots(nodes: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     cur = nodes.select(F.col(id_col).alias("node"), F.col(parent_col).alias("anc"),
                        F.when(F.col(parent_col).isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
                        F.col(parent_col).isNull().alias("done"))
-    for i in range(MAX_ROUNDS):
+    cur = cur.checkpoint(eager=True)
+    rounds_left = max(1, cur.count()).bit_length() + 1
+    while cur.filter(~F.col("done")).limit(1).count():
+        if not rounds_left:
+            raise ValueError(f"{parent_col} has a cycle: some nodes reach no root")
+        rounds_left -= 1
         nxt = cur.select(F.col("node").alias("_n"), F.col("anc").alias("_a"),
                          F.col("depth").alias("_d"), F.col("done").alias("_done"))
         j = cur.join(nxt, cur["anc"] == nxt["_n"], "left")
@@ -36,10 +40,6 @@ def roots(nodes: DataFrame, id_col: str, parent_col: str) -> DataFrame:
             F.when(F.col("done") | F.col("_n").isNull(), F.col("depth"))
              .otherwise(F.col("depth") + F.col("_d")).alias("depth"),
             (F.col("done") | F.col("_n").isNull() | F.col("_a").isNull() | F.col("_done")).alias("done"),
-        )
-        if (i + 1) % CHECKPOINT_EVERY == 0:
-            cur = cur.checkpoint(eager=True)
-        if cur.filter(~F.col("done")).limit(1).count() == 0:
-            break
+        ).checkpoint(eager=True)
     root = F.coalesce(F.col("anc"), F.col("node"))
     return cur.select(F.col("node").alias(id_col), root.alias(f"root_{id_col}"), "depth")

@@ -10,10 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Request size limits of the gateway (bytes).
-AGENTIC_MAX_BYTES = 5 * 1024 * 1024
-HAS_TOOLS_SCAN_BYTES = 16384
-
 
 def _arr(v: Column, path: str) -> Column:
     return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
@@ -58,12 +54,14 @@ def unify_call(c: Column) -> Column:
                                              _get(c, "$.id", "string").alias("id")))
 
 
-def request_tool_calls(payloads: DataFrame, id_col: str = "payload_id", body_col: str = "body") -> DataFrame:
-    """One row per unified tool call of each request, in walk order."""
+def request_tool_calls(payloads: DataFrame, id_col: str = "payload_id", body_col: str = "body",
+                       keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per unified tool call of each request, in walk order; ``keep``
+    carries further columns of the payload along."""
     v = F.try_parse_json(F.col(body_col))
-    calls = payloads.select(id_col, F.posexplode(F.filter(F.transform(request_call_variants(v), unify_call),
+    calls = payloads.select(id_col, *keep, F.posexplode(F.filter(F.transform(request_call_variants(v), unify_call),
                                                           lambda x: x.isNotNull())).alias("call_index", "c"))
-    return calls.select(id_col, F.col("call_index").cast("int").alias("call_index"),
+    return calls.select(id_col, *keep, F.col("call_index").cast("int").alias("call_index"),
                         F.col("c.id").alias("call_id"), F.col("c.name").alias("tool_name"),
                         F.to_json(F.col("c.args")).alias("args_canonical"))
 
@@ -80,18 +78,22 @@ def extract_model(body: Column) -> Column:
     return F.trim(_get(F.try_parse_json(body), "$.model", "string"))
 
 
-def is_agentic(body: Column, content_type: Column) -> Column:
-    """JSON content type, at most 5 MB, root has ``tools`` or ``tool_choice``."""
+def is_agentic(body: Column, content_type: Column, max_bytes: int | None = None) -> Column:
+    """JSON content type, root has ``tools`` or ``tool_choice``. ``max_bytes``
+    reproduces a gateway's size limit (off by default)."""
     v = F.try_parse_json(body)
-    return (F.lower(content_type).startswith("application/json")
-            & (F.octet_length(body) <= AGENTIC_MAX_BYTES)
+    fits = F.lit(True) if max_bytes is None else F.octet_length(body) <= max_bytes
+    return (F.lower(content_type).startswith("application/json") & fits
             & F.coalesce(_get(v, "$.tools").isNotNull() | _get(v, "$.tool_choice").isNotNull(), F.lit(False)))
 
 
-def has_tools(body: Column) -> Column:
-    """P5: quoted ``tools`` / ``tool_calls`` keys within the first 16 KiB (byte scan, no parse)."""
-    head = F.substring(F.encode(body, "UTF-8"), 1, HAS_TOOLS_SCAN_BYTES)
-    return (F.locate('"tools"', F.decode(head, "UTF-8")) > 0) | (F.locate('"tool_calls"', F.decode(head, "UTF-8")) > 0)
+def has_tools(body: Column, scan_bytes: int | None = None) -> Column:
+    """P5: quoted ``tools`` / ``tool_calls`` keys anywhere in the body (no parse).
+    ``scan_bytes`` looks at that many bytes only, as a gateway may (off by default)."""
+    seen = F.encode(body, "UTF-8")
+    if scan_bytes is not None:
+        seen = F.substring(seen, 1, scan_bytes)
+    return F.contains(seen, F.lit(b'"tools"')) | F.contains(seen, F.lit(b'"tool_calls"'))
 
 
 def _strip_ws(s: Column) -> Column:

@@ -22,23 +22,22 @@ BREAKER_TTL_SEC = 60  # fixed value: breaker stays open 60 s after the last fail
 
 
 def routing(spark) -> DataFrame:
-    return bounded(D.routing_df(spark), len(D.routing_rows()))
+    return bounded(D.routing_df(spark))
 
 
 def resolve(spark, requests: DataFrame) -> DataFrame:
     """map_tenant, route_model, n_targets, route_status per request."""
     rt = D.routing_df(spark)
-    n = len(D.routing_rows())
-    tenants = bounded(rt.select(F.col("tenant_id").alias("_rt_tenant")).distinct(), n)
+    tenants = bounded(rt.select(F.col("tenant_id").alias("_rt_tenant")).distinct())
     routes = rt.groupBy("tenant_id", "model").agg(F.count("position").alias("n_targets"))
     r = (requests.join(tenants, F.col("tenant_id") == F.col("_rt_tenant"), "left")
          .withColumn("map_tenant", F.when(F.col("_rt_tenant").isNotNull(), F.col("tenant_id"))
                      .otherwise(F.lit(D.ZERO_TENANT)))
          .drop("_rt_tenant"))
     exact = bounded(routes.select(F.col("tenant_id").alias("_et"), F.col("model").alias("_em"),
-                                  F.col("n_targets").alias("_en")), n)
+                                  F.col("n_targets").alias("_en")))
     fam = bounded(routes.select(F.col("tenant_id").alias("_ft"), F.col("model").alias("_fm"),
-                                F.col("n_targets").alias("_fn")), n)
+                                F.col("n_targets").alias("_fn")))
     r = r.join(exact, (F.col("map_tenant") == F.col("_et")) & (F.col("model") == F.col("_em")), "left")
     r = r.withColumn("_fam", family_default(F.col("model")))
     r = r.join(fam, (F.col("map_tenant") == F.col("_ft")) & (F.col("_fam") == F.col("_fm")), "left")

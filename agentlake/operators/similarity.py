@@ -1,13 +1,12 @@
 """Semantic (nearest-neighbour) cache matching.
 
-Exact and distributed. The cache is a ring of the newest 5000 entries shared
-by all tenants (W13), so a probe can only match entries of its tenant inside
-two ring-sized sequence blocks. Each (ring block, tenant, probe sub-block) is
-one cogroup task that computes a NumPy distance matrix and emits only the best
-admissible entry per probe: pairs are never materialised as rows, no
-candidate list is capped, the result equals a brute-force scan, and the work
-grows linearly with the probes. A final ``min_by`` per probe picks the winner
-across the two blocks.
+Exact and distributed. A probe at sequence s can match the entries of its
+tenant up to s (with ``ring``: only the newest that many of all tenants). Probes
+and entries are cut into blocks of sequence ranges; every probe block meets the
+entry blocks of its tenant that are not younger, each meeting is one cogroup
+task with a NumPy distance matrix that emits the best admissible entry per
+probe: pairs are never rows, no candidate list is capped, and the result equals
+a brute-force scan. A final minimum per probe picks the winner of its meetings.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ WEAK_INTERROGATIVES = ["can", "is", "do", "does"]
 SHORT_PROMPT_WORDS = 8
 SHORT_THRESHOLD = 0.06
 LONG_THRESHOLD = 0.14
-# Fixed value: entries kept in the shared semantic ring (all tenants).
+# Fixed value: entries that a gateway's shared semantic ring keeps (all tenants).
 RING_SIZE = 5000
 
 
@@ -41,7 +40,7 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
 
-def _best_in_block(probes: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+def _best_in_block(probes: pd.DataFrame, entries: pd.DataFrame, ring: int | None = None) -> pd.DataFrame:
     cols = ["probe_id", "vec_id", "distance"]
     if probes.empty or entries.empty:
         return pd.DataFrame({c: pd.Series(dtype="int64" if c != "distance" else "float64") for c in cols})
@@ -62,7 +61,9 @@ def _best_in_block(probes: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
     ok = (~mismatch) & (dist < thr[:, None])
     if "max_seq" in probes and "seq" in entries:
         es, ps = entries["seq"].to_numpy()[None, :], probes["max_seq"].to_numpy()[:, None]
-        ok &= (es > ps - RING_SIZE) & (es <= ps)
+        ok &= es <= ps
+        if ring is not None:
+            ok &= es > ps - ring
     if "tenant" in probes and "tenant" in entries:
         ok &= probes["tenant"].to_numpy(dtype=object)[:, None] == entries["tenant"].to_numpy(dtype=object)[None, :]
     masked = np.where(ok, dist, np.inf)
@@ -77,24 +78,28 @@ def _best_in_block(probes: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
                          "vec_id": vec_ids[hit].astype("int64"), "distance": best[hit]})
 
 
-def nearest_in_ring(probes: DataFrame, entries: DataFrame, ring: int = RING_SIZE, block: int = 2048) -> DataFrame:
-    """Exact top-1 within the shared recency ring (W13): a probe at sequence s
-    sees only entries with s - ring < seq <= s, i.e. entry blocks
-    ``floor(seq / ring)`` b - 1 and b. Each probe is copied to those two blocks;
-    probes of one block are split into sub-blocks of <= ``block`` rows and the
-    block's entries of that tenant (<= ring rows) are copied once per
-    sub-block. Work is linear in the number of probes; the exact ring bounds
-    are a mask inside the NumPy block."""
-    e = entries.withColumn("eb", F.floor(F.col("seq") / ring).cast("bigint"))
-    b = F.floor(F.col("max_seq") / ring).cast("bigint")
-    p = probes.withColumn("eb", F.explode(F.array(b - 1, b)))
-    # a probe only matches its own tenant: (ring block, tenant) is the unit of work
-    keys = ["eb", "tenant"]
-    nsub = p.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_ns"))
-    p = p.join(nsub, keys).withColumn("ps", F.pmod(F.xxhash64("probe_id"), F.col("_ns")).cast("int")).drop("_ns")
-    e = (e.join(nsub, keys).withColumn("ps", F.explode(F.sequence(F.lit(0), F.col("_ns") - 1))).drop("_ns"))
-    pairs = (p.groupBy(*keys, "ps").cogroup(e.groupBy(*keys, "ps"))
-             .applyInPandas(_best_in_block, "probe_id long, vec_id long, distance double"))
+def nearest(probes: DataFrame, entries: DataFrame, ring: int | None = None, block: int = 4096) -> DataFrame:
+    """Exact top-1 among the entries of the probe's tenant with seq <= max_seq
+    (``ring``: and seq > max_seq - ring). Blocks are ranges of ``block`` sequence
+    numbers, so a task holds at most that many probes and entries of a tenant.
+    A probe block meets as many entry blocks as the tenant has up to it: a
+    stated query set against all rows, in blocks. Only blocks that exist meet."""
+    e = entries.withColumn("eb", F.floor(F.col("seq") / block).cast("bigint"))
+    p = probes.withColumn("pb", F.floor(F.col("max_seq") / block).cast("bigint"))
+    have_e = e.select("tenant", "eb").distinct()
+    have_p = p.select(F.col("tenant").alias("_t"), "pb").distinct()
+    near = (F.col("tenant") == F.col("_t")) & (F.col("eb") <= F.col("pb"))
+    if ring is not None:
+        near &= F.col("eb") >= F.floor((F.col("pb") * block - ring) / block)
+    meet = have_e.join(have_p, near).select(F.col("tenant").alias("mt"), F.col("eb").alias("me"), F.col("pb").alias("mp"))
+    left = p.join(meet, (F.col("tenant") == F.col("mt")) & (F.col("pb") == F.col("mp"))).withColumn("eb", F.col("me")).drop("mt", "me", "mp")
+    right = e.join(meet, (F.col("tenant") == F.col("mt")) & (F.col("eb") == F.col("me"))).withColumn("pb", F.col("mp")).drop("mt", "me", "mp")
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return _best_in_block(a, b, ring)
+
+    pairs = (left.groupBy("tenant", "pb", "eb").cogroup(right.groupBy("tenant", "pb", "eb"))
+             .applyInPandas(best, "probe_id long, vec_id long, distance double"))
     return (pairs.groupBy("probe_id")
             .agg(F.min_by(F.struct("distance", "vec_id"), F.struct("distance", "vec_id")).alias("b"))
             .select("probe_id", F.col("b.vec_id").alias("vec_id"), F.col("b.distance").alias("distance")))

@@ -1,8 +1,8 @@
 """Stream stitching and reassembly.
 
 Per stream the chunks are gathered in ``seq`` order — one response's chunks,
-bounded by the response, not by the table — and folded with ``aggregate``
-inside the JVM: the 256 KB append rule is order dependent, so it is a fold.
+bounded by the response, not by the table. The whole text is one linear join
+of the pieces; only with an explicit buffer limit (order dependent) is it a fold.
 """
 
 from __future__ import annotations
@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from agentlake.functions.classify import has_error_signature
 
-# Reassembly buffer bound and bytes per estimated token.
-MAX_STREAM_BUFFER_BYTES = 256 * 1024
+# Fixed value: bytes per estimated token.
 CHARS_PER_TOKEN = 4
 
 
@@ -44,9 +43,10 @@ def reassemble(forwarded: DataFrame) -> DataFrame:
     return g.select("stream_id", *reassemble_columns(F.array_sort("cs"), F.col("prompt_bytes")))
 
 
-def reassemble_columns(cs, prompt_bytes):
-    """The X9 fold over one stream's ``array<struct<seq, data>>`` sorted by seq:
-    (text, total_tokens) columns. Shared by the batch and streaming forms."""
+def reassemble_columns(cs, prompt_bytes, max_bytes: int | None = None):
+    """X9 over one stream's ``array<struct<seq, data>>`` sorted by seq: (text,
+    total_tokens) columns. Shared by the batch and streaming forms. With
+    ``max_bytes`` a piece that would pass the buffer limit is left out (off by default)."""
     done_pos = F.array_position(F.transform(cs, lambda x: x["data"]), "[DONE]")
     live = F.when(done_pos > 0, F.slice(cs, 1, (done_pos - 1).cast("int"))).otherwise(cs)
     parsed = F.transform(live, lambda x: F.struct(
@@ -58,9 +58,12 @@ def reassemble_columns(cs, prompt_bytes):
         t = F.try_variant_get(v, "$.delta.text", "string")
         return F.coalesce(c, t)
 
-    text = F.aggregate(parsed, F.lit(""), lambda acc, p: F.when(
-        piece(p).isNotNull() & (F.octet_length(acc) + F.octet_length(piece(p)) < MAX_STREAM_BUFFER_BYTES),
-        F.concat(acc, piece(p))).otherwise(acc))
+    if max_bytes is None:
+        text = F.array_join(F.transform(parsed, piece), "")
+    else:
+        text = F.aggregate(parsed, F.lit(""), lambda acc, p: F.when(
+            piece(p).isNotNull() & (F.octet_length(acc) + F.octet_length(piece(p)) < max_bytes),
+            F.concat(acc, piece(p))).otherwise(acc))
     usage = F.element_at(F.filter(F.transform(parsed, lambda p: F.try_variant_get(
         p["v"], "$.usage.total_tokens", "bigint")), lambda x: x.isNotNull()), -1)
     est_bytes = F.aggregate(parsed, F.lit(0).cast("bigint"), lambda acc, p: acc + p["nbytes"] + 1)

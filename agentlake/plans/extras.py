@@ -33,8 +33,10 @@ def target_order(spark, sf_dir):
     ranked = rt.withColumn("target_rank", F.row_number().over(w).cast("bigint"))
     cand = R.candidates(spark, _resolved(spark, sf_dir)).select(
         F.col("map_tenant").alias("tenant_id"), F.col("route_model").alias("model"), "position", "event_id")
-    return (ranked.join(cand, ["tenant_id", "model", "position"], "left")
-            .groupBy("tenant_id", "model", "key_alias", "target_rank").agg(F.count("event_id").alias("requests")))
+    n = cand.groupBy("tenant_id", "model", "position").agg(F.count("event_id").alias("requests"))
+    return (ranked.join(n, ["tenant_id", "model", "position"], "left")
+            .select("tenant_id", "model", "key_alias", "target_rank",
+                    F.coalesce("requests", F.lit(0).cast("bigint")).alias("requests")))
 
 
 @query("fastest_target", sql=W._EMA_ORACLE + ", " + _RESOLVE_SQL.strip()[5:] + """

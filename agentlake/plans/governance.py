@@ -37,7 +37,7 @@ BUDGET_PERIOD_SEC = 30 * 86400
 
 
 def _config_df(spark):
-    return bounded(D.to_df(spark, CLIENT_CONFIGS, CONFIG_COLS, CONFIG_TYPES), len(CLIENT_CONFIGS))
+    return bounded(D.to_df(spark, CLIENT_CONFIGS, CONFIG_COLS, CONFIG_TYPES))
 
 
 def _cfg_sql():
@@ -105,7 +105,7 @@ def budget_status(spark, sf_dir):
         F.struct(F.lit("route").alias("scope_type"), F.col("model").alias("scope_id")))).alias("s"), "spend")
     spend = scopes.groupBy("s.scope_type", "s.scope_id").agg(F.sum("spend").alias("spend"))
     observed = g.agg(F.max("hi") - F.min("lo") + 1).scalar()  # scalar subquery, evaluated once
-    b = bounded(D.to_df(spark, BUDGETS, BUDGET_COLS, BUDGET_TYPES), len(BUDGETS))
+    b = bounded(D.to_df(spark, BUDGETS, BUDGET_COLS, BUDGET_TYPES))
     j = b.join(spend, ["scope_type", "scope_id"], "left").withColumn("observed", observed)
     s = F.coalesce(F.col("spend"), F.lit(0).cast("decimal(38,14)"))
     return j.select(
@@ -247,36 +247,43 @@ def error_taxonomy(spark, sf_dir):
     """P25: error events mapped to (HTTP status, code) by a broadcast dimension join."""
     from agentlake.operators.payloads import ingest_status
     from agentlake.sources.payloads import payloads
-    tax = bounded(D.to_df(spark, ERROR_TAXONOMY, ["variant", "http_status", "code"], ["string", "int", "string"]),
-                  len(ERROR_TAXONOMY))
+    tax = bounded(D.to_df(spark, ERROR_TAXONOMY, ["variant", "http_status", "code"], ["string", "int", "string"]))
     up = (V.requests(spark, sf_dir).filter(F.col("status") != 200)
           .select(F.when(F.col("status") == 429, "RateLimitExceeded").otherwise("NoActiveKeys").alias("variant")))
     st = payloads(spark, sf_dir).select(ingest_status(F.col("body")).alias("s")).filter(F.col("s") != "valid")
     ing = st.select(F.when(F.col("s") == "INVALID_JSON", "InvalidJSON").otherwise("MissingModel").alias("variant"))
-    return (up.unionByName(ing).join(tax, "variant").groupBy("code", "http_status")
+    # an unknown variant is an internal error, never a lost event
+    return (up.unionByName(ing).join(tax, "variant", "left")
+            .groupBy(F.coalesce("code", F.lit("INTERNAL_ERROR")).alias("code"), F.coalesce("http_status", F.lit(500)).alias("http_status"))
             .agg(F.count(F.lit(1)).alias("events")))
 
 
-# Cache admission limits.
+# Fixed value: cache admission limit of the first tier.
 L1_MAX_TOKENS = 1000
-SEMANTIC_MAX_RESPONSE_BYTES = 100_000
+
+
+def admission(l1_max_tokens: int = L1_MAX_TOKENS, semantic_max_bytes: int | None = None):
+    """P26 as (tier, semantic_ok) columns over status, cache_hit, total_tokens. A
+    200, non-hit, non-empty response is stored: under ``l1_max_tokens`` in L1,
+    else L2 only. ``semantic_max_bytes`` keeps longer responses (4 bytes a token)
+    out of the semantic tier (off by default)."""
+    storable = (F.col("status") == 200) & ~F.col("cache_hit") & (F.col("total_tokens") > 0)
+    tier = F.when(~storable, "none").when(F.col("total_tokens") < l1_max_tokens, "l1").otherwise("l2")
+    fits = F.lit(True) if semantic_max_bytes is None else F.col("total_tokens") * 4 <= semantic_max_bytes
+    return tier, storable & fits
 
 
 @query("cache_admission", sql="""
 SELECT CASE WHEN status <> 200 OR cache_hit OR total_tokens = 0 THEN 'none'
             WHEN total_tokens < 1000 THEN 'l1' ELSE 'l2' END AS tier,
-       (status = 200 AND NOT cache_hit AND total_tokens > 0 AND total_tokens * 4 <= 100000) AS semantic_ok,
+       (status = 200 AND NOT cache_hit AND total_tokens > 0) AS semantic_ok,
        count(*) AS requests
 FROM v_requests GROUP BY ALL
 """)
 def cache_admission(spark, sf_dir):
-    """A 200, non-hit, non-empty response is stored: under 1000 tokens in
-    L1, else L2 only; responses over 100 000 bytes never enter the semantic tier
-    (response bytes estimated as 4 per token)."""
+    """Tier of every response."""
     r = V.requests(spark, sf_dir)
-    storable = (F.col("status") == 200) & ~F.col("cache_hit") & (F.col("total_tokens") > 0)
-    tier = F.when(~storable, "none").when(F.col("total_tokens") < L1_MAX_TOKENS, "l1").otherwise("l2")
-    sem = storable & (F.col("total_tokens") * 4 <= SEMANTIC_MAX_RESPONSE_BYTES)
+    tier, sem = admission()
     return r.groupBy(tier.alias("tier"), sem.alias("semantic_ok")).agg(F.count(F.lit(1)).alias("requests"))
 
 

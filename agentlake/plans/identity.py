@@ -37,7 +37,7 @@ def tenant_default(spark, sf_dir):
 SELECT event_id,
        CASE WHEN provided_session IS NOT NULL AND NOT {_NULLISH.format(x='provided_session')} THEN trim(provided_session)
             WHEN idem_header IS NOT NULL AND NOT {_NULLISH.format(x='idem_header')} THEN {_TENANT} || '_' || trim(idem_header)
-            ELSE sha256(encode({_TENANT}) || encode(api_key) || unhex({_LE}) || encode(left(arguments, 256))) END
+            ELSE sha256(encode({_TENANT}) || encode(api_key) || unhex({_LE}) || encode(arguments)) END
            AS session_id
 FROM v_calls
 """)

@@ -154,9 +154,10 @@ def routing_flat(spark, sf_dir):
                     F.col("t.api_key_alias").alias("key_alias"), "t.target_model"))
     cand = R.candidates(spark, _resolved(spark, sf_dir)).select(
         F.col("map_tenant").alias("tenant_id"), F.col("route_model").alias("model"), "position", "event_id")
-    return (F.broadcast(flat).join(cand, ["tenant_id", "model", "position"], "left")
-            .groupBy("tenant_id", "model", "position", "priority", "provider_name", "key_alias", "target_model")
-            .agg(F.count("event_id").alias("requests")))
+    # traffic is counted by config key first; what is joined is two small tables
+    n = cand.groupBy("tenant_id", "model", "position").agg(F.count("event_id").alias("requests"))
+    return (flat.join(n, ["tenant_id", "model", "position"], "left")
+            .withColumn("requests", F.coalesce("requests", F.lit(0).cast("bigint"))))
 
 
 @query("routing_summary", sql=_RESOLVE_SQL + """
@@ -212,8 +213,8 @@ def cheapest_target(spark, sf_dir):
     from agentlake.functions import pricing as P
     cand = R.candidates(spark, _resolved(spark, sf_dir)).select(
         "map_tenant", "route_model", "key_alias", "provider_name", "target_model", "position").distinct()
-    pm = F.broadcast(D.pricing_df(spark)).select(F.col("model").alias("_pm"),
-                                                 (F.col("in_rate") + F.col("out_rate")).alias("_r"))
+    pm = D.pricing_df(spark).select(F.col("model").alias("_pm"),
+                                    (F.col("in_rate") + F.col("out_rate")).alias("_r"))
     static = P.lookup_rate(F.col("provider_name"), F.col("target_model"))
     rated = (cand.join(pm, F.col("target_model") == F.col("_pm"), "left")
              .withColumn("rate", F.coalesce(F.col("_r"), static["in_rate"] + static["out_rate"])))

@@ -50,14 +50,12 @@ FROM events
 
 
 def defs() -> dict[str, str]:
-    from agentlake.plans import oracle_payloads
     d = {
         "v_tool_results": V_TOOL_RESULTS,
         "v_guard_calls": V_GUARD_CALLS,
         "v_cache_log": V_CACHE_LOG,
         "v_attempts": V_ATTEMPTS,
     }
-    d.update(oracle_payloads.defs())
     d.update(_more())
     return d
 

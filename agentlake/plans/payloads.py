@@ -40,7 +40,7 @@ FROM ({_EXPECTED_CALLS}) GROUP BY ALL
 """)
 def unify_tool_call(spark, sf_dir):
     p = _payloads(spark, sf_dir)
-    c = PL.request_tool_calls(p.select("payload_id", "body")).join(p.select("payload_id", "format"), "payload_id")
+    c = PL.request_tool_calls(p, keep=("format",))
     return c.groupBy("format", "tool_name").agg(F.count(F.lit(1)).alias("calls"),
                                                 F.countDistinct("args_canonical").alias("distinct_args"))
 
@@ -78,40 +78,15 @@ def is_agentic(spark, sf_dir):
     return p.select("payload_id", PL.is_agentic(F.col("body"), F.lit("application/json")).alias("agentic"))
 
 
-# Byte offsets of the keys in the built bodies, from the base columns: a JSON
-# string of a text is its UTF-8 bytes + 2 quotes + 1 per escaped newline.
-_QLEN = "(strlen(text) + 2 + length(text) - length(replace(text, chr(10), '')))"
-
-
-@query("has_tools", sql=f"""
-WITH t AS (
-  SELECT conv_id, turn, role, text, {_QLEN} AS qlen,
-         role = 'assistant' AND (conv_id + turn) % 3 = 0 AS has_call,
-         conv_id % 5 AS fmt
-  FROM conversations
-), oa AS (   -- OpenAI bodies: offset of the first "tool_calls" key
-  SELECT conv_id,
-         min(CASE WHEN has_call THEN before_bytes + 22 + strlen(role) + qlen END) AS rel_off
-  FROM (SELECT *, coalesce(sum(22 + strlen(role) + qlen + 1) OVER (PARTITION BY conv_id ORDER BY turn
-                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_bytes
-        FROM t WHERE fmt = 0)
-  GROUP BY conv_id
-), co AS (   -- Cohere bodies: root "tool_calls" after the whole chat history
-  SELECT conv_id, bool_or(has_call) AS any_call,
-         sum(8 + CASE role WHEN 'assistant' THEN 9 WHEN 'system' THEN 8 ELSE 6 END + 11 + qlen + 1) + count(*) - 1
-             AS hist_bytes,
-         coalesce(arg_max(qlen, turn) FILTER (WHERE role = 'user'), 2) AS last_user_qlen
-  FROM t WHERE fmt = 3 GROUP BY conv_id
+@query("has_tools", sql="""
+WITH calls AS (
+  SELECT conv_id, bool_or(role = 'assistant' AND (conv_id + turn) % 3 = 0) AS any_call FROM conversations GROUP BY conv_id
 ), p AS (SELECT DISTINCT conv_id, conv_id % 5 AS fmt FROM conversations)
 SELECT p.conv_id AS payload_id,
        CASE WHEN p.conv_id % 2 = 0 AND p.fmt IN (0, 1) THEN true
-            WHEN p.fmt = 0 THEN coalesce(1 + CASE WHEN p.conv_id % 41 = 0 THEN 0 ELSE 17 END + 12 + oa.rel_off + 12
-                                         <= {PL.HAS_TOOLS_SCAN_BYTES}, false)
-            WHEN p.fmt = 3 THEN coalesce(co.any_call AND
-                 1 + CASE WHEN p.conv_id % 41 = 0 THEN 0 ELSE 20 END + 10 + co.last_user_qlen + 17 + co.hist_bytes + 2 + 12
-                 <= {PL.HAS_TOOLS_SCAN_BYTES}, false)
+            WHEN p.fmt IN (0, 3) THEN calls.any_call
             ELSE false END AS has_tools
-FROM p LEFT JOIN oa USING (conv_id) LEFT JOIN co USING (conv_id)
+FROM p JOIN calls USING (conv_id)
 """)
 def has_tools(spark, sf_dir):
     p = _payloads(spark, sf_dir)

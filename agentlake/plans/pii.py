@@ -179,12 +179,11 @@ def _regions(spark, sf_dir):
     r = V.requests(spark, sf_dir).select("event_id", "tenant_id", "model", "user_region", "user_id", "k")
     r = r.withColumn("forwarded_for", F.concat((F.col("user_id") % 200).cast("string"), F.lit("."),
                                                F.col("k").cast("string"), F.lit(".0.1")))
-    enf = bounded(D.to_df(spark, ENFORCED_REGION, ["tenant_id", "enforce_region"], ["string", "string"]),
-                  len(ENFORCED_REGION))
+    enf = bounded(D.to_df(spark, ENFORCED_REGION, ["tenant_id", "enforce_region"], ["string", "string"]))
     # the range table is expanded to one row per first octet (at most 256
     # config rows), so the lookup is an equi-join instead of a range join
     octets = [(o, reg) for lo, hi, reg in GEO_RANGES for o in range(lo, hi + 1)]
-    geo = bounded(D.to_df(spark, octets, ["octet", "geo_region"], ["int", "string"]), len(octets))
+    geo = bounded(D.to_df(spark, octets, ["octet", "geo_region"], ["int", "string"]))
     octet = F.split(F.col("forwarded_for"), r"\.").getItem(0).cast("int")
     r = r.withColumn("octet", octet).join(enf, "tenant_id", "left")
     r = r.join(geo, "octet", "left")
@@ -225,8 +224,7 @@ LEFT JOIN ({D.values_sql(RESIDENCY, ["region", "endpoint", "strict"], ["string",
 
 def residency(spark, sf_dir):
     x = _regions(spark, sf_dir)
-    rr = bounded(D.to_df(spark, RESIDENCY, ["region", "endpoint", "strict"], ["string", "string", "boolean"]),
-                 len(RESIDENCY))
+    rr = bounded(D.to_df(spark, RESIDENCY, ["region", "endpoint", "strict"], ["string", "string", "boolean"]))
     blocked = (F.col("region") == "IN") & F.col("model").isin(*US_ONLY_MODELS)
     reason = F.concat(F.lit("Model '"), F.col("model"),
                       F.lit("' is restricted to US infrastructure and cannot be accessed from region IN "

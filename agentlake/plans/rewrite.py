@@ -117,8 +117,7 @@ def steer_denied(spark, sf_dir):
     r = responses(spark, sf_dir).filter(F.col("provider") == "openai")
     r = r.withColumn("tenant_id", F.concat(F.lit("t-"), (F.floor(F.col("response_id") / 10) % 8).cast("string")))
     calls = RS.response_tool_calls(r, "openai").join(r.select("response_id", "tenant_id"), "response_id")
-    pol = bounded(D.to_df(spark, POLICY, ["tenant_id", "tool_name", "allow"], ["string", "string", "boolean"]),
-                  len(POLICY))
+    pol = bounded(D.to_df(spark, POLICY, ["tenant_id", "tool_name", "allow"], ["string", "string", "boolean"]))
     denied = (calls.join(pol, ["tenant_id", "tool_name"], "left")
               .groupBy("response_id").agg(F.bool_or(~F.coalesce("allow", F.lit(FAIL_OPEN))).alias("denied")))
     j = r.join(denied, "response_id", "left").withColumn("denied", F.coalesce("denied", F.lit(False)))

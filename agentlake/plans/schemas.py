@@ -75,15 +75,18 @@ def schema_requests(spark, sf_dir):
 
 
 @query("strip_schema", sql="""
-SELECT DISTINCT conv_id AS payload_id, '{"properties":{"turn":{"type":"integer"}},"type":"object"}' AS stripped
-FROM conversations WHERE conv_id % 2 = 0 AND conv_id % 5 IN (0, 1) AND conv_id % 37 <> 0
+SELECT DISTINCT conv_id AS payload_id, CAST(t AS INTEGER) AS tool_index,
+       '{"properties":{"turn":{"type":"integer"}},"type":"object"}' AS stripped
+FROM conversations, (VALUES (0)) AS v(t) WHERE conv_id % 2 = 0 AND conv_id % 5 IN (0, 1) AND conv_id % 37 <> 0
 """)
 def strip_schema(spark, sf_dir):
     """X19 (U2): drop description/title/examples at every depth of the request's tool parameters."""
     p = payloads(spark, sf_dir)
-    params = F.to_json(F.try_variant_get(F.try_parse_json("body"), "$.tools[0].function.parameters", "variant"))
-    return (p.select("payload_id", params.alias("params")).filter(F.col("params").isNotNull())
-            .select("payload_id", TS.strip_schema_udf(F.col("params")).alias("stripped")))
+    tools = F.try_variant_get(F.try_parse_json("body"), "$.tools", "array<variant>")
+    each = p.select("payload_id", F.posexplode(tools).alias("tool_index", "tool"))
+    params = F.to_json(F.try_variant_get("tool", "$.function.parameters", "variant"))
+    return (each.select("payload_id", "tool_index", params.alias("params")).filter(F.col("params").isNotNull())
+            .select("payload_id", "tool_index", TS.strip_schema_udf(F.col("params")).alias("stripped")))
 
 
 @query("lazy_tools", sql="""

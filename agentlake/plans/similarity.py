@@ -71,7 +71,7 @@ def _entries_probes(spark, sf_dir):
                           F.col("vec_id").alias("seq"))
     eps = F.element_at(F.array(*[F.lit(e) for e in EPS]), (F.col("vec_id") % 4 + 1).cast("int"))
     pvec = F.transform("embedding", lambda x, j: x.cast("double") + eps * ((F.col("vec_id") + j) % 5 - 2))
-    prompt = F.when(F.col("vec_id") % 2 == 0, F.substring_index("text", " ", 6)).otherwise(F.col("text"))
+    prompt = F.col("text")
     probes = base.select(F.col("label").cast("string").alias("tenant"), F.col("vec_id").alias("probe_id"),
                          pvec.alias("vec"), S.primary_interrogative(prompt).alias("intent"),
                          (S.word_count(prompt) <= S.SHORT_PROMPT_WORDS).alias("short"),
@@ -92,8 +92,7 @@ pintent AS (
                  ELSE list_filter(w, lambda x: list_contains(['what','who','where','when','why','how'], x))[1] END AS it,
             len(list_filter(regexp_split_to_array(ptxt, '[[:space:]]+'), lambda x: x <> '')) <= 8 AS short
   FROM (SELECT *, list_filter(regexp_split_to_array(lower(ptxt), '[[:punct:][:space:]]+'), lambda x: x <> '') AS w
-        FROM (SELECT *, CASE WHEN vec_id % 2 = 0
-                            THEN array_to_string(string_split(text, ' ')[1:6], ' ') ELSE text END AS ptxt FROM base))
+        FROM (SELECT *, text AS ptxt FROM base))
 ),
 probes AS (
   SELECT vec_id AS probe_id, label, it, short,
@@ -109,7 +108,7 @@ pairs AS (
                       * sqrt(list_dot_product(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)),
                                               list_transform(e.embedding, lambda x: CAST(x AS DOUBLE))))) END AS d,
          p.short, p.it AS pit, e.it AS eit
-  FROM probes p JOIN intent e ON e.label = p.label AND e.vec_id > p.probe_id - 5000 AND e.vec_id <= p.probe_id
+  FROM probes p JOIN intent e ON e.label = p.label AND e.vec_id <= p.probe_id
 )
 """
 
@@ -122,7 +121,7 @@ GROUP BY probe_id
 """)
 def semantic_match(spark, sf_dir):
     entries, probes = _entries_probes(spark, sf_dir)
-    m = S.nearest_in_ring(probes, entries)
+    m = S.nearest(probes, entries)
     return m.select("probe_id", "vec_id", F.round("distance", 6).alias("distance"))
 
 
@@ -136,8 +135,8 @@ WHERE NOT (pit IS NOT NULL AND eit IS NOT NULL AND pit <> eit)
 def semantic_match_l2(spark, sf_dir):
     """Second tier — retrieval ignores intent, then a mismatching top-1 is a miss."""
     entries, probes = _entries_probes(spark, sf_dir)
-    m = S.nearest_in_ring(probes.withColumn("intent", F.lit(None).cast("string")),
-                          entries.withColumn("intent", F.lit(None).cast("string")))
+    m = S.nearest(probes.withColumn("intent", F.lit(None).cast("string")),
+                  entries.withColumn("intent", F.lit(None).cast("string")))
     pi = probes.select("probe_id", F.col("intent").alias("pit"))
     ei = entries.select("vec_id", F.col("intent").alias("eit"))
     j = m.join(pi, "probe_id").join(ei, "vec_id")

@@ -39,19 +39,17 @@ def registry_df(spark):
     doc = spark.range(1).select(F.lit(json.dumps(TOOL_REGISTRY)).alias("doc"))
     parsed = F.from_json("doc", "array<struct<name:string, summary:string, schema:string>>")
     # (a descriptor without "schema" parses to NULL there)
-    return bounded(doc.select(F.explode(parsed).alias("t")).select("t.*"), len(TOOL_REGISTRY))
+    return bounded(doc.select(F.explode(parsed).alias("t")).select("t.*"))
 
 
 def endpoints_df(spark):
     doc = spark.range(1).select(F.lit(json.dumps(TOOL_ENDPOINTS)).alias("doc"))
-    return bounded(doc.select(F.explode(F.from_json("doc", "map<string,string>")).alias("tool_name", "url")),
-                   len(TOOL_ENDPOINTS))
+    return bounded(doc.select(F.explode(F.from_json("doc", "map<string,string>")).alias("tool_name", "url")))
 
 
 def _calls(spark, sf_dir):
     p = SP.payloads(spark, sf_dir)
-    return PL.request_tool_calls(p.select("payload_id", "body")).join(
-        p.select("payload_id", "tenant_id"), "payload_id")
+    return PL.request_tool_calls(p, keep=("tenant_id",))
 
 
 _REG = ("(SELECT * FROM (VALUES " + ", ".join(f"('{t['name']}', '{t['summary']}')" for t in TOOL_REGISTRY)
@@ -116,8 +114,7 @@ GROUP BY c.payload_id
 """)
 def policy_check(spark, sf_dir):
     """One denied (or undecided, when failing closed) tool denies the whole response."""
-    pol = bounded(D.to_df(spark, POLICY, ["tenant_id", "tool_name", "allow"], ["string", "string", "boolean"]),
-                  len(POLICY))
+    pol = bounded(D.to_df(spark, POLICY, ["tenant_id", "tool_name", "allow"], ["string", "string", "boolean"]))
     c = _calls(spark, sf_dir).withColumn("tool_name", F.coalesce("tool_name", F.lit("unknown_tool")))
     j = c.join(pol, ["tenant_id", "tool_name"], "left")
     return j.groupBy("payload_id").agg(F.bool_or(~F.coalesce("allow", F.lit(FAIL_OPEN))).alias("denied"),
@@ -146,6 +143,6 @@ FROM {_EP} e LEFT JOIN {_CALLS} c USING (tool_name) GROUP BY e.url
 """)
 def endpoint_fanin(spark, sf_dir):
     ep = endpoints_df(spark)
-    calls = _calls(spark, sf_dir).select("tool_name", "payload_id")
+    calls = _calls(spark, sf_dir).groupBy("tool_name").agg(F.count("payload_id").alias("n"))
     return (ep.join(calls, "tool_name", "left").groupBy("url")
-            .agg(F.countDistinct("tool_name").alias("tools"), F.count("payload_id").alias("calls")))
+            .agg(F.countDistinct("tool_name").alias("tools"), F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("calls")))

@@ -17,7 +17,6 @@ DEFAULT_RPM = 60
 # EMA smoothing of the latency ranking and staleness horizon.
 EMA_ALPHA = 0.3
 RANKING_STALE_SEC = 30
-MAX_RANKED_PROVIDERS = 64
 TICK_SEC = 60
 # Bin width of the bin-local windows: one task holds at most one bin of one key.
 BIN_SEC = 60
@@ -27,7 +26,7 @@ def rate_capacity(spark, requests):
     """(tenant, model) rpm from routing (tenant must be configured itself), else default."""
     rt = (D.routing_df(spark).select("tenant_id", "model", "rate_limit_rpm")
           .dropDuplicates(["tenant_id", "model"]))
-    rt = bounded(rt, len(D.routing_rows()))
+    rt = bounded(rt)
     return (requests.join(rt, ["tenant_id", "model"], "left")
             .withColumn("capacity", F.coalesce(F.col("rate_limit_rpm"), F.lit(DEFAULT_RPM)).cast("int"))
             .drop("rate_limit_rpm"))
@@ -156,22 +155,21 @@ flag AS (SELECT l.*, l.tick * {TICK_SEC} < max(l.tick) OVER () * {TICK_SEC} - {R
          FROM last l LEFT JOIN pri p ON p.provider_name = l.provider)
 SELECT provider, round(ema, 6) AS ema, stale,
        row_number() OVER (ORDER BY stale, CASE WHEN NOT stale THEN ema END, priority, provider) AS rank
-FROM flag QUALIFY rank <= {MAX_RANKED_PROVIDERS}
+FROM flag
 """)
 def provider_ranking(spark, sf_dir):
     e = ema_table(spark, sf_dir)
     last = e.groupBy("provider").agg(F.max_by("ema", "tick").alias("ema"), F.max("tick").alias("tick"))
     pri = (D.routing_df(spark).filter(F.col("provider_name").isNotNull())
            .groupBy(F.col("provider_name").alias("provider")).agg(F.min("priority").alias("priority")))
-    # One row per provider from here on (at most a few dozen): the global
-    # windows below run on that tiny table only.
-    g = Window.partitionBy(F.lit(0))
-    flag = (last.join(F.broadcast(pri), "provider", "left")
+    newest = last.agg(F.max("tick")).scalar()
+    flag = (last.join(pri, "provider", "left")
             .withColumn("priority", F.coalesce("priority", F.lit(1000)))
-            .withColumn("stale", F.col("tick") * TICK_SEC < F.max("tick").over(g) * TICK_SEC - RANKING_STALE_SEC))
-    w = Window.partitionBy(F.lit(0)).orderBy("stale", F.when(~F.col("stale"), F.col("ema")), "priority", "provider")
-    return (flag.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= MAX_RANKED_PROVIDERS)
-            .select("provider", F.round("ema", 6).alias("ema"), "stale", "rank"))
+            .withColumn("stale", F.col("tick") * TICK_SEC < newest * TICK_SEC - RANKING_STALE_SEC))
+    # one row a provider; their order is an aggregate of that table, not a window over traffic
+    key = F.struct("stale", F.when(~F.col("stale"), F.col("ema")).alias("by_ema"), "priority", "provider", "ema")
+    ranked = flag.agg(F.array_sort(F.collect_list(key)).alias("all")).select(F.posexplode("all").alias("at", "p"))
+    return ranked.select("p.provider", F.round("p.ema", 6).alias("ema"), "p.stale", (F.col("at") + 1).cast("bigint").alias("rank"))
 
 
 _TREE_ORACLE = """

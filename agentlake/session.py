@@ -52,7 +52,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder used to cut lineage (``checkpoint()``, written tables).
 
     The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local tests) a scratch folder is created and registered.
+    and the master is local (tests) a scratch folder is created and registered.
+    Anywhere else a folder of this machine would be read in vain by others.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -62,6 +63,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not current and sc is not None:
         current = sc.getCheckpointDir() or None
     if not current:
+        if sc is None or not sc.master.startswith(("local[", "local")) or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="agentlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
     if sc is not None and not sc.getCheckpointDir():

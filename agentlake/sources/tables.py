@@ -18,34 +18,11 @@ DEFAULT_SF_DIR = "/root/testdata/sf0.01"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table's relation, resolved once per session: file listing and
-    footer reads happen on first use (on a cluster the listing of a large
-    table is the expensive part), later queries reuse the same relation."""
+    """The table's relation. Resolved anew on every call, so files added to a
+    table are seen, and read with its own splits: the plan is the same at every size."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name}")
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    cache = spark.__dict__.setdefault("_agentlake_relations", {})
-    df = cache.get(path)
-    if df is None:
-        df = spread(spark.read.parquet(path))
-        cache[path] = df
-    return df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan that is narrower than the cluster.
-
-    A table stored as one or two row groups is read by one or two tasks, and
-    every row-local operator before the first shuffle (regexes, JSON parsing,
-    Arrow UDFs) would run on those cores only. Only then is a round-robin
-    repartition to the session's parallelism added; a large table already has
-    far more splits than cores and is left untouched (no extra shuffle)."""
-    try:
-        par = df.sparkSession.sparkContext.defaultParallelism
-        narrow = df.rdd.getNumPartitions() < par
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no RDD API
-        return df
-    return df.repartition(par) if narrow else df
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def memo(fn):

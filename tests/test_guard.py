@@ -46,18 +46,34 @@ def test_guard_coverage_counts(spark):
     assert counts == {"accepted": 8600, "loop_blocked": 119, "storm_blocked": 1281}
 
 
-def test_native_and_udf_signature_agree_on_classes(spark):
+CLASSES = [
+    ['{"city":"Paris","units":"metric","timestamp":1,"nonce":"a"}', '{"units":"metric","nonce":"zz","city":"Paris","timestamp":99}'],
+    ['{"city":"Berlin","units":"metric"}'], ['{"n":5}', '{"n":5.0}'], ['{"id":1}'], ['{"id":2}'],
+    ['{"a":1}', '{"a":1,"nonce":{"x":1}}', '{"a":1,"time":[1,2]}', '{"a":1.0,"uuid":null}'],
+    ['{"k":100}', '{"k":1e2}', '{"k":100.00}'], ['{"k":"100"}'], ['{"k":[100]}', '{"k":[1e2]}'],
+    ['{"q":"x,}"}'], ['{"q":"x}"}'], ['{"q":"x,y}","time":"12:00"}', '{"q":"x,y}"}'],
+    ['{"a":{"uuid":"x","b":1}}', '{"a":{"b":1,"uuid":{"deep":[1]}}}'], ['{"a":{"b":1,"c":[]}}'],
+    ['not json', 'null', '{"a":1,"a":2}'], ['{}', '{"nonce":{}}'], ['[]'], ['"s"'], ['true'], ['{"k":true}'], ['{"k":1}'],
+    ['{"stream":true,"k":"v"}', '{"k":"v"}'], ['{"k":null}'],
+    ['{"x":' * 40 + '{"nonce":1,"v":1}' + '}' * 40, '{"x":' * 40 + '{"v":1,"nonce":2}' + '}' * 40], ['{"x":' * 40 + '{"v":2}' + '}' * 40],
+]
+
+
+def test_signature_classes(spark):
+    """Classes written by hand: flat beside nested, ephemeral values of any
+    shape, number forms, strings that look like JSON, depth."""
     from agentlake.functions.jsonsig import with_loop_signature
-    args = ['{"city":"Paris","units":"metric","timestamp":1,"nonce":"a"}',
-            '{"units":"metric","nonce":"zz","city":"Paris","timestamp":99}',
-            '{"city":"Berlin","units":"metric"}', '{"n":5}', '{"n":5.0}', '{"id":1}', '{"id":2}',
-            '{"a":{"uuid":"x","b":1}}', '{"a":{"b":1,"uuid":"y"}}', 'not json', 'null',
-            '{"q":"x,y}","time":"12:00"}', '{"q":"x,y}"}', '{"stream":true,"k":"v"}', '{"k":"v"}']
-    df = spark.createDataFrame([(i, a) for i, a in enumerate(args)], "i int, a string")
-    sig = {r["i"]: r["sig"] for r in with_loop_signature(df, "a").collect()}
-    classes = {}
-    for i, a in enumerate(args):
-        classes.setdefault(signature_text(a), set()).add(i)
-    for members in classes.values():
-        assert len({sig[i] for i in members}) == 1
-    assert len(set(sig.values())) == len(classes)
+    rows = [(c, a) for c, members in enumerate(CLASSES) for a in members]
+    df = spark.createDataFrame(rows, "c int, a string")
+    by_class = {}
+    for r in with_loop_signature(df, "a").collect():
+        by_class.setdefault(r["c"], set()).add(r["sig"])
+    assert all(len(s) == 1 for s in by_class.values()), {CLASSES[c][0]: s for c, s in by_class.items() if len(s) > 1}
+    assert len(set.union(*by_class.values())) == len(CLASSES)
+    assert with_loop_signature(spark.createDataFrame([(None,)], "a string"), "a").first()["sig"] is None
+
+
+def test_signature_is_one_scan(spark):
+    from agentlake.plans.guard import loop_signature_q
+    plan = loop_signature_q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1

@@ -77,10 +77,30 @@ def test_openai_response_error_voids_all_calls(spark):
     assert [(r["response_id"], r["tool_name"], r["arguments"]) for r in rows] == [(0, "f", '{"a":1}')]
 
 
-def test_has_tools_byte_window(spark):
+def test_has_tools_reads_the_whole_body(spark):
     inside = '{"a":"' + "x" * (16384 - 6 - 14) + '","tool_calls":[]}'     # key ends at byte 16384
     outside = '{"a":"' + "x" * (16384 - 6 - 13) + '","tool_calls":[]}'    # key ends at byte 16385
     multibyte = '{"a":"' + "é" * 8200 + '","tools":[]}'                   # 16400 bytes before the key
     df = spark.createDataFrame([(0, inside), (1, outside), (2, multibyte)], "payload_id long, body string")
     got = {r["payload_id"]: r["h"] for r in df.select("payload_id", PL.has_tools(F.col("body")).alias("h")).collect()}
+    assert got == {0: True, 1: True, 2: True}
+    # a gateway's byte window is an explicit argument
+    got = {r["payload_id"]: r["h"] for r in df.select("payload_id", PL.has_tools(F.col("body"), 16384).alias("h")).collect()}
     assert got == {0: True, 1: False, 2: False}
+
+
+def test_limits_are_off_unless_given(spark):
+    from agentlake.functions.identity import resolve_session
+    from agentlake.operators.streams import reassemble
+    big = '{"tools":[],"pad":"' + "x" * (6 * 1024 * 1024) + '"}'
+    df = spark.createDataFrame([(big,)], "body string")
+    row = df.select(PL.is_agentic(F.col("body"), F.lit("application/json")).alias("a"),
+                    PL.is_agentic(F.col("body"), F.lit("application/json"), 5 << 20).alias("b")).first()
+    assert (row["a"], row["b"]) == (True, False)
+    same = "p" * 300
+    ids = spark.createDataFrame([(same + "1",), (same + "2",)], "p string").select(
+        resolve_session(F.lit(None), F.lit(None), F.lit("t"), F.lit("k"), F.lit(5).cast("long"), F.col("p")).alias("s")).distinct()
+    assert ids.count() == 2
+    piece = "y" * 1000
+    chunks = spark.createDataFrame([(1, i, '{"delta":{"text":"%s"}}' % piece, 4) for i in range(400)], "stream_id long, seq long, data string, prompt_bytes long")
+    assert len(reassemble(chunks).first()["text"]) == 400_000

@@ -41,11 +41,17 @@ SELECT trace_id AS trace_key, 'trace' AS kind, CAST(2 AS BIGINT) AS versions, ex
 def latest_trace(spark, sf_dir):
     """key = trace_id else id, last write wins by (ts, seq); keyless events dropped."""
     c = classify(telemetry(spark, sf_dir))
+    return latest_by_key(c).drop("o")
+
+
+def latest_by_key(c):
+    """(seq, v, kind) -> trace_key, kind, versions, executed_provider of the last
+    write by (ts, seq), and that order as ``o``; keyless events are dropped."""
     key = F.coalesce(F.try_variant_get("v", "$.trace_id", "string"), F.try_variant_get("v", "$.id", "string"))
-    order = F.struct(F.try_variant_get("v", "$.ts", "bigint"), F.col("seq"))
+    order = F.struct(F.try_variant_get("v", "$.ts", "bigint").alias("ts"), F.col("seq"))
     k = c.select(key.alias("trace_key"), "kind", order.alias("o"),
                  F.try_variant_get("v", "$.executed_provider", "string").alias("executed_provider"))
     k = k.filter(F.col("trace_key").isNotNull())
     return k.groupBy("trace_key").agg(
         F.max_by("kind", "o").alias("kind"), F.count(F.lit(1)).alias("versions"),
-        F.max_by("executed_provider", "o").alias("executed_provider"))
+        F.max_by("executed_provider", "o").alias("executed_provider"), F.max("o").alias("o"))

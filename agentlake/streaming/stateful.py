@@ -205,6 +205,10 @@ def breaker_stream(failures: DataFrame, gap: int = 60, watermark: str = "2 minut
 
 def _budget_func(limit_by_scope: dict):
     def func(key, pdfs, state: GroupState):
+        if key[0] not in limit_by_scope:  # a scope without a limit has nothing to alert on and keeps no state
+            for _ in pdfs:
+                pass
+            return
         d = json.loads(state.get[0]) if state.exists else {"spend": "0", "alerted": []}
         from decimal import Decimal
         spend = Decimal(d["spend"])
@@ -234,20 +238,30 @@ def budget_stream(scoped_costs: DataFrame, limit_by_scope: dict) -> DataFrame:
 # ------------------------------------------------------------------ R10, R11 via foreachBatch
 
 def telemetry_split_batch(out_dir: str):
-    """A ``foreachBatch`` sink that parses the micro-batch once, caches it and
-    appends each event kind to its own table (S3), plus the latest-trace rows (S4)."""
+    """A ``foreachBatch`` sink that parses the micro-batch once and writes
+    every event kind, known or not, to its partition (S3), and the batch's latest
+    row of each trace key (S4). Both go to a folder of the epoch that is
+    overwritten, so a batch that runs again after a failure changes nothing;
+    :func:`latest_traces` merges the epochs when reading."""
     def sink(batch: DataFrame, epoch: int):
-        from agentlake.plans.telemetry import classify
+        from agentlake.plans.telemetry import classify, latest_by_key
         c = classify(batch).persist()
         try:
-            for kind in ("request_log", "trace", "tool_execution_event"):
-                (c.filter(F.col("kind") == kind).select("seq", F.to_json("v").alias("json"))
-                 .write.mode("append").parquet(f"{out_dir}/{kind}"))
+            (c.select("seq", F.to_json("v").alias("json"), "kind").write.mode("overwrite").partitionBy("kind")
+             .parquet(f"{out_dir}/events/epoch={epoch}"))
+            latest_by_key(c).write.mode("overwrite").parquet(f"{out_dir}/latest/epoch={epoch}")
         finally:
             c.unpersist()
     return sink
 
 
+def latest_traces(spark, out_dir: str) -> DataFrame:
+    """The latest row of each trace key over all epochs written so far."""
+    rows = spark.read.parquet(f"{out_dir}/latest")
+    return rows.groupBy("trace_key").agg(F.max_by("kind", "o").alias("kind"), F.sum("versions").alias("versions"),
+                                         F.max_by("executed_provider", "o").alias("executed_provider"))
+
+
 # ------------------------------------------------------------------ R11 reassembly
 
 def reassembly_stream(chunk_stream: DataFrame, idle: str = "30 seconds", watermark: str = "1 minute") -> DataFrame:

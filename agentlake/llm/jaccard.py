@@ -12,9 +12,10 @@ by the *size band* under which both documents meet; sizes too far apart for a
 link share no band.
 
 Equal sets are one node (grouped by fingerprint with map-side combine). A list
-of the index with few sets gives its pairs, a longer one only a star, so what is
-emitted is linear in the index. Pairs that size or a 128-byte sketch rules out
-go; the components of the rest are groups. A group's documents are sent once to
+of the index with few sets gives its pairs; a longer one stays together in a task
+and gives a spanning forest of the pairs that size and a 128-byte sketch do not
+rule out; one too long for that gives a star. So what is emitted is linear in the
+index. The components of all this are groups. A group's documents are sent once to
 a block (large groups: to the meetings of two blocks), where all that are not
 linked yet are compared exactly; what leaves a block is a spanning forest. So a
 group of thousands of near copies never becomes pairs, and no link is lost: each
@@ -303,12 +304,13 @@ def postings(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray)
     return docs.select("text").mapInPandas(run, "sig long, a long")
 
 
-def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, small: int = 8, block_shingles: int = 1 << 22) -> DataFrame:
+def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, small: int = 8, together: int = 20000, block_shingles: int = 1 << 22) -> DataFrame:
     """doc_id, n_shingles, component_id for links of Jaccard similarity >= num / den.
 
-    Index lists of up to ``small`` sets give their pairs, longer ones a star;
-    pairs pass size and sketch; the components of what is left are groups, whose
-    documents meet in blocks of about ``block_shingles`` and are compared exactly."""
+    Index lists of up to ``small`` sets give their pairs, of up to ``together`` a
+    forest of pairs that pass size and sketch, longer ones a star; the components
+    are groups, whose documents meet in blocks of about ``block_shingles`` and are
+    compared exactly. These sizes say how, not what: all links are found."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
@@ -322,7 +324,8 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, small: int
     lists = stored(lists.withColumn("c", F.count("*").over(by_sig)).withColumn("least", F.min("a").over(by_sig)).where("c > 1"), "lists")
     few = lists.where(F.col("c") <= small)
     pairs = few.alias("x").join(few.alias("y"), "sig").where("x.a < y.a").select(F.col("x.a").alias("a1"), F.col("y.a").alias("a2")).distinct()
-    hot = lists.where((F.col("c") > small) & (F.col("a") != F.col("least"))).select(F.col("least").alias("a1"), F.col("a").alias("a2")).distinct()
+    some = lists.where((F.col("c") > small) & (F.col("c") <= together)).select("sig", "a").join(nodes.select("a", "node", "n", "sketch"), "a")
+    hot = lists.where((F.col("c") > together) & (F.col("a") != F.col("least"))).select(F.col("least").alias("a1"), F.col("a").alias("a2")).distinct()
 
     def side(i: int) -> DataFrame:
         return nodes.select(F.col("a").alias(f"a{i}"), F.col("node").alias(f"node{i}"), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"sketch{i}"))
@@ -334,7 +337,7 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, small: int
     near = pairs.join(side(1), "a1").join(side(2), "a2").where(passes("n1", "sketch1", "n2", "sketch2"))
     star = hot.join(side(1).drop("sketch1", "n1"), "a1").join(side(2).drop("sketch2", "n2"), "a2")
     ends = [F.col("node1").alias("u"), F.col("node2").alias("v")]
-    groups = components(near.select(*ends).unionAll(star.select(*ends)))
+    groups = components(near.select(*ends).unionAll(star.select(*ends)).unionAll(_forests(some, num, den)))
     groups = stored(_placed(groups.join(nodes.select("node", "n"), "node"), bands(num, den, 1 << 40), block_shingles), "groups")
 
     links = components(_verified(docs, groups, k, num, den))
@@ -342,6 +345,37 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, small: int
     return one.join(final, ["a", "b"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _forests(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(sig, node, n, sketch) -> edges (u, v): for each list a spanning forest of
+    the pairs that size and sketch leave open."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sent: set[tuple[int, int]] = set()
+        for _, pdf in _by_key(frames, "sig"):
+            pdf = pdf.sort_values(["n", "node"], kind="stable")
+            ids, sizes = pdf["node"].tolist(), pdf["n"].to_numpy()
+            sketches = np.frombuffer(b"".join(map(bytes, pdf["sketch"])), np.uint8).reshape(-1, 128).astype(np.int16)
+            root, upto = np.arange(len(ids)), np.searchsorted(num * sizes, den * sizes, "right")
+            out = []
+            for i in range(len(ids) - 1):
+                near = np.arange(i + 1, upto[i])
+                near = near[root[near] != root[i]]
+                if not len(near):
+                    continue
+                apart = np.abs(sketches[near] - sketches[i]).sum(axis=1, dtype=np.int64)
+                for j in near[apart * (den + num) <= (den - num) * (sizes[near] + sizes[i])]:
+                    if root[j] != root[i]:
+                        root[root == root[j]] = root[i]
+                        pair = (min(ids[i], ids[j]), max(ids[i], ids[j]))
+                        if pair not in sent:
+                            out.append(pair)
+            sent.update(out)
+            if out:
+                yield pd.DataFrame(out, columns=["u", "v"])
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "sig").sortWithinPartitions("sig").select("sig", "node", "n", "sketch").mapInPandas(run, "u long, v long")
+
+
 def _placed(groups: DataFrame, low: np.ndarray, block_shingles: int) -> DataFrame:
     """(node, component, n) -> node, and meetings: array of (key of the meeting,
     is left, is right). A group of up to ``block_shingles`` meets as a whole. A

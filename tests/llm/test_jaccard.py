@@ -47,8 +47,8 @@ def test_all_documents_equal_brute_force(spark):
     assert sum(c != d for d, (_, c) in want.items()) > 30
 
 
-@pytest.mark.parametrize("frequent,small,block", [(1000, 8, 1 << 21), (3, 2, 600), (12, 1, 3000)])
-def test_frequent_classes_hot_lists_and_blocks(spark, monkeypatch, frequent, small, block):
+@pytest.mark.parametrize("frequent,small,together,block", [(1000, 8, 20000, 1 << 21), (3, 2, 5, 600), (12, 1, 40, 3000)])
+def test_frequent_classes_hot_lists_and_blocks(spark, monkeypatch, frequent, small, together, block):
     """Near copies at all distances around the threshold, with common passages,
     so that pairs of frequent shingles, stars and several blocks are all needed."""
     monkeypatch.setattr(J, "FREQUENT", frequent)
@@ -63,7 +63,7 @@ def test_frequent_classes_hot_lists_and_blocks(spark, monkeypatch, frequent, sma
         docs.append((1000 - i, " ".join(words + common if i % 3 == 0 else words)))
     docs += [(2000 + i, docs[i % 40][1].upper()) for i in range(60)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
-    got = as_dict(J.join(df, 4, 85, 100, small=small, block_shingles=block))
+    got = as_dict(J.join(df, 4, 85, 100, small=small, together=together, block_shingles=block))
     assert got == brute(docs, 4, 85, 100)
 
 

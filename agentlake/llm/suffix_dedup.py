@@ -71,79 +71,104 @@ def gram_hashes(raw: np.ndarray, k: int) -> np.ndarray:
     return done ^ (done >> np.uint64(32))
 
 
+def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
+    """pick (minimum or maximum) of every ``width`` neighbours, by doubling."""
+    out, span, n = values, 1, len(values) - width + 1
+    while span * 2 <= width:
+        out, span = pick(out[:-span], out[span:]), span * 2
+    return pick(out[:n], out[width - span:width - span + n])
+
+
 def runs(raw: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, number of windows, whether the anchor stands more
-    than once in the run) of the runs of windows with one anchor."""
+    """(anchor, first window, number of windows, whether the anchor may stand
+    more than once in the run) of the runs of windows with one anchor."""
     if len(raw) < length:
         none = np.empty(0, np.int64)
         return none.view(np.uint64), none, none, none.astype(bool)
     h = gram_hashes(raw, k)
-    w, low, span = length - k + 1, h, 1
-    while span * 2 <= w:
-        low, span = np.minimum(low[:-span], low[span:]), span * 2
-    n = len(raw) - length + 1
-    low = np.minimum(low[:n], low[w - span:w - span + n])
+    w, n = length - k + 1, len(raw) - length + 1
+    low = _sliding(h, w, np.minimum)
     first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
     count = np.diff(np.append(first, n))
     anchor = low[first]
+    # a place is the least of some window if the greatest least of the windows over it is its own hash
+    edge = np.zeros(w - 1, np.uint64)
+    places = h[np.flatnonzero(_sliding(np.concatenate([edge, low, edge]), w, np.maximum) == h)]
+    again = places[1:][places[1:] == places[:-1]]
     twice = count > w
-    for i in np.flatnonzero(~twice & (count > 1)):
-        twice[i] = (h[first[i]:first[i] + count[i] - 1 + w] == anchor[i]).sum() > 1
+    if len(again):
+        twice |= np.isin(anchor, again)
     return anchor, first, count, twice
 
 
 # -- transforms and their merge -------------------------------------------------------------------------------------------
 
 class Shard:
-    """Strings with end marks: their suffixes in order, the transform, the LF mapping."""
+    """Strings with end marks: their suffixes in order (by ``length`` symbols and
+    more, equal ones by string), the transform, the LF mapping."""
 
     def __init__(self, strings: list[bytes], length: int):
         lens = np.array([len(s) + 1 for s in strings])
-        self.ends = np.cumsum(lens)
-        raw = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64)
-        n, marks = len(raw), self.ends - 1
-        rank = raw + len(strings)
-        rank[marks] = np.arange(len(strings))  # every end mark is a symbol of its own
-        step = 1
+        starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
+        symbols = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.uint16) + np.uint16(1)
+        marks = starts + lens - 1
+        symbols[marks] = 0
+        n = len(symbols)
+        left = np.repeat(marks, lens) - np.arange(n)  # symbols before the end mark
+        padded = np.concatenate([symbols, np.zeros(8, np.uint16)])
+        rank, step = np.zeros(n, np.int64), 6  # six symbols of 0..256 in one number
+        for i in range(step):
+            rank = rank * 257 + np.where(left >= i, padded[i:n + i], 0)
         order = np.argsort(rank, kind="stable")
-        while step < length:
-            key = rank * (n + len(strings) + 257)
-            key[:-step] += rank[step:] + 1
-            order = np.argsort(key, kind="stable")
-            sorted_ = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]]))
-            step *= 2
-            if rank[order[-1]] == n - 1:
+        while True:
+            in_order = rank[order]
+            number = np.empty(n, np.int64)
+            number[order] = np.cumsum(np.concatenate([[0], in_order[1:] != in_order[:-1]]))
+            if step >= length:
                 break
-        place = np.empty(n, np.int64)
-        place[order] = np.arange(n)
+            # what follows an end mark does not count: equal short suffixes stay in the order of their strings
+            after = np.zeros(n, np.int64)
+            after[:-step] = number[step:] + 1
+            rank = number * (n + 1) + np.where(left > step, after, 0)
+            order, step = np.argsort(rank, kind="stable"), step * 2
+        place = np.empty(n, np.int32)
+        place[order] = np.arange(n, dtype=np.int32)
         self.suffix = order
         before = order - 1
-        symbols = (raw + 1).astype(np.uint16)
-        symbols[marks] = 0
         self.transform = symbols[before]
-        starts = np.concatenate([[0], self.ends[:-1]])
         self.transform[place[starts]] = 0
         self.lf = place[before]  # of no meaning where the transform holds an end mark
 
 
 def merge(shards: list[Shard], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """After each round (symbols so far, rows in interleaved order, their block):
-    only rows that share that many symbols with another one."""
+    only rows that share that many symbols with another one. A round takes two
+    symbols if their pairs have 16-bit codes (one for the last of an odd number)."""
     sizes = np.cumsum([0, *(len(s.transform) for s in shards)])
     transform = np.concatenate([s.transform for s in shards])
-    lf = np.concatenate([s.lf + a for s, a in zip(shards, sizes)])
-    rows, block = np.arange(len(transform)), np.zeros(len(transform), np.int64)
-    for depth in range(1, length + 1):
-        symbol = transform[rows]
+    lf = np.concatenate([s.lf + np.int32(a) for s, a in zip(shards, sizes)])
+    used = np.flatnonzero(np.bincount(transform, minlength=258))
+    code = np.zeros(258, np.uint16)
+    code[used] = np.arange(len(used)) + (used[0] > 0)  # 0 stays the end mark
+    transform = code[transform]
+    wide = int(code.max()) < 256
+    if wide:
+        second = transform[lf]
+        pairs = transform * np.uint16(256) + second
+        pairs[(transform == 0) | (second == 0)] = 0
+        pairs_lf = lf[lf]
+    rows, block, depth = np.arange(len(transform), dtype=np.int32), np.zeros(len(transform), np.int32), 0
+    while depth < length:
+        two = wide and depth + 2 <= length
+        depth += 1 + two
+        symbol = (pairs if two else transform)[rows]
         inner = np.flatnonzero(symbol)
         order = inner[np.argsort(symbol[inner], kind="stable")]
-        symbol, source, rows = symbol[order], block[order], lf[rows[order]]
+        symbol, source, rows = symbol[order], block[order], (pairs_lf if two else lf)[rows[order]]
         part = np.ones(len(rows) + 1, bool)
         part[1:-1] = (symbol[1:] != symbol[:-1]) | (source[1:] != source[:-1])
         shared = ~(part[:-1] & part[1:])
-        block = np.cumsum(part[:-1])[shared]
+        block = np.cumsum(part[:-1], dtype=np.int32)[shared]
         rows = rows[shared]
         yield depth, rows, block
         if not len(rows):

@@ -1,184 +1,103 @@
-"""Execution state machine replay.
-
-Per idempotency key, claims arrive in time order. A claim that leads to an
-execution schedules its own completion (and, for a live caller, the 5 s
-timeout) as future events of the same key; refused claims schedule nothing.
-So the fold keeps a small heap of pending events and interleaves them with
-the key's claims (completion < timeout < claim on equal times).
-
-The step logic is pure Python over one key's state and is shared with the
-streaming driver (``agentlake.streaming.execution``).
+"""Tool executions from their recorded claims and completions.
+
+Both are rows of a log: a claim carries its version (the fencing token, one more
+for each attempt of a key), a completion the version of the claim it belongs to
+and its outcome. Nothing is scheduled or simulated; every decision is read off
+the log:
+
+* a completion is accepted if its version is that of the newest claim before it
+  (as-of), else it is fenced;
+* a claim is judged by the newest claim before it and by that one's accepted
+  completion, if there is one yet: a success is replayed, an error is claimed
+  again, an unknown outcome runs again (read-only tools) or goes to the ledger,
+  and without a completion the lease decides.
+
+Keys are cut where nothing was written for an entry TTL (``segment``), so a key
+that is used all day is many windows. Completions stand before claims of the
+same second.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agentlake.functions.classify import is_read_only
-from agentlake.operators.folds import run_fold, segment
+from agentlake.operators.folds import segment
 
-# Lease on a claim, caller timeout, entry TTL since last write (seconds).
+# Lease on a claim, entry TTL since the last write (seconds).
 LEASE_SEC = 10
-CALLER_TIMEOUT_SEC = 5
 ENTRY_TTL_SEC = 300
 
-# event kinds, in tie order
-COMPLETION, TIMEOUT, CLAIM = 0, 1, 2
 
+def log(claims: DataFrame, completions: DataFrame) -> DataFrame:
+    """claims (idempotency_key, event_id, claim_sec, version, read_only, ledger),
+    completions (idempotency_key, event_id, at_sec, version, outcome) -> one log."""
+    c = claims.select("idempotency_key", "event_id", F.lit("claim").alias("kind"), F.col("claim_sec").alias("at_sec"), "version",
+                      F.lit(None).cast("string").alias("outcome"), "read_only", "ledger")
+    d = completions.select("idempotency_key", "event_id", F.lit("completion").alias("kind"), "at_sec", "version", "outcome",
+                           F.lit(None).cast("boolean").alias("read_only"), F.lit(None).cast("string").alias("ledger"))
+    return c.unionByName(d)
 
-@dataclass
-class Entry:
-    state: str = "claimed"
-    version: int = 1
-    lease_until: int = 0
-    last_write: int = 0
-    attempt: int = 1
 
-
-@dataclass
-class KeyState:
-    entry: Entry | None = None
-    pending: list = field(default_factory=list)  # heap of (time, kind, event_id, version, outcome)
-
-    def live(self, now: int) -> Entry | None:
-        if self.entry is not None and now - self.entry.last_write >= ENTRY_TTL_SEC:
-            self.entry = None
-        return self.entry
-
-
-def _write(e: Entry, now: int):
-    e.last_write = now
-
-
-def apply_completion(ks: KeyState, now: int, kind: int, version: int, outcome: str) -> str:
-    """mark_succeeded / mark_failed / mark_unknown with version fencing."""
-    e = ks.live(now)
-    if e is None:
-        return "no_entry"
-    if e.version != version:
-        return "fenced_stale"
-    if kind == COMPLETION and outcome == "success":
-        if e.state == "unknown":
-            return "refused_unknown"
-        e.state = "succeeded"
-    else:
-        if e.state == "succeeded":
-            return "refused_succeeded"
-        e.state = "failed" if (kind == COMPLETION and outcome == "error") else "unknown"
-    _write(e, now)
-    return "applied"
-
-
-def apply_claim(ks: KeyState, now: int, read_only: bool, ledger: str | None) -> tuple[str, bool]:
-    """create_or_claim plus the caller's branches. Returns (decision, executes)."""
-    e = ks.live(now)
-    if e is None:
-        ks.entry = Entry("claimed", 1, now + LEASE_SEC, now, 1)
-        return "new_claim", True
-    if e.state == "succeeded":
-        return "replayed_result", False
-    if e.state in ("claimed", "running"):
-        if now <= e.lease_until:
-            return "already_in_flight", False
-        e.state, e.version, e.lease_until, e.attempt = "claimed", e.version + 1, now + LEASE_SEC, e.attempt + 1
-        _write(e, now)
-        return "lease_expired_reclaim", True
-    if e.state == "failed":
-        e.state, e.version, e.lease_until, e.attempt = "claimed", e.version + 1, now + LEASE_SEC, e.attempt + 1
-        _write(e, now)
-        return "reclaim_after_failed", True
-    if e.state == "unknown":
-        if not read_only:
-            # Unknown -> Reconciling -> ledger verdict
-            if ledger == "committed":
-                e.state = "succeeded"
-                _write(e, now)
-                return "reconciled_succeeded", False
-            if ledger == "absent":
-                e.state = "failed"
-                _write(e, now)
-                return "reconciliation_failed", False
-            return "previous_attempt_unknown", False
-        # read-only: the store hands back Unknown unchanged; the retry runs with the same version
-        return "read_only_retry", True
-    return "returned_as_is", True
-
-
-def _start(ks: KeyState, now: int, ev: int, delay: int, outcome: str, live_caller: bool):
-    e = ks.entry
-    e.state = "running"                      # mark_running(version)
-    _write(e, now)
-    if outcome != "none":
-        heapq.heappush(ks.pending, (now + delay, COMPLETION, ev, e.version, outcome))
-    if live_caller and (outcome == "none" or delay > CALLER_TIMEOUT_SEC):
-        heapq.heappush(ks.pending, (now + CALLER_TIMEOUT_SEC, TIMEOUT, ev, e.version, "timeout"))
-
-
-REPLAY_OUT = ("event_id long, idempotency_key string, kind string, at_sec long, decision string, "
-              "version long, state string")
-
-
-def _drain(ks: KeyState, key, until: int | None, rows: list):
-    while ks.pending and (until is None or ks.pending[0][0] <= until):
-        t, kind, ev, ver, outcome = heapq.heappop(ks.pending)
-        dec = apply_completion(ks, t, kind, ver, outcome)
-        st = ks.entry.state if ks.entry else None
-        rows.append((ev, key, "completion" if kind == COMPLETION else "timeout", t, dec, ver, st))
-
-
-def make_fold(live_caller: bool):
-    def fold(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur, ks = None, KeyState()
-        for pdf in it:
-            rows: list = []
-            for key, seg, ev, t, delay, outcome, ro, ledger in zip(
-                    pdf["idempotency_key"], pdf["_seg"], pdf["event_id"], pdf["claim_sec"], pdf["delay_sec"],
-                    pdf["outcome"], pdf["read_only"], pdf["ledger"]):
-                if (key, seg) != cur:
-                    if cur is not None:
-                        _drain(ks, cur[0], None, rows)
-                    cur, ks = (key, seg), KeyState()
-                t = int(t)
-                # pending events strictly before, or at the same time (they sort before claims)
-                _drain(ks, key, t, rows)
-                dec, runs = apply_claim(ks, t, bool(ro), ledger)
-                if runs:
-                    _start(ks, t, int(ev), int(delay), outcome, live_caller)
-                e = ks.entry
-                rows.append((int(ev), key, "claim", t, dec, e.version if e else None, e.state if e else None))
-            yield pd.DataFrame(rows, columns=["event_id", "idempotency_key", "kind", "at_sec", "decision",
-                                              "version", "state"])
-        if cur is not None:
-            rows = []
-            _drain(ks, cur[0], None, rows)
-            yield pd.DataFrame(rows, columns=["event_id", "idempotency_key", "kind", "at_sec", "decision",
-                                              "version", "state"])
-    return fold
-
-
-def with_ledger(attempts: DataFrame, ledger: DataFrame, coverage: DataFrame) -> DataFrame:
+def with_ledger(claims: DataFrame, ledger: DataFrame, coverage: DataFrame) -> DataFrame:
     """J10 input side: attach the ledger verdict per key — found -> committed;
     inside a covered range but missing -> absent (authoritative); else unknown."""
-    return (attempts.join(ledger.select("idempotency_key", F.lit(True).alias("_found")), "idempotency_key", "left")
+    return (claims.join(ledger.select("idempotency_key", F.lit(True).alias("_found")), "idempotency_key", "left")
             .join(coverage.select("idempotency_key", F.lit(True).alias("_covered")), "idempotency_key", "left")
             .withColumn("ledger", F.when(F.col("_found"), "committed").when(F.col("_covered"), "absent"))
             .drop("_found", "_covered"))
 
 
-def replay(attempts: DataFrame, live_caller: bool = True) -> DataFrame:
-    """Attempts (idempotency_key, event_id, claim_sec, delay_sec, outcome, tool_name, ledger)."""
-    a = attempts.select("idempotency_key", "event_id", "claim_sec", "delay_sec", "outcome",
-                        is_read_only(F.col("tool_name")).alias("read_only"), "ledger")
-    # A key's state is empty again once every earlier claim's last possible write
-    # (its completion or caller timeout) is an entry TTL in the past: split there.
-    last_write = F.col("claim_sec") + F.greatest(F.col("delay_sec"), F.lit(CALLER_TIMEOUT_SEC))
-    a = a.withColumn("_end", last_write + ENTRY_TTL_SEC)
-    # bin width <= (end - claim) for every claim keeps the split exact; the TTL keeps bins coarse
-    a = segment(a, ["idempotency_key"], "claim_sec", ENTRY_TTL_SEC, end="_end").drop("_end")
-    return run_fold(a, ["idempotency_key", "_seg"], ["claim_sec", "event_id"], make_fold(live_caller), REPLAY_OUT)
+def after_outcome(outcome: Column, read_only: Column, ledger: Column) -> Column:
+    """What a claim does when the newest attempt's outcome is recorded."""
+    unknown = (F.when(read_only, "read_only_retry").when(ledger == "committed", "reconciled_succeeded")
+               .when(ledger == "absent", "reconciliation_failed").otherwise("previous_attempt_unknown"))
+    return F.when(outcome == "success", "replayed_result").when(outcome == "error", "reclaim_after_failed").otherwise(unknown)
+
+
+def replay(claims: DataFrame, completions: DataFrame) -> DataFrame:
+    """event_id, idempotency_key, kind, at_sec, version, outcome, decision of every row of the log."""
+    rows = segment(log(claims, completions), ["idempotency_key"], "at_sec", ENTRY_TTL_SEC)
+    is_claim = F.col("kind") == "claim"
+    before = (Window.partitionBy("idempotency_key", "_seg").orderBy("at_sec", is_claim.cast("int"), "event_id")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_newest", F.max(F.when(is_claim, F.col("version"))).over(before)) \
+        .withColumn("_claimed", F.max(F.when(is_claim, F.col("at_sec"))).over(before))
+    accepted = ~is_claim & (F.col("version") == F.col("_newest"))
+    rows = rows.withColumn("_done", F.last(F.when(accepted, F.struct("version", "outcome")), ignorenulls=True).over(before))
+    fenced = F.when(F.col("_newest").isNull(), "no_entry").when(accepted, "applied").otherwise("fenced_stale")
+    judged = (F.when(F.col("_newest").isNull(), "new_claim")
+              .when(F.col("_done.version") == F.col("_newest"), after_outcome(F.col("_done.outcome"), F.col("read_only"), F.col("ledger")))
+              .when(F.col("at_sec") - F.col("_claimed") <= LEASE_SEC, "already_in_flight").otherwise("lease_expired_reclaim"))
+    return rows.select("event_id", "idempotency_key", "kind", "at_sec", "version", "outcome", F.when(is_claim, judged).otherwise(fenced).alias("decision"))
+
+
+class KeyState:
+    """The same rules row by row, for the streaming form."""
+
+    __slots__ = ("newest", "claimed", "done", "touched")
+
+    def __init__(self, newest=None, claimed=None, done=None, touched=None):
+        self.newest, self.claimed, self.done, self.touched = newest, claimed, done, touched
+
+    def step(self, kind: str, at: int, version: int, outcome, read_only, ledger) -> str:
+        if self.touched is not None and at - self.touched >= ENTRY_TTL_SEC:
+            self.newest = self.claimed = self.done = None
+        self.touched = at
+        if kind == "completion":
+            if self.newest is None:
+                return "no_entry"
+            if version != self.newest:
+                return "fenced_stale"
+            self.done = (version, outcome)
+            return "applied"
+        if self.newest is None:
+            decision = "new_claim"
+        elif self.done is not None and self.done[0] == self.newest:
+            o = self.done[1]
+            decision = ("replayed_result" if o == "success" else "reclaim_after_failed" if o == "error" else "read_only_retry" if read_only
+                        else {"committed": "reconciled_succeeded", "absent": "reconciliation_failed"}.get(ledger, "previous_attempt_unknown"))
+        else:
+            decision = "already_in_flight" if at - self.claimed <= LEASE_SEC else "lease_expired_reclaim"
+        self.newest, self.claimed = max(version, self.newest or version), at
+        return decision

@@ -1,15 +1,10 @@
-"""Queries: tool-execution state machine replay.
-
-The replay schedules completions from the claims it accepts, so its output
-has no closed SQL form; these keys are rows-only in the driver check and are
-verified against golden scenarios from the gateway's adversarial tests
-(``tests/test_execution.py``).
-"""
+"""Queries: recorded tool executions."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from agentlake.functions.classify import is_read_only
 from agentlake.operators import execution as X
 from agentlake.plans.registry import query
 from agentlake.sources import views as V
@@ -24,53 +19,97 @@ def ledger_tables(attempts):
     return ledger, coverage
 
 
-def replayed(spark, sf_dir, live_caller=True):
+def recorded(spark, sf_dir):
+    """(claims with their ledger verdict, completions) as recorded."""
     a = V.attempts(spark, sf_dir)
     ledger, coverage = ledger_tables(a)
-    return X.replay(X.with_ledger(a, ledger, coverage), live_caller=live_caller)
+    claims = a.select("idempotency_key", "event_id", "claim_sec", (F.col("event_id") % 6 + 1).alias("version"),
+                      is_read_only(F.col("tool_name")).alias("read_only"))
+    done = a.filter(F.col("outcome") != "none").select(
+        "idempotency_key", "event_id", (F.col("claim_sec") + F.col("delay_sec")).alias("at_sec"),
+        (F.col("event_id") % 6 + 1).alias("version"), "outcome")
+    return X.with_ledger(claims, ledger, coverage), done
+
+
+def replayed(spark, sf_dir):
+    return X.replay(*recorded(spark, sf_dir))
+
+
+# The same rules by correlated lookups in the log instead of windows.
+_LOG = f"""
+WITH c AS (SELECT event_id, idempotency_key, claim_sec, event_id % 6 + 1 AS version, op % 3 = 1 AS read_only, ledger_class FROM v_attempts),
+k AS (SELECT event_id, idempotency_key, claim_sec + delay_sec AS at_sec, event_id % 6 + 1 AS version, outcome FROM v_attempts WHERE outcome <> 'none'),
+kf AS (
+  SELECT k.*, (SELECT max(c.version) FROM c WHERE c.idempotency_key = k.idempotency_key AND c.claim_sec < k.at_sec) AS newest FROM k
+), kd AS (
+  SELECT event_id, idempotency_key, at_sec, version, outcome,
+         CASE WHEN newest IS NULL THEN 'no_entry' WHEN newest = version THEN 'applied' ELSE 'fenced_stale' END AS decision FROM kf
+), cp AS (
+  SELECT c.*, (SELECT max(b.version) FROM c b WHERE b.idempotency_key = c.idempotency_key AND b.claim_sec < c.claim_sec) AS newest,
+         (SELECT max(b.claim_sec) FROM c b WHERE b.idempotency_key = c.idempotency_key AND b.claim_sec < c.claim_sec) AS claimed FROM c
+), cd AS (
+  SELECT cp.*, (SELECT arg_max(kd.outcome, kd.at_sec) FROM kd WHERE kd.idempotency_key = cp.idempotency_key AND kd.decision = 'applied'
+                AND kd.version = cp.newest AND kd.at_sec <= cp.claim_sec) AS done FROM cp
+), log AS (
+  SELECT event_id, idempotency_key, 'claim' AS kind, claim_sec AS at_sec, version, CAST(NULL AS VARCHAR) AS outcome,
+         CASE WHEN newest IS NULL THEN 'new_claim' WHEN done = 'success' THEN 'replayed_result' WHEN done = 'error' THEN 'reclaim_after_failed'
+              WHEN done IS NOT NULL THEN CASE WHEN read_only THEN 'read_only_retry' WHEN ledger_class = 0 THEN 'reconciled_succeeded'
+                                              WHEN ledger_class = 1 THEN 'reconciliation_failed' ELSE 'previous_attempt_unknown' END
+              WHEN claim_sec - claimed <= {X.LEASE_SEC} THEN 'already_in_flight' ELSE 'lease_expired_reclaim' END AS decision FROM cd
+  UNION ALL SELECT event_id, idempotency_key, 'completion', at_sec, version, outcome, decision FROM kd
+)
+"""
 
 
-@query("execution_replay", bench=True)
+@query("execution_replay", bench=True, sql=_LOG + "SELECT * FROM log")
 def execution_replay(spark, sf_dir):
     return replayed(spark, sf_dir)
 
 
-@query("execution_branches")
+@query("execution_branches", sql=_LOG + "SELECT kind, decision, count(*) AS events FROM log GROUP BY ALL")
 def execution_branches(spark, sf_dir):
-    return (replayed(spark, sf_dir).groupBy("kind", "decision")
-            .agg(F.count(F.lit(1)).alias("events")))
+    return replayed(spark, sf_dir).groupBy("kind", "decision").agg(F.count(F.lit(1)).alias("events"))
 
 
-@query("fence_completions")
+@query("fence_completions", sql=_LOG + """
+SELECT event_id, idempotency_key, at_sec, version, decision = 'applied' AS accepted, decision FROM log WHERE kind = 'completion'
+""")
 def fence_completions(spark, sf_dir):
-    r = replayed(spark, sf_dir).filter(F.col("kind") != "claim")
-    return r.select("event_id", "idempotency_key", "kind", "at_sec", "version",
-                    (F.col("decision") == "applied").alias("accepted"), "decision")
+    r = replayed(spark, sf_dir).filter(F.col("kind") == "completion")
+    return r.select("event_id", "idempotency_key", "at_sec", "version", (F.col("decision") == "applied").alias("accepted"), "decision")
 
 
-@query("lease_expiry")
+@query("lease_expiry", sql=_LOG + """
+SELECT event_id, idempotency_key, at_sec, version FROM log WHERE decision IN ('lease_expired_reclaim', 'already_in_flight')
+""")
 def lease_expiry(spark, sf_dir):
-    # crashed callers: no timeout is written, so only the lease frees a key
-    r = replayed(spark, sf_dir, live_caller=False)
-    return r.filter(F.col("decision") == "lease_expired_reclaim").select("event_id", "idempotency_key",
-                                                                         "at_sec", "version")
+    """Claims that met a claim without a completion: its lease still held or had run out."""
+    r = replayed(spark, sf_dir)
+    return r.filter(F.col("decision").isin("lease_expired_reclaim", "already_in_flight")).select("event_id", "idempotency_key", "at_sec", "version")
 
 
-@query("reconcile")
+@query("reconcile", sql=_LOG + """
+SELECT event_id, idempotency_key, decision, version FROM log
+WHERE decision IN ('reconciled_succeeded', 'reconciliation_failed', 'previous_attempt_unknown')
+""")
 def reconcile(spark, sf_dir):
+    """Unknown outcomes joined to the ledger."""
     r = replayed(spark, sf_dir).filter(F.col("decision").isin(
         "reconciled_succeeded", "reconciliation_failed", "previous_attempt_unknown"))
     return r.select("event_id", "idempotency_key", "decision", "version")
 
 
-@query("retry_amplification")
+@query("retry_amplification", sql=_LOG + """
+SELECT idempotency_key, count(*) AS attempts,
+       count(*) FILTER (decision IN ('new_claim', 'reclaim_after_failed', 'lease_expired_reclaim', 'read_only_retry')) AS executions,
+       count(*) FILTER (decision IN ('replayed_result', 'already_in_flight', 'previous_attempt_unknown')) AS duplicates_prevented,
+       max(version) AS final_version
+FROM log WHERE kind = 'claim' GROUP BY idempotency_key
+""")
 def retry_amplification(spark, sf_dir):
     r = replayed(spark, sf_dir).filter(F.col("kind") == "claim")
     prevented = F.col("decision").isin("replayed_result", "already_in_flight", "previous_attempt_unknown")
-    executed = F.col("decision").isin("new_claim", "reclaim_after_failed", "lease_expired_reclaim",
-                                      "read_only_retry")
+    executed = F.col("decision").isin("new_claim", "reclaim_after_failed", "lease_expired_reclaim", "read_only_retry")
     return r.groupBy("idempotency_key").agg(
-        F.count(F.lit(1)).alias("attempts"),
-        F.count_if(executed).alias("executions"),
-        F.count_if(prevented).alias("duplicates_prevented"),
-        F.max("version").alias("final_version"))
+        F.count(F.lit(1)).alias("attempts"), F.count_if(executed).alias("executions"),
+        F.count_if(prevented).alias("duplicates_prevented"), F.max("version").alias("final_version"))

@@ -8,7 +8,6 @@ handler sorts them by (event time, tiebreak) before applying (T11).
 
 from __future__ import annotations
 
-import heapq
 import json
 from collections.abc import Iterator
 
@@ -34,68 +33,33 @@ def _timeout(state: GroupState, sec: int):
 
 # ------------------------------------------------------------------ R2 / R9 execution state machine
 
-_EXEC_OUT = "event_id long, idempotency_key string, kind string, at_sec long, decision string, version long, state string"
+_EXEC_OUT = "event_id long, idempotency_key string, kind string, at_sec long, version long, outcome string, decision string"
 
 
-def _ks_load(state: GroupState) -> X.KeyState:
-    ks = X.KeyState()
-    if state.exists:
-        d = json.loads(state.get[0])
-        if d["entry"] is not None:
-            ks.entry = X.Entry(**d["entry"])
-        ks.pending = [tuple(p) for p in d["pending"]]
-        heapq.heapify(ks.pending)
-    return ks
-
-
-def _ks_save(state: GroupState, ks: X.KeyState):
-    e = ks.entry
-    entry = None if e is None else {"state": e.state, "version": e.version, "lease_until": e.lease_until,
-                                    "last_write": e.last_write, "attempt": e.attempt}
-    state.update((json.dumps({"entry": entry, "pending": [list(p) for p in ks.pending]}),))
-
-
-def _exec_func(live_caller: bool):
-    def func(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        k = key[0]
-        ks = _ks_load(state)
-        rows: list = []
-        if state.hasTimedOut:
-            wm = state.getCurrentWatermarkMs() // 1000 - EPOCH
-            X._drain(ks, k, wm, rows)           # completions the watermark has passed (R9: late ones fenced)
-        else:
-            data = pd.concat(list(pdfs)).sort_values(["claim_sec", "event_id"])
-            for ev, t, delay, outcome, ro, ledger in zip(data["event_id"], data["claim_sec"], data["delay_sec"],
-                                                         data["outcome"], data["read_only"], data["ledger"]):
-                t = int(t)
-                X._drain(ks, k, t, rows)
-                dec, runs = X.apply_claim(ks, t, bool(ro), ledger)
-                if runs:
-                    X._start(ks, t, int(ev), int(delay), outcome, live_caller)
-                e = ks.entry
-                rows.append((int(ev), k, "claim", t, dec, e.version if e else None, e.state if e else None))
-        if ks.entry is None and not ks.pending:
-            state.remove()
-        else:
-            _ks_save(state, ks)
-            nxt = ks.pending[0][0] if ks.pending else ks.entry.last_write + X.ENTRY_TTL_SEC
-            _timeout(state, nxt)
-        yield pd.DataFrame(rows, columns=["event_id", "idempotency_key", "kind", "at_sec", "decision", "version",
-                                          "state"])
-    return func
-
-
-def execution_stream(attempts: DataFrame, live_caller: bool = True, watermark: str = "30 seconds") -> DataFrame:
-    """R2: the claim/complete state machine per idempotency key. Scheduled
-    completions and timeouts live in the key's state and are applied before a
-    later claim, or when the watermark passes them (event-time timeout)."""
-    from agentlake.functions.classify import is_read_only
-    a = attempts.select("idempotency_key", "event_id", "claim_sec", "delay_sec", "outcome",
-                        is_read_only(F.col("tool_name")).alias("read_only"), "ledger")
-    return (with_event_time(a, "claim_sec").withWatermark("event_time", watermark)
+def _exec_func(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    rows: list = []
+    if state.hasTimedOut:  # an entry TTL without a row: the key is forgotten
+        state.remove()
+    else:
+        ks = X.KeyState(*json.loads(state.get[0])) if state.exists else X.KeyState()
+        data = pd.concat(list(pdfs))
+        data = data.assign(_o=(data["kind"] == "claim").astype(int)).sort_values(["at_sec", "_o", "event_id"])
+        for r in data.itertuples():
+            decision = ks.step(r.kind, int(r.at_sec), int(r.version), r.outcome, r.read_only is True or r.read_only == True, r.ledger)  # noqa: E712
+            rows.append((int(r.event_id), key[0], r.kind, int(r.at_sec), int(r.version), r.outcome, decision))
+        state.update((json.dumps([ks.newest, ks.claimed, ks.done, ks.touched]),))
+        _timeout(state, ks.touched + X.ENTRY_TTL_SEC)
+    yield pd.DataFrame(rows, columns=["event_id", "idempotency_key", "kind", "at_sec", "version", "outcome", "decision"])
+
+
+def execution_stream(log: DataFrame, watermark: str = "30 seconds") -> DataFrame:
+    """Recorded claims and completions (``operators.execution.log``), late
+    ones among them, judged per idempotency key; a completion of an older version
+    than the newest claim is fenced. The state is four values a key and is
+    removed an entry TTL after its last row."""
+    return (with_event_time(log, "at_sec").withWatermark("event_time", watermark)
             .groupBy("idempotency_key")
-            .applyInPandasWithState(_exec_func(live_caller), _EXEC_OUT, STATE, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+            .applyInPandasWithState(_exec_func, _EXEC_OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
 # ------------------------------------------------------------------ R13 exact cache replay

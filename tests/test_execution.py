@@ -1,83 +1,61 @@
-"""Execution state machine: golden cases from the gateway's adversarial tests."""
-
-from agentlake.operators.execution import (
-    COMPLETION, TIMEOUT, KeyState, apply_claim, apply_completion, replay, with_ledger,
-)
-
-
-def test_commit_then_timeout_reconciles():
-    ks = KeyState()
-    assert apply_claim(ks, 0, False, "committed") == ("new_claim", True)
-    ks.entry.state = "running"
-    assert apply_completion(ks, 5, TIMEOUT, 1, "timeout") == "applied"
-    assert ks.entry.state == "unknown"
-    # the late success of the same attempt is refused while Unknown
-    assert apply_completion(ks, 7, COMPLETION, 1, "success") == "refused_unknown"
-    assert apply_claim(ks, 8, False, "committed") == ("reconciled_succeeded", False)
-    assert apply_claim(ks, 12, False, "committed") == ("replayed_result", False)
-
-
-def test_rollback_then_next_attempt():
-    ks = KeyState()
-    apply_claim(ks, 0, False, "absent")
-    apply_completion(ks, 5, TIMEOUT, 1, "timeout")
-    assert apply_claim(ks, 6, False, "absent") == ("reconciliation_failed", False)
-    assert apply_claim(ks, 7, False, "absent") == ("reclaim_after_failed", True)
-    assert ks.entry.version == 2
-
-
-def test_inconclusive_blocks_unsafe_retry():
-    ks = KeyState()
-    apply_claim(ks, 0, False, None)
-    apply_completion(ks, 5, TIMEOUT, 1, "timeout")
-    assert apply_claim(ks, 6, False, None) == ("previous_attempt_unknown", False)
-
-
-def test_stale_version_completion_ignored():
-    ks = KeyState()
-    apply_claim(ks, 0, False, None)
-    apply_completion(ks, 1, COMPLETION, 1, "error")
-    assert apply_claim(ks, 2, False, None) == ("reclaim_after_failed", True)
-    assert apply_completion(ks, 3, COMPLETION, 1, "success") == "fenced_stale"
-    assert ks.entry.state == "claimed"
-
-
-def test_read_only_unknown_retries_same_version():
-    ks = KeyState()
-    apply_claim(ks, 0, True, None)
-    apply_completion(ks, 5, TIMEOUT, 1, "timeout")
-    assert apply_claim(ks, 6, True, None) == ("read_only_retry", True)
-    assert ks.entry.version == 1
-
-
-def test_in_flight_and_lease_expiry():
-    ks = KeyState()
-    apply_claim(ks, 0, False, None)
-    assert apply_claim(ks, 10, False, None) == ("already_in_flight", False)
-    assert apply_claim(ks, 11, False, None) == ("lease_expired_reclaim", True)
-    assert ks.entry.version == 2
-
-
-def test_herd_of_duplicates_single_execution(spark):
-    rows = [("k", i, i, 3, "success", "charge_card", 0) for i in range(20)]
-    a = spark.createDataFrame(rows, "idempotency_key string, event_id long, claim_sec long, delay_sec long, "
-                                    "outcome string, tool_name string, ledger_class int")
-    led = a.filter("ledger_class = 0").select("idempotency_key").distinct()
-    out = replay(with_ledger(a, led, led)).filter("kind = 'claim'").groupBy("decision").count().collect()
-    got = {r["decision"]: r["count"] for r in out}
-    assert got["new_claim"] == 1 and "reclaim_after_failed" not in got
-    assert got["already_in_flight"] + got["replayed_result"] == 19
+"""Recorded executions: golden logs, the same in batch and row by row."""
+
+import random
+
+from agentlake.operators import execution as X
+from agentlake.operators.folds import segment
+
+CLAIM = "idempotency_key string, event_id long, claim_sec long, version long, read_only boolean, ledger string"
+DONE = "idempotency_key string, event_id long, at_sec long, version long, outcome string"
+
+
+def judged(spark, claims, done):
+    out = X.replay(spark.createDataFrame(claims, CLAIM), spark.createDataFrame(done, DONE)).collect()
+    return {(r["idempotency_key"], r["kind"], r["event_id"]): r["decision"] for r in out}
+
+
+def test_golden_logs(spark):
+    claims = [("a", 1, 0, 1, False, "committed"), ("a", 2, 8, 2, False, "committed"),
+              ("b", 3, 0, 1, False, "absent"), ("b", 4, 6, 2, False, "absent"),
+              ("c", 5, 0, 1, False, None), ("c", 6, 6, 2, False, None),
+              ("d", 7, 0, 1, True, None), ("d", 8, 6, 2, True, None),
+              ("e", 9, 0, 1, False, None), ("e", 10, 2, 2, False, None), ("e", 11, 13, 3, False, None),
+              ("f", 12, 0, 1, False, None), ("f", 13, 10, 2, False, None),
+              ("g", 14, 0, 1, False, None), ("g", 15, 400, 2, False, None)]
+    done = [("a", 1, 5, 1, "timeout"), ("b", 3, 5, 1, "timeout"), ("c", 5, 5, 1, "timeout"), ("d", 7, 5, 1, "timeout"),
+            ("e", 9, 1, 1, "error"), ("e", 9, 3, 1, "success"), ("f", 12, 10, 1, "success"), ("g", 14, 399, 1, "success"), ("h", 16, 1, 1, "error")]
+    got = judged(spark, claims, done)
+    assert got["a", "claim", 2] == "reconciled_succeeded" and got["b", "claim", 4] == "reconciliation_failed"
+    assert got["c", "claim", 6] == "previous_attempt_unknown" and got["d", "claim", 8] == "read_only_retry"
+    # the late success of version 1 comes after claim 2 and is fenced; without a completion the lease decides
+    assert got["e", "claim", 10] == "reclaim_after_failed" and got["e", "claim", 11] == "lease_expired_reclaim"
+    # at one second the completion stands before the claim
+    assert got["f", "claim", 13] == "replayed_result" and got["h", "completion", 16] == "no_entry"
+    # an entry TTL without a write: the key is forgotten
+    assert got["g", "completion", 14] == "no_entry" and got["g", "claim", 15] == "new_claim"
+
+
+def test_windows_equal_the_row_by_row_rules(spark):
+    rnd = random.Random(2)
+    claims, done, ev = [], [], 0
+    for k in range(40):
+        t, ledger = 0, rnd.choice(["committed", "absent", None])
+        for v in range(1, rnd.randrange(2, 9)):
+            t, ev = t + rnd.choice([1, 4, 11, 40, 350]), ev + 1
+            claims.append((f"k{k}", ev, t, v, k % 3 == 0, ledger))
+            if rnd.random() < 0.8:
+                done.append((f"k{k}", ev, t + rnd.randrange(15), v, rnd.choice(["success", "error", "timeout"])))
+    got = judged(spark, claims, done)
+    want, states = {}, {}
+    rows = [(c[2], 1, c[1], "claim", c) for c in claims] + [(d[2], 0, d[1], "completion", d) for d in done]
+    for at, _, e, kind, r in sorted(rows, key=lambda x: x[:3]):
+        ks = states.setdefault(r[0], X.KeyState())
+        want[r[0], kind, e] = ks.step(kind, at, r[3], r[4] if kind == "completion" else None, kind == "claim" and r[4], r[5] if kind == "claim" else None)
+    assert got == want and len(set(want.values())) > 8
 
 
 def test_segments_split_only_at_provable_resets(spark):
-    from pyspark.sql import functions as F
-
-    from agentlake.operators.folds import segment
-    rows = [("k", 0, 3), ("k", 4, 14), ("k", 318, 0), ("k", 330, 2), ("k", 700, 0)]
-    df = spark.createDataFrame(rows, "idempotency_key string, claim_sec long, delay_sec long")
-    df = df.withColumn("_end", F.col("claim_sec") + F.greatest("delay_sec", F.lit(5)) + 300)
-    segs = [r["_seg"] for r in segment(df, ["idempotency_key"], "claim_sec", 5, end="_end")
-            .orderBy("claim_sec").collect()]
-    # claim 4 may write until 18, so its state lives until 318: 318 starts a new segment;
-    # 330 overlaps 318; 700 >= 330 + 5 + 300 starts another one
+    rows = [("k", 0), ("k", 14), ("k", 314), ("k", 330), ("k", 700)]
+    df = spark.createDataFrame(rows, "idempotency_key string, at_sec long")
+    segs = [r["_seg"] for r in segment(df, ["idempotency_key"], "at_sec", 300).orderBy("at_sec").collect()]
     assert segs == [1, 1, 2, 2, 3]

@@ -2,7 +2,9 @@
 
 One six-alternative pattern, leftmost-first, matched by the JVM regex engine
 inside ``regexp_replace`` / ``regexp_extract_all`` — no Python in the path.
-ASCII semantics: ``\\d`` and ``\\b`` are ASCII in Java as in RE2.
+Digits and word boundaries are Unicode on every engine and JDK: the flag ``(?U)``
+asks for them here, Python's ``re`` means them anyway. White space is a class
+written out, the same for all.
 """
 
 from __future__ import annotations
@@ -10,13 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+SPACE = r" \t\n\x0B\f\r"
 # The PII alternatives, in match-priority order, with the
 # category each one reports.
 PII_ALTERNATIVES = [
-    ("CREDIT_CARD", r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b"),
+    ("CREDIT_CARD", rf"\b\d{{4}}[{SPACE}-]?\d{{4}}[{SPACE}-]?\d{{4}}[{SPACE}-]?\d{{4}}\b"),
     ("EMAIL", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,7}\b"),
-    ("PHONE", r"\b(?:\+1[\s])?\(?\d{3}\)?[\s.-]\d{3}[\s.-]\d{4}\b"),
-    ("AADHAAR", r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}\b"),
+    ("PHONE", rf"\b(?:\+1[{SPACE}])?\(?\d{{3}}\)?[{SPACE}.-]\d{{3}}[{SPACE}.-]\d{{4}}\b"),
+    ("AADHAAR", rf"\b\d{{4}}[{SPACE}-]?\d{{4}}[{SPACE}-]?\d{{4}}\b"),
     ("IFSC", r"\b[A-Z]{4}0[A-Z0-9]{6}\b"),
     ("BANK_ACCOUNT", r"\b\d{9,12}\b"),
 ]
@@ -24,10 +27,11 @@ PII_ALTERNATIVES = [
 REDACTED = "[REDACTED_PII]"
 
 PII_PATTERN = "|".join(p for _, p in PII_ALTERNATIVES)
+PII_JAVA = "(?U)" + PII_PATTERN
 # Every alternative needs a digit or '@' (the IFSC form has a literal 0), so a
 # text without either cannot match: a one-class scan gates the full pattern.
-PII_GATE = "[0-9@]"
-PII_GROUPED = "|".join(f"({p})" for _, p in PII_ALTERNATIVES)
+PII_GATE = r"[\p{Nd}@]"
+PII_GROUPED = "(?U)" + "|".join(f"({p})" for _, p in PII_ALTERNATIVES)
 CATEGORIES = [c for c, _ in PII_ALTERNATIVES]
 
 
@@ -36,11 +40,11 @@ def _gated(text: Column, expr: Column, default: Column) -> Column:
 
 
 def has_pii(text: Column) -> Column:
-    return _gated(text, text.rlike(PII_PATTERN), F.when(text.isNotNull(), F.lit(False)))
+    return _gated(text, text.rlike(PII_JAVA), F.when(text.isNotNull(), F.lit(False)))
 
 
 def redact_text(text: Column) -> Column:
-    return _gated(text, F.regexp_replace(text, PII_PATTERN, REDACTED), text)
+    return _gated(text, F.regexp_replace(text, PII_JAVA, REDACTED), text)
 
 
 def pii_matches(text: Column) -> Column:
@@ -64,7 +68,7 @@ def tokenize(text: Column, matches: Column, tokens: Column) -> Column:
 
     ``split`` on the same pattern yields the n+1 pieces between the n matches.
     """
-    pieces = F.split(text, PII_PATTERN, -1)
+    pieces = F.split(text, PII_JAVA, -1)
     inner = F.transform(tokens, lambda t, i: F.concat(F.element_at(pieces, i + 1), t))
     return F.concat(F.array_join(inner, ""), F.element_at(pieces, -1))
 

@@ -12,8 +12,8 @@ from agentlake.sources import dimensions as D
 from agentlake.sources import views as V
 from agentlake.sources.tables import read
 
-DUCK_PII = PII.PII_PATTERN.replace(r"\s", "[:space:]")
-DUCK_GROUPED = PII.PII_GROUPED.replace(r"\s", "[:space:]")
+DUCK_PII = PII.PII_PATTERN
+DUCK_GROUPED = PII.PII_GROUPED.removeprefix("(?U)")
 _CAT_CASE = " ".join(f"WHEN g{i + 1}[i] <> '' THEN '{c}'" for i, c in enumerate(PII.CATEGORIES))
 _GROUP_COLS = ", ".join(f"regexp_extract_all(text, '{DUCK_GROUPED}', {i + 1}) AS g{i + 1}"
                         for i in range(len(PII.CATEGORIES)))

@@ -76,7 +76,7 @@ def pii_scan_text(body):
     return F.array_join(F.transform(parts, lambda x: _escaped(x)), "\n")
 
 
-_PY_PII = re.compile(PII.PII_PATTERN, re.ASCII)
+_PY_PII = re.compile(PII.PII_PATTERN)
 
 
 def _redact_value(v):
@@ -105,11 +105,12 @@ def _redact_json_udf(body: pd.Series) -> pd.Series:
 
 
 def redact_json(body, gate):
-    """X13 (U2): every string leaf at any depth, keys and numbers untouched; only where ``gate``."""
-    return F.when(gate, _redact_json_udf(body)).otherwise(body)
+    """X13 (U2): every string leaf at any depth, keys and numbers untouched; only where
+    ``gate``: the UDF is handed NULL for all other rows."""
+    return F.when(gate, _redact_json_udf(F.when(gate, body))).otherwise(body)
 
 
-_DUCK = PII.PII_PATTERN.replace(r"\s", "[:space:]")
+_DUCK = PII.PII_PATTERN
 _ESC = "replace(replace(text, '\\', '\\\\'), chr(10), '\\n')"
 
 

@@ -15,7 +15,7 @@ from agentlake.sources.tables import read
 EXACT_IDLE_TTL = 3600
 EPS = [0.02, 0.04, 0.06, 0.08]
 
-_DUCK_PII = PII.PII_PATTERN.replace(r"\s", "[:space:]")
+_DUCK_PII = PII.PII_PATTERN
 
 
 @query("exact_cache_replay", bench=True, sql=f"""

@@ -28,3 +28,15 @@ def test_categories(spark):
     df = spark.createDataFrame([("a@b.io and 123456789012 and HDFC0ABC123",)], "t string")
     m = df.select(pii_matches(F.col("t")).alias("m")).first()["m"]
     assert [x["category"] for x in m] == ["EMAIL", "AADHAAR", "IFSC"]
+
+
+def test_one_rule_for_letters_and_digits_of_any_script(spark):
+    from agentlake.plans.pii_payloads import redact_json_text
+    cases = [
+        ("é123456789", "é123456789"), ("ab123456789", "ab123456789"), ("x 123456789 y", "x [REDACTED_PII] y"), ("(123456789)é", "([REDACTED_PII])é"),
+        ("\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669", "[REDACTED_PII]"), ("4111\u00a01111\u00a01111\u00a01111", "4111\u00a01111\u00a01111\u00a01111"),
+        ("4111\t1111 1111-1111", "[REDACTED_PII]"), ("ü@example.com", "ü@example.com"), ("jo@exämple.com", "jo@exämple.com"),
+    ]
+    for text, want in cases:
+        assert _redact(spark, text) == want, text
+        assert redact_json_text('["%s"]' % text.replace("\t", "\\t")) == '["%s"]' % want, text

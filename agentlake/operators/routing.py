@@ -58,27 +58,41 @@ def candidates(spark, resolved: DataFrame) -> DataFrame:
                          "inner").drop("_t", "_m")
 
 
+def route_targets(spark) -> DataFrame:
+    """(tenant, model) -> array of its targets by (priority, position): configuration only."""
+    t = F.struct("priority", "position", "key_alias", "provider_name", "target_model", "schema_format")
+    rt = D.routing_df(spark).filter(F.col("position").isNotNull())
+    return bounded(rt.groupBy(F.col("tenant_id").alias("_t"), F.col("model").alias("_m")).agg(F.array_sort(F.collect_list(t)).alias("targets")))
+
+
+def with_targets(spark, resolved: DataFrame) -> DataFrame:
+    """Requests of configured routes with the route's target array: one join, no row per target."""
+    return resolved.join(route_targets(spark), (F.col("map_tenant") == F.col("_t")) & (F.col("route_model") == F.col("_m"))).drop("_t", "_m")
+
+
 def breaker_intervals(spark, resolved: DataFrame) -> DataFrame:
     """W11 over the routed keys: a retryable failure opens the breaker of the
     request's first-priority target key for 60 s, re-armed by further failures."""
-    first = candidates(spark, resolved.filter(is_retryable_status(F.col("status"))))
-    from pyspark.sql import Window
-    w = Window.partitionBy("event_id").orderBy("priority", "position")
-    first = first.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
-    return islands(first.select("tenant_id", "key_alias", "sec"), ["tenant_id", "key_alias"], "sec",
-                   BREAKER_TTL_SEC)
+    failed = with_targets(spark, resolved.filter(is_retryable_status(F.col("status"))))
+    first = failed.select("tenant_id", F.col("targets")[0]["key_alias"].alias("key_alias"), "sec")
+    return islands(first, ["tenant_id", "key_alias"], "sec", BREAKER_TTL_SEC)
+
 
+def healthy(spark, resolved: DataFrame) -> DataFrame:
+    """Requests with ``targets`` (configured) and ``healthy``: those whose
+    (tenant, key alias) breaker is not open at the request time (opened strictly
+    before it and not yet closed), in order.
 
-def healthy(spark, cand: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Drop candidates whose (tenant, key alias) breaker is open at the request time
-    (opened strictly before it and not yet closed)."""
+    The intervals that touch a minute of a tenant are one small array (a key has
+    at most two in a minute), so requests join it once by (tenant, minute) and
+    pick their targets by array functions: no row per target, no window."""
     width = BREAKER_TTL_SEC
-    iv = intervals.select(
-        F.col("tenant_id").alias("_it"), F.col("key_alias").alias("_ik"), "open_sec", "close_sec",
-        F.explode(F.sequence(F.floor(F.col("open_sec") / width), F.floor(F.col("close_sec") / width)))
-         .alias("_bin"))
-    c = cand.withColumn("_bin", F.floor(F.col("sec") / width))
-    cond = ((F.col("tenant_id") == F.col("_it")) & (F.col("key_alias") == F.col("_ik"))
-            & (F.col("_bin") == F.col("_ibin")) & (F.col("open_sec") < F.col("sec"))
-            & (F.col("sec") < F.col("close_sec")))
-    return c.join(iv.withColumnRenamed("_bin", "_ibin"), cond, "left_anti").drop("_bin")
+    iv = breaker_intervals(spark, resolved)
+    minute = F.explode(F.sequence(F.floor(F.col("open_sec") / width), F.floor(F.col("close_sec") / width)))
+    open_ = (iv.select(F.col("tenant_id").alias("_it"), minute.alias("_ibin"), F.struct("key_alias", "open_sec", "close_sec").alias("i"))
+             .groupBy("_it", "_ibin").agg(F.collect_list("i").alias("_open")))
+    r = with_targets(spark, resolved).withColumn("_bin", F.floor(F.col("sec") / width))
+    r = r.join(open_, (F.col("tenant_id") == F.col("_it")) & (F.col("_bin") == F.col("_ibin")), "left")
+    shut = lambda t: F.exists(F.col("_open"), lambda i: (i["key_alias"] == t["key_alias"]) & (i["open_sec"] < F.col("sec")) & (F.col("sec") < i["close_sec"]))
+    ok = F.when(F.col("_open").isNull(), F.col("targets")).otherwise(F.filter("targets", lambda t: ~shut(t)))
+    return r.withColumn("healthy", ok).drop("_bin", "_it", "_ibin", "_open")

@@ -72,14 +72,16 @@ def _resolved(spark, sf_dir):
     return R.resolve(spark, r)
 
 
+def _healthy(spark, sf_dir):
+    return R.healthy(spark, _resolved(spark, sf_dir))
+
+
 def _chain(spark, sf_dir):
-    res = _resolved(spark, sf_dir)
-    cand = R.candidates(spark, res)
-    iv = R.breaker_intervals(spark, res)
-    h = R.healthy(spark, cand, iv)
-    w = Window.partitionBy("event_id").orderBy("priority", "position")
-    return (h.withColumn("target_rank", F.row_number().over(w).cast("bigint"))
-            .withColumn("n_healthy", F.count(F.lit(1)).over(Window.partitionBy("event_id"))))
+    """One row per (request, healthy target) with its rank."""
+    h = _healthy(spark, sf_dir)
+    keep = [c for c in h.columns if c not in ("targets", "healthy")]
+    return (h.select(*keep, F.size("healthy").cast("bigint").alias("n_healthy"), F.posexplode("healthy").alias("_p", "_h"))
+            .select(*keep, "n_healthy", (F.col("_p") + 1).cast("bigint").alias("target_rank"), "_h.*"))
 
 
 @query("resolve_route", sql=_RESOLVE_SQL + """
@@ -108,11 +110,9 @@ FROM cand c LEFT JOIN healthy h ON h.event_id = c.event_id AND h.key_alias = c.k
 WHERE h.event_id IS NULL GROUP BY ALL
 """)
 def breaker_open_skips(spark, sf_dir):
-    res = _resolved(spark, sf_dir)
-    cand = R.candidates(spark, res)
-    h = R.healthy(spark, cand, R.breaker_intervals(spark, res))
-    skipped = cand.join(h.select("event_id", "key_alias"), ["event_id", "key_alias"], "left_anti")
-    return skipped.groupBy("tenant_id", "key_alias").agg(F.count(F.lit(1)).alias("skipped"))
+    h = _healthy(spark, sf_dir)
+    skipped = h.select("tenant_id", F.explode(F.array_except("targets", "healthy")).alias("t"))
+    return skipped.groupBy("tenant_id", F.col("t.key_alias").alias("key_alias")).agg(F.count(F.lit(1)).alias("skipped"))
 
 
 @query("failover_chain", sql=_RESOLVE_SQL + """
@@ -125,13 +125,11 @@ SELECT event_id,
 FROM chain GROUP BY event_id
 """)
 def failover_chain(spark, sf_dir):
-    c = _chain(spark, sf_dir)
-    return c.groupBy("event_id").agg(
-        F.max(F.when(F.col("target_rank") == 1, F.col("key_alias"))).alias("primary_key_alias"),
-        (F.max("n_healthy") - 1).cast("bigint").alias("fallbacks"),
-        F.coalesce(F.max(F.when((F.col("target_rank") == 2) & F.col("is_hot_swapped"), F.col("provider_name"))),
-                   F.max(F.when(F.col("target_rank") == 1, F.col("provider_name")))).alias("executed_provider"),
-        (F.bool_or("is_hot_swapped") & (F.max("n_healthy") > 1)).alias("hot_swapped"))
+    h = _healthy(spark, sf_dir).filter(F.size("healthy") > 0)
+    first, second, n = F.col("healthy")[0], F.try_element_at("healthy", F.lit(2)), F.size("healthy")
+    return h.select("event_id", first["key_alias"].alias("primary_key_alias"), (n - 1).cast("bigint").alias("fallbacks"),
+                    F.coalesce(F.when(F.col("is_hot_swapped"), second["provider_name"]), first["provider_name"]).alias("executed_provider"),
+                    (F.col("is_hot_swapped") & (n > 1)).alias("hot_swapped"))
 
 
 @query("routing_flat", sql=_RESOLVE_SQL + """

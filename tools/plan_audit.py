@@ -16,16 +16,32 @@ from agentlake.session import build_session  # noqa: E402
 PATTERNS = {
     "cartesian": re.compile(r"CartesianProduct"),
     "nested_loop": re.compile(r"BroadcastNestedLoopJoin"),
-    "global_window": re.compile(r"Window \[.*\], \[\], \["),
     "single_partition": re.compile(r"Exchange SinglePartition"),
 }
 
 
+def global_window(plan: str) -> bool:
+    """A window fed by a single-partition exchange: it has no partition key, or a constant one."""
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if re.search(r"\bWindow \[", line):
+            for below in lines[i + 1:i + 6]:
+                if "Exchange" in below:
+                    if "SinglePartition" in below:
+                        return True
+                    break
+    return False
+
+
+def shapes(plan: str) -> list[str]:
+    hits = [name for name, p in PATTERNS.items() if p.search(plan)]
+    return hits + ["global_window"] * global_window(plan)
+
+
 def audit(spark, sf_dir):
     found = {}
     for k, q in sorted(load_all().items()):
-        plan = q.build(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-        hits = [name for name, p in PATTERNS.items() if p.search(plan)]
+        hits = shapes(q.build(spark, sf_dir)._jdf.queryExecution().executedPlan().toString())
         if hits:
             found[k] = hits
     return found

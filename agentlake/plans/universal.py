@@ -71,8 +71,12 @@ def to_universal(body):
     bad_args = F.exists(msgs, lambda m: F.exists(_arr(m, "$.tool_calls"), lambda tc: F.try_parse_json(
         F.coalesce(_get(tc, "$.function.arguments", "string"), F.lit(""))).isNull()))
     ok = v.isNotNull() & ~bad_role & ~bad_args
+    stop = _get(v, "$.stop")
+    stops = F.when(F.schema_of_variant(stop) == "STRING", F.array(_get(v, "$.stop", "string"))).otherwise(_get(v, "$.stop", "array<string>"))
     conv = F.struct(system_prompt.alias("system_prompt"), _get(v, "$.model", "string").alias("model"),
-                    mapped.alias("messages"))
+                    mapped.alias("messages"), _get(v, "$.tools", "array<variant>").alias("tools"),
+                    _get(v, "$.temperature", "double").alias("temperature"), _get(v, "$.top_p", "double").alias("top_p"),
+                    _get(v, "$.max_tokens", "int").alias("max_tokens"), stops.alias("stop"), _get(v, "$.stream", "boolean").alias("stream"))
     return F.when(ok, conv)
 
 
@@ -80,39 +84,90 @@ def _roles(msgs):
     return F.array_join(F.transform(msgs, lambda m: m["role"]), ",")
 
 
+def _some(array):
+    """The array, or NULL if it is empty (the field is then left out)."""
+    return F.when(F.size(array) > 0, array)
+
+
+def _of(m, kind):
+    return F.filter(m["content"], lambda c: c["type"] == kind)
+
+
 def from_universal_openai(u):
-    sys_msg = F.when(u["system_prompt"].isNotNull(), F.array(F.struct(
-        F.lit("system").alias("role"), u["system_prompt"].alias("content"), F.lit(0).alias("n_tool_calls"))))
-    body = F.transform(u["messages"], lambda m: F.struct(
-        m["role"].alias("role"),
-        F.array_join(F.transform(F.filter(m["content"], lambda c: c["type"] == "text"), lambda c: c["text"]), "\n")
-        .alias("content"),
-        F.size(F.filter(m["content"], lambda c: c["type"] == "tool_call")).alias("n_tool_calls")))
-    return F.concat(F.coalesce(sys_msg, F.array().cast(
-        "array<struct<role:string, content:string, n_tool_calls:int>>")), body)
+    """The request as a struct; ``to_json`` leaves out what is NULL."""
+    def message(m):
+        texts = F.transform(F.filter(m["content"], lambda c: c["type"].isin("text", "tool_result")), lambda c: c["text"])
+        text = F.array_join(texts, "\n")
+        calls = F.transform(_of(m, "tool_call"), lambda c: F.struct(
+            c["id"].alias("id"), F.lit("function").alias("type"),
+            F.struct(c["name"].alias("name"), c["arguments"].alias("arguments")).alias("function")))
+        return F.struct(m["role"].alias("role"), F.when(text != "", text).alias("content"), _some(calls).alias("tool_calls"),
+                        F.try_element_at(F.transform(_of(m, "tool_result"), lambda c: c["tool_id"]), F.lit(-1)).alias("tool_call_id"))
+
+    body = F.transform(u["messages"], message)
+    empty = "array<struct<role:string,content:string,tool_calls:array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>,tool_call_id:string>>"
+    system = F.when(u["system_prompt"].isNotNull(), F.from_json(F.to_json(F.array(F.struct(
+        F.lit("system").alias("role"), u["system_prompt"].alias("content")))), empty)).otherwise(F.array().cast(empty))
+    return F.when(u.isNotNull(), F.struct(F.concat(system, body).alias("messages"), *[u[c].alias(c) for c in (
+        "tools", "temperature", "top_p", "max_tokens", "stop", "stream", "model")]))
+
+
+_BLOCK = ("array<struct<type:string,text:string,source:struct<type:string,media_type:string,data:string>,id:string,name:string,"
+          "input:variant,tool_use_id:string,content:string>>")
+
+
+def _blocks(m):
+    """Anthropic content blocks of a universal message."""
+    def block(c):
+        kind = F.element_at(F.create_map(*[F.lit(x) for x in ("text", "text", "image_url", "image", "tool_call", "tool_use", "tool_result", "tool_result")]), c["type"])
+        image = F.when(c["type"] == "image_url", F.struct(F.lit("url").alias("type"), F.lit("image/jpeg").alias("media_type"), c["url"].alias("data")))
+        return F.struct(kind.alias("type"), F.when(c["type"] == "text", c["text"]).alias("text"), image.alias("source"),
+                        F.when(c["type"] == "tool_call", c["id"]).alias("id"), F.when(c["type"] == "tool_call", c["name"]).alias("name"),
+                        F.when(c["type"] == "tool_call", F.try_parse_json(c["arguments"])).alias("input"),
+                        F.when(c["type"] == "tool_result", c["tool_id"]).alias("tool_use_id"), F.when(c["type"] == "tool_result", c["text"]).alias("content"))
+    return F.transform(m["content"], block)
 
 
 def from_universal_anthropic(u):
-    msgs = u["messages"]
+    """System as a field, tool -> user, a filler message between equal
+    consecutive roles, tools as name / description / input_schema, max_tokens
+    4096 unless given."""
+    msgs = F.filter(u["messages"], lambda m: m["role"] != "system")
     roles = F.transform(msgs, lambda m: F.when(m["role"] == "assistant", "assistant").otherwise("user"))
-    n = F.size(msgs)
-    idx = F.sequence(F.lit(1), n)
+    filler = F.array(F.struct(*[x.alias(n) for n, x in {
+        "type": F.lit("text"), "text": F.lit(DUMMY_TEXT), "source": F.lit(None).cast("struct<type:string,media_type:string,data:string>"),
+        "id": F.lit(None).cast("string"), "name": F.lit(None).cast("string"), "input": F.lit(None).cast("variant"),
+        "tool_use_id": F.lit(None).cast("string"), "content": F.lit(None).cast("string")}.items()]))
 
     def emit(i):
         r = F.element_at(roles, i)
-        prev = F.when(i > 1, F.element_at(roles, F.greatest(i - 1, F.lit(1))))
-        dummy = F.struct(F.when(r == "user", "assistant").otherwise("user").alias("role"), F.lit(True).alias("dummy"))
-        real = F.struct(r.alias("role"), F.lit(False).alias("dummy"))
-        return F.when(prev.isNotNull() & (prev == r), F.array(dummy, real)).otherwise(F.array(real))
-
-    return F.when(n > 0, F.flatten(F.transform(idx, emit))).otherwise(
-        F.array().cast("array<struct<role:string, dummy:boolean>>"))
+        real = F.struct(r.alias("role"), _blocks(F.element_at(msgs, i)).alias("content"))
+        dummy = F.struct(F.when(r == "user", "assistant").otherwise("user").alias("role"), filler.alias("content"))
+        return F.when((i > 1) & (F.element_at(roles, F.greatest(i - 1, F.lit(1))) == r), F.array(dummy, real)).otherwise(F.array(real))
+
+    messages = F.when(F.size(msgs) > 0, F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size(msgs), F.lit(1))), emit))) \
+        .otherwise(F.array().cast(f"array<struct<role:string,content:{_BLOCK}>>"))
+    usable = F.filter(u["tools"], lambda t: (_get(t, "$.type", "string") == "function") & _get(t, "$.function.name", "string").isNotNull())
+    tools = F.transform(usable, lambda t: F.struct(
+        _get(t, "$.function.name", "string").alias("name"), F.coalesce(_get(t, "$.function.description", "string"), F.lit("")).alias("description"),
+        F.coalesce(_get(t, "$.function.parameters"), F.parse_json(F.lit('{"type":"object","properties":{}}'))).alias("input_schema")))
+    return F.when(u.isNotNull(), F.struct(
+        u["system_prompt"].alias("system"), messages.alias("messages"), _some(tools).alias("tools"), u["temperature"].alias("temperature"),
+        u["top_p"].alias("top_p"), F.coalesce(u["max_tokens"], F.lit(ANTHROPIC_DEFAULT_MAX_TOKENS)).alias("max_tokens"),
+        u["stop"].alias("stop_sequences"), u["stream"].alias("stream"), u["model"].alias("model")))
 
 
 def from_universal_gemini(u):
-    return F.transform(u["messages"], lambda m: F.struct(
+    """Assistant / tool -> model, others -> user, text parts only,
+    systemInstruction, generationConfig only when it has a field."""
+    contents = F.transform(u["messages"], lambda m: F.struct(
         F.when(m["role"].isin("assistant", "tool"), "model").otherwise("user").alias("role"),
-        F.size(F.filter(m["content"], lambda c: c["type"] == "text")).alias("n_parts")))
+        F.transform(_of(m, "text"), lambda c: F.struct(c["text"].alias("text"))).alias("parts")))
+    system = F.when(u["system_prompt"].isNotNull(), F.struct(F.array(F.struct(u["system_prompt"].alias("text"))).alias("parts")))
+    given = u["temperature"].isNotNull() | u["top_p"].isNotNull() | u["max_tokens"].isNotNull() | u["stop"].isNotNull()
+    config = F.when(given, F.struct(u["temperature"].alias("temperature"), u["top_p"].alias("topP"),
+                                    u["max_tokens"].alias("maxOutputTokens"), u["stop"].alias("stopSequences")))
+    return F.when(u.isNotNull(), F.struct(contents.alias("contents"), system.alias("systemInstruction"), config.alias("generationConfig")))
 
 
 def _openai_payloads(spark, sf_dir):
@@ -150,68 +205,67 @@ def to_universal_q(spark, sf_dir):
                     n_calls.cast("bigint").alias("n_tool_calls"))
 
 
-@query("from_universal_openai", sql=_EXPECT + """
-SELECT conv_id AS payload_id,
-       CASE WHEN system_prompt IS NOT NULL THEN 'system,' ELSE '' END || roles AS roles,
-       last_content
-FROM u WHERE conv_id % 37 <> 0
+# The fixture's one tool, keys sorted as VARIANT keeps them.
+_PARAMS = ('{"examples":[{"turn":1}],"properties":{"title":{"type":"string"},"turn":{"description":"Turn number","type":"integer"}},'
+           '"title":"Lookup","type":"object"}')
+_TOOL = '{"function":{"description":"First tool","name":"tool_0","parameters":' + _PARAMS + '},"type":"function"}'
+_MODEL = "CASE WHEN conv_id % 41 = 0 THEN '' ELSE ',\"model\":\"gpt-4o\"' END"
+# Every payload rebuilt in full from the base columns.
+_FULL = _EXPECT + """
+, m AS (
+  SELECT *, CAST(to_json(text) AS VARCHAR) AS j, role = 'assistant' AND (conv_id + turn) % 3 = 0 AS has_call,
+         'call_' || conv_id || '_' || turn AS call_id, 'tool_' || (turn % 4) AS tool, '{"conv":' || conv_id || ',"turn":' || turn || '}' AS args
+  FROM c WHERE role <> 'system' AND (text <> '' OR (role = 'assistant' AND (conv_id + turn) % 3 = 0))
+)
+"""
+
+
+@query("from_universal_openai", sql=_FULL + f"""
+, b AS (SELECT conv_id, string_agg('{{"role":"' || role || '"' || CASE WHEN text <> '' THEN ',"content":' || j ELSE '' END ||
+    CASE WHEN has_call THEN ',"tool_calls":[{{"id":"' || call_id || '","type":"function","function":{{"name":"' || tool || '","arguments":'
+         || CAST(to_json(args) AS VARCHAR) || '}}}}]' ELSE '' END || '}}', ',' ORDER BY turn) AS msgs FROM m GROUP BY conv_id)
+SELECT conv_id AS payload_id, '{{"messages":[' || concat_ws(',', '{{"role":"system","content":' || CAST(to_json(system_prompt) AS VARCHAR) || '}}', msgs) || ']'
+  || CASE WHEN conv_id % 2 = 0 THEN ',"tools":[{_TOOL}]' ELSE '' END || {_MODEL} || '}}' AS payload
+FROM u LEFT JOIN b USING (conv_id) WHERE conv_id % 37 <> 0
 """)
 def from_universal_openai_q(spark, sf_dir):
-    p = _openai_payloads(spark, sf_dir)
-    m = from_universal_openai(to_universal(F.col("body")))
-    return (p.select("payload_id", m.alias("m")).filter(F.col("m").isNotNull())
-            .select("payload_id", _roles(F.col("m")).alias("roles"),
-                    F.try_element_at("m", F.lit(-1))["content"].alias("last_content")))
-
-
-@query("from_universal_anthropic", sql=_EXPECT + """
-, r AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END AS ar,
-               lag(CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END)
-                   OVER (PARTITION BY conv_id ORDER BY turn) AS prev
-        FROM c WHERE role <> 'system')
-SELECT r.conv_id AS payload_id,
-       string_agg(CASE WHEN prev = ar THEN CASE WHEN ar = 'user' THEN 'assistant' ELSE 'user' END || ',' ELSE '' END
-                  || ar, ',' ORDER BY turn) AS roles,
-       count(*) FILTER (WHERE prev = ar) AS dummies,
-       any_value(u.system_prompt) IS NOT NULL AS has_system,
-       """ + str(ANTHROPIC_DEFAULT_MAX_TOKENS) + """ AS max_tokens
-FROM r JOIN u USING (conv_id) WHERE r.conv_id % 37 <> 0 GROUP BY r.conv_id
+    return _rendered(spark, sf_dir, from_universal_openai)
+
+
+@query("from_universal_anthropic", sql=_FULL + f"""
+, r AS (SELECT *, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END AS ar,
+               lag(CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM m),
+b AS (SELECT conv_id, string_agg(
+    CASE WHEN prev = ar THEN '{{"role":"' || CASE WHEN ar = 'user' THEN 'assistant' ELSE 'user' END || '","content":[{{"type":"text","text":"{DUMMY_TEXT}"}}]}},' ELSE '' END
+    || '{{"role":"' || ar || '","content":[' || concat_ws(',', CASE WHEN text <> '' THEN '{{"type":"text","text":' || j || '}}' END,
+       CASE WHEN has_call THEN '{{"type":"tool_use","id":"' || call_id || '","name":"' || tool || '","input":' || args || '}}' END) || ']}}', ',' ORDER BY turn) AS msgs
+  FROM r GROUP BY conv_id)
+SELECT conv_id AS payload_id, '{{' || CASE WHEN system_prompt IS NULL THEN '' ELSE '"system":' || CAST(to_json(system_prompt) AS VARCHAR) || ',' END
+  || '"messages":[' || coalesce(msgs, '') || ']'
+  || CASE WHEN conv_id % 2 = 0 THEN ',"tools":[{{"name":"tool_0","description":"First tool","input_schema":{_PARAMS}}}]' ELSE '' END
+  || ',"max_tokens":{ANTHROPIC_DEFAULT_MAX_TOKENS}' || {_MODEL} || '}}' AS payload
+FROM u LEFT JOIN b USING (conv_id) WHERE conv_id % 37 <> 0
 """)
 def from_universal_anthropic_q(spark, sf_dir):
-    """System skipped (sent as ``system``), tool -> user, a ``<dummy>``
-    message between equal consecutive roles, max_tokens default 4096."""
-    p = _openai_payloads(spark, sf_dir)
-    u = to_universal(F.col("body"))
-    a = from_universal_anthropic(u)
-    mt = F.coalesce(F.try_variant_get(F.try_parse_json("body"), "$.max_tokens", "int"),
-                    F.lit(ANTHROPIC_DEFAULT_MAX_TOKENS))
-    return (p.select("payload_id", u.alias("u"), a.alias("a"), mt.alias("max_tokens")).filter(F.col("u").isNotNull())
-            .select("payload_id", _roles(F.col("a")).alias("roles"),
-                    F.size(F.filter("a", lambda x: x["dummy"])).cast("bigint").alias("dummies"),
-                    F.col("u.system_prompt").isNotNull().alias("has_system"), "max_tokens"))
-
-
-@query("from_universal_gemini", sql=_EXPECT + """
-SELECT conv_id AS payload_id,
-       replace(replace(roles, 'assistant', 'model'), 'tool', 'model') AS roles,
-       system_prompt IS NOT NULL AS has_system_instruction, false AS has_generation_config
-FROM u WHERE conv_id % 37 <> 0
+    return _rendered(spark, sf_dir, from_universal_anthropic)
+
+
+@query("from_universal_gemini", sql=_FULL + """
+, b AS (SELECT conv_id, string_agg('{"role":"' || CASE WHEN role IN ('assistant', 'tool') THEN 'model' ELSE 'user' END || '","parts":['
+    || CASE WHEN text <> '' THEN '{"text":' || j || '}' ELSE '' END || ']}', ',' ORDER BY turn) AS msgs FROM m GROUP BY conv_id)
+SELECT conv_id AS payload_id, '{"contents":[' || coalesce(msgs, '') || ']'
+  || CASE WHEN system_prompt IS NULL THEN '' ELSE ',"systemInstruction":{"parts":[{"text":' || CAST(to_json(system_prompt) AS VARCHAR) || '}]}' END || '}' AS payload
+FROM u LEFT JOIN b USING (conv_id) WHERE conv_id % 37 <> 0
 """)
 def from_universal_gemini_q(spark, sf_dir):
-    """system/user -> user, assistant/tool -> model, text parts only,
-    systemInstruction from the system prompt, generationConfig only when non-empty."""
-    p = _openai_payloads(spark, sf_dir)
-    u = to_universal(F.col("body"))
-    v = F.try_parse_json("body")
-    gen = (F.try_variant_get(v, "$.temperature", "double").isNotNull()
-           | F.try_variant_get(v, "$.top_p", "double").isNotNull()
-           | F.try_variant_get(v, "$.max_tokens", "int").isNotNull()
-           | F.try_variant_get(v, "$.stop", "variant").isNotNull())
-    g = from_universal_gemini(u)
-    return (p.select("payload_id", u.alias("u"), g.alias("g"), gen.alias("gen")).filter(F.col("u").isNotNull())
-            .select("payload_id", _roles(F.col("g")).alias("roles"),
-                    F.col("u.system_prompt").isNotNull().alias("has_system_instruction"),
-                    F.coalesce("gen", F.lit(False)).alias("has_generation_config")))
+    return _rendered(spark, sf_dir, from_universal_gemini)
+
+
+def _rendered(spark, sf_dir, form):
+    """The full JSON payload of every convertible request."""
+    p = _openai_payloads(spark, sf_dir).select("payload_id", to_universal(F.col("body")).alias("u")).filter(F.col("u").isNotNull())
+    return p.select("payload_id", F.to_json(form(F.col("u"))).alias("payload"))
+
 
 
 # ------------------------------------------------------------------ X23

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from agentlake.operators import payloads as PL
 from agentlake.operators import responses as RS
-from agentlake.plans.universal import from_universal_anthropic, to_universal
+from agentlake.plans.universal import (
+    from_universal_anthropic, from_universal_gemini, from_universal_openai, to_universal,
+)
 
 
 def _df(spark, bodies):
@@ -62,9 +64,33 @@ def test_to_universal_errors_and_dummy(spark):
     assert u["system_prompt"] == "s2"
     assert [m["role"] for m in u["messages"]] == ["user", "user", "tool"]
     assert u["messages"][2]["content"][0]["type"] == "tool_result"
-    a = df.filter("payload_id = 0").select(from_universal_anthropic(F.col("u")).alias("a")).first()["a"]
-    assert [(x["role"], x["dummy"]) for x in a] == [("user", False), ("assistant", True), ("user", False),
-                                                    ("assistant", True), ("user", False)]
+    a = df.filter("payload_id = 0").select(F.to_json(from_universal_anthropic(F.col("u"))).alias("a")).first()["a"]
+    filler = {"role": "assistant", "content": [{"type": "text", "text": "<dummy>"}]}
+    assert json.loads(a) == {"system": "s2", "model": "m", "max_tokens": 4096, "messages": [
+        {"role": "user", "content": [{"type": "text", "text": "a"}]}, filler,
+        {"role": "user", "content": [{"type": "text", "text": "b"}]}, filler,
+        {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "t1", "content": "res"}]}]}
+
+
+def test_all_fields_reach_all_providers(spark):
+    body = {"model": "m", "temperature": 0.5, "top_p": 0.9, "max_tokens": 7, "stop": "END", "stream": True,
+            "tools": [{"type": "function", "function": {"name": "f"}}, {"type": "other"}],
+            "messages": [{"role": "user", "content": [{"type": "text", "text": "see"}, {"type": "image_url", "image_url": {"url": "http://i"}}]},
+                         {"role": "assistant", "content": "ok", "tool_calls": [{"id": "c1", "function": {"name": "f", "arguments": "{\"x\":[1,{\"y\":2}]}"}}]},
+                         {"role": "tool", "tool_call_id": "c1", "content": "42"}]}
+    u = to_universal(F.col("body"))
+    row = _df(spark, [body]).select(*[F.to_json(f(u)).alias(f.__name__) for f in (from_universal_openai, from_universal_anthropic, from_universal_gemini)]).first()
+    common = {"temperature": 0.5, "top_p": 0.9, "max_tokens": 7, "stream": True, "model": "m"}
+    assert json.loads(row[0]) == common | {"stop": ["END"], "tools": body["tools"], "messages": [
+        {"role": "user", "content": "see"},
+        {"role": "assistant", "content": "ok", "tool_calls": [{"id": "c1", "type": "function", "function": {"name": "f", "arguments": '{"x":[1,{"y":2}]}'}}]},
+        {"role": "tool", "content": "42", "tool_call_id": "c1"}]}
+    assert json.loads(row[1]) == common | {"stop_sequences": ["END"], "tools": [{"name": "f", "description": "", "input_schema": {"type": "object", "properties": {}}}], "messages": [
+        {"role": "user", "content": [{"type": "text", "text": "see"}, {"type": "image", "source": {"type": "url", "media_type": "image/jpeg", "data": "http://i"}}]},
+        {"role": "assistant", "content": [{"type": "text", "text": "ok"}, {"type": "tool_use", "id": "c1", "name": "f", "input": {"x": [1, {"y": 2}]}}]},
+        {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "c1", "content": "42"}]}]}
+    assert json.loads(row[2]) == {"contents": [{"role": "user", "parts": [{"text": "see"}]}, {"role": "model", "parts": [{"text": "ok"}]}, {"role": "model", "parts": []}],
+                                  "generationConfig": {"temperature": 0.5, "topP": 0.9, "maxOutputTokens": 7, "stopSequences": ["END"]}}
 
 
 def test_openai_response_error_voids_all_calls(spark):

@@ -139,31 +139,41 @@ def response_tool_calls(df: DataFrame, provider: str, id_col: str = "response_id
 
 
 def unify_response(body: Column, provider: Column) -> Column:
-    """OpenAI-shaped view: <content, finish_reason, prompt, completion, total, n_tool_calls>.
-    Anthropic maps tool_use blocks and usage; Gemini keeps the first part's text
-    with zero usage; OpenAI, Cohere and Bedrock pass through unchanged."""
+    """The OpenAI-shaped response as JSON text. Anthropic maps its first text
+    block, complete tool_use blocks and usage; Gemini its first part with zero
+    usage; OpenAI, Cohere and Bedrock pass through unchanged."""
     v = F.try_parse_json(body)
-    oa = F.struct(_get(v, "$.choices[0].message.content", "string").alias("content"),
-                  _get(v, "$.choices[0].finish_reason", "string").alias("finish_reason"),
-                  _get(v, "$.usage.prompt_tokens", "bigint").alias("prompt_tokens"),
-                  _get(v, "$.usage.completion_tokens", "bigint").alias("completion_tokens"),
-                  _get(v, "$.usage.total_tokens", "bigint").alias("total_tokens"),
-                  F.size(F.coalesce(F.try_variant_get(v, "$.choices[0].message.tool_calls", "array<variant>"),
-                                    F.array().cast("array<variant>"))).alias("n_tool_calls"))
+    none = F.lit(None).cast("array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>")
+
+    def completion(id_, model, text, calls, prompt, out):
+        message = F.struct(F.lit("assistant").alias("role"), text.alias("content"), calls.alias("tool_calls"))
+        reason = F.when(calls.isNotNull(), "tool_calls").otherwise("stop")
+        choice = F.struct(F.lit(0).alias("index"), message.alias("message"), reason.alias("finish_reason"))
+        usage = F.struct(prompt.alias("prompt_tokens"), out.alias("completion_tokens"), (prompt + out).alias("total_tokens"))
+        return F.to_json(F.struct(id_.alias("id"), F.lit("chat.completion").alias("object"), F.lit(0).alias("created"), model.alias("model"),
+                                  F.array(choice).alias("choices"), usage.alias("usage")))
+
     blocks = _arr(v, "$.content")
-    uses = F.filter(blocks, lambda b: _get(b, "$.type", "string") == "tool_use")
+    whole = F.filter(blocks, lambda b: (_get(b, "$.type", "string") == "tool_use") & _get(b, "$.id", "string").isNotNull()
+                     & _get(b, "$.name", "string").isNotNull() & F.coalesce(F.schema_of_variant(_get(b, "$.input")).startswith("OBJECT"), F.lit(False)))
+    calls = F.transform(whole, lambda b: F.struct(
+        _get(b, "$.id", "string").alias("id"), F.lit("function").alias("type"),
+        F.struct(_get(b, "$.name", "string").alias("name"), F.to_json(_get(b, "$.input")).alias("arguments")).alias("function")))
     first_text = F.try_element_at(F.filter(blocks, lambda b: _get(b, "$.type", "string") == "text"), F.lit(1))
-    inp = F.coalesce(_get(v, "$.usage.input_tokens", "bigint"), F.lit(0).cast("bigint"))
-    out = F.coalesce(_get(v, "$.usage.output_tokens", "bigint"), F.lit(0).cast("bigint"))
-    an = F.struct(F.coalesce(_get(first_text, "$.text", "string"), F.lit("")).alias("content"),
-                  F.when(F.size(uses) > 0, "tool_calls").otherwise("stop").alias("finish_reason"),
-                  inp.alias("prompt_tokens"), out.alias("completion_tokens"), (inp + out).alias("total_tokens"),
-                  F.size(uses).alias("n_tool_calls"))
     zero = F.lit(0).cast("bigint")
-    ge = F.struct(F.coalesce(_get(v, "$.candidates[0].content.parts[0].text", "string"), F.lit("")).alias("content"),
-                  F.lit("stop").alias("finish_reason"), zero.alias("prompt_tokens"), zero.alias("completion_tokens"),
-                  zero.alias("total_tokens"), F.lit(0).alias("n_tool_calls"))
-    return F.when(provider == "anthropic", an).when(provider == "gemini", ge).otherwise(oa)
+    anthropic = completion(F.coalesce(_get(v, "$.id", "string"), F.lit("chatcmpl-fallback")), F.coalesce(_get(v, "$.model", "string"), F.lit("claude")),
+                           F.coalesce(_get(first_text, "$.text", "string"), F.lit("")), F.when(F.size(calls) > 0, calls),
+                           F.coalesce(_get(v, "$.usage.input_tokens", "bigint"), zero), F.coalesce(_get(v, "$.usage.output_tokens", "bigint"), zero))
+    gemini = completion(F.lit("chatcmpl-gemini"), F.lit("gemini"), F.coalesce(_get(v, "$.candidates[0].content.parts[0].text", "string"), F.lit("")), none, zero, zero)
+    return F.when(provider == "anthropic", anthropic).when(provider == "gemini", gemini).otherwise(body)
+
+
+def unified_fields(body: Column, provider: Column) -> Column:
+    """<content, finish_reason, total_tokens> of the unified response."""
+    v = F.try_parse_json(unify_response(body, provider))
+    return F.struct(_get(v, "$.choices[0].message.content", "string").alias("content"),
+                    _get(v, "$.choices[0].finish_reason", "string").alias("finish_reason"),
+                    _get(v, "$.usage.total_tokens", "bigint").alias("total_tokens"))
 
 
 def response_content(body: Column) -> Column:

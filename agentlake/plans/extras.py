@@ -75,7 +75,7 @@ def usage_tokens(spark, sf_dir):
     conv = read(spark, sf_dir, "conversations")
     pb = conv.filter("turn = 0").select("conv_id", F.octet_length("text").alias("prompt_bytes"))
     r = r.withColumn("conv_id", F.floor(F.col("response_id") / 10)).join(pb, "conv_id", "left")
-    u = RS.unify_response(F.col("body"), F.col("provider"))
+    u = RS.unified_fields(F.col("body"), F.col("provider"))
     v = F.try_parse_json("body")
     text = F.coalesce(F.try_variant_get(v, "$.text", "string"),
                       F.try_variant_get(v, "$.output.message.content[0].text", "string"))

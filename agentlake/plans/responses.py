@@ -41,22 +41,25 @@ _WORDS = "CAST(len(string_split(text, ' ')) AS BIGINT)"
 
 
 @query("unify_response", sql=f"""
-SELECT conv_id * 10 + turn AS response_id,
-       CASE WHEN conv_id % 5 IN (0, 1, 2) THEN text END AS content,
-       CASE WHEN conv_id % 5 = 2 THEN 'stop'
-            WHEN conv_id % 5 IN (0, 1) THEN CASE WHEN (conv_id + turn) % 3 = 0 THEN 'tool_calls' ELSE 'stop' END END
-           AS finish_reason,
-       CASE WHEN conv_id % 5 IN (0, 1) THEN CAST(10 + turn AS BIGINT) WHEN conv_id % 5 = 2 THEN 0 END AS prompt_tokens,
-       CASE WHEN conv_id % 5 IN (0, 1) THEN {_WORDS} WHEN conv_id % 5 = 2 THEN 0 END AS completion_tokens,
-       CASE WHEN conv_id % 5 IN (0, 1) THEN 10 + turn + {_WORDS} WHEN conv_id % 5 = 2 THEN 0 END AS total_tokens,
-       CAST(CASE WHEN conv_id % 5 IN (0, 1) AND (conv_id + turn) % 3 = 0
-                 THEN CASE WHEN (conv_id * 10 + turn) % 13 = 0 THEN 2 ELSE 1 END ELSE 0 END AS INTEGER) AS n_tool_calls
-FROM conversations WHERE role = 'assistant'
+WITH r AS (
+  SELECT conv_id * 10 + turn AS response_id, conv_id % 5 AS fmt, CAST(to_json(text) AS VARCHAR) AS j, (conv_id + turn) % 3 = 0 AS has_call,
+         'call_' || conv_id || '_' || turn AS cid, 'tool_' || (turn % 4) AS tool, '{{"conv":' || conv_id || ',"turn":' || turn || '}}' AS args,
+         CAST(10 + turn AS BIGINT) AS p, {_WORDS} AS n
+  FROM conversations WHERE role = 'assistant'
+)
+SELECT response_id, fmt IN (1, 2) AS rewritten,
+  CASE fmt
+    WHEN 1 THEN '{{"id":"resp-' || response_id || '","object":"chat.completion","created":0,"model":"claude-3-5-sonnet","choices":[{{"index":0,"message":{{"role":"assistant","content":'
+      || j || CASE WHEN has_call THEN ',"tool_calls":[{{"id":"' || cid || '","type":"function","function":{{"name":"' || tool || '","arguments":' || CAST(to_json(args) AS VARCHAR) || '}}}}]' ELSE '' END
+      || '}},"finish_reason":"' || CASE WHEN has_call THEN 'tool_calls' ELSE 'stop' END || '"}}],"usage":{{"prompt_tokens":' || p || ',"completion_tokens":' || n || ',"total_tokens":' || (p + n) || '}}}}'
+    WHEN 2 THEN '{{"id":"chatcmpl-gemini","object":"chat.completion","created":0,"model":"gemini","choices":[{{"index":0,"message":{{"role":"assistant","content":' || j
+      || '}},"finish_reason":"stop"}}],"usage":{{"prompt_tokens":0,"completion_tokens":0,"total_tokens":0}}}}' END AS payload
+FROM r
 """)
 def unify_response(spark, sf_dir):
     r = responses(spark, sf_dir)
-    return r.select("response_id", RS.unify_response(F.col("body"), F.col("provider")).alias("u")).select(
-        "response_id", "u.*")
+    u = RS.unify_response(F.col("body"), F.col("provider"))
+    return r.select("response_id", (u != F.col("body")).alias("rewritten"), F.when(u != F.col("body"), u).alias("payload"))
 
 
 @query("response_content", sql="""

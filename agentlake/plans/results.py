@@ -153,6 +153,11 @@ def unify_anthropic_chunk(line):
             .otherwise(F.lit("")))
 
 
+def unify_gemini_chunk(line):
+    """Data lines pass, everything else (event names, comments) is dropped."""
+    return F.when(line.startswith("data: "), line).otherwise(F.lit(""))
+
+
 @query("unify_chunk", sql="""
 WITH a AS (SELECT conv_id * 10 + turn AS stream_id, text, string_split(text, ' ') AS toks
            FROM conversations WHERE role = 'assistant' AND (conv_id * 10 + turn) % 2 = 1),

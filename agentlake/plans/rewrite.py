@@ -125,7 +125,7 @@ def steer_denied(spark, sf_dir):
         F.struct(F.lit("tool").alias("role"), F.lit(DENY_CONTENT).alias("content")).alias("message"),
         F.lit("stop").alias("finish_reason"))).alias("choices")))
     body = F.when(F.col("denied"), steered).otherwise(F.col("body"))
-    u = RS.unify_response(body, F.lit("openai"))
+    u = RS.unified_fields(body, F.lit("openai"))
     return j.select("response_id", "denied", u["content"].alias("content"), u["finish_reason"].alias("finish_reason"))
 
 

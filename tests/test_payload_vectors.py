@@ -130,3 +130,10 @@ def test_limits_are_off_unless_given(spark):
     piece = "y" * 1000
     chunks = spark.createDataFrame([(1, i, '{"delta":{"text":"%s"}}' % piece, 4) for i in range(400)], "stream_id long, seq long, data string, prompt_bytes long")
     assert len(reassemble(chunks).first()["text"]) == 400_000
+
+
+def test_gemini_chunks_keep_data_lines(spark):
+    from agentlake.plans.results import unify_gemini_chunk
+    lines = ['data: {"candidates":[]}', "event: done", "", ": ping"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
+    assert [r["c"] for r in df.orderBy("i").select(unify_gemini_chunk(F.col("line")).alias("c")).collect()] == [lines[0], "", "", ""]

@@ -227,7 +227,14 @@ ERROR_TAXONOMY = [("InvalidJSON", 400, "INVALID_JSON"), ("MissingModel", 400, "M
                   ("RateLimitExceeded", 429, "RATE_LIMITED"), ("AgentRunawayLoop", 429, "AGENT_RUNAWAY_LOOP"),
                   ("AgentToolStorm", 429, "AGENT_TOOL_STORM"), ("BurnRateExceeded", 429, "BURN_RATE_EXCEEDED"),
                   ("InsufficientFunds", 402, "INSUFFICIENT_FUNDS"), ("Unauthorized", 401, "UNAUTHORIZED"),
-                  ("Forbidden", 403, "FORBIDDEN")]
+                  ("Forbidden", 403, "FORBIDDEN"), ("TenantNotFound", 404, "TENANT_NOT_FOUND"),
+                  ("InvalidTenantId", 400, "INVALID_TENANT_ID"), ("DatabaseError", 500, "DATABASE_ERROR"),
+                  ("ResponseBuild", 500, "INTERNAL_ERROR"), ("UpstreamTimeout", 504, "GATEWAY_TIMEOUT"),
+                  ("UpstreamUnreachable", 503, "UPSTREAM_ERROR"), ("ComplianceFailure", 503, "COMPLIANCE_ERROR"),
+                  ("SecurityTimeout", 503, "SECURITY_TIMEOUT"), ("LoopDetected", 429, "AGENT_LOOP_DETECTED"),
+                  ("Proxy", 500, "INTERNAL_ERROR"), ("RoutingStateMissing", 500, "ROUTING_STATE_MISSING"),
+                  ("BillingAnomaly", 500, "BILLING_ANOMALY"), ("BillingUnavailable", 503, "BILLING_UNAVAILABLE"),
+                  ("ConfigurationError", 500, "CONFIGURATION_ERROR"), ("InternalError", 500, "INTERNAL_ERROR")]
 
 
 @query("error_taxonomy", sql="""

@@ -43,7 +43,17 @@ def test_matches_oracle(spark, con, key):
     assert digest(sdf.columns, srows)[0] == digest(dcols, drows)[0]
 
 
-def test_rows_only_queries_run(spark):
-    for k, q in load_all().items():
-        if not q.sql:
-            assert q.build(spark, SF).count() >= 0
+def test_rows_only_queries_are_near_the_exact_answer(spark):
+    reg = load_all()
+    assert {k for k, q in reg.items() if not q.sql} == {"approx_sessions", "latency_quantiles_approx", "schema_savings"}
+    exact = {tuple(r[:1]): r for r in reg["latency_quantiles"].build(spark, SF).collect()}
+    approx = reg["latency_quantiles_approx"].build(spark, SF).collect()
+    assert approx and len(approx) == len(exact)
+    for r in approx:
+        e = exact[tuple(r[:1])].asDict()
+        for c, v in r.asDict().items():
+            if isinstance(v, float) and c in e:
+                assert abs(v - e[c]) <= 0.1 * max(abs(e[c]), 1), (c, v, e[c])
+    assert reg["approx_sessions"].build(spark, SF).count() > 0
+    for r in reg["schema_savings"].build(spark, SF).collect():
+        assert r["bytes_saved"] >= 0 and r["bytes_before"] > 0 and r["bytes_saved"] >= r["bytes_before"] - r["bytes_after"]

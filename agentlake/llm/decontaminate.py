@@ -28,7 +28,8 @@ spaces. Items without an anchor or shorter than the least window are looked up
 exactly. Defined results: null and empty documents and items match nothing; an
 item that stands several times in a document gives its best place (least
 distance, then first); repeated rows give their results each; empty tables give
-an empty result; extra columns are ignored.
+an empty result; rows without a doc_id have no row in ``leaks`` (``clean`` judges
+them like all others); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -227,7 +228,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_rate: float = MAX_RATE, blo
                     out += [(pdf["doc_id"].iloc[first + d], known.items[n][0], *found) for d, n, *found in known.find(group)]
                 if out:
                     yield pd.DataFrame(out, columns=["doc_id", "item_id", "distance", "start", "stop"])
-        return docs.select("doc_id", "text").mapInPandas(run, schema)
+        return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(run, schema)
 
     found = [against(index) for index in _indexes(docs, benchmark, max_rate, block_items, seed)]
     return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], schema)

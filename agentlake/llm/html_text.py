@@ -401,11 +401,11 @@ def learn(pages: list[str], seed: int = SEED, variants: int = 4) -> dict:
 def fit(pages: DataFrame, max_pages: int = MAX_PAGES, seed: int = SEED) -> str:
     """Trains in one task on a bounded sample; returns the model as JSON."""
     small_batches(pages.sparkSession)
-    chosen = pages.where("html IS NOT NULL AND html <> ''").select("page_id", "html", F.xxhash64("page_id").alias("h")) \
+    chosen = pages.where("html IS NOT NULL AND html <> ''").select(F.coalesce("page_id", F.lit(0)).cast("long").alias("page_id"), "html", F.xxhash64("page_id").alias("h")) \
         .orderBy("h", "page_id", F.xxhash64("html")).limit(max_pages).select("page_id", "html")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = sorted((int(r.page_id or 0), r.html) for pdf in frames for r in pdf.itertuples())
+        rows = sorted((int(r.page_id), r.html) for pdf in frames for r in pdf.itertuples())
         yield pd.DataFrame({"model": [json.dumps(learn([h for _, h in rows], seed))]})
 
     model = chosen.repartition(1).mapInPandas(run, "model string").collect()

@@ -29,7 +29,7 @@ broadcast. Their number is no cap: any split into two classes gives all links.
 
 Defined results: null, empty and blank texts have the empty set, no links and
 themselves as component; fewer than k words: the whole sequence as one shingle;
-repeated rows of a doc_id are one document (its texts' first set by fingerprint
+rows without a doc_id are left out; repeated rows of a doc_id are one document (its texts' first set by fingerprint
 is kept); an empty table gives an empty result; extra columns are ignored.
 """
 

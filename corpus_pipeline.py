@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agentlake.llm import decontaminate, jaccard, mixing, pseudonyms, quality
-from agentlake.llm.common import read, small_batches, stored
+from agentlake.llm.common import read, stored
 from agentlake.llm.queries import PII_KEY
+from agentlake.session import ship_package
 
 #: A document goes if it is likelier of low than of high quality.
 LEAST_QUALITY = 0.5
@@ -23,13 +24,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from all labelled ones it is given."""
-    small_batches(spark)
+    ship_package(spark)
     model = quality.fit(docs, read(spark, sf_dir, "labels"))
     return quality.scored(docs.select(*COLUMNS), model, "__score").where(F.col("__score") >= LEAST_QUALITY).drop("__score")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document (least doc_id) of each component of similar documents: five-word shingles, similarity 0.8."""
+    ship_package(spark)
     found = jaccard.join(docs, k=5, num=80, den=100)
     later = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id")
     return docs.select(*COLUMNS).join(later, "doc_id", "left_anti")
@@ -37,12 +39,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item stands."""
+    ship_package(spark)
     return decontaminate.clean(docs.select(*COLUMNS), read(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal values replaced by pseudonyms."""
-    small_batches(spark)
+    ship_package(spark)
     done = pseudonyms.pseudonymize(docs.select(*COLUMNS), PII_KEY)
     return done.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 

@@ -77,7 +77,7 @@ def test_all_exact_copies_and_no_clean_document(spark):
 
 def test_nulls_short_long_repeated_ties_and_blocks(spark):
     item = "Some quite ordinary benchmark passage that stands here with enough words to be found, even twice."
-    rows = [(1, None), (2, ""), (3, f"x {item} y {item}"), (4, "pad " * 200000 + item.upper()), (5, item), (5, item), (6, "tiny thing"), (7, "nothing of it")]
+    rows = [(1, None), (2, ""), (3, f"x {item} y {item}"), (4, "pad " * 200000 + item.upper()), (5, item), (5, item), (6, "tiny thing"), (7, "nothing of it"), (None, item)]
     docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, item_id long")
     bench = spark.createDataFrame([(1, item, "z"), (2, None, "z"), (3, "", "z"), (4, "tiny thing", "z"), (None, item, "z")], "item_id long, text string, doc_id string")
     want = [(3, 1, 2), (4, 1, 800000), (5, 1, 0), (5, 1, 0), (6, 4, 0)]

@@ -87,5 +87,6 @@ def test_nulls_broken_long_repeated_and_empty_table(spark, model):
     got = {r["page_id"]: r["main"] for r in H.extract(df, json.dumps(model), name="main").collect()}
     assert all(got[i] == got[i + len(odd)] for i in range(len(odd))) and got[0] == got[1] == got[7] == ""
     assert got[9].count("\n") == 19999
+    assert H.fit(df.selectExpr("CAST(NULL AS LONG) AS page_id", "html")).startswith("{")
     empty = df.limit(0)
     assert H.extract(empty, H.fit(empty)).count() == 0

@@ -210,10 +210,14 @@ def block_links(ids: list[int], sets: list[np.ndarray], left: list[bool], right:
     sets = [sets[i] for i in order]
     ids, left, right = np.array(ids)[order], np.array(left)[order], np.array(right)[order]
     sizes = np.array([len(s) for s in sets])
-    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    ends = np.concatenate([[0], np.cumsum(sizes)])
+    # only shingles that stand in two sets of the block can be shared: the others keep no place
+    _, codes, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = times > 1
+    kept = common[codes]
+    ends = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(sizes)])]
+    codes = (np.cumsum(common) - 1).astype(np.int32)[codes[kept]]
     sketches = np.frombuffer(b"".join(sketch(s) for s in sets), np.uint8).reshape(-1, 128).astype(np.int16)
-    root, seen = np.arange(len(ids)), np.zeros(int(codes.max(initial=-1)) + 1, np.int32)
+    root, seen = np.arange(len(ids)), np.zeros(int(common.sum()), bool)
     floor, ceil = np.searchsorted(den * sizes, num * sizes, "left"), np.searchsorted(num * sizes, den * sizes, "right")
     out = []
     for i in range(len(ids)):
@@ -229,13 +233,15 @@ def block_links(ids: list[int], sets: list[np.ndarray], left: list[bool], right:
         near = near[apart * (den + num) <= (den - num) * (sizes[near] + sizes[i])]
         if not len(near):
             continue
-        seen[codes[ends[i]:ends[i + 1]]] = 1
-        if len(near) > 8:
-            a, z = near[0], near[-1]
-            shared = np.add.reduceat(seen[codes[ends[a]:ends[z + 1]]], ends[a:z + 1] - ends[a])[near - a]
+        own = codes[ends[i]:ends[i + 1]]
+        seen[own] = True
+        a, z = ends[near[0]], ends[near[-1] + 1]
+        if 2 * (ends[near + 1] - ends[near]).sum() > z - a and len(near) > 8:
+            upto = np.concatenate([[0], np.cumsum(seen[codes[a:z]], dtype=np.int32)])
+            shared = upto[ends[near + 1] - a] - upto[ends[near] - a]
         else:
-            shared = np.array([seen[codes[ends[j]:ends[j + 1]]].sum() for j in near])
-        seen[codes[ends[i]:ends[i + 1]]] = 0
+            shared = np.array([np.count_nonzero(seen[codes[ends[j]:ends[j + 1]]]) for j in near])
+        seen[own] = False
         for j in near[den * shared >= num * (sizes[near] + sizes[i] - shared)]:
             if root[i] != root[j]:
                 out.append((int(ids[i]), int(ids[j])))

@@ -353,9 +353,16 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, small: int
 
 def _forests(rows: DataFrame, num: int, den: int) -> DataFrame:
     """(sig, node, n, sketch) -> edges (u, v): for each list a spanning forest of
-    the pairs that size and sketch leave open."""
+    the pairs that size and sketch leave open. A task sends no edge between nodes
+    that its edges connect already, so lists with the same members cost one forest."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sent: set[tuple[int, int]] = set()
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
         for _, pdf in _by_key(frames, "sig"):
             pdf = pdf.sort_values(["n", "node"], kind="stable")
             ids, sizes = pdf["node"].tolist(), pdf["n"].to_numpy()
@@ -371,10 +378,10 @@ def _forests(rows: DataFrame, num: int, den: int) -> DataFrame:
                 for j in near[apart * (den + num) <= (den - num) * (sizes[near] + sizes[i])]:
                     if root[j] != root[i]:
                         root[root == root[j]] = root[i]
-                        pair = (min(ids[i], ids[j]), max(ids[i], ids[j]))
-                        if pair not in sent:
-                            out.append(pair)
-            sent.update(out)
+                        a, b = top(ids[i]), top(ids[j])
+                        if a != b:
+                            up[max(a, b)] = min(a, b)
+                            out.append((ids[i], ids[j]))
             if out:
                 yield pd.DataFrame(out, columns=["u", "v"])
 

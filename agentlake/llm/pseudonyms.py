@@ -6,7 +6,15 @@ keyed Feistel network: a card number becomes another valid card number, a date
 another date, an address another address of the same shape. The permutation
 depends on key and kind only, so equal values get equal pseudonyms in all
 documents and partitions without any exchange of data, and whoever holds the
-key can undo them.
+key can undo them. Only where a pseudonym would make a candidate beside it valid
+that was not (a chance of one in ten for each overlapping number that could be a
+card) is another one taken in its place, so that undoing stays exact.
+
+Numbers often stand side by side, so every start and every end at a separator is
+tried: a value is found whatever number is before or behind it. Text in the shape
+of a date, address, SSN, IBAN or card in four groups of four whose check fails is
+not taken for a phone, and numbers that are phones throughout are not cut into
+cards of unusual groups.
 
 The Feistel cipher E is made a bijection of any set of N values by walking its
 cycle until the value is below N. What is applied is E^-1(E(x) + 1 mod N): also
@@ -22,8 +30,10 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,18 +45,32 @@ ROUNDS = 8
 FIRST_DAY, DAYS = datetime.date(1000, 1, 1).toordinal(), datetime.date(2999, 12, 31).toordinal() - datetime.date(1000, 1, 1).toordinal() + 1
 
 _B, _E = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
-PATTERNS = {
+#: Kinds that their surroundings mark; they are always valid and taken first.
+MARKED = {
     "email": r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "secret": r"(?i:pass(?:word|wd|phrase)|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<secret_value>[A-Za-z0-9+/_.-]{8,})",
     "access_key": _B + r"(?:AKIA|ASIA)[A-Z0-9]{16}" + _E,
-    "iban": _B + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?" + _E,
-    "date": _B + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![0-9A-Za-z]|[./-][0-9])",
-    "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
-    "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
-    "card": r"(?<![0-9A-Za-z+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|-[0-9])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{1,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9A-Za-z]|[.-][0-9])|(?<![0-9A-Za-z])\+[0-9]{8,15}(?![0-9A-Za-z])",
 }
-FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
+FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in MARKED.items()))
+#: Kinds with one shape.
+SHAPES = {
+    "date": re.compile(r"(?<![0-9A-Za-z+])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}(?P<sep>[/.])[0-9]{2}(?P=sep)[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])"),
+    "ip": re.compile(r"(?<![0-9A-Za-z.+])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"),
+    "ssn": re.compile(r"(?<![0-9A-Za-z+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"),
+}
+#: All other values stand in stretches of these characters.
+STRETCH = re.compile(r"[0-9A-Z+(][0-9A-Z ./()+-]{6,}")
+NUMBER = re.compile(_B + "[0-9]+" + _E)
+IBAN_START, IBAN = re.compile(_B + "[A-Z]{2}[0-9]{2}(?=[ A-Z0-9])"), re.compile("[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?")
+IBAN_LENGTHS = {c: int(n) for n, cs in {
+    "15": "NO", "16": "BE", "18": "DK FI FK FO GL NL SD", "19": "MK SI", "20": "AT BA EE KZ LT LU MN XK", "21": "CH HR LI LV",
+    "22": "BG BH CR DE GB GE IE ME RS VA", "23": "AE GI IL IQ OM SO TL", "24": "AD CZ ES MD PK RO SA SE SK TN VG", "25": "LY PT ST",
+    "26": "IS TR", "27": "BI DJ FR GR IT MC SM", "28": "AL AZ BY CY DO GT HU LB NI PL SV", "29": "BR EG PS QA UA", "30": "JO KW MU YE", "31": "MT SC", "32": "LC", "33": "RU"}.items() for c in cs.split()}
+#: Digits in the groups of printed cards, besides all 13 to 19 in one.
+CARD_GROUPS = {(4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4), (4, 3, 3, 3), (4, 4, 5), (6, 13), (8, 8)}
+_PHONE = _B + r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{1,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{2,4}(?:[ .-][0-9]{2,4}){%d}(?![0-9A-Za-z]|[.-][0-9])"
+PHONE_START = re.compile(_B + r"(?:[0-9]{2,4}[ .-]|[+(][0-9])")
+PHONES = [re.compile(_PHONE % n) for n in (1, 2, 3)] + [re.compile(_B + r"\+[0-9]{8,15}" + _E)]
 #: Every pattern needs one of these.
 GATE = "0123456789@=:"
 
@@ -220,29 +244,182 @@ def _phone(v, step):
 KINDS = {"email": _email, "secret": _secret, "access_key": _access_key, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone}
 
 
+#: No candidate is longer.
+LONGEST = 48
+
+
+def _marked(n: int, spans) -> bytearray:
+    out = bytearray(n)
+    for i, j, *_ in spans:
+        out[i:j] = b"\1" * (j - i)
+    return out
+
+
+def _ibans(t: str) -> Iterator[tuple[int, int, str]]:
+    """At each start, what has the length of its country, then longer before shorter ones."""
+    for m in IBAN_START.finditer(t):
+        i, ends = m.start(), []
+        for j in range(i + 12, min(len(t), i + 45) + 1):
+            if t[j - 1] != " " and not (j < len(t) and t[j].isascii() and t[j].isalnum()) and IBAN.fullmatch(t, i, j):
+                n = j - i - t.count(" ", i, j)
+                if 15 <= n <= 34:
+                    ends.append((n != IBAN_LENGTHS.get(t[i:i + 2]), -n, j))
+        yield from ((i, j, "iban") for _, _, j in sorted(ends))
+
+
+def _runs(t: str) -> list[list[tuple[int, int]]]:
+    """Numbers joined by single spaces or hyphens."""
+    runs: list[list[tuple[int, int]]] = []
+    for m in NUMBER.finditer(t):
+        if runs and m.start() - runs[-1][-1][1] == 1 and t[m.start() - 1] in " -":
+            runs[-1].append(m.span())
+        else:
+            runs.append([m.span()])
+    return runs
+
+
+def _cards(t: str, run: list[tuple[int, int]]) -> tuple[list, list]:
+    """Candidates of 13 to 19 digits: (in the groups of printed cards, all others, longest first)."""
+    printed, others = [], []
+    for a, (i, _) in enumerate(run):
+        if t[i - 1:i] == "+":
+            continue
+        groups: tuple[int, ...] = ()
+        for b in range(a, len(run)):
+            groups += (run[b][1] - run[b][0],)
+            n, j = sum(groups), run[b][1]
+            if n > 19:
+                break
+            if n < 13:
+                continue
+            if len(groups) == 1 or groups in CARD_GROUPS:
+                printed.append((i, j, "card"))
+            # the first or last number must not be part of an address, date or fraction
+            elif not (t[i - 1:i] in (".", "/") and t[i - 2:i - 1].isdigit()) and not (t[j:j + 1] in (".", "/") and t[j + 1:j + 2].isdigit()):
+                others.append((-n, i, j))
+    return printed, [(i, j, "card") for _, i, j in sorted(others)]
+
+
+def _phones(t: str, lo: int, hi: int, barred: bytearray) -> list[tuple[int, int, str]]:
+    """The phones that cover most digits of t[lo:hi], as few of them as can; decided by shape alone."""
+    found = []
+    for m in PHONE_START.finditer(t, lo, hi):
+        for p in PHONES:
+            c = p.match(t, m.start())
+            if c and c.end() <= hi and 8 <= (n := len(_alnum(c[0]))) <= 15 and barred.find(1, *c.span()) < 0:
+                found.append((c.end(), -c.start(), n))
+    ends, best = [lo], [(0, 0, None)]  # (digits, -phones, (phone, state before it))
+    for j, i, n in sorted(set(found)):
+        k = bisect_right(ends, -i) - 1
+        new = (best[k][0] + n, best[k][1] - 1, ((-i, j, "phone"), best[k][2]))
+        if new[:2] > best[-1][:2]:
+            ends.append(j)
+            best.append(new)
+    out, link = [], best[-1][2]
+    while link:
+        out.append(link[0])
+        link = link[1]
+    return out[::-1]
+
+
+def _candidates(t: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]]]:
+    """All candidates of checked kinds in a stretch, by precedence, and the
+    spans in the printed shape of one, which are no phones. Depends on shapes only."""
+    ibans = list(_ibans(t))
+    shaped = [(*m.span(), kind) for kind, p in SHAPES.items() for m in p.finditer(t)]
+    barred = _marked(len(t), shaped)
+    printed, whole, others, rows = [], [], [], []
+    for run in _runs(t):
+        p, o = _cards(t, run)
+        printed += p
+        for four, group in groupby(run, lambda x: x[1] - x[0] == 4):
+            group = list(group)
+            if four and len(group) == 4:
+                rows.append((group[0][0], group[-1][1]))
+        lo, hi = run[0][0], run[-1][1]
+        whole += [c for c in o if c[:2] == (lo, hi)]
+        o = [c for c in o if c[:2] != (lo, hi)]
+        if o:
+            phones = _phones(t, lo, hi, barred)
+            # numbers that are phones throughout are not cut into cards
+            if sum(j - i + 1 for i, j, _ in phones) - 1 < hi - lo:
+                others += o
+    firsts = {i: (i, j) for i, j, _ in reversed(ibans)}
+    return ibans + shaped + printed + whole + others, [c[:2] for c in shaped] + rows + list(firsts.values())
+
+
 class Pseudonymizer:
-    """Row-local: texts in, texts with pseudonyms out."""
+    """Row-local: texts in, texts with pseudonyms out.
+
+    In a stretch of numbers and capitals the values of checked kinds are taken by
+    precedence (IBANs; dates, addresses, SSNs; cards as printed; other cards),
+    then phones from what is left. A pseudonym must not make a candidate valid
+    that came before its value: its permutation is walked on until none is, so
+    that the new text has its values at the same places and can be undone."""
 
     def __init__(self, key: bytes, undo: bool = False):
         cipher = Feistel(key)
         step = cipher.undo if undo else cipher.apply
-        self.value = lru_cache(maxsize=1 << 16)(lambda kind, v: KINDS[kind](v, step))
+        self.undo, self.value = undo, lru_cache(maxsize=1 << 16)(lambda kind, v: KINDS[kind](v, step))
 
     def text(self, t: str) -> tuple[str, dict[str, int]]:
         found: dict[str, int] = {}
         if not any(c in t for c in GATE):
             return t, found
-
-        def swap(m: re.Match) -> str:
+        new, hidden, at = [], [], 0
+        for m in FINDER.finditer(t):
             kind = m.lastgroup if m.lastgroup != "secret_value" else "secret"
-            v = m["secret_value"] if kind == "secret" else m[0]
-            new = self.value(kind, v)
-            if new is None:
-                return m[0]
-            found[kind] = found.get(kind, 0) + 1
-            return m[0][:-len(v)] + new
-
-        return FINDER.sub(swap, t), found
+            i, j = m.span("secret_value") if kind == "secret" else m.span()
+            new.append((i, j, self.value(kind, t[i:j])))
+            hidden += [t[at:m.start()], "x" * (m.end() - m.start())]
+            found[kind], at = found.get(kind, 0) + 1, m.end()
+        rest = "".join([*hidden, t[at:]])
+        for m in STRETCH.finditer(rest):
+            lo = max(0, m.start() - 1)
+            for i, j, kind, v in self._stretch(rest[lo:m.end() + 1]):
+                new.append((lo + i, lo + j, v))
+                found[kind] = found.get(kind, 0) + 1
+        out, at = [], 0
+        for i, j, v in sorted(new):
+            out += [t[at:i], v]
+            at = j
+        return "".join([*out, t[at:]]), found
+
+    def _stretch(self, t: str) -> list[tuple[int, int, str, str]]:
+        """(start, stop, kind, pseudonym) of the values of a stretch."""
+        candidates, shapes = _candidates(t)
+        taken, rivals, used = [], [], bytearray(len(t))  # with their precedence; rivals are tried in vain
+        for k, c in enumerate(candidates):
+            if used.find(1, c[0], c[1]) < 0:
+                if self.value(c[2], t[c[0]:c[1]]) is None:
+                    rivals.append((c, k))
+                else:
+                    taken.append((c, k))
+                    used[c[0]:c[1]] = b"\1" * (c[1] - c[0])
+        shapes = [x for x in shapes if used.find(1, *x) < 0]
+        barred = _marked(len(t), [x for x, _ in taken] + shapes)
+        taken += [(c, len(candidates)) for c in _phones(t, 0, len(t), barred)]
+        taken.sort()
+        rivals.sort()
+        spans, values = [c for c, _ in taken], [t[c[0]:c[1]] for c, _ in taken]
+
+        def now(lo: int, hi: int) -> str:
+            out, at = [], lo
+            for x in range(max(0, bisect_left(spans, (lo - LONGEST,))), bisect_left(spans, (hi,))):
+                i, j, v = *spans[x][:2], values[x]
+                if at < j:
+                    out += [t[at:i], v if len(v) != j - i else v[max(0, at - i):hi - i]]
+                    at = j
+            return "".join([*out, t[at:hi]])
+
+        for x in reversed(range(len(taken))) if self.undo else range(len(taken)):
+            (i, j, kind), k = taken[x]
+            near = [r for r, n in rivals[bisect_left(rivals, ((i - LONGEST,),)):bisect_left(rivals, ((j,),))] if r[1] > i and n < k]
+            while True:
+                values[x] = self.value(kind, values[x])
+                if all(self.value(r[2], now(r[0], r[1])) is None for r in near):
+                    break
+        return [(*c, v) for c, v in zip(spans, values)]
 
 
 def pseudonymize(docs: DataFrame, key: bytes, text: str = "text", undo: bool = False) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime
+import random
 import re
 
 from hypothesis import given, settings
@@ -72,3 +73,34 @@ def test_all_documents_round_trip(spark):
     back = P.pseudonymize(done.select("doc_id", "text"), KEY, undo=True)
     assert back.select("doc_id", "text").exceptAll(docs).count() == 0
     assert done.where("pii_found > 0").count() > 10
+
+
+def test_values_beside_other_numbers_are_found_and_can_be_undone():
+    p, u = P.Pseudonymizer(KEY), P.Pseudonymizer(KEY, undo=True)
+    for t, kinds in [
+        ("4539148803436467 43.21.141.162", {"card": 1, "ip": 1}),
+        ("4539 1488 0343 6467 12/27", {"card": 1}),
+        ("12-4539148803436467", {"card": 1}),
+        ("45391 48803 436467 12/27", {"card": 1}),
+        ("555 123 4567 555 987 6543", {"phone": 2}),
+        ("+1 (988) 555-2485 4539 1488 0343 6467", {"phone": 1, "card": 1}),
+        ("IBAN DE89370400440532013000 OK", {"iban": 1}),
+        ("AB12 CDEF DE89 3704 0044 0532 0130 00 1234", {"iban": 1}),
+        ("12 34 123-45-6789", {"ssn": 1}),
+        ("12/34.5678 1.2.3.4", {"ip": 1}),
+    ]:
+        new, found = p.text(t)
+        assert found == kinds and u.text(new) == (t, found), (t, new, found)
+    rnd = random.Random(5)
+    number = lambda: "".join(rnd.choices("0123456789", k=rnd.randrange(1, 6)))
+    for _ in range(300):
+        for v in ("4539 1488 0343 6467", "4539148803436467", "43.21.141.162", "123-45-6789", "2024-01-02", "DE89 3704 0044 0532 0130 00"):
+            t = f"{number()} {v} {number()} {v}"
+            new, found = p.text(t)
+            assert v not in new and u.text(new) == (t, found), (t, new)
+
+
+def test_long_stretches_of_numbers_take_linear_time():
+    t = " ".join(str(7 ** i % 99991) for i in range(20000))
+    new, found = P.Pseudonymizer(KEY).text(t)
+    assert sum(found.values()) > 1000 and P.Pseudonymizer(KEY, undo=True).text(new) == (t, found)

@@ -85,3 +85,28 @@ def test_nulls_short_long_repeated_ties_and_blocks(spark):
         got = sorted((r["doc_id"], r["item_id"], r["start"]) for r in X.leaks(docs, bench, block_items=block).collect())
         assert got == want
     assert X.leaks(docs.limit(0), bench).count() == 0 and X.leaks(docs, bench.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("script,size", [("latin", n) for n in (12, 24, 40, 60, 100, 160, 300)] + [("han", n) for n in (60, 150, 400)])
+def test_recall_by_length_and_script_at_the_full_rate(script, size):
+    rnd = random.Random(size)
+    letters = "etaoinshrdlu   " if script == "latin" else [chr(c) for c in range(0x4e00, 0x5e00)]
+    text = lambda n: "".join(rnd.choices(letters, k=n)).encode()
+    items = [(k, (text(size) if script == "latin" else text(size // 3)).strip()) for k in range(60)]
+    index = X.Index(items, X.MAX_RATE)
+    for rate in (0, 0.05, 0.1, X.MAX_RATE):
+        # other letters stand directly beside the copies
+        texts = [text(50) + b"xy" + edited(t, int(rate * len(t)) / len(t), rnd) + b"z" + text(50) for _, t in items]
+        found = {(d, n) for d, n, *_ in index.find(texts)}
+        lost = [k for k in range(len(items)) if (k, k) not in found]
+        assert len(lost) <= (1 if size > 133 and rate else 0), (rate, lost)
+
+
+def test_seeds_and_grams_lose_nothing_of_short_items():
+    rnd = random.Random(9)
+    items = [(k, "".join(rnd.choices("abc ", k=rnd.randrange(1, 60))).encode()) for k in range(40)]
+    texts = ["".join(rnd.choices("abc ", k=80)).encode() for _ in range(12)] + [edited(t, 0.1, rnd) for _, t in items]
+    want = {(d, n) for d, x in enumerate(texts) for n, t in items if levenshtein_search(t, x) <= int(X.MAX_RATE * len(t))}
+    got = {(d, n): e for d, n, e, *_ in X.Index(items, X.MAX_RATE).find(texts)}
+    assert set(got) == want and len(want) > 60
+    assert all(e == levenshtein_search(items[n][1], texts[d]) for (d, n), e in got.items())

@@ -88,9 +88,8 @@ SELECT doc_id, size, source_size, target,
   CAST(size * (goal // greatest(source_size, 1)) + least(greatest(goal - (goal // greatest(source_size, 1)) * source_size - start, 0), size) AS BIGINT) AS taken
 FROM p""")
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole corpus mixed, summed up by document."""
-    taken = mixing.mix(read(spark, sf_dir, "documents"), untaken=True)
-    return taken.groupBy("doc_id", "size", "source_size", "target").agg(F.sum("words").alias("taken"))
+    """The whole corpus mixed: how many words of each document are taken, in all epochs together."""
+    return mixing.taken(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 # -- 4: license scans -------------------------------------------------------------------------------------------------------

@@ -14,7 +14,9 @@ Numbers often stand side by side, so every start and every end at a separator is
 tried: a value is found whatever number is before or behind it. Text in the shape
 of a date, address, SSN, IBAN or card in four groups of four whose check fails is
 not taken for a phone, and numbers that are phones throughout are not cut into
-cards of unusual groups.
+cards of unusual groups. Not covered: dates with month names, two-digit years or
+one-digit days, IPv6 addresses, phones without a country code that have a group
+of one or of more than four digits, names and postal addresses.
 
 The Feistel cipher E is made a bijection of any set of N values by walking its
 cycle until the value is below N. What is applied is E^-1(E(x) + 1 mod N): also
@@ -54,7 +56,7 @@ MARKED = {
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in MARKED.items()))
 #: Kinds with one shape.
 SHAPES = {
-    "date": re.compile(r"(?<![0-9A-Za-z+])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}(?P<sep>[/.])[0-9]{2}(?P=sep)[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])"),
+    "date": re.compile(r"(?<![0-9A-Za-z+])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}(?P<sep>[/.])[0-9]{2}(?P=sep)[0-9]{4})(?!(?!T[0-9]{2}(?::|[0-9]{2}))[0-9A-Za-z]|[./-][0-9])"),
     "ip": re.compile(r"(?<![0-9A-Za-z.+])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"),
     "ssn": re.compile(r"(?<![0-9A-Za-z+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"),
 }
@@ -71,6 +73,8 @@ CARD_GROUPS = {(4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4), (4, 3, 3, 3)
 _PHONE = _B + r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{1,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{2,4}(?:[ .-][0-9]{2,4}){%d}(?![0-9A-Za-z]|[.-][0-9])"
 PHONE_START = re.compile(_B + r"(?:[0-9]{2,4}[ .-]|[+(][0-9])")
 PHONES = [re.compile(_PHONE % n) for n in (1, 2, 3)] + [re.compile(_B + r"\+[0-9]{8,15}" + _E)]
+#: After a country code groups have any length; the total is checked.
+PHONES += [re.compile(_B + r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,10}(?:[ .-][0-9]{1,10}){%d}(?![0-9A-Za-z]|[.-][0-9])" % n) for n in range(7)]
 #: Every pattern needs one of these.
 GATE = "0123456789@=:"
 

@@ -104,3 +104,12 @@ def test_long_stretches_of_numbers_take_linear_time():
     t = " ".join(str(7 ** i % 99991) for i in range(20000))
     new, found = P.Pseudonymizer(KEY).text(t)
     assert sum(found.values()) > 1000 and P.Pseudonymizer(KEY, undo=True).text(new) == (t, found)
+
+
+def test_dates_with_a_time_and_phones_with_groups_of_any_length():
+    p, u = P.Pseudonymizer(KEY), P.Pseudonymizer(KEY, undo=True)
+    for t, kind in [("at 2024-01-02T10:00:00Z", "date"), ("+44 7911 123456", "phone"), ("+49 151 23456789", "phone"), ("+91 98765 43210", "phone"), ("+33 6 12 34 56 78", "phone")]:
+        new, found = p.text(t)
+        assert found == {kind: 1} and u.text(new) == (t, found), (t, new, found)
+        assert kind == "date" or new.split()[0] == t.split()[0] and new.split()[-1] != t.split()[-1], new
+    assert p.text("2024-01-02Tx")[1] == {}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlake.llm import chat_format, decontaminate, html_text, jaccard, license_scan, mixing, pseudonyms, quality, suffix_dedup, topk
+from agentlake.llm import (chat_format, decontaminate, html_text, jaccard, license_scan, mixing, pseudonyms, quality, ranked_search, simhash, suffix_dedup,
+                           tokenizer_alignment, topk)
 from agentlake.llm.common import read
 
 QUERIES: dict = {}
@@ -181,3 +182,46 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.dedup(read(spark, sf_dir, "documents"))
     length = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
     return done.select("doc_id", "n_bytes", length.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# -- 11: cross-tokenizer alignment --------------------------------------------------------------------------------------------
+
+#: Vocabulary files that every machine has.
+TOKENIZERS = "/opt/tokenizers"
+
+
+@query()
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens under both vocabularies, aligned by bytes, with corpus-wide counts of id pairs."""
+    return tokenizer_alignment.measure(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+# -- 12: ranked lexical search ------------------------------------------------------------------------------------------------
+
+_OP12_TERMS = f"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{ranked_search.TERM}')"
+
+
+@query(sql=f"""
+WITH q AS (SELECT DISTINCT item_id, unnest({_OP12_TERMS}) AS term FROM benchmark),
+d AS (SELECT *, CAST(len(ts) AS BIGINT) AS n FROM (SELECT row_number() OVER () AS r, doc_id, {_OP12_TERMS} AS ts FROM documents) WHERE len(ts) > 0),
+g AS (SELECT CAST(count(*) AS BIGINT) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM d),
+f AS (SELECT r, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, doc_id, n, unnest(ts) AS term FROM d)
+      WHERE term IN (SELECT term FROM q) GROUP BY r, doc_id, n, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * max(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, g GROUP BY term),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l)))) AS BIGINT) AS score
+      FROM f JOIN w USING (term) JOIN q USING (term), g GROUP BY item_id, r, doc_id),
+o AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10""")
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of the whole corpus for every benchmark item."""
+    lists = ranked_search.index(read(spark, sf_dir, "documents"))
+    return ranked_search.search(lists, read(spark, sf_dir, "benchmark"), 10)
+
+
+# -- 13: SimHash near-dedup -----------------------------------------------------------------------------------------------------
+
+@query()
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the classes that links of at most 3 bits make."""
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"), k=3, most=3)
+    return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")

@@ -137,34 +137,36 @@ def canonical_json(args: Column) -> Column:
     return _canonical_udf(args)
 
 
-def _flat_text(v: Column) -> Column:
+def _entries(v: Column) -> Column:
+    """The entries of an object without ephemeral keys: key, type, value. Type and
+    value are taken once an entry, for all that reads them later."""
+    pairs = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    kept = F.filter(pairs, lambda e: ~e["key"].isin(EPHEMERAL_KEYS))
+    return F.transform(kept, lambda e: F.struct(e["key"].alias("k"), F.coalesce(F.schema_of_variant(e["value"]), F.lit("VOID")).alias("t"), e["value"].alias("x")))
+
+
+def _flat_text(entries: Column) -> Column:
     """The signature of an object whose values, ephemeral ones aside, are all
     scalars; NULL for anything else. Two equal signatures are both flat in this
     sense or both not, so the two ways below never meet in one class."""
-    kept = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: ~k.isin(EPHEMERAL_KEYS))
-    kind = lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
-    flat = F.forall(F.map_values(kept), lambda x: ~(kind(x).startswith("OBJECT") | kind(x).startswith("ARRAY")))
-
-    def scalar(x: Column) -> Column:
-        text = F.try_variant_get(x, "$", "string")
-        return (F.when(kind(x) == "VOID", "z;").when(kind(x) == "BOOLEAN", F.concat(F.lit("b"), text, F.lit(";")))
-                .when(kind(x) == "STRING", F.concat(F.lit("s"), F.char_length(text).cast("string"), F.lit(":"), text, F.lit(";")))
-                .otherwise(F.concat(F.lit("d"), (F.try_variant_get(x, "$", "double") + 0.0).cast("string"), F.lit(";"))))
-
-    entries = F.transform(F.array_sort(F.map_keys(kept)), lambda k: F.concat(
-        F.lit("s"), F.char_length(k).cast("string"), F.lit(":"), k, F.lit(";"), scalar(F.element_at(kept, k))))
-    return F.when(flat, F.concat(F.lit("{"), F.array_join(entries, ""), F.lit("}")))
+    nested = F.exists(entries, lambda e: e["t"].startswith("OBJECT") | e["t"].startswith("ARRAY"))
+    held = lambda s: F.concat(F.lit("s"), F.char_length(s).cast("string"), F.lit(":"), s, F.lit(";"))
+    text = lambda e: F.try_variant_get(e["x"], "$", "string")
 
+    def scalar(e: Column) -> Column:
+        return (F.when(e["t"] == "STRING", held(text(e))).when(e["t"] == "VOID", "z;").when(e["t"] == "BOOLEAN", F.concat(F.lit("b"), text(e), F.lit(";")))
+                .otherwise(F.concat(F.lit("d"), (F.try_variant_get(e["x"], "$", "double") + 0.0).cast("string"), F.lit(";"))))
 
-def loop_signature(args: Column) -> Column:
-    """64-bit equivalence-class id of a tool call's arguments, in one pass over
-    the rows: flat objects are signed in the JVM, all others go to the Arrow UDF,
-    which is handed NULL for the flat ones."""
-    flat = _flat_text(F.try_parse_json(args))
-    rest = _signature_udf(F.when(flat.isNull(), args))
-    return F.when(flat.isNotNull(), F.xxhash64(F.lit(1), flat)).when(rest.isNotNull(), F.xxhash64(F.lit(2), rest))
+    lines = F.array_sort(F.transform(entries, lambda e: F.struct(e["k"].alias("k"), F.concat(held(e["k"]), scalar(e)).alias("line"))))
+    return F.when(~nested, F.concat(F.lit("{"), F.array_join(F.transform(lines, lambda x: x["line"]), ""), F.lit("}")))
 
 
 def with_loop_signature(df, args_col: str, out_col: str = "sig"):
-    """Add the 64-bit loop signature of ``args_col``."""
-    return df.withColumn(out_col, loop_signature(F.col(args_col)))
+    """Add the loop signature of ``args_col``: a 64-bit equivalence-class id of a tool
+    call's arguments, in one pass over the rows. Flat objects are signed in the JVM, all
+    others go to the Arrow UDF, which is handed NULL for the flat ones. Each step is a
+    column of its own, so that the parse is done once a row."""
+    rows = df.withColumn("_entries", _entries(F.try_parse_json(F.col(args_col)))).withColumn("_flat", _flat_text(F.col("_entries")))
+    rows = rows.withColumn("_rest", _signature_udf(F.when(F.col("_flat").isNull(), F.col(args_col))))
+    signed = F.when(F.col("_flat").isNotNull(), F.xxhash64(F.lit(1), "_flat")).when(F.col("_rest").isNotNull(), F.xxhash64(F.lit(2), "_rest"))
+    return rows.withColumn(out_col, signed).drop("_entries", "_flat", "_rest")

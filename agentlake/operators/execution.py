@@ -1,28 +1,34 @@
 """Tool executions from their recorded claims and completions.
 
-Both are rows of a log: a claim carries its version (the fencing token, one more
-for each attempt of a key), a completion the version of the claim it belongs to
-and its outcome. Nothing is scheduled or simulated; every decision is read off
-the log:
-
-* a completion is accepted if its version is that of the newest claim before it
-  (as-of), else it is fenced;
-* a claim is judged by the newest claim before it and by that one's accepted
-  completion, if there is one yet: a success is replayed, an error is claimed
-  again, an unknown outcome runs again (read-only tools) or goes to the ledger,
-  and without a completion the lease decides.
-
-Keys are cut where nothing was written for an entry TTL (``segment``), so a key
-that is used all day is many windows. Completions stand before claims of the
-same second.
+Both are rows of a log, in order of time, completions before claims of the same
+second. A claim asks to run the operation of an idempotency key; a completion
+carries the version (fencing token) of the attempt it belongs to and its outcome.
+Nothing is scheduled or simulated: the log is what happened, and folding it by key
+says what the gateway decided. A key's entry is claimed, succeeded, failed or unknown,
+with a version, the end of its lease, and the time of its last write:
+
+* a claim is accepted, and writes, where there is no entry (version 1), where the attempt
+  failed, and where a claimed attempt's lease has run out (version + 1). It is refused, and
+  writes nothing, where the attempt succeeded (the result is replayed) or its lease holds;
+* a claim that meets an unknown outcome runs again under the same version if the tool only
+  reads; else the ledger decides: committed makes the entry succeeded, absence failed, and
+  without a verdict it stays unknown;
+* a completion of another version is fenced. A success never overwrites an unknown outcome,
+  an error or an unknown outcome never a success;
+* an entry is forgotten an entry TTL after its last write. Refused claims do not renew it.
+
+Keys are split as :mod:`agentlake.operators.folds` describes; the streaming form keeps the
+same state and calls the same ``step``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agentlake.operators.folds import segment
+from agentlake.operators.folds import Fold, run_fold
 
 # Lease on a claim, entry TTL since the last write (seconds).
 LEASE_SEC = 10
@@ -30,74 +36,93 @@ ENTRY_TTL_SEC = 300
 
 
 def log(claims: DataFrame, completions: DataFrame) -> DataFrame:
-    """claims (idempotency_key, event_id, claim_sec, version, read_only, ledger),
-    completions (idempotency_key, event_id, at_sec, version, outcome) -> one log."""
-    c = claims.select("idempotency_key", "event_id", F.lit("claim").alias("kind"), F.col("claim_sec").alias("at_sec"), "version",
+    """claims (idempotency_key, event_id, claim_sec, read_only, ledger), completions
+    (idempotency_key, event_id, at_sec, version, outcome) -> one log."""
+    c = claims.select("idempotency_key", "event_id", F.lit("claim").alias("kind"), F.col("claim_sec").alias("at_sec"), F.lit(None).cast("long").alias("version"),
                       F.lit(None).cast("string").alias("outcome"), "read_only", "ledger")
     d = completions.select("idempotency_key", "event_id", F.lit("completion").alias("kind"), "at_sec", "version", "outcome",
                            F.lit(None).cast("boolean").alias("read_only"), F.lit(None).cast("string").alias("ledger"))
     return c.unionByName(d)
 
 
-def with_ledger(claims: DataFrame, ledger: DataFrame, coverage: DataFrame) -> DataFrame:
+def with_ledger(rows: DataFrame, ledger: DataFrame, coverage: DataFrame) -> DataFrame:
     """J10 input side: attach the ledger verdict per key — found -> committed;
     inside a covered range but missing -> absent (authoritative); else unknown."""
-    return (claims.join(ledger.select("idempotency_key", F.lit(True).alias("_found")), "idempotency_key", "left")
+    return (rows.join(ledger.select("idempotency_key", F.lit(True).alias("_found")), "idempotency_key", "left")
             .join(coverage.select("idempotency_key", F.lit(True).alias("_covered")), "idempotency_key", "left")
             .withColumn("ledger", F.when(F.col("_found"), "committed").when(F.col("_covered"), "absent"))
             .drop("_found", "_covered"))
 
 
-def after_outcome(outcome: Column, read_only: Column, ledger: Column) -> Column:
-    """What a claim does when the newest attempt's outcome is recorded."""
-    unknown = (F.when(read_only, "read_only_retry").when(ledger == "committed", "reconciled_succeeded")
-               .when(ledger == "absent", "reconciliation_failed").otherwise("previous_attempt_unknown"))
-    return F.when(outcome == "success", "replayed_result").when(outcome == "error", "reclaim_after_failed").otherwise(unknown)
-
-
-def replay(claims: DataFrame, completions: DataFrame) -> DataFrame:
-    """event_id, idempotency_key, kind, at_sec, version, outcome, decision of every row of the log."""
-    rows = segment(log(claims, completions), ["idempotency_key"], "at_sec", ENTRY_TTL_SEC)
-    is_claim = F.col("kind") == "claim"
-    before = (Window.partitionBy("idempotency_key", "_seg").orderBy("at_sec", is_claim.cast("int"), "event_id")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_newest", F.max(F.when(is_claim, F.col("version"))).over(before)) \
-        .withColumn("_claimed", F.max(F.when(is_claim, F.col("at_sec"))).over(before))
-    accepted = ~is_claim & (F.col("version") == F.col("_newest"))
-    rows = rows.withColumn("_done", F.last(F.when(accepted, F.struct("version", "outcome")), ignorenulls=True).over(before))
-    fenced = F.when(F.col("_newest").isNull(), "no_entry").when(accepted, "applied").otherwise("fenced_stale")
-    judged = (F.when(F.col("_newest").isNull(), "new_claim")
-              .when(F.col("_done.version") == F.col("_newest"), after_outcome(F.col("_done.outcome"), F.col("read_only"), F.col("ledger")))
-              .when(F.col("at_sec") - F.col("_claimed") <= LEASE_SEC, "already_in_flight").otherwise("lease_expired_reclaim"))
-    return rows.select("event_id", "idempotency_key", "kind", "at_sec", "version", "outcome", F.when(is_claim, judged).otherwise(fenced).alias("decision"))
-
-
-class KeyState:
-    """The same rules row by row, for the streaming form."""
-
-    __slots__ = ("newest", "claimed", "done", "touched")
-
-    def __init__(self, newest=None, claimed=None, done=None, touched=None):
-        self.newest, self.claimed, self.done, self.touched = newest, claimed, done, touched
-
-    def step(self, kind: str, at: int, version: int, outcome, read_only, ledger) -> str:
-        if self.touched is not None and at - self.touched >= ENTRY_TTL_SEC:
-            self.newest = self.claimed = self.done = None
-        self.touched = at
-        if kind == "completion":
-            if self.newest is None:
-                return "no_entry"
-            if version != self.newest:
-                return "fenced_stale"
-            self.done = (version, outcome)
-            return "applied"
-        if self.newest is None:
-            decision = "new_claim"
-        elif self.done is not None and self.done[0] == self.newest:
-            o = self.done[1]
-            decision = ("replayed_result" if o == "success" else "reclaim_after_failed" if o == "error" else "read_only_retry" if read_only
-                        else {"committed": "reconciled_succeeded", "absent": "reconciliation_failed"}.get(ledger, "previous_attempt_unknown"))
-        else:
-            decision = "already_in_flight" if at - self.claimed <= LEASE_SEC else "lease_expired_reclaim"
-        self.newest, self.claimed = max(version, self.newest or version), at
+class ExecutionFold(Fold):
+    """The entry of one key. ``decided`` is the version of the entry after the row
+    (null without one): a claim's own version if it was accepted."""
+
+    columns = ("kind", "at_sec", "version", "outcome", "read_only", "ledger")
+    outputs = "decision string, decided long"
+
+    def __init__(self, text: str = ""):
+        self.state, self.version, self.lease, self.written, self.now = json.loads(text) if text else (None, None, None, None, None)
+
+    def _write(self, state: str, version: int | None = None) -> None:
+        self.state, self.written = state, self.now
+        if version is not None:
+            self.version, self.lease = version, self.now + LEASE_SEC
+
+    def step(self, kind, at, version, outcome, read_only, ledger) -> tuple:
+        self.now = int(at)
+        if self.state and self.now - self.written >= ENTRY_TTL_SEC:
+            self.state = self.version = self.lease = self.written = None
+        decision = self._completed(version, outcome) if kind == "completion" else self._claimed(read_only is not None and bool(read_only), ledger)
+        return decision, self.version
+
+    def _completed(self, version, outcome) -> str:
+        if not self.state:
+            return "no_entry"
+        if int(version) != self.version:
+            return "fenced_stale"
+        if outcome == "success" and self.state == "unknown":
+            return "kept_unknown"
+        if outcome != "success" and self.state == "succeeded":
+            return "kept_succeeded"
+        self._write({"success": "succeeded", "error": "failed"}.get(outcome, "unknown"))
+        return "applied"
+
+    def _claimed(self, read_only: bool, ledger) -> str:
+        if not self.state:
+            self._write("claimed", 1)
+            return "new_claim"
+        if self.state == "succeeded":
+            return "replayed_result"
+        if self.state == "failed":
+            self._write("claimed", self.version + 1)
+            return "reclaim_after_failed"
+        if self.state == "claimed":
+            if self.now <= self.lease:
+                return "already_in_flight"
+            self._write("claimed", self.version + 1)
+            return "lease_expired_reclaim"
+        if read_only:
+            self._write("claimed")  # the same version, and its old lease
+            return "read_only_retry"
+        state, decision = {"committed": ("succeeded", "reconciled_succeeded"), "absent": ("failed", "reconciliation_failed")}.get(ledger, ("unknown", "previous_attempt_unknown"))
+        self._write(state)
         return decision
+
+    def dump(self) -> str:
+        if not self.state:
+            return ""
+        return json.dumps([self.state, self.version, self.lease, self.written, self.now])
+
+
+#: Decisions of claims that ran the operation.
+EXECUTED = ("new_claim", "reclaim_after_failed", "lease_expired_reclaim", "read_only_retry")
+
+
+def replay(rows: DataFrame, **split) -> DataFrame:
+    """event_id, idempotency_key, kind, at_sec, version, outcome, decision of every
+    row of a log. The version of a completion is its own, of a claim that of the entry after it."""
+    order = ["at_sec", (F.col("kind") == "claim").cast("int"), "event_id"]
+    carry = ["event_id", "idempotency_key", "kind", "at_sec", "version", "outcome"]
+    out = run_fold(rows, ["idempotency_key"], "at_sec", order, ENTRY_TTL_SEC, ExecutionFold, carry, **split)
+    return out.withColumn("version", F.coalesce("version", "decided")).drop("decided")

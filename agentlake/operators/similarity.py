@@ -1,21 +1,36 @@
 """Semantic (nearest-neighbour) cache matching.
 
-Exact and distributed. A probe at sequence s can match the entries of its
-tenant up to s (with ``ring``: only the newest that many of all tenants). Probes
-and entries are cut into blocks of sequence ranges; every probe block meets the
-entry blocks of its tenant that are not younger, each meeting is one cogroup
-task with a NumPy distance matrix that emits the best admissible entry per
-probe: pairs are never rows, no candidate list is capped, and the result equals
-a brute-force scan. A final minimum per probe picks the winner of its meetings.
+Exact, distributed and pruned. A probe at sequence s can match the entries of its
+group (tenant, and model where that is part of the key) up to s; with ``ring`` only
+the newest that many of all groups. On unit vectors the cosine distance is half the
+squared distance, so the triangle inequality bounds it:
+
+* entries stand in *balls*: each goes to the nearest of a bounded set of pivots
+  (``PIVOTS`` entries, by hash), and the entries of a group and pivot are cut, in order
+  of sequence, into balls of ``block`` entries with a radius around the pivot;
+* a probe at distance d from a pivot is at least d - radius from all in a ball, so balls
+  beyond the threshold, or younger than the probe, are never met;
+* the ball of least bound is met first, and its best distance rules out most of the
+  others. What is left is met in a second round.
+
+A meeting is one cogroup task of a ball and the probes that come to it (dealt in
+parts of ``block``), with a NumPy distance matrix that emits the best admissible entry
+per probe: pairs are never rows, no candidate list is capped, and the result equals a
+brute-force scan. A minimum per probe picks the winner of its meetings.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from agentlake.operators.ordered import running_sums
+from agentlake.session import checkpoint_dir
+
 # Interrogatives (strong may appear anywhere, weak only first).
 STRONG_INTERROGATIVES = ["what", "who", "where", "when", "why", "how"]
 WEAK_INTERROGATIVES = ["can", "is", "do", "does"]
@@ -25,6 +40,10 @@ SHORT_THRESHOLD = 0.06
 LONG_THRESHOLD = 0.14
 # Fixed value: entries that a gateway's shared semantic ring keeps (all tenants).
 RING_SIZE = 5000
+#: Pivots of the balls: a bounded sample of the entries.
+PIVOTS = 128
+#: Room for rounding in bounds of distances.
+SLACK = 1e-9
 
 
 def primary_interrogative(text: Column) -> Column:
@@ -78,28 +97,104 @@ def _best_in_block(probes: pd.DataFrame, entries: pd.DataFrame, ring: int | None
                          "vec_id": vec_ids[hit].astype("int64"), "distance": best[hit]})
 
 
-def nearest(probes: DataFrame, entries: DataFrame, ring: int | None = None, block: int = 4096) -> DataFrame:
-    """Exact top-1 among the entries of the probe's tenant with seq <= max_seq
-    (``ring``: and seq > max_seq - ring). Blocks are ranges of ``block`` sequence
-    numbers, so a task holds at most that many probes and entries of a tenant.
-    A probe block meets as many entry blocks as the tenant has up to it: a
-    stated query set against all rows, in blocks. Only blocks that exist meet."""
-    e = entries.withColumn("eb", F.floor(F.col("seq") / block).cast("bigint"))
-    p = probes.withColumn("pb", F.floor(F.col("max_seq") / block).cast("bigint"))
-    have_e = e.select("tenant", "eb").distinct()
-    have_p = p.select(F.col("tenant").alias("_t"), "pb").distinct()
-    near = (F.col("tenant") == F.col("_t")) & (F.col("eb") <= F.col("pb"))
+def _pivots(entries: DataFrame, n: int) -> np.ndarray:
+    """Unit vectors of ``n`` entries, the least by hash."""
+    rows = entries.select("vec", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(n).collect()
+    return np.array([np.asarray(r["vec"], float) / np.linalg.norm(r["vec"]) for r in rows])
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _usable(df: DataFrame) -> DataFrame:
+    """Rows whose vector has a direction; a zero vector is at distance 1 from all, beyond every threshold."""
+    return df.withColumn("vec", F.transform("vec", lambda x: x.cast("double"))).where(F.exists("vec", lambda x: x != 0))
+
+
+def balls(entries: DataFrame, pivots: np.ndarray, block: int) -> DataFrame:
+    """Entries with pivot, ball (its number among the group's and pivot's) and far, the distance from the pivot."""
+    @F.pandas_udf("pivot long, far double")
+    def place(vecs: pd.Series) -> pd.DataFrame:
+        v = np.vstack(vecs.to_numpy())
+        cos = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ pivots.T
+        at = cos.argmax(axis=1)
+        return pd.DataFrame({"pivot": at, "far": np.sqrt(np.maximum(2 - 2 * cos[np.arange(len(v)), at], 0))})
+
+    rows = entries.withColumn("x", place("vec")).select("*", "x.*").drop("x").withColumn("one", F.lit(1).cast("long"))
+    # the position among the entries of a group and pivot, without a task that holds them all
+    rows = running_sums(rows, ["tenant", "pivot"], "seq", "vec_id", ["one"], block * len(pivots))
+    return rows.withColumn("ball", F.floor((F.col("one_running") - 1) / block).cast("long")).drop("one", "one_running")
+
+
+def meetings(probes: DataFrame, table: DataFrame, pivots: np.ndarray, ring: int | None, fewest: bool) -> DataFrame:
+    """(probe_id, pivot, ball, bound) of every ball that may hold an entry below the
+    probe's limit; ``fewest``: of the least bound only."""
+    reach = np.full(len(pivots), -1.0)
+    for r in table.groupBy("pivot").agg(F.max("radius").alias("radius")).collect():  # a row for each pivot at most
+        reach[r["pivot"]] = r["radius"]
+
+    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            v = np.vstack(pdf["vec"].to_numpy()) if len(pdf) else np.empty((0, pivots.shape[1]))
+            far = np.sqrt(np.maximum(2 - 2 * (v / np.linalg.norm(v, axis=1, keepdims=True)) @ pivots.T, 0))
+            most = np.sqrt(2 * pdf["limit"].to_numpy(float)) + SLACK
+            i, j = np.nonzero((far - reach[None, :] <= most[:, None]) & (reach >= 0)[None, :])
+            yield pd.DataFrame({"probe_id": pdf["probe_id"].to_numpy()[i], "tenant": pdf["tenant"].to_numpy()[i], "max_seq": pdf["max_seq"].to_numpy()[i],
+                                "most": most[i], "pivot": j, "far": far[i, j]})
+
+    kind = probes.schema["tenant"].dataType.simpleString()
+    rows = probes.select("probe_id", "tenant", "max_seq", "limit", "vec").mapInPandas(near, f"probe_id long, tenant {kind}, max_seq long, most double, pivot long, far double")
+    rows = rows.join(table, ["tenant", "pivot"]).withColumn("bound", F.greatest(F.col("far") - F.col("radius"), F.lit(0.0)))
+    rows = rows.where((F.col("bound") <= F.col("most")) & (F.col("first") <= F.col("max_seq")))
     if ring is not None:
-        near &= F.col("eb") >= F.floor((F.col("pb") * block - ring) / block)
-    meet = have_e.join(have_p, near).select(F.col("tenant").alias("mt"), F.col("eb").alias("me"), F.col("pb").alias("mp"))
-    left = p.join(meet, (F.col("tenant") == F.col("mt")) & (F.col("pb") == F.col("mp"))).withColumn("eb", F.col("me")).drop("mt", "me", "mp")
-    right = e.join(meet, (F.col("tenant") == F.col("mt")) & (F.col("eb") == F.col("me"))).withColumn("pb", F.col("mp")).drop("mt", "me", "mp")
+        rows = rows.where(F.col("last") > F.col("max_seq") - ring)
+    rows = rows.select("probe_id", "pivot", "ball", "bound")
+    if fewest:
+        best = F.min_by(F.struct("pivot", "ball", "bound"), F.struct("bound", "pivot", "ball")).alias("x")
+        rows = rows.groupBy("probe_id").agg(best).select("probe_id", "x.*")
+    return rows
+
+
+def _met(probes: DataFrame, entries: DataFrame, meet: DataFrame, ring: int | None, block: int) -> DataFrame:
+    """probe_id, vec_id, distance: the best of every meeting."""
+    key = ["tenant", "pivot", "ball", "part"]
+    left = probes.join(meet.select("probe_id", "pivot", "ball"), "probe_id").withColumn("part", F.floor(F.col("max_seq") / block).cast("long"))
+    parts = left.select(*key).distinct().toDF("_t", "_p", "_b", "part")
+    right = entries.join(parts, (F.col("tenant") == F.col("_t")) & (F.col("pivot") == F.col("_p")) & (F.col("ball") == F.col("_b"))).drop("_t", "_p", "_b")
+    right = right.toDF(*right.columns)  # both sides come from the table of balls: columns of their own
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return _best_in_block(a, b, ring)
 
-    pairs = (left.groupBy("tenant", "pb", "eb").cogroup(right.groupBy("tenant", "pb", "eb"))
-             .applyInPandas(best, "probe_id long, vec_id long, distance double"))
-    return (pairs.groupBy("probe_id")
-            .agg(F.min_by(F.struct("distance", "vec_id"), F.struct("distance", "vec_id")).alias("b"))
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(best, "probe_id long, vec_id long, distance double")
+
+
+def _best(found: DataFrame) -> DataFrame:
+    return (found.groupBy("probe_id").agg(F.min(F.struct("distance", "vec_id")).alias("b"))
             .select("probe_id", F.col("b.vec_id").alias("vec_id"), F.col("b.distance").alias("distance")))
+
+
+def nearest(probes: DataFrame, entries: DataFrame, ring: int | None = None, block: int = 4096, pivots: int = PIVOTS, counts: dict | None = None) -> DataFrame:
+    """probe_id, vec_id, distance: the exact best among the entries of the probe's
+    ``tenant`` with seq <= max_seq (``ring``: and seq > max_seq - ring) below its threshold;
+    ties to the smaller vec_id. ``counts``, if given, receives the numbers of meetings:
+    of probes and balls that exist, met first, and met in the second round."""
+    probes = _usable(probes).withColumn("limit", F.when(F.col("short"), SHORT_THRESHOLD).otherwise(LONG_THRESHOLD))
+    entries = _usable(entries)
+    centres = _pivots(entries, pivots)
+    if not len(centres):
+        return probes.select("probe_id", F.col("probe_id").alias("vec_id"), F.lit(0.0).alias("distance")).limit(0)
+    entries = _cut(balls(entries, centres, block))
+    table = _cut(entries.groupBy("tenant", "pivot", "ball").agg(F.max("far").alias("radius"), F.min("seq").alias("first"), F.max("seq").alias("last")))
+    probes = _cut(probes)
+    first = _cut(meetings(probes, table, centres, ring, True))
+    found = _cut(_met(probes, entries, first, ring, block))
+    so_far = found.groupBy("probe_id").agg(F.min("distance").alias("d"))
+    closer = probes.join(so_far, "probe_id", "left").withColumn("limit", F.least("limit", F.coalesce(F.col("d") + SLACK, F.col("limit")))).drop("d")
+    second = _cut(meetings(closer, table, centres, ring, False).join(first.select("probe_id", "pivot", "ball"), ["probe_id", "pivot", "ball"], "left_anti"))
+    if counts is not None:
+        each = table.groupBy("tenant").count().join(probes.groupBy("tenant").agg(F.count("*").alias("n")), "tenant").agg(F.sum(F.col("count") * F.col("n"))).collect()[0][0]
+        counts.update(all=each or 0, first=first.count(), second=second.count())
+    return _best(found.unionByName(_met(probes, entries, second, ring, block)))

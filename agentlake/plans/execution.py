@@ -10,53 +10,55 @@ from agentlake.plans.registry import query
 from agentlake.sources import views as V
 
 
-def ledger_tables(attempts):
-    """Ledger of committed operations and the key ranges it covers (derived
-    from the attempts: class 0 committed, class 1 covered but absent)."""
-    keys = attempts.select("idempotency_key", "ledger_class").dropDuplicates(["idempotency_key"])
-    ledger = keys.filter(F.col("ledger_class") == 0).select("idempotency_key")
-    coverage = keys.filter(F.col("ledger_class").isin(0, 1)).select("idempotency_key")
-    return ledger, coverage
-
-
 def recorded(spark, sf_dir):
-    """(claims with their ledger verdict, completions) as recorded."""
-    a = V.attempts(spark, sf_dir)
-    ledger, coverage = ledger_tables(a)
-    claims = a.select("idempotency_key", "event_id", "claim_sec", (F.col("event_id") % 6 + 1).alias("version"),
-                      is_read_only(F.col("tool_name")).alias("read_only"))
-    done = a.filter(F.col("outcome") != "none").select(
-        "idempotency_key", "event_id", (F.col("claim_sec") + F.col("delay_sec")).alias("at_sec"),
-        (F.col("event_id") % 6 + 1).alias("version"), "outcome")
-    return X.with_ledger(claims, ledger, coverage), done
+    """The log of claims and completions with the ledger's verdict on each key."""
+    rows = V.execution_log(spark, sf_dir)
+    tools = F.element_at(F.array(*[F.lit(t) for t in V.EXECUTION_TOOLS]), (F.col("tool_class") + 1).cast("int"))
+    return rows.select("idempotency_key", "event_id", "kind", "at_sec", "version", "outcome", is_read_only(tools).alias("read_only"),
+                       F.when(F.col("ledger_class") == 0, "committed").when(F.col("ledger_class") == 1, "absent").alias("ledger"))
 
 
 def replayed(spark, sf_dir):
-    return X.replay(*recorded(spark, sf_dir))
+    return X.replay(recorded(spark, sf_dir))
 
 
-# The same rules by correlated lookups in the log instead of windows.
+# The rules once more, as a fold of each key's rows by recursion.
 _LOG = f"""
-WITH c AS (SELECT event_id, idempotency_key, claim_sec, event_id % 6 + 1 AS version, op % 3 = 1 AS read_only, ledger_class FROM v_attempts),
-k AS (SELECT event_id, idempotency_key, claim_sec + delay_sec AS at_sec, event_id % 6 + 1 AS version, outcome FROM v_attempts WHERE outcome <> 'none'),
-kf AS (
-  SELECT k.*, (SELECT max(c.version) FROM c WHERE c.idempotency_key = k.idempotency_key AND c.claim_sec < k.at_sec) AS newest FROM k
-), kd AS (
-  SELECT event_id, idempotency_key, at_sec, version, outcome,
-         CASE WHEN newest IS NULL THEN 'no_entry' WHEN newest = version THEN 'applied' ELSE 'fenced_stale' END AS decision FROM kf
-), cp AS (
-  SELECT c.*, (SELECT max(b.version) FROM c b WHERE b.idempotency_key = c.idempotency_key AND b.claim_sec < c.claim_sec) AS newest,
-         (SELECT max(b.claim_sec) FROM c b WHERE b.idempotency_key = c.idempotency_key AND b.claim_sec < c.claim_sec) AS claimed FROM c
-), cd AS (
-  SELECT cp.*, (SELECT arg_max(kd.outcome, kd.at_sec) FROM kd WHERE kd.idempotency_key = cp.idempotency_key AND kd.decision = 'applied'
-                AND kd.version = cp.newest AND kd.at_sec <= cp.claim_sec) AS done FROM cp
+WITH RECURSIVE l AS (
+  SELECT *, tool_class = 1 AS read_only,
+         row_number() OVER (PARTITION BY idempotency_key ORDER BY at_sec, CASE WHEN kind = 'claim' THEN 1 ELSE 0 END, event_id) AS rn
+  FROM v_execution_log
+), f(idempotency_key, rn, event_id, kind, at_sec, version, outcome, decision, s, v, lease, written) AS (
+  SELECT DISTINCT idempotency_key, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT),
+         CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 'none', CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM l
+  UNION ALL
+  SELECT l.idempotency_key, l.rn, l.event_id, l.kind, l.at_sec, l.version, l.outcome, d.decision,
+         CASE d.decision WHEN 'new_claim' THEN 'claimed' WHEN 'reclaim_after_failed' THEN 'claimed' WHEN 'lease_expired_reclaim' THEN 'claimed'
+              WHEN 'read_only_retry' THEN 'claimed' WHEN 'reconciled_succeeded' THEN 'succeeded' WHEN 'reconciliation_failed' THEN 'failed'
+              WHEN 'applied' THEN CASE l.outcome WHEN 'success' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'unknown' END ELSE e.s END,
+         CASE WHEN d.decision = 'new_claim' THEN 1 WHEN d.decision IN ('reclaim_after_failed', 'lease_expired_reclaim') THEN f.v + 1
+              WHEN e.s = 'none' THEN 0 ELSE f.v END,
+         CASE WHEN d.decision IN ('new_claim', 'reclaim_after_failed', 'lease_expired_reclaim') THEN l.at_sec + {X.LEASE_SEC} ELSE f.lease END,
+         CASE WHEN d.decision IN ('replayed_result', 'already_in_flight', 'no_entry', 'fenced_stale', 'kept_unknown', 'kept_succeeded') THEN f.written ELSE l.at_sec END
+  FROM f JOIN l ON l.idempotency_key = f.idempotency_key AND l.rn = f.rn + 1,
+       LATERAL (SELECT CASE WHEN f.s <> 'none' AND l.at_sec - f.written < {X.ENTRY_TTL_SEC} THEN f.s ELSE 'none' END AS s) e,
+       LATERAL (SELECT CASE
+         WHEN l.kind = 'completion' AND e.s = 'none' THEN 'no_entry'
+         WHEN l.kind = 'completion' AND l.version <> f.v THEN 'fenced_stale'
+         WHEN l.kind = 'completion' AND l.outcome = 'success' AND e.s = 'unknown' THEN 'kept_unknown'
+         WHEN l.kind = 'completion' AND l.outcome <> 'success' AND e.s = 'succeeded' THEN 'kept_succeeded'
+         WHEN l.kind = 'completion' THEN 'applied'
+         WHEN e.s = 'none' THEN 'new_claim'
+         WHEN e.s = 'succeeded' THEN 'replayed_result'
+         WHEN e.s = 'failed' THEN 'reclaim_after_failed'
+         WHEN e.s = 'claimed' AND l.at_sec <= f.lease THEN 'already_in_flight'
+         WHEN e.s = 'claimed' THEN 'lease_expired_reclaim'
+         WHEN l.read_only THEN 'read_only_retry'
+         WHEN l.ledger_class = 0 THEN 'reconciled_succeeded'
+         WHEN l.ledger_class = 1 THEN 'reconciliation_failed'
+         ELSE 'previous_attempt_unknown' END AS decision) d
 ), log AS (
-  SELECT event_id, idempotency_key, 'claim' AS kind, claim_sec AS at_sec, version, CAST(NULL AS VARCHAR) AS outcome,
-         CASE WHEN newest IS NULL THEN 'new_claim' WHEN done = 'success' THEN 'replayed_result' WHEN done = 'error' THEN 'reclaim_after_failed'
-              WHEN done IS NOT NULL THEN CASE WHEN read_only THEN 'read_only_retry' WHEN ledger_class = 0 THEN 'reconciled_succeeded'
-                                              WHEN ledger_class = 1 THEN 'reconciliation_failed' ELSE 'previous_attempt_unknown' END
-              WHEN claim_sec - claimed <= {X.LEASE_SEC} THEN 'already_in_flight' ELSE 'lease_expired_reclaim' END AS decision FROM cd
-  UNION ALL SELECT event_id, idempotency_key, 'completion', at_sec, version, outcome, decision FROM kd
+  SELECT event_id, idempotency_key, kind, at_sec, CASE WHEN kind = 'claim' THEN v ELSE version END AS version, outcome, decision FROM f WHERE rn > 0
 )
 """
 
@@ -80,12 +82,12 @@ def fence_completions(spark, sf_dir):
 
 
 @query("lease_expiry", sql=_LOG + """
-SELECT event_id, idempotency_key, at_sec, version FROM log WHERE decision IN ('lease_expired_reclaim', 'already_in_flight')
+SELECT event_id, idempotency_key, at_sec, version, decision FROM log WHERE decision IN ('lease_expired_reclaim', 'already_in_flight')
 """)
 def lease_expiry(spark, sf_dir):
     """Claims that met a claim without a completion: its lease still held or had run out."""
     r = replayed(spark, sf_dir)
-    return r.filter(F.col("decision").isin("lease_expired_reclaim", "already_in_flight")).select("event_id", "idempotency_key", "at_sec", "version")
+    return r.filter(F.col("decision").isin("lease_expired_reclaim", "already_in_flight")).select("event_id", "idempotency_key", "at_sec", "version", "decision")
 
 
 @query("reconcile", sql=_LOG + """
@@ -99,9 +101,9 @@ def reconcile(spark, sf_dir):
     return r.select("event_id", "idempotency_key", "decision", "version")
 
 
-@query("retry_amplification", sql=_LOG + """
+@query("retry_amplification", sql=_LOG + f"""
 SELECT idempotency_key, count(*) AS attempts,
-       count(*) FILTER (decision IN ('new_claim', 'reclaim_after_failed', 'lease_expired_reclaim', 'read_only_retry')) AS executions,
+       count(*) FILTER (decision IN {X.EXECUTED}) AS executions,
        count(*) FILTER (decision IN ('replayed_result', 'already_in_flight', 'previous_attempt_unknown')) AS duplicates_prevented,
        max(version) AS final_version
 FROM log WHERE kind = 'claim' GROUP BY idempotency_key
@@ -109,7 +111,6 @@ FROM log WHERE kind = 'claim' GROUP BY idempotency_key
 def retry_amplification(spark, sf_dir):
     r = replayed(spark, sf_dir).filter(F.col("kind") == "claim")
     prevented = F.col("decision").isin("replayed_result", "already_in_flight", "previous_attempt_unknown")
-    executed = F.col("decision").isin("new_claim", "reclaim_after_failed", "lease_expired_reclaim", "read_only_retry")
     return r.groupBy("idempotency_key").agg(
-        F.count(F.lit(1)).alias("attempts"), F.count_if(executed).alias("executions"),
+        F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("decision").isin(*X.EXECUTED)).alias("executions"),
         F.count_if(prevented).alias("duplicates_prevented"), F.max("version").alias("final_version"))

@@ -4,14 +4,11 @@ P26, S9, T-3, X24, X27)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from agentlake.operators.dims import bounded
-from agentlake.operators.folds import run_fold, segment
+from agentlake.operators.folds import BucketFold, run_fold
 from agentlake.plans.registry import query
 from agentlake.sources import dimensions as D
 from agentlake.sources import views as V
@@ -166,29 +163,6 @@ def wallet_balance(spark, sf_dir):
 
 # ------------------------------------------------------------------ W5 token bucket
 
-def _bucket_fold(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cur, tokens, last = None, 0.0, 0
-    for pdf in it:
-        out = []
-        for tenant, model, seg, sec, ev, cap in zip(pdf["tenant_id"], pdf["model"], pdf["_seg"], pdf["sec"],
-                                                    pdf["event_id"], pdf["capacity"]):
-            key = (tenant, model, seg)
-            cap = int(cap)
-            if key != cur:
-                cur, tokens, last = key, float(cap), int(sec)
-            if cap <= 0:
-                out.append((int(ev), True, float(cap)))
-                continue
-            tokens = min(float(cap), tokens + (int(sec) - last) * (cap / 60.0))
-            last = int(sec)
-            if tokens >= 1.0:
-                tokens -= 1.0
-                out.append((int(ev), True, tokens))
-            else:
-                out.append((int(ev), False, tokens))
-        yield pd.DataFrame(out, columns=["event_id", "allowed", "tokens_left"])
-
-
 @query("token_bucket", sql="""
 WITH RECURSIVE r AS (
   SELECT r.event_id, r.tenant_id, r.model, r.sec,
@@ -210,12 +184,10 @@ def token_bucket(spark, sf_dir):
     """Bucket of ``rpm`` tokens refilled rpm/60 per second per (tenant, model).
 
     After 60 s without requests the bucket is full whatever came before, so the
-    key is split there into independent segments (no whole-key task)."""
+    key is split there into independent segments; longer ones are folded by bins."""
     from agentlake.plans.windows import rate_capacity
     r = rate_capacity(spark, V.requests(spark, sf_dir).select("event_id", "tenant_id", "model", "sec"))
-    seg = segment(r, ["tenant_id", "model"], "sec", 60)
-    out = run_fold(seg, ["tenant_id", "model", "_seg"], ["sec", "event_id"], _bucket_fold,
-                   "event_id long, allowed boolean, tokens_left double")
+    out = run_fold(r, ["tenant_id", "model"], "sec", ["sec", "event_id"], 60, BucketFold, ["event_id"])
     return out.select("event_id", "allowed", F.round("tokens_left", 6).alias("tokens_left"))
 
 

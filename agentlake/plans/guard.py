@@ -60,9 +60,7 @@ def _guard_input(spark, sf_dir):
 
 
 def _replayed(spark, sf_dir):
-    inp = _guard_input(spark, sf_dir)
-    out = folds.guardian_replay(inp)
-    return out.join(inp.select("event_id", "tool_name"), "event_id")
+    return folds.guardian_replay(_guard_input(spark, sf_dir), ("tool_name",))
 
 
 @query("loop_replay", bench=True, sql=GUARD_ORACLE + """

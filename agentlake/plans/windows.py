@@ -182,12 +182,27 @@ WITH RECURSIVE walk(trace_id, node, depth) AS (
 """
 
 
-@query("trace_tree", sql=_TREE_ORACLE + """
-SELECT trace_id, root_trace_id, CAST(depth AS BIGINT) AS depth FROM tree
+@query("trace_tree", sql="""
+WITH RECURSIVE walk(trace_id, node, depth, path) AS (
+  SELECT trace_id, trace_id, 0, trace_id FROM v_requests
+  UNION ALL
+  SELECT w.trace_id, r.parent_trace_id, w.depth + 1, r.parent_trace_id || '/' || w.path
+  FROM walk w JOIN v_requests r ON r.trace_id = w.node WHERE r.parent_trace_id IS NOT NULL
+), tops AS (SELECT trace_id, arg_max(node, depth) AS root_trace_id, max(depth) AS depth, arg_max(path, depth) AS path FROM walk GROUP BY trace_id),
+sums AS (SELECT w.node AS trace_id, count(*) AS subtree_nodes, sum(p.latency_ms) AS subtree_latency_ms, sum(p.total_tokens) AS subtree_total_tokens, sum(p.cost_usd) AS subtree_cost_usd
+         FROM walk w JOIN v_priced p ON p.trace_id = w.trace_id GROUP BY w.node)
+SELECT trace_id, root_trace_id, CAST(depth AS BIGINT) AS depth, path, subtree_nodes, CAST(subtree_latency_ms AS BIGINT) AS subtree_latency_ms,
+       CAST(subtree_total_tokens AS BIGINT) AS subtree_total_tokens, CAST(subtree_cost_usd AS DECIMAL(38,14)) AS subtree_cost_usd
+FROM tops JOIN sums USING (trace_id)
 """)
 def trace_tree(spark, sf_dir):
-    r = V.requests(spark, sf_dir, with_parent=True).select("trace_id", "parent_trace_id")
-    return lineage.roots(r, "trace_id", "parent_trace_id")
+    """Root, depth and path of every trace, and latency, tokens and cost of all below it."""
+    from agentlake.operators.billing import price
+    r = price(V.requests(spark, sf_dir, with_parent=True), D.pricing_df(spark))
+    r = r.select("trace_id", "parent_trace_id", F.col("latency_ms").cast("bigint").alias("latency_ms"), F.col("total_tokens").cast("bigint").alias("total_tokens"), "cost_usd")
+    t = lineage.tree(r, "trace_id", "parent_trace_id", ["latency_ms", "total_tokens", "cost_usd"])
+    return t.select("trace_id", "root_trace_id", "depth", F.array_join("path", "/").alias("path"), "subtree_nodes", "subtree_latency_ms", "subtree_total_tokens",
+                    F.col("subtree_cost_usd").cast("decimal(38,14)").alias("subtree_cost_usd"))
 
 
 @query("trace_roots", sql=_TREE_ORACLE + """

@@ -133,6 +133,48 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Fixed values (ours): what is recorded for an operation, six rows each. "c@5" is a claim
+# five seconds in, "s1@3" the success of the attempt with version 1, "e" an error, "u" an unknown outcome.
+EXECUTION_PATTERNS = [
+    "c@0 s1@3 c@5 c@9 c@14 c@200",       # five claims, one execution
+    "c@0 c@4 s1@6 c@8 e1@9 c@12",        # a claim in flight does not fence the live attempt; a success stays
+    "c@0 c@9 c@11 s1@12 s2@14 c@15",     # a refused claim does not renew the lease
+    "c@0 e1@2 c@3 s1@4 s2@6 c@7",        # a success of the attempt before is fenced
+    "c@0 u1@5 c@6 c@7 s1@8 c@9",         # an unknown outcome, by ledger and kind of tool
+    "c@0 u1@4 s1@5 c@6 e1@7 c@8",        # a success does not overwrite an unknown outcome
+    "c@0 e1@3 s1@4 c@5 u1@6 c@7",        # a success overwrites an error
+    "c@0 s1@5 c@304 c@305 s1@306 c@307", # the entry ends 300 s after its last write
+    "s1@0 c@1 c@12 c@23 e3@24 c@25",     # a completion without an entry; leases run out
+    "c@0 c@5 c@10 c@11 c@21 c@22",       # a lease holds to its last second
+    "c@0 e1@1 c@2 e2@3 c@4 u3@5",        # errors raise the version
+    "c@0 e1@2 c@3 u2@6 c@7 c@400",       # an unknown outcome is forgotten too
+]
+EXECUTION_TOOLS = ("charge_card", "get_balance", "update_record")
+
+
+def execution_patterns() -> list[tuple]:
+    """(pattern, slot, kind, offset, version, outcome) of all patterns."""
+    outcomes = {"s": "success", "e": "error", "u": "timeout"}
+    out = []
+    for p, line in enumerate(EXECUTION_PATTERNS):
+        for slot, item in enumerate(line.split()):
+            what, at = item.split("@")
+            out.append((p, slot, "claim", int(at), None, None) if what == "c" else (p, slot, "completion", int(at), int(what[1:]), outcomes[what[0]]))
+    return out
+
+
+def execution_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C3 ``v_execution_log`` — six recorded rows per operation: claims, and completions of attempts that ran."""
+    ev = read(spark, sf_dir, "events").select("event_id")
+    op = F.floor(F.col("event_id") / 6).cast("bigint")
+    n = len(EXECUTION_PATTERNS)
+    patterns = spark.createDataFrame(execution_patterns(), "pattern long, slot long, kind string, off long, version long, outcome string")
+    rows = ev.select("event_id", op.alias("op"), (op % n).alias("pattern"), (F.col("event_id") % 6).alias("slot")).join(F.broadcast(patterns), ["pattern", "slot"])
+    turn = F.floor(F.col("op") / n).cast("bigint")
+    return rows.select("event_id", F.concat(F.lit("op-"), "op").alias("idempotency_key"), "kind", (F.col("op") * 24 + F.col("off")).alias("at_sec"), "version", "outcome",
+                       (turn % 3).alias("tool_class"), (F.floor(turn / 3).cast("bigint") % 4).alias("ledger_class"))
+
+
 # Fixed values (ours): tool catalogue used to label tool-call facts.
 TOOL_NAMES = ["get_balance", "list_orders", "charge_card", "search_docs", "update_record", "read_file",
               "query_db", "create_ticket", "transfer_funds", "describe_table", "show_logs", "get_payment"]

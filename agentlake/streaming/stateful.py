@@ -41,21 +41,22 @@ def _exec_func(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator
     if state.hasTimedOut:  # an entry TTL without a row: the key is forgotten
         state.remove()
     else:
-        ks = X.KeyState(*json.loads(state.get[0])) if state.exists else X.KeyState()
+        entry = X.ExecutionFold(state.get[0] if state.exists else "")
         data = pd.concat(list(pdfs))
         data = data.assign(_o=(data["kind"] == "claim").astype(int)).sort_values(["at_sec", "_o", "event_id"])
         for r in data.itertuples():
-            decision = ks.step(r.kind, int(r.at_sec), int(r.version), r.outcome, r.read_only is True or r.read_only == True, r.ledger)  # noqa: E712
-            rows.append((int(r.event_id), key[0], r.kind, int(r.at_sec), int(r.version), r.outcome, decision))
-        state.update((json.dumps([ks.newest, ks.claimed, ks.done, ks.touched]),))
-        _timeout(state, ks.touched + X.ENTRY_TTL_SEC)
+            own = None if pd.isna(r.version) else int(r.version)
+            decision, decided = entry.step(r.kind, r.at_sec, own, r.outcome, None if pd.isna(r.read_only) else r.read_only, r.ledger)
+            rows.append((int(r.event_id), key[0], r.kind, int(r.at_sec), decided if own is None else own, r.outcome, decision))
+        state.update((entry.dump(),))
+        _timeout(state, entry.now + X.ENTRY_TTL_SEC)
     yield pd.DataFrame(rows, columns=["event_id", "idempotency_key", "kind", "at_sec", "version", "outcome", "decision"])
 
 
 def execution_stream(log: DataFrame, watermark: str = "30 seconds") -> DataFrame:
     """Recorded claims and completions (``operators.execution.log``), late
-    ones among them, judged per idempotency key; a completion of an older version
-    than the newest claim is fenced. The state is four values a key and is
+    ones among them, judged per idempotency key by the batch fold; a completion of
+    another version than the entry's is fenced. The state is five values a key and is
     removed an entry TTL after its last row."""
     return (with_event_time(log, "at_sec").withWatermark("event_time", watermark)
             .groupBy("idempotency_key")

@@ -77,3 +77,38 @@ def test_signature_is_one_scan(spark):
     from agentlake.plans.guard import loop_signature_q
     plan = loop_signature_q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1
+
+
+def _busy(n, seed):
+    import random
+    rnd = random.Random(seed)
+    t, rows = 0, []
+    for i in range(n):
+        t += rnd.choice([0, 1, 2, 7, 30])
+        calls = rnd.choices(["a", "b", "c"], k=rnd.choice([1, 1, 1, 3]))
+        rows.append(("busy", t, i, calls, [rnd.randrange(2) for _ in calls]))
+    return rows
+
+
+def test_a_session_that_is_never_quiet_runs_in_bins(spark):
+    rows = _busy(4000, 1) + [(f"s{i}", i, 10000 + i, ["a"], [1]) for i in range(30)]
+    df = spark.createDataFrame(rows, "session_id string, sec long, event_id long, tools array<string>, sigs array<long>")
+    st, want = GuardState(), {}
+    for _, sec, ev, tools, sigs in rows[:4000]:
+        want[ev] = guard_step(st, sec, list(zip(tools, sigs)))
+    split = guardian_replay(df, long_rows=150)
+    got = {r["event_id"]: (r["decision"], r["storm_count"], r["blocked_tool"]) for r in split.collect()}
+    assert len(got) == len(rows) and {e: got[e] for e in want} == want
+    assert {d for d, _, _ in want.values()} == {"accepted", "storm_blocked", "loop_blocked"}
+
+
+def test_a_bucket_that_is_never_full_runs_in_bins(spark):
+    from agentlake.operators.folds import BucketFold, run_fold
+    rows = [("k", sec, ev, 4) for _, sec, ev, _, _ in _busy(3000, 2)] + [("free", i, 5000 + i, 0) for i in range(9)]
+    df = spark.createDataFrame(rows, "key string, sec long, event_id long, capacity int")
+    want, folds = {}, {}
+    for key, sec, ev, cap in rows:
+        want[ev] = folds.setdefault(key, BucketFold()).step(sec, cap)
+    out = run_fold(df, ["key"], "sec", ["sec", "event_id"], 60, BucketFold, ["event_id"], long_rows=100)
+    assert {r["event_id"]: (r["allowed"], r["tokens_left"]) for r in out.collect()} == want  # to the last bit
+    assert {a for a, _ in want.values()} == {True, False}

@@ -73,8 +73,7 @@ def test_execution_stream_equals_batch(spark):
     from agentlake.operators import execution as X
     from agentlake.plans.execution import recorded
     from agentlake.streaming.stateful import execution_stream
-    claims, done = recorded(spark, SF)
-    rows = X.log(claims, done)
+    rows = recorded(spark, SF)
     d, src = _stage(spark, rows, 4, "at_sec")
     s = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
     q = (execution_stream(s).writeStream.format("memory").queryName("exec_out")
@@ -83,7 +82,7 @@ def test_execution_stream_equals_batch(spark):
     q.awaitTermination(300)
     cols = ["event_id", "kind", "at_sec", "version", "outcome", "decision"]
     got = sorted(map(str, spark.sql("SELECT * FROM exec_out").select(*cols).collect()))
-    want = sorted(map(str, X.replay(claims, done).select(*cols).collect()))
+    want = sorted(map(str, X.replay(rows).select(*cols).collect()))
     assert got == want and any("fenced_stale" in w for w in want)
 
 

@@ -1,9 +1,11 @@
 """Alignment against a plain recomputation by ranges, both ways of joining counts, edge cases."""
 
 import hashlib
+import json
 import random
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 
 from agentlake.llm import tokenizer_alignment as T
@@ -90,11 +92,50 @@ def test_tokens_of_a_text_cut_are_those_of_the_whole(aligner, monkeypatch):
     rng = random.Random(5)
     words = ["a", "word", "don't", "x1y2", "東京", "naïve", "...", "\n", "\t", "", "", "<s>", "1234", " ", "ab▁c", "🎉"]
     texts = [" ".join(rng.choices(words, k=400)) for _ in range(30)]
-    whole = aligner.ids(texts)
+    lists = lambda found: [[x.tolist() for x in side] for side in found]
+    whole = lists(aligner.ids(texts))
     assert all(T.slices(t, 20) != [t] and "".join(T.slices(t, 20)) == t for t in texts)
     monkeypatch.setattr(T, "SLICE", 20)
     assert not aligner.crosses
-    assert aligner.ids(texts) == whole
+    assert lists(aligner.ids(texts)) == whole
+
+
+def test_both_engines_of_a_agree(aligner):
+    """On every token of the vocabulary alone, on whole documents and on odd texts."""
+    rng = random.Random(6)
+    texts = [b.decode() for b in aligner.bytes_a if _decodes(b)]
+    texts += ["".join(rng.choices(texts, k=rng.randint(2, 60))) for _ in range(3000)]
+    texts += ["".join(chr(rng.choice([rng.randrange(0x377), rng.randrange(0x3a3, 0x523), rng.randrange(0x4e00, 0x9fa5), 32, 10])) for _ in range(80)) for _ in range(1500)]
+    texts += [r["text"] for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).to_pylist() if r["text"]]
+    own = aligner.a.encode_batch_fast(texts, add_special_tokens=False)
+    fast = [t for t in texts if T._SETTLED.fullmatch(t)]
+    assert len(fast) > 40000
+    assert [x.tolist() for x in aligner.ids_a(texts)] == [e.ids for e in own]
+
+
+def test_every_merge_is_the_last_of_its_token(aligner):
+    """Ranking merges by their result is ranking them by pair: under the merges before it,
+    a token's bytes come to exactly the two parts that its own merge joins."""
+    model = json.loads(aligner.a.to_str())["model"]
+    letters, ranks = T.byte_alphabet(), {}
+    as_bytes = lambda t: bytes(letters[c] for c in t)
+    for pair in model["merges"]:
+        x, y = map(as_bytes, pair if isinstance(pair, list) else pair.split(" "))
+        parts = [bytes([c]) for c in x + y]
+        while len(parts) > 2:
+            best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 30))
+            assert parts[best] + parts[best + 1] in ranks
+            parts[best:best + 2] = [parts[best] + parts[best + 1]]
+        assert parts == [x, y]
+        ranks[x + y] = model["vocab"]["".join(pair) if isinstance(pair, list) else pair.replace(" ", "")]
+    assert list(ranks.values()) == sorted(ranks.values())
+
+
+def _decodes(b):
+    try:
+        return bool(b.decode())
+    except UnicodeDecodeError:
+        return False
 
 
 def expected(rows):

@@ -196,6 +196,28 @@ def repeated(strings: list[bytes], length: int, shard_bytes: int = SHARD_BYTES)
     return block, which, at - starts[which]
 
 
+def shared_windows(strings: list[bytes], length: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(parts, the string of each, where it begins there): runs of windows whose
+    64-bit hash occurs more than once in these strings. No window that is repeated
+    is left out; windows that only share a hash part in the transforms' merge."""
+    lens = np.array([len(s) for s in strings])
+    stops = np.cumsum(lens)
+    raw = np.frombuffer(b"".join(strings), np.uint8)
+    h = gram_hashes(raw, length)
+    inside = np.arange(len(h)) + length <= np.repeat(stops, lens)[:len(h)]
+    order = np.sort(h[inside])
+    twice = order[1:][order[1:] == order[:-1]]
+    if not len(twice):
+        return [], np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(twice, h), len(twice) - 1)
+    kept = np.concatenate([[False], (twice[at] == h) & inside, [False]]).view(np.int8)
+    edge = np.diff(kept)
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # no run crosses strings: the windows that would are not inside
+    owner = np.searchsorted(stops, begin, "right")
+    whole = raw.tobytes()
+    return [whole[a:z + length - 1] for a, z in zip(begin, end)], owner, begin - (stops - lens)[owner]
+
+
 def spans(doc: np.ndarray, start: np.ndarray, length: int) -> pd.DataFrame:
     """Starts of covered strings -> maximal (doc_id, start, stop)."""
     if not len(doc):
@@ -272,8 +294,9 @@ def _merged(rows: DataFrame, length: int, shard_bytes: int, batch_bytes: int) ->
         kept = kept[kept.duplicated("anchor", keep=False) | kept["twice"]]
         if len(kept):
             doc, first = kept["doc_id"].to_numpy(), kept["first"].to_numpy()
-            block, which, offset = repeated(kept["string"].tolist(), length, shard_bytes)
-            d, s = doc[which], first[which] + offset
+            parts, owner, begin = shared_windows(kept["string"].tolist(), length)
+            block, which, offset = repeated(parts, length, shard_bytes) if parts else (np.empty(0, np.int64),) * 3
+            d, s = doc[owner[which]], first[owner[which]] + begin[which] + offset
             order = np.lexsort((s, d, block))
             again = order[1:][block[order][1:] == block[order][:-1]]
             out.append(spans(d[again], s[again], length))

@@ -29,12 +29,13 @@ broadcast. Their number is no cap: any split into two classes gives all links.
 
 Defined results: null, empty and blank texts have the empty set, no links and
 themselves as component; fewer than k words: the whole sequence as one shingle;
-rows without a doc_id are left out; repeated rows of a doc_id are one document (its texts' first set by fingerprint
-is kept); an empty table gives an empty result; extra columns are ignored.
+rows without a doc_id are left out; repeated rows of a doc_id are one document (of its texts, the one whose set
+has the least fingerprint); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -200,6 +201,23 @@ def _by_key(frames: Iterator[pd.DataFrame], key: str) -> Iterator[tuple]:
         yield held, pd.concat(parts)
 
 
+def _codes(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Places in ``common`` of a set's shingles that stand there."""
+    if not len(common):
+        return np.empty(0, np.int32)
+    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+    return at[common[at] == s].astype(np.int32)
+
+
+def _apart(sketches: np.ndarray, near: np.ndarray, i: int) -> np.ndarray:
+    """Differences of the sketches of ``near`` from that of ``i``."""
+    out = np.empty(len(near), np.int64)
+    for at in range(0, len(near), 4096):
+        part = sketches[near[at:at + 4096]].astype(np.int16)
+        out[at:at + 4096] = np.abs(part - sketches[i].astype(np.int16)).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def block_links(ids: list[int], sets: list[np.ndarray], left: list[bool], right: list[bool], num: int, den: int) -> list[tuple[int, int]]:
     """Links between the left and the right documents of a block, as a spanning
     forest: a document is not compared with what it is linked to already, nor
@@ -211,13 +229,16 @@ def block_links(ids: list[int], sets: list[np.ndarray], left: list[bool], right:
     ids, left, right = np.array(ids)[order], np.array(left)[order], np.array(right)[order]
     sizes = np.array([len(s) for s in sets])
     # only shingles that stand in two sets of the block can be shared: the others keep no place
-    _, codes, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    common = times > 1
-    kept = common[codes]
-    ends = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(sizes)])]
-    codes = (np.cumsum(common) - 1).astype(np.int32)[codes[kept]]
-    sketches = np.frombuffer(b"".join(sketch(s) for s in sets), np.uint8).reshape(-1, 128).astype(np.int16)
-    root, seen = np.arange(len(ids)), np.zeros(int(common.sum()), bool)
+    common = np.concatenate(sets)
+    common.sort()
+    common = common[1:][common[1:] == common[:-1]]
+    common = common[np.concatenate([[True], common[1:] != common[:-1]])] if len(common) else common
+    parts = [_codes(s, common) for s in sets]
+    ends = np.cumsum([0, *(len(c) for c in parts)])
+    codes = np.concatenate(parts)
+    del parts
+    sketches = np.frombuffer(b"".join(sketch(s) for s in sets), np.uint8).reshape(-1, 128)
+    root, seen = np.arange(len(ids)), np.zeros(len(common), bool)
     floor, ceil = np.searchsorted(den * sizes, num * sizes, "left"), np.searchsorted(num * sizes, den * sizes, "right")
     out = []
     for i in range(len(ids)):
@@ -229,8 +250,7 @@ def block_links(ids: list[int], sets: list[np.ndarray], left: list[bool], right:
         near = near[right[near] & (root[near] != root[i])]
         if not len(near):
             continue
-        apart = np.abs(sketches[near] - sketches[i]).sum(axis=1, dtype=np.int64)
-        near = near[apart * (den + num) <= (den - num) * (sizes[near] + sizes[i])]
+        near = near[_apart(sketches, near, i) * (den + num) <= (den - num) * (sizes[near] + sizes[i])]
         if not len(near):
             continue
         own = codes[ends[i]:ends[i + 1]]
@@ -249,14 +269,18 @@ def block_links(ids: list[int], sets: list[np.ndarray], left: list[bool], right:
     return out
 
 
+def _print(s: np.ndarray) -> tuple[int, int]:
+    """128-bit fingerprint of a set."""
+    return tuple(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist())
+
+
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n (size of the set), a, b (fingerprint of the set), sketch."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
         sh = Shingler(k)
         for pdf in frames:
             sets = sh.sets([(t or "").encode() for t in pdf["text"]])
-            prints = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]
+            prints = [_print(s) for s in sets]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(s) for s in sets], "a": [p[0] for p in prints], "b": [p[1] for p in prints], "sketch": [sketch(s) for s in sets]})
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, a long, b long, sketch binary")
 
@@ -283,10 +307,9 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
             yield flush()
 
     counts = docs.select("text").mapInPandas(run, "shingle long, c long, total boolean").groupBy("shingle", "total").agg(F.sum("c").alias("c"))
-    counts = counts.persist()
+    counts = stored(counts, "shingle-counts")
     total = counts.where("total").agg(F.sum("c")).collect()[0][0] or 0
     rows = counts.where((~F.col("total")) & (F.col("c") * 2 * FREQUENT >= total)).select("shingle").toPandas()
-    counts.unpersist()
     return np.sort(rows["shingle"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -295,12 +318,11 @@ def postings(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray)
     shared = docs.sparkSession.sparkContext.broadcast(frequent.tobytes())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
         sh, signer, met = Shingler(k), Signer(num, den, np.frombuffer(shared.value, np.uint64)), set()
         for pdf in frames:
             sigs, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for s in sh.sets([(t or "").encode() for t in pdf["text"]]):
-                a = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)[0]
+                a = _print(s)[0]
                 if a not in met:
                     met.add(a)
                     sigs.append(signer.signatures(s))
@@ -321,11 +343,17 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, small: int
     small_batches(spark)
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     every = stored(sets_of(docs, k), "sets")
-    one = every.groupBy("doc_id").agg(F.min(F.struct("a", "b", "n")).alias("x")).select("doc_id", "x.*")
-    nodes = every.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    rows, ids = every.agg(F.count("*"), F.count_distinct("doc_id")).collect()[0]
+    one = every
+    if rows > ids:
+        one = stored(every.groupBy("doc_id").agg(F.min(F.struct("a", "b", "n", "sketch")).alias("x")).select("doc_id", "x.*"), "first-sets")
+        docs = docs.distinct()
+    nodes = one.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = stored(nodes, "nodes")
 
     lists = postings(docs, k, num, den, frequent_shingles(docs, k)).repartition("sig").dropDuplicates(["sig", "a"])
+    if rows > ids:
+        lists = lists.join(nodes.select("a").distinct(), "a", "left_semi").select("sig", "a")
     by_sig = Window.partitionBy("sig")
     lists = stored(lists.withColumn("c", F.count("*").over(by_sig)).withColumn("least", F.min("a").over(by_sig)).where("c > 1"), "lists")
     few = lists.where(F.col("c") <= small)
@@ -344,7 +372,8 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, small: int
     star = hot.join(side(1).drop("sketch1", "n1"), "a1").join(side(2).drop("sketch2", "n2"), "a2")
     ends = [F.col("node1").alias("u"), F.col("node2").alias("v")]
     groups = components(near.select(*ends).unionAll(star.select(*ends)).unionAll(_forests(some, num, den)))
-    groups = stored(_placed(groups.join(nodes.select("node", "n"), "node"), bands(num, den, 1 << 40), block_shingles), "groups")
+    groups = _placed(groups.join(nodes.select("node", "n"), "node"), bands(num, den, 1 << 40), block_shingles)
+    groups = stored(groups.join(nodes.select("node", "a", "b"), "node"), "groups")
 
     links = components(_verified(docs, groups, k, num, den))
     final = nodes.select("a", "b", "node").join(links, "node", "left").select("a", "b", F.coalesce("component", "node").alias("component"))
@@ -366,16 +395,18 @@ def _forests(rows: DataFrame, num: int, den: int) -> DataFrame:
         for _, pdf in _by_key(frames, "sig"):
             pdf = pdf.sort_values(["n", "node"], kind="stable")
             ids, sizes = pdf["node"].tolist(), pdf["n"].to_numpy()
-            sketches = np.frombuffer(b"".join(map(bytes, pdf["sketch"])), np.uint8).reshape(-1, 128).astype(np.int16)
-            root, upto = np.arange(len(ids)), np.searchsorted(num * sizes, den * sizes, "right")
+            sketches = np.frombuffer(b"".join(map(bytes, pdf["sketch"])), np.uint8).reshape(-1, 128)
+            # what the task's earlier lists connect is not compared again
+            root, upto = np.unique([top(x) for x in ids], return_inverse=True)[1], np.searchsorted(num * sizes, den * sizes, "right")
+            if (root == root[0]).all():
+                continue
             out = []
             for i in range(len(ids) - 1):
                 near = np.arange(i + 1, upto[i])
                 near = near[root[near] != root[i]]
                 if not len(near):
                     continue
-                apart = np.abs(sketches[near] - sketches[i]).sum(axis=1, dtype=np.int64)
-                for j in near[apart * (den + num) <= (den - num) * (sizes[near] + sizes[i])]:
+                for j in near[_apart(sketches, near, i) * (den + num) <= (den - num) * (sizes[near] + sizes[i])]:
                     if root[j] != root[i]:
                         root[root == root[j]] = root[i]
                         a, b = top(ids[i]), top(ids[j])
@@ -425,14 +456,24 @@ def _placed(groups: DataFrame, low: np.ndarray, block_shingles: int) -> DataFram
 
 
 def _verified(docs: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The links found in all meetings, as edges (u, v)."""
-    rows = docs.join(groups, F.col("doc_id") == F.col("node")).dropDuplicates(["doc_id"])
-    rows = rows.select("doc_id", "text", F.explode("meetings").alias("m")).select("doc_id", "text", "m.*")
+    """The links found in all meetings, as edges (u, v). Of the texts of a doc_id
+    the one whose set is the node's takes part."""
+    rows = docs.join(groups, F.col("doc_id") == F.col("node")).select("doc_id", "a", "b", "text", F.explode("meetings").alias("m"))
+    rows = rows.select("doc_id", "a", "b", "text", "m.*")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sh = Shingler(k)
-        for _, pdf in _by_key(frames, "key"):
-            found = block_links(pdf["doc_id"].tolist(), sh.sets([t.encode() for t in pdf["text"]]), pdf["left"].tolist(), pdf["right"].tolist(), num, den)
+
+        def as_sets() -> Iterator[pd.DataFrame]:
+            # texts leave as they come in: a meeting holds sets of hashes only
+            for pdf in frames:
+                sets = sh.sets([(t or "").encode() for t in pdf["text"]])
+                right = [_print(s) == (a, b) for s, a, b in zip(sets, pdf["a"], pdf["b"])]
+                yield pdf.drop(columns=["text", "a", "b"]).assign(set=sets)[right]
+
+        for _, pdf in _by_key(as_sets(), "key"):
+            pdf = pdf.drop_duplicates("doc_id")
+            found = block_links(pdf["doc_id"].tolist(), pdf["set"].tolist(), pdf["left"].tolist(), pdf["right"].tolist(), num, den)
             if found:
                 yield pd.DataFrame(found, columns=["u", "v"])
 

@@ -19,7 +19,8 @@ whole page once, row by row.
 
 Defined results: null and empty pages give the empty string; text in no element
 is a block of its own; white space is what str.split takes; ``br`` is white space;
-scripts, styles, templates, comments and the head hold no text; repeated rows
+scripts, styles, templates and comments hold no text (nor do buttons, objects and
+the like, if they are closed; what follows an unclosed one is text of the page); repeated rows
 give equal results; an empty table gives an empty result; other columns stay.
 """
 
@@ -41,8 +42,10 @@ MAX_PAGES, TREES, DEPTH, RATE, BINS, SEED = 200, 40, 3, 0.3, 32, 5
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template svg math iframe object textarea title head select button canvas audio video".split())
+#: Elements whose content is no text of the page. The first hold text, not tags, so they last to their end tag or to
+#: the page's end; without an end tag the others are passed over like inline elements.
+RAW_TEXT = frozenset("script style textarea title".split())
+RAW = RAW_TEXT | frozenset("noscript template svg iframe object select button canvas audio video".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = frozenset("table td th ul ol dl div section article body blockquote form".split())
 
@@ -53,7 +56,7 @@ TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote td dd dt figcaption
 AWAY_WORDS = frozenset("ad ads advert advertisement adsense alert author banner bio breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright discussion disqus feedback foot footer form gdpr head header login masthead menu meta modal nav navbar navigation newsletter notice notification pager pagination popup privacy promo promoted recommended related reply replies respond review reviews search share sharing sidebar side signup skip social sponsor sponsored subscribe subscription tags toolbar topbar trending warning widget complementary contentinfo".split())
 MAIN_WORDS = frozenset("article articlebody body blog content contents copy entry main page post prose story text".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"\b(class|id|role|aria-label|hidden|style|data-gold)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
@@ -64,7 +67,9 @@ FEATURES = ("depth", "text", "own", "links", "density", "paragraphs", "stops", "
 class Page:
     """The block elements of a page, in page order; a node's parent stands before it."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, marked: bool = False):
+        """``marked``: data-gold attributes are labels (of composed pages; elsewhere they mean nothing)."""
+        self.marked = marked
         self.parent, self.tag, self.marks = [-1], ["#root"], [(0, 0, 0, "")]
         self.runs: list[tuple[int, str, int]] = []  # node, text, characters in links
         self.tags, self.controls = [0], [0]
@@ -72,7 +77,7 @@ class Page:
 
     def _parse(self, html: str) -> None:
         stack, names = [0], ["#root"]  # open block nodes and, with inline ones, open names
-        open_, buf, links, in_link, at, skip = [(0, "#root")], [], 0, 0, 0, None
+        open_, buf, links, in_link, at = [(0, "#root")], [], 0, 0, 0
         tags, controls = self.tags, self.controls
 
         def flush():
@@ -125,9 +130,7 @@ class Page:
             if name in RAW:
                 if not m["attrs"].rstrip().endswith("/"):
                     end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
-                    if name == "head" and (b := re.compile(r"<body\b", re.I).search(html, at)) and (not end or b.start() < end.start()):
-                        at = b.start()
-                    else:
+                    if end or name in RAW_TEXT:
                         at = end.end() if end else len(html)
                 buf.append(" ")
                 continue
@@ -154,7 +157,7 @@ class Page:
                 hidden = "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower()
                 self.parent.append(stack[-1])
                 self.tag.append(name)
-                self.marks.append((int(bool(words & AWAY_WORDS)), int(bool(words & MAIN_WORDS)), int(hidden), attrs.get("data-gold", "")))
+                self.marks.append((int(bool(words & AWAY_WORDS)), int(bool(words & MAIN_WORDS)), int(hidden), attrs.get("data-gold", "") if self.marked else ""))
                 tags.append(1)
                 controls.append(0)
                 open_.append((len(self.tag) - 1, name))
@@ -392,9 +395,9 @@ def learn(pages: list[str], seed: int = SEED, variants: int = 4) -> dict:
             add(page)
         sentences = [s for _, t, _ in page.runs for s in re.split(r"(?<=[.!?]) ", t) if len(s) > 3][:400] or ["word"]
         for _ in range(variants):
-            add(Page(composed(rng, sentences)))
+            add(Page(composed(rng, sentences), marked=True))
     if not xs:
-        add(Page(composed(rng, ["Some words.", "Some more words, and again some."])))
+        add(Page(composed(rng, ["Some words.", "Some more words, and again some."]), marked=True))
     return train_trees(np.concatenate(xs), np.concatenate(ys), np.concatenate(ws))
 
 

@@ -66,11 +66,15 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: flo
     return s.select("source", "source_size", "kind", target.alias("target"))
 
 
-def taken(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix",
-          bin_digits: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+def scheduled(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix",
+              schedules=SCHEDULES, bin_digits: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, source -> one row for each row: doc_id, source, *keep, size,
-    source_size, target, kind, start (words of its source before it), full (times it
-    is taken whole), last (words of it that are taken once more), taken (words in all)."""
+    source_size, target, uses: an array of (epoch, words, position), one for each time
+    the document is taken, the first so many ``words`` of it at ``position`` in [0, 1].
+
+    A source's documents stand in the order of md5(seed:doc_id) and are gone through
+    again and again until the target is reached; the last one is cut. The position of a use
+    is where the integral of its source's schedule reaches the words taken before it."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = docs.select("doc_id", "source", *keep, words(F.col("text")).alias("size"), key.alias("__key"))
     sized = sized.withColumn("__bin", F.substring("__key", 1, bin_digits))
@@ -86,28 +90,26 @@ def taken(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
     goal_words = F.floor("target")
     full = F.floor(goal_words / F.greatest(F.col("source_size"), F.lit(1)))
     left = goal_words - full * F.col("source_size") - F.col("start")
-    last = F.least(F.greatest(left, F.lit(0)), F.col("size"))
-    return rows.select("doc_id", "source", *keep, "size", "source_size", "target", "kind", "start", full.alias("full"), last.alias("last"),
-                       (F.col("size") * full + last).alias("taken"))
+    rows = rows.withColumn("full", full).withColumn("last", F.least(F.greatest(left, F.lit(0)), F.col("size")))
+
+    def use(e: Column) -> Column:
+        reached, time = F.try_divide(e * F.col("source_size") + F.col("start"), F.col("target")), F.lit(0.0)
+        for k, knots in enumerate(schedules[:len(weights)]):
+            time = F.when(F.col("kind") == k, training_time(reached, knots)).otherwise(time)
+        return F.struct(e.alias("epoch"), F.when(e < F.col("full"), F.col("size")).otherwise(F.col("last")).alias("words"), time.alias("position"))
+
+    uses = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("full")), use), lambda u: u["words"] > 0)
+    return rows.select("doc_id", "source", *keep, "size", "source_size", "target", uses.alias("uses"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix",
         schedules=SCHEDULES, bin_digits: int = 3, keep: tuple[str, ...] = (), untaken: bool = False) -> DataFrame:
     """doc_id, text, source -> one row for each time a document is taken, sorted
     by range of ``position``: doc_id, source, *keep, size, source_size, target,
-    epoch, words (the first so many of the document), position in [0, 1).
-    ``untaken``: also a row of 0 words for documents that the mix leaves out.
-
-    A source's documents stand in the order of md5(seed:doc_id) and are gone
-    through again and again until the target is reached; the last one is cut."""
-    rows = taken(docs, weights, share, cap, seed, bin_digits, keep)
-    time, begin = F.lit(0.0), F.col("e") * F.col("source_size") + F.col("start")
-    for k, knots in enumerate(schedules[:len(weights)]):
-        time = F.when(F.col("kind") == k, training_time(begin / F.col("target"), knots)).otherwise(time)
-    epochs = F.sequence(F.lit(0).cast("long"), F.col("full"))
-    rows = rows.withColumn("e", F.explode(epochs)) \
-        .withColumn("words", F.when(F.col("e") < F.col("full"), F.col("size")).otherwise(F.col("last")))
-    rows = rows.where((F.col("words") > 0) | (F.lit(untaken) & (F.col("e") == 0)))
-    out = rows.select("doc_id", "source", *keep, "size", "source_size", "target", F.col("e").alias("epoch"), "words",
-                      F.when(F.col("words") > 0, time).alias("position"))
+    epoch, words (the first so many of the document), position.
+    ``untaken``: also a row of 0 words for documents that the mix leaves out."""
+    rows = scheduled(docs, weights, share, cap, seed, schedules, bin_digits, keep)
+    rows = rows.withColumn("u", F.explode_outer("uses") if untaken else F.explode("uses"))
+    out = rows.select("doc_id", "source", *keep, "size", "source_size", "target", F.coalesce("u.epoch", F.lit(0)).cast("long").alias("epoch"),
+                      F.coalesce("u.words", F.lit(0)).cast("long").alias("words"), F.col("u.position").alias("position"))
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id", "epoch")

@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-Words, byte n-grams and repeats of the word before are hashed into buckets;
+Words, pairs of neighbouring words and byte n-grams are hashed into buckets;
 every bucket has a small learned vector, a document is the mean of the vectors of all its
 features, and a softmax layer turns that into class probabilities. Vectors and
 layer are trained together by plain stochastic gradient descent in numpy.
@@ -96,6 +96,18 @@ class Hasher:
         return s, (h >> self.shift).astype(np.int64)
 
 
+    def pairs(self, words: np.ndarray) -> np.ndarray:
+        """Bucket of each word with the one before it; 0 for the first. A word that stands
+        twice in a row is one feature, whichever word it is (bucket 1)."""
+        out = np.zeros(len(words), np.int64)
+        w = words.astype(np.uint64)
+        h = w[:-1] * np.uint64(_ODD[2]) + w[1:] * np.uint64(_ODD[3])
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(_ODD[0])
+        out[1:] = np.where(w[:-1] == w[1:], 1, (h >> self.shift).astype(np.int64))
+        return out
+
+
 def pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Groups of whole texts, or parts of a long one: (bytes, ends, index of the text of each piece)."""
     parts, owner, size = [], [], 0
@@ -140,7 +152,7 @@ def totals(texts: list[bytes], table: np.ndarray, hasher: Hasher) -> tuple[np.nd
             np.add.at(counts, owner, e - a)
         s, w = hasher.words(raw, b, ends)
         at = np.searchsorted(s, ends)
-        pair = repeats(w)
+        pair = hasher.pairs(w)
         pair[at[:-1][at[:-1] < at[1:]]] = 0  # a piece's first word has none before
         np.add.at(sums, owner, _sums(table[w].astype(np.int64) + table[pair], at[:-1], at[1:]))
         np.add.at(counts, owner, 2 * (at[1:] - at[:-1]))
@@ -153,18 +165,11 @@ def buckets(text: bytes, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
     for raw, ends, _ in pieces([text]):
         b = raw.astype(np.uint64)
         w = hasher.words(raw, b, ends)[1]
-        found += [*(hasher.ngrams(b, n) for n in hasher.grams), w, repeats(w)]
+        found += [*(hasher.ngrams(b, n) for n in hasher.grams), w, hasher.pairs(w)]
     ids, counts = np.unique(np.concatenate([np.empty(0, np.int64), *found]), return_counts=True)
     return ids.astype(np.int32), counts.astype(np.int32)
 
 
-def repeats(words: np.ndarray) -> np.ndarray:
-    """A word pair as a feature: bucket 1 for a word that repeats the one before, else 0."""
-    out = np.zeros(len(words), np.int64)
-    out[1:] = words[1:] == words[:-1]
-    return out
-
-
 def _train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, dim: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, float]:
     """Stochastic gradient descent over (label, ids, counts): the folded table and bias."""
     rng = np.random.default_rng(seed)

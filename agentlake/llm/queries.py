@@ -81,16 +81,24 @@ l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
         - coalesce(sum(source_size * 2.0::DOUBLE) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
 line AS (SELECT arg_min(level, ratio) AS line FROM (SELECT * FROM l WHERE ratio >= level ORDER BY ratio, source NULLS LAST LIMIT 1)),
-g AS (SELECT source, source_size, CASE WHEN line IS NULL OR ratio < line THEN source_size * 2.0::DOUBLE ELSE line * w END AS target FROM l, line),
-p AS (SELECT d.*, g.source_size, g.target, CAST(floor(g.target) AS BIGINT) AS goal,
+g AS (SELECT source, source_size, w, CASE WHEN line IS NULL OR ratio < line THEN source_size * 2.0::DOUBLE ELSE line * w END AS target FROM l, line),
+p AS (SELECT d.*, g.source_size, g.target, g.w, CAST(floor(g.target) AS BIGINT) AS goal,
         CAST(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start
-      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-  CAST(size * (goal // greatest(source_size, 1)) + least(greatest(goal - (goal // greatest(source_size, 1)) * source_size - start, 0), size) AS BIGINT) AS taken
-FROM p""")
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+q AS (SELECT *, goal // greatest(source_size, 1) AS whole, least(greatest(goal - (goal // greatest(source_size, 1)) * source_size - start, 0), size) AS rest FROM p)
+SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * q.whole + q.rest AS BIGINT) AS taken, CAST(CASE WHEN q.size > 0 THEN q.whole ELSE 0 END + CASE WHEN q.rest > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_uses,
+  CASE WHEN q.size > 0 AND q.whole * q.size + q.rest > 0 THEN
+    round(CASE q.w WHEN 2 THEN reached WHEN 5 THEN 1.5 - sqrt(2.25 - 2 * reached)
+          ELSE CASE WHEN reached < 0.3125 THEN (sqrt(0.0625 + 3 * reached) - 0.25) / 1.5 ELSE 0.5 + (sqrt(1 + 3 * (reached - 0.3125)) - 1) / 1.5 END END, 6) END AS first_position
+FROM (SELECT *, CAST(start AS DOUBLE) / nullif(target, 0) AS reached FROM q) q""")
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole corpus mixed: how many words of each document are taken, in all epochs together."""
-    return mixing.taken(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """The whole corpus mixed: the words of each document that its uses take, and where in training the
+    first of them stands. Documents are sorted by range of that position, those without a use last."""
+    rows = mixing.scheduled(read(spark, sf_dir, "documents"))
+    taken = F.aggregate("uses", F.lit(0).cast("long"), lambda n, u: n + u["words"])
+    first = F.array_min(F.transform("uses", lambda u: u["position"]))
+    rows = rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.size("uses").cast("long").alias("n_uses"), F.round(first, 6).alias("first_position"))
+    return rows.repartitionByRange(F.col("first_position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
 # -- 4: license scans -------------------------------------------------------------------------------------------------------

@@ -40,7 +40,7 @@ def test_held_out_accuracy_on_layouts_without_marks(pages, model):
     scores = []
     for _ in range(200):
         html = H.composed(rng, sentences)
-        page = H.Page(html)
+        page = H.Page(html, marked=True)
         gold = page.gold()
         want = {t for n, t, _ in page.runs if gold[n]}
         got = set(H.texts_of([re.sub(r' data-gold="\d"', "", html)], model)[0].split("\n"))
@@ -90,3 +90,29 @@ def test_nulls_broken_long_repeated_and_empty_table(spark, model):
     assert H.fit(df.selectExpr("CAST(NULL AS LONG) AS page_id", "html")).startswith("{")
     empty = df.limit(0)
     assert H.extract(empty, H.fit(empty)).count() == 0
+
+
+@pytest.mark.parametrize(("before", "after"), [
+    ("<button>Buy <b>now", ""), ("<iframe src=x>", ""), ("<svg><path d='M'>", ""), ("<object data=x>", ""), ("<canvas>", ""), ("<noscript>", ""),
+    ("<p data-x=it's>", "</p>"), ("<p title=\"a > b\" data-x='>'>", "</p>"), ("", "<math><mi>x</mi></math>")])
+def test_no_text_is_lost_behind_broken_markup(before, after):
+    page = H.Page(f"<div>{before}</div><p>What follows stays.</p>{after}")
+    texts = [t for _, t, _ in page.runs]
+    assert "What follows stays." in texts and (not after.startswith("<math") or "x" in texts)
+
+
+def test_raw_elements_that_are_closed_hold_no_text():
+    page = H.Page("<p>a<button>b</button><svg><title>c</title><text>d</text></svg><object>e</object><script>f<p></script>g</p>")
+    assert [t for _, t, _ in page.runs] == ["a g"]
+
+
+def test_head_without_end_or_body(model):
+    words = "A sentence of the article, which is long enough to count. " * 5
+    got = H.texts_of([f"<html><head><title>no</title><style>p {{}}</style><article><p>{words}</p></article>"], model)[0]
+    assert got == " ".join(words.split())
+
+
+def test_pages_cannot_mark_themselves(pages):
+    some = [pages[k] for k in sorted(pages)[:30]]
+    odd = [h.replace("<nav", '<nav data-gold="1"').replace("<article", '<article data-gold="x"') for h in some]
+    assert H.learn(odd) == H.learn(some)

@@ -25,8 +25,9 @@ def brute(text, hasher, table):
     for w in raw.replace(b"\t", b" ").replace(b"\n", b" ").split(b" "):
         if w:
             b = np.frombuffer(w, np.uint8)
-            total += int(table[hasher.words(b, b.astype(np.uint64), np.array([0, len(b)]))[1][0]]) + int(table[int(w == before)])
-            n, before = n + 2, w
+            bucket = hasher.words(b, b.astype(np.uint64), np.array([0, len(b)]))[1][0]
+            total += int(table[bucket]) + int(table[0 if before is None else hasher.pairs(np.array([before, bucket]))[1]])
+            n, before = n + 2, bucket
     return total, n
 
 
@@ -56,3 +57,13 @@ def test_no_labels_and_empty_tables(spark):
     model = Q.fit(docs, labels)
     assert Q.scored(docs, model).collect()[0]["score"] == 0.5
     assert Q.scored(docs.limit(0), model).count() == 0
+
+
+def test_word_pairs_are_hashed_features():
+    hasher = Q.Hasher()
+    ids = lambda t: set(Q.buckets(t.encode(), hasher)[0].tolist())
+    apart, joined = ids("red") | ids("car"), ids("red car")
+    assert len(hasher.pairs(np.array([5, 9, 9, 5, 9]))) == 5
+    a = hasher.pairs(np.array([5, 9, 9, 5, 9])).tolist()
+    assert a[0] == 0 and a[1] == a[4] != a[3] and a[2] == 1 and a[1] > 1
+    assert joined - apart

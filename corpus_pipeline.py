@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and returns a frame; all but the last
 return the columns of ``documents``. A stage works on all that the one before
 kept. Null and empty texts, repeated rows and empty tables go through as the
-operators define them; a document without a doc_id is never a duplicate.
+operators define them; of documents that are duplicates one row stays, also where
+doc_ids are missing or repeated.
 """
 
 from __future__ import annotations
@@ -30,11 +31,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document (least doc_id) of each component of similar documents: five-word shingles, similarity 0.8."""
+    """One document of each component of similar documents, that of the least doc_id (then any):
+    five-word shingles, similarity 0.8. Documents without a word are similar to none."""
     ship_package(spark)
-    found = jaccard.join(docs, k=5, num=80, den=100)
-    later = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id")
-    return docs.select(*COLUMNS).join(later, "doc_id", "left_anti")
+    docs = docs.select(*COLUMNS)
+    rows, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).collect()[0]
+    if rows == ids:
+        found = jaccard.join(docs, k=5, num=80, den=100)
+        later = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id")
+        return docs.join(later, "doc_id", "left_anti")
+    # ids are missing or repeated: rows get numbers of their own, written so that they stay the same
+    numbered = stored(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    found = jaccard.join(numbered.select(F.col("row").alias("doc_id"), "text"), k=5, num=80, den=100).select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = numbered.select("doc_id", "row").join(found, "row").groupBy("component_id").agg(F.min_by("row", order).alias("row"))
+    return numbered.join(first.select("row"), "row", "left_semi").select(*COLUMNS)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

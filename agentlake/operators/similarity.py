@@ -6,7 +6,7 @@ the newest that many of all groups. On unit vectors the cosine distance is half
 squared distance, so the triangle inequality bounds it:
 
 * entries stand in *balls*: each goes to the nearest of a bounded set of pivots
-  (``PIVOTS`` entries, by hash), and the entries of a group and pivot are cut, in order
+  (one for ``block`` entries, ``PIVOTS`` at most, chosen by hash), and the entries of a group and pivot are cut, in order
   of sequence, into balls of ``block`` entries with a radius around the pivot;
 * a probe at distance d from a pivot is at least d - radius from all in a ball, so balls
   beyond the threshold, or younger than the probe, are never met;
@@ -40,8 +40,8 @@ SHORT_THRESHOLD = 0.06
 LONG_THRESHOLD = 0.14
 # Fixed value: entries that a gateway's shared semantic ring keeps (all tenants).
 RING_SIZE = 5000
-#: Pivots of the balls: a bounded sample of the entries.
-PIVOTS = 128
+#: Pivots of the balls at most: a bounded sample of the entries.
+PIVOTS = 1024
 #: Room for rounding in bounds of distances.
 SLACK = 1e-9
 
@@ -176,14 +176,15 @@ def _best(found: DataFrame) -> DataFrame:
             .select("probe_id", F.col("b.vec_id").alias("vec_id"), F.col("b.distance").alias("distance")))
 
 
-def nearest(probes: DataFrame, entries: DataFrame, ring: int | None = None, block: int = 4096, pivots: int = PIVOTS, counts: dict | None = None) -> DataFrame:
+def nearest(probes: DataFrame, entries: DataFrame, ring: int | None = None, block: int = 4096, pivots: int | None = None, counts: dict | None = None) -> DataFrame:
     """probe_id, vec_id, distance: the exact best among the entries of the probe's
     ``tenant`` with seq <= max_seq (``ring``: and seq > max_seq - ring) below its threshold;
     ties to the smaller vec_id. ``counts``, if given, receives the numbers of meetings:
     of probes and balls that exist, met first, and met in the second round."""
     probes = _usable(probes).withColumn("limit", F.when(F.col("short"), SHORT_THRESHOLD).otherwise(LONG_THRESHOLD))
-    entries = _usable(entries)
-    centres = _pivots(entries, pivots)
+    entries = _cut(_usable(entries))
+    # as many pivots as give balls of about ``block`` entries
+    centres = _pivots(entries, pivots or min(max(entries.count() // block, 1), PIVOTS))
     if not len(centres):
         return probes.select("probe_id", F.col("probe_id").alias("vec_id"), F.lit(0.0).alias("distance")).limit(0)
     entries = _cut(balls(entries, centres, block))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from agentlake.functions import pii as PII
 from agentlake.operators import similarity as S
 from agentlake.plans.registry import query
+from agentlake.session import checkpoint_dir
 from agentlake.sources import views as V
 from agentlake.sources.tables import read
 
@@ -63,19 +64,17 @@ def exact_cache_replay(spark, sf_dir):
 
 
 def _entries_probes(spark, sf_dir):
-    emb = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    """Entries and probes of the same vectors. Intent and length are read off the texts once, for both."""
+    emb = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("string").alias("tenant"))
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    base = emb.join(docs, "vec_id", "left")
-    entries = base.select(F.col("label").cast("string").alias("tenant"), "vec_id",
-                          F.col("embedding").alias("vec"), S.primary_interrogative(F.col("text")).alias("intent"),
-                          F.col("vec_id").alias("seq"))
+    text = F.col("text")
+    checkpoint_dir(spark)
+    base = emb.join(docs, "vec_id", "left").select("vec_id", "embedding", "tenant", S.primary_interrogative(text).alias("intent"),
+                                                   (S.word_count(text) <= S.SHORT_PROMPT_WORDS).alias("short")).checkpoint(eager=True)
+    entries = base.select("tenant", "vec_id", F.col("embedding").alias("vec"), "intent", F.col("vec_id").alias("seq"))
     eps = F.element_at(F.array(*[F.lit(e) for e in EPS]), (F.col("vec_id") % 4 + 1).cast("int"))
     pvec = F.transform("embedding", lambda x, j: x.cast("double") + eps * ((F.col("vec_id") + j) % 5 - 2))
-    prompt = F.col("text")
-    probes = base.select(F.col("label").cast("string").alias("tenant"), F.col("vec_id").alias("probe_id"),
-                         pvec.alias("vec"), S.primary_interrogative(prompt).alias("intent"),
-                         (S.word_count(prompt) <= S.SHORT_PROMPT_WORDS).alias("short"),
-                         F.col("vec_id").alias("max_seq"))
+    probes = base.select("tenant", F.col("vec_id").alias("probe_id"), pvec.alias("vec"), "intent", "short", F.col("vec_id").alias("max_seq"))
     return entries, probes
 
 

@@ -46,7 +46,7 @@ def scan(entries, probes, ring=None):
     return out
 
 
-@pytest.mark.parametrize(("ring", "block", "pivots"), [(None, 16, 12), (None, 4096, 128), (200, 16, 5), (None, 7, 1)])
+@pytest.mark.parametrize(("ring", "block", "pivots"), [(None, 16, 12), (None, 4096, None), (200, 16, 5), (None, 7, 1)])
 def test_nearest_equals_a_scan(spark, ring, block, pivots):
     entries, probes = data(900, 1)
     counts = {}

@@ -25,6 +25,11 @@ def _usable(x: Column) -> Column:
     return x.isNotNull() & ~F.lower(F.trim(x)).isin(*NULLISH_IDS)
 
 
+def given_session(provided: Column, otherwise: Column) -> Column:
+    """The provided session id (trimmed) unless nullish."""
+    return F.when(_usable(provided), F.trim(provided)).otherwise(otherwise)
+
+
 def le_u64_hex(x: Column) -> Column:
     """8-byte little-endian hex of a non-negative BIGINT."""
     return F.concat(*[F.lpad(F.hex(F.shiftright(x, 8 * i).bitwiseAND(255)), 2, "0") for i in range(8)])

@@ -55,23 +55,22 @@ def tree(nodes: DataFrame, id_col: str, parent_col: str, values: list[str]) -> D
     """id, root_<id>, depth, path (array from the root to the node), subtree_nodes and, for
     each of ``values``, subtree_<value>: its sum over the node and all below it. A parent that
     is no node itself is the root of its children, with no row of its own."""
-    from agentlake.session import checkpoint_dir
-    checkpoint_dir(nodes.sparkSession)
+    from agentlake.session import written
     sums = ["nodes", *values]
     cur = nodes.select(F.col(id_col).alias("node"), F.col(parent_col).alias("up"), F.array(id_col).alias("path"), F.lit(1).cast("long").alias("nodes"), *values)
     known = cur.select(F.col("node").alias("up"), F.lit(True).alias("is_node"))
     # a parent without a row begins the path of its children and takes no sums
-    cur = cur.join(known, "up", "left").select(
+    cur = written(cur.join(known, "up", "left").select(
         "node", F.when(F.col("is_node"), F.col("up")).alias("up"),
-        F.when(F.col("is_node") | F.col("up").isNull(), F.col("path")).otherwise(F.concat(F.array("up"), "path")).alias("path"), *sums).checkpoint(eager=True)
+        F.when(F.col("is_node") | F.col("up").isNull(), F.col("path")).otherwise(F.concat(F.array("up"), "path")).alias("path"), *sums), "tree")
     types = dict(cur.dtypes)
     while cur.filter(F.col("up").isNotNull()).limit(1).count():
         if cur.filter(F.array_position("path", F.col("node")) < F.size("path")).limit(1).count():
             raise ValueError(f"{parent_col} has a cycle: some nodes stand above themselves")
         above = cur.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
         below = cur.where("up IS NOT NULL").groupBy(F.col("up").alias("node")).agg(*[F.sum(c).alias(f"_{c}") for c in sums])
-        cur = cur.join(above, "up", "left").join(below, "node", "left").select(
+        cur = written(cur.join(above, "up", "left").join(below, "node", "left").select(
             "node", F.col("_up").alias("up"), F.when(F.col("_path").isNotNull(), F.concat("_path", "path")).otherwise(F.col("path")).alias("path"),
-            *[F.coalesce((F.col(c) + F.col(f"_{c}")).cast(types[c]), F.col(c)).alias(c) for c in sums]).checkpoint(eager=True)
+            *[F.coalesce((F.col(c) + F.col(f"_{c}")).cast(types[c]), F.col(c)).alias(c) for c in sums]), "tree")
     return cur.select(F.col("node").alias(id_col), F.col("path")[0].alias(f"root_{id_col}"), (F.size("path") - 1).cast("bigint").alias("depth"), "path",
                       *[F.col(c).alias(f"subtree_{c}") for c in sums])

@@ -100,3 +100,42 @@ def islands(events: DataFrame, keys: list[str], ts: str, gap: int) -> DataFrame:
             .agg(F.min("_lo").alias("open_sec"), (F.max("_hi") + gap).alias("close_sec"),
                  F.sum("_n").cast("bigint").alias("events"))
             .drop("_island"))
+
+
+def affine_prefix(df: DataFrame, keys: list[str], pos: str, a: str, b: str, width: int = 64) -> DataFrame:
+    """Adds y, the value of y = a * y + b after each row of a key in the order of ``pos``
+    (a long >= 0, unique in the key); before the first row y is 0.
+
+    Such steps compose: (a2, b2) after (a1, b1) is (a2 a1, a2 b1 + b2). Bins of ``width``
+    positions are composed in parallel, the bins of a key likewise, level by level, until one
+    bin is left; no task holds more than ``width`` rows of a key."""
+    types = ["struct<a:double,b:double>", "array<struct<pos:long,a:double,b:double>>"]
+    step = F.struct(F.col(pos).alias("pos"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    bins = df.groupBy(*keys, _bin(F.col(pos), width).alias("_bin")).agg(F.array_sort(F.collect_list(step)).alias("_steps"))
+
+    def after(acc: Column, r: Column) -> Column:
+        made = F.struct((r["a"] * acc["now"]["a"]).alias("a"), (r["a"] * acc["now"]["b"] + r["b"]).alias("b"))
+        entry = F.struct(r["pos"].alias("pos"), made["a"].alias("a"), made["b"].alias("b"))
+        return F.struct(made.alias("now"), F.concat(acc["done"], F.array(entry)).alias("done"))
+
+    zero = F.struct(F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")).cast(types[0]).alias("now"), F.array().cast(types[1]).alias("done"))
+    bins = bins.withColumn("_x", F.aggregate("_steps", zero, after)).select(*keys, "_bin", "_x.now.a", "_x.now.b", F.col("_x.done").alias("_done"))
+    top = bins.agg(F.max("_bin")).collect()[0][0]
+    if top:
+        upto = affine_prefix(bins.select(*keys, "_bin", "a", "b"), keys, "_bin", "a", "b", width).select(*keys, "_bin", "y")
+        entering = upto.withColumn("_enter", F.lag("y").over(Window.partitionBy(*keys).orderBy("_bin"))).drop("y")
+        bins = bins.join(entering, [*keys, "_bin"])
+    else:
+        bins = bins.withColumn("_enter", F.lit(0.0))
+    rows = bins.withColumn("_s", F.explode("_done"))
+    y = F.col("_s.a") * F.coalesce("_enter", F.lit(0.0)) + F.col("_s.b")
+    return df.join(rows.select(*keys, F.col("_s.pos").alias(pos), y.alias("y")), [*keys, pos])
+
+
+def ema(df: DataFrame, keys: list[str], pos: str, value: str, alpha: float, out: str = "ema", width: int = 64) -> DataFrame:
+    """Adds the exponential moving average of ``value`` in the order of ``pos``: the first
+    value of a key, then alpha * value + (1 - alpha) * average before."""
+    first = df.groupBy(*keys).agg(F.min(pos).alias("_first"))
+    rows = df.join(first, keys).withColumn("_a", F.when(F.col(pos) == F.col("_first"), 0.0).otherwise(1 - alpha))
+    rows = rows.withColumn("_b", F.when(F.col(pos) == F.col("_first"), F.col(value)).otherwise(F.lit(alpha) * F.col(value)))
+    return affine_prefix(rows, keys, pos, "_a", "_b", width).withColumnRenamed("y", out).drop("_a", "_b", "_first")

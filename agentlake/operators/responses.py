@@ -179,3 +179,14 @@ def unified_fields(body: Column, provider: Column) -> Column:
 def response_content(body: Column) -> Column:
     """choices[0].message.content, else the raw text."""
     return F.coalesce(_get(F.try_parse_json(body), "$.choices[0].message.content", "string"), body)
+
+
+def with_field(body: Column, name: str, value: Column) -> Column:
+    """The text of a JSON object with one more field at its end; ``value`` is JSON. Null if
+    the body is no JSON object, or has the field already. All other bytes stay."""
+    v = F.try_parse_json(body)
+    whole = F.rtrim(body)
+    inside = F.substr(whole, F.lit(1), F.char_length(whole) - 1)
+    comma = F.when(inside.rlike(r"\{\s*$") & (F.size(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))) == 0), "").otherwise(",")
+    is_object = F.schema_of_variant(v).startswith("OBJECT") & F.try_variant_get(v, f"$.{name}", "variant").isNull()
+    return F.when(is_object, F.concat(inside, comma, F.lit(f'"{name}":'), value, F.lit("}")))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agentlake.functions import classify as C
+from agentlake.operators.quantiles import exact_quantiles
 from agentlake.plans.registry import query
 from agentlake.sources import views as V
 
@@ -114,18 +115,25 @@ SELECT tenant_id, count(*) AS requests,
        count(*) FILTER (WHERE cache_hit) AS hits,
        round(count(*) FILTER (WHERE cache_hit) / count(*), 6) AS hit_ratio,
        CAST(coalesce(sum(prompt_tokens) FILTER (WHERE cache_hit), 0) AS BIGINT) AS tokens_saved,
-       CAST(coalesce(sum(latency_ms) FILTER (WHERE cache_hit), 0) AS BIGINT) AS hit_latency_ms
-FROM v_requests GROUP BY tenant_id
+       CAST(coalesce(sum(latency_ms) FILTER (WHERE cache_hit), 0) AS BIGINT) AS hit_latency_ms,
+       CAST(coalesce(sum((CAST(prompt_tokens AS DECIMAL(12,0)) * in_rate + CAST(completion_tokens AS DECIMAL(12,0)) * out_rate) * CAST(0.000001 AS DECIMAL(7,6)))
+                     FILTER (WHERE cache_hit), 0) AS DECIMAL(38,12)) AS cost_saved_usd
+FROM v_priced GROUP BY tenant_id
 """)
 def cache_metrics(spark, sf_dir):
-    r = V.requests(spark, sf_dir)
+    from agentlake.plans.billing import priced_requests
+    r = priced_requests(spark, sf_dir)
     hit = F.col("cache_hit")
+    tokens = lambda c: F.col(c).cast("decimal(12,0)")
+    # what the provider would have charged at its uncached rates
+    saved = (tokens("prompt_tokens") * F.col("in_rate") + tokens("completion_tokens") * F.col("out_rate")) * F.lit("0.000001").cast("decimal(7,6)")
     return r.groupBy("tenant_id").agg(
         F.count(F.lit(1)).alias("requests"),
         F.count_if(hit).alias("hits"),
         F.round(F.count_if(hit) / F.count(F.lit(1)), 6).alias("hit_ratio"),
         F.coalesce(F.sum(F.when(hit, F.col("prompt_tokens"))), F.lit(0)).cast("bigint").alias("tokens_saved"),
         F.coalesce(F.sum(F.when(hit, F.col("latency_ms"))), F.lit(0)).cast("bigint").alias("hit_latency_ms"),
+        F.coalesce(F.sum(F.when(hit, saved)), F.lit(0)).cast("decimal(38,12)").alias("cost_saved_usd"),
     )
 
 
@@ -184,14 +192,11 @@ SELECT executed_provider AS provider, count(*) AS requests,
 FROM v_requests WHERE status = 200 AND executed_provider <> '' GROUP BY executed_provider
 """)
 def latency_quantiles(spark, sf_dir):
-    # Exact percentiles: latency_ms is an integer with few distinct values, so
-    # the per-group value->count map that `percentile` keeps stays small and
-    # merges map-side; approx_percentile is the sketch variant for raw floats.
+    """A10: exact, by histogram refinement; no buffer holds a provider's values."""
     r = V.requests(spark, sf_dir).filter((F.col("status") == 200) & (F.col("executed_provider") != ""))
-    return r.groupBy(F.col("executed_provider").alias("provider")).agg(
-        F.count(F.lit(1)).alias("requests"),
-        *[F.round(F.percentile(F.col("latency_ms"), q), 6).alias(n)
-          for q, n in [(0.5, "p50"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99")]])
+    names = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    q = exact_quantiles(r.select(F.col("executed_provider").alias("provider"), "latency_ms"), ["provider"], "latency_ms", names)
+    return q.select("provider", F.col("n").alias("requests"), *[F.round(n, 6).alias(n) for n in names])
 
 
 @query("latency_quantiles_approx")
@@ -216,15 +221,19 @@ def exact_duplicates(spark, sf_dir):
 
 @query("distinct_sessions", sql="""
 SELECT tenant_id, count(DISTINCT session_id) AS sessions, count(DISTINCT api_key_alias) AS api_keys,
-       count(DISTINCT model) AS models
-FROM v_requests GROUP BY tenant_id
+       count(DISTINCT model) AS models, count(DISTINCT user_id) AS agents, any_value(t.tools) AS tools
+FROM v_requests LEFT JOIN (SELECT 't-' || (user_id % 8) AS tenant_id, count(DISTINCT tool_name) AS tools FROM v_calls GROUP BY 1) t USING (tenant_id)
+GROUP BY tenant_id
 """)
 def distinct_sessions(spark, sf_dir):
+    """Distinct sessions, keys, models, agents (a user's agent) and tools by tenant."""
     r = V.requests(spark, sf_dir)
+    tools = (V.calls(spark, sf_dir).groupBy(F.concat(F.lit("t-"), F.col("user_id") % 8).alias("tenant_id"))
+             .agg(F.countDistinct("tool_name").alias("tools")))
     return r.groupBy("tenant_id").agg(
         F.countDistinct("session_id").alias("sessions"),
         F.countDistinct("api_key_alias").alias("api_keys"),
-        F.countDistinct("model").alias("models"))
+        F.countDistinct("model").alias("models"), F.countDistinct("user_id").alias("agents")).join(tools, "tenant_id", "left")
 
 
 @query("approx_sessions")

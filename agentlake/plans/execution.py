@@ -1,4 +1,4 @@
-"""Queries: recorded tool executions."""
+"""Queries: recorded tool executions."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from agentlake.functions.classify import is_read_only
 from agentlake.operators import execution as X
+from agentlake.operators import ordered
 from agentlake.plans.registry import query
 from agentlake.sources import views as V
 
@@ -81,6 +82,20 @@ def fence_completions(spark, sf_dir):
     return r.select("event_id", "idempotency_key", "at_sec", "version", (F.col("decision") == "applied").alias("accepted"), "decision")
 
 
+@query("attempt_sequence", sql=_LOG + """
+SELECT event_id, idempotency_key, row_number() OVER (PARTITION BY idempotency_key ORDER BY at_sec, event_id) AS attempt, version,
+       version IS NOT NULL AND decision IN ('new_claim', 'reclaim_after_failed', 'lease_expired_reclaim') AS raised
+FROM log WHERE kind = 'claim'
+""")
+def attempt_sequence(spark, sf_dir):
+    """The number of each claim of an operation, the version it got or met, and whether
+    it raised it. The number is a running count per key, bin-local."""
+    c = replayed(spark, sf_dir).filter(F.col("kind") == "claim").withColumn("one", F.lit(1).cast("bigint"))
+    c = ordered.running_sums(c, ["idempotency_key"], "at_sec", "event_id", ["one"], X.ENTRY_TTL_SEC)
+    return c.select("event_id", "idempotency_key", F.col("one_running").cast("bigint").alias("attempt"), "version",
+                    F.col("decision").isin("new_claim", "reclaim_after_failed", "lease_expired_reclaim").alias("raised"))
+
+
 @query("lease_expiry", sql=_LOG + """
 SELECT event_id, idempotency_key, at_sec, version, decision FROM log WHERE decision IN ('lease_expired_reclaim', 'already_in_flight')
 """)

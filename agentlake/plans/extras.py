@@ -86,26 +86,32 @@ def usage_tokens(spark, sf_dir):
 
 
 @query("workflow_rollup", sql=f"""
-WITH c AS (
+WITH s AS (
   SELECT *, coalesce(tenant_claim, trim(tenant_header), '{I.ZERO_TENANT}') AS tenant_id,
          count(*) OVER (PARTITION BY execution_id) AS batch_size FROM v_calls
+), c AS (
+  SELECT *, CASE WHEN provided_session IS NOT NULL AND NOT {ID._NULLISH.format(x='provided_session')} THEN trim(provided_session) ELSE 'user-' || user_id END AS session_id,
+         'wf-' || user_id || '-' || CAST(floor(event_id / 500) AS BIGINT) AS workflow_id,
+         CASE WHEN batch_size = 1 AND trace_op_id IS NOT NULL THEN trace_op_id ELSE sha256(execution_id || '::' || call_id) END AS operation_id FROM s
 ), o AS (
-  SELECT *, CASE WHEN batch_size = 1 AND trace_op_id IS NOT NULL THEN trace_op_id
-                 ELSE sha256(execution_id || '::' || call_id) END AS operation_id FROM c
+  SELECT tenant_id, session_id, workflow_id, execution_id, operation_id, count(*) AS attempts FROM c GROUP BY ALL
 )
-SELECT tenant_id, execution_id, CAST(grouping(tenant_id, execution_id) AS BIGINT) AS level,
-       count(DISTINCT operation_id) AS operations, count(*) AS calls
-FROM o GROUP BY ROLLUP (tenant_id, execution_id)
+SELECT tenant_id, session_id, workflow_id, execution_id, CAST(grouping(tenant_id, session_id, workflow_id, execution_id) AS BIGINT) AS level,
+       count(*) AS operations, CAST(sum(attempts) AS BIGINT) AS attempts, max(attempts) AS most_attempts
+FROM o GROUP BY ROLLUP (tenant_id, session_id, workflow_id, execution_id)
 """)
 def workflow_rollup(spark, sf_dir):
-    """Tenant -> execution -> operation hierarchy as a rollup; every level
-    from the same deterministic ids (P1, P6)."""
+    """Tenant -> session -> workflow -> execution -> operation -> attempt as a rollup. The
+    operations of an execution are counted first, so the levels above add up small rows."""
     c = ID._calls(spark, sf_dir)
-    c = c.withColumn("operation_id", I.operation_id(F.col("trace_op_id"), F.col("batch_size"), F.col("execution_id"),
-                                                    F.col("call_id")))
-    return (c.rollup("tenant_id", "execution_id")
-            .agg(F.grouping_id().cast("bigint").alias("level"), F.countDistinct("operation_id").alias("operations"),
-                 F.count(F.lit(1)).alias("calls")))
+    u = F.col("user_id").cast("string")
+    c = c.withColumn("session_id", I.given_session(F.col("provided_session"), F.concat(F.lit("user-"), u))) \
+        .withColumn("workflow_id", F.concat(F.lit("wf-"), u, F.lit("-"), F.floor(F.col("event_id") / 500).cast("string"))) \
+        .withColumn("operation_id", I.operation_id(F.col("trace_op_id"), F.col("batch_size"), F.col("execution_id"), F.col("call_id")))
+    levels = ["tenant_id", "session_id", "workflow_id", "execution_id"]
+    o = c.groupBy(*levels, "operation_id").agg(F.count(F.lit(1)).alias("attempts"))
+    return o.rollup(*levels).agg(F.grouping_id().cast("bigint").alias("level"), F.count(F.lit(1)).alias("operations"),
+                                 F.sum("attempts").cast("bigint").alias("attempts"), F.max("attempts").alias("most_attempts"))
 
 
 # Required fields of a trace ingest record.

@@ -104,17 +104,55 @@ def format_results(spark, sf_dir):
                     .alias("results_json"))
 
 
-@query("attach_results", sql=_CALLS_SQL + """
-SELECT response_id,
-       count(*) FILTER (WHERE NOT contains(content, 'PREVIOUS_ATTEMPT_UNKNOWN')) AS attached,
-       count(*) FILTER (WHERE contains(content, 'PREVIOUS_ATTEMPT_UNKNOWN')) AS dropped
-FROM res GROUP BY response_id
+def _body_sql() -> str:
+    """The provider's whole response, from the base columns."""
+    opt = lambda c, x: f"CASE WHEN {c} THEN {x} ELSE '' END"
+    openai = ("""'{"id":"resp-' || response_id || '","model":"gpt-4o","choices":[{"index":0,"message":{"role":"assistant","content":' || j || """
+              + opt("has_call", """',"tool_calls":[{"id":"' || cid || '","type":"function","function":{"name":"' || tool || '","arguments":' || CAST(to_json(args) AS VARCHAR) || '}}' || """
+                    + opt("broken", """',{"id":"' || cid || '_b","type":"function"}'""") + " || ']'")
+              + """ || '},"finish_reason":"' || CASE WHEN has_call THEN 'tool_calls' ELSE 'stop' END || '"}],"usage":{"prompt_tokens":' || p || ',"completion_tokens":' || n || ',"total_tokens":' || (p + n) || '}}'""")
+    anthropic = ("""'{"id":"resp-' || response_id || '","type":"message","role":"assistant","model":"claude-3-5-sonnet","content":[{"type":"text","text":' || j || '}' || """
+                 + opt("has_call", """',{"type":"tool_use","id":"' || cid || '","name":"' || tool || '","input":' || args || '}' || """ + opt("broken", """',{"type":"tool_use","name":"' || tool || '","input":{}}'"""))
+                 + """ || '],"stop_reason":"' || CASE WHEN has_call THEN 'tool_use' ELSE 'end_turn' END || '","usage":{"input_tokens":' || p || ',"output_tokens":' || n || '}}'""")
+    gemini = ("""'{"candidates":[{"content":{"role":"model","parts":[{"text":' || j || '}' || """
+              + opt("has_call", """',{"functionCall":{"name":"' || tool || '","args":' || args || '}}' || """ + opt("broken", """',{"functionCall":{"args":{}}}'"""))
+              + """ || ']},"finishReason":"STOP"}]}'""")
+    cohere = ("""'{"text":' || j || """ + opt("has_call", """',"tool_calls":[{"name":"' || tool || '","parameters":' || args || '}' || """ + opt("broken", """',{"parameters":{}}'""") + " || ']'")
+              + """ || ',"finish_reason":"' || CASE WHEN has_call THEN 'TOOL_CALL' ELSE 'COMPLETE' END || '"}'""")
+    bedrock = ("""'{"output":{"message":{"role":"assistant","content":[{"text":' || j || '}' || """
+               + opt("has_call", """',{"toolUse":{"toolUseId":"' || cid || '","name":"' || tool || '","input":' || args || '}}' || """ + opt("broken", """',{"toolUse":{"name":"' || tool || '","input":{}}}'"""))
+               + """ || ']}},"stopReason":"' || CASE WHEN has_call THEN 'tool_use' ELSE 'end_turn' END || '"}'""")
+    return f"""
+SELECT response_id, CASE fmt WHEN 0 THEN {openai} WHEN 1 THEN {anthropic} WHEN 2 THEN {gemini} WHEN 3 THEN {cohere} ELSE {bedrock} END AS body
+FROM (SELECT conv_id * 10 + turn AS response_id, conv_id % 5 AS fmt, CAST(to_json(text) AS VARCHAR) AS j, (conv_id + turn) % 3 = 0 AS has_call,
+             (conv_id + turn) % 3 = 0 AND (conv_id * 10 + turn) % 13 = 0 AS broken, 'call_' || conv_id || '_' || turn AS cid, 'tool_' || (turn % 4) AS tool,
+             '{{"turn":' || turn || ',"conv":' || conv_id || '}}' AS args, 10 + turn AS p, len(string_split(text, ' ')) AS n
+      FROM conversations WHERE role = 'assistant')"""
+
+
+@query("attach_results", sql=_CALLS_SQL + f""", b AS ({_body_sql()}),
+g AS (SELECT response_id, count(*) FILTER (WHERE NOT contains(content, 'PREVIOUS_ATTEMPT_UNKNOWN')) AS attached,
+             count(*) FILTER (WHERE contains(content, 'PREVIOUS_ATTEMPT_UNKNOWN')) AS dropped,
+             string_agg(CASE provider {' '.join(f"WHEN '{p}' THEN {_duck_shape(p)}" for p in PROVIDERS)} END, ',') FILTER (WHERE NOT contains(content, 'PREVIOUS_ATTEMPT_UNKNOWN')) AS items
+      FROM res GROUP BY response_id)
+SELECT b.response_id, coalesce(attached, 0) AS attached, coalesce(dropped, 0) AS dropped,
+       CASE WHEN items IS NULL THEN body ELSE left(body, length(body) - 1) || ',"tool_results":[' || items || ']}}' END AS body
+FROM b LEFT JOIN g USING (response_id)
 """)
 def attach_results(spark, sf_dir):
-    """Results are attached to their response; a PREVIOUS_ATTEMPT_UNKNOWN result is dropped."""
+    """Every response with its tool results, in the provider's shape, added as
+    ``tool_results``; PREVIOUS_ATTEMPT_UNKNOWN results are dropped, and a response without
+    results stays as it is."""
     t = tool_results_for_calls(spark, sf_dir)
     flagged = F.col("content").contains("PREVIOUS_ATTEMPT_UNKNOWN")
-    return t.groupBy("response_id").agg(F.count_if(~flagged).alias("attached"), F.count_if(flagged).alias("dropped"))
+    item = F.coalesce(*[F.when(F.col("provider") == p, F.to_json(_shape(p))) for p in PROVIDERS])
+    # one response's results: bounded by its tool calls
+    g = t.groupBy("response_id").agg(F.count_if(~flagged).alias("attached"), F.count_if(flagged).alias("dropped"),
+                                     F.array_sort(F.collect_list(F.when(~flagged, F.struct("call_index", item.alias("item"))))).alias("items"))
+    joined = responses(spark, sf_dir).select("response_id", "body").join(g, "response_id", "left")
+    results = F.concat(F.lit("["), F.array_join(F.transform("items", lambda x: x["item"]), ","), F.lit("]"))
+    return joined.select("response_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("attached", "dropped")],
+                         F.when(F.size("items") > 0, RS.with_field(F.col("body"), "tool_results", results)).otherwise(F.col("body")).alias("body"))
 
 
 def raw_anthropic_events(spark, sf_dir):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -56,18 +55,6 @@ def rate_limit(spark, sf_dir):
                     ((F.col("capacity") > 0) & (F.col("n_in_window") > F.col("capacity"))).alias("blocked"))
 
 
-@query("attempt_sequence", sql="""
-SELECT event_id, op, row_number() OVER (PARTITION BY op ORDER BY claim_sec, event_id) AS attempt
-FROM v_attempts
-""")
-def attempt_sequence(spark, sf_dir):
-    a = V.attempts(spark, sf_dir).select("event_id", "op", "claim_sec").withColumn("one", F.lit(1).cast("bigint"))
-    # attempt number = running count per operation, bin-local (a retry storm on
-    # one operation key is spread over its time bins)
-    a = ordered.running_sums(a, ["op"], "claim_sec", "event_id", ["one"], BIN_SEC)
-    return a.select("event_id", "op", F.col("one_running").cast("bigint").alias("attempt"))
-
-
 @query("breaker_intervals", sql="""
 SELECT tenant_id, api_key_alias, min(sec) AS open_sec, max(sec) + 60 AS close_sec, count(*) AS events
 FROM (
@@ -88,17 +75,20 @@ def breaker_intervals(spark, sf_dir):
 SELECT event_id, session_id,
        row_number() OVER w AS turn,
        sec - lag(sec) OVER w AS gap_sec,
-       CAST(sum(total_tokens) OVER w AS BIGINT) AS running_tokens
-FROM v_requests WINDOW w AS (PARTITION BY session_id ORDER BY sec, event_id)
+       CAST(sum(total_tokens) OVER w AS BIGINT) AS running_tokens,
+       CAST(sum(cost_usd) OVER w AS DECIMAL(38,14)) AS running_cost_usd
+FROM v_priced WINDOW w AS (PARTITION BY session_id ORDER BY sec, event_id)
 """)
 def session_timeline(spark, sf_dir):
-    r = V.requests(spark, sf_dir).select("event_id", "session_id", "sec", "total_tokens")
+    from agentlake.operators.billing import price
+    r = price(V.requests(spark, sf_dir), D.pricing_df(spark)).select("event_id", "session_id", "sec", "total_tokens", "cost_usd")
     r = r.withColumn("one", F.lit(1).cast("bigint"))
-    r = ordered.running_sums(r, ["session_id"], "sec", "event_id", ["one", "total_tokens"], BIN_SEC)
+    r = ordered.running_sums(r, ["session_id"], "sec", "event_id", ["one", "total_tokens", "cost_usd"], BIN_SEC)
     r = ordered.previous_value(r, ["session_id"], "sec", "event_id", "sec", "prev_sec", BIN_SEC)
     return r.select("event_id", "session_id", F.col("one_running").cast("bigint").alias("turn"),
                     (F.col("sec") - F.col("prev_sec")).alias("gap_sec"),
-                    F.col("total_tokens_running").cast("bigint").alias("running_tokens"))
+                    F.col("total_tokens_running").cast("bigint").alias("running_tokens"),
+                    F.col("cost_usd_running").cast("decimal(38,14)").alias("running_cost_usd"))
 
 
 def _tick_p95(spark, sf_dir):
@@ -108,21 +98,9 @@ def _tick_p95(spark, sf_dir):
             .agg(F.percentile(F.col("latency_ms"), 0.95).alias("p95")))
 
 
-def _ema_fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("tick")
-    out, prev = [], None
-    for v in pdf["p95"]:
-        prev = v if prev is None else EMA_ALPHA * v + (1 - EMA_ALPHA) * prev
-        out.append(prev)
-    return pd.DataFrame({"provider": pdf["provider"].values, "tick": pdf["tick"].values,
-                         "p95": pdf["p95"].values, "ema": out})
-
-
 def ema_table(spark, sf_dir):
-    # Fold over the per-tick aggregate: a provider's group holds one row per
-    # tick (bounded by elapsed time / tick), never raw requests.
-    return (_tick_p95(spark, sf_dir).groupBy("provider")
-            .applyInPandas(_ema_fold, "provider string, tick long, p95 double, ema double"))
+    """provider, tick, p95, ema: the average composed over bins of ticks."""
+    return ordered.ema(_tick_p95(spark, sf_dir), ["provider"], "tick", "p95", EMA_ALPHA)
 
 
 _EMA_ORACLE = f"""

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every agentlake job relies on. Results are compared against an
 # oracle in UTC, AQE re-plans joins and skewed shuffles at runtime.
@@ -72,6 +73,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a Parquet table in the shared folder, read again. Rounds of an iteration
+    end here: lineage is cut, and so are the size estimates, which a checkpoint hands on and
+    joins multiply."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``agentlake`` importable in Python workers (pandas UDFs, mapInPandas,
     cogroups unpickle functions defined here). The package is zipped on the

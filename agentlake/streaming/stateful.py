@@ -63,7 +63,42 @@ def execution_stream(log: DataFrame, watermark: str = "30 seconds") -> DataFrame
             .applyInPandasWithState(_exec_func, _EXEC_OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
-# ------------------------------------------------------------------ R13 exact cache replay
+def _epochs(spark, folder: str) -> list[int]:
+    """Epochs that have a finished folder ``epoch=N`` under a path (any file system)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(conf)
+    if not fs.exists(path):
+        return []
+    dirs = [f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith("epoch=")]
+    return sorted(int(d.getName().split("=")[1]) for d in dirs if fs.exists(jvm.org.apache.hadoop.fs.Path(d, "_SUCCESS")))
+
+
+def split_late(out_dir: str, delay_sec: int = 30, ts: str = "at_sec"):
+    """A ``foreachBatch`` sink that parts a log by a watermark of its own, ``delay_sec``
+    behind the latest event of the epochs before. Rows in time go to ``ontime``, from where
+    :func:`execution_stream` reads; completions behind it, which a stateful operator would
+    drop without a word, go to ``fenced`` with that decision, other late rows to ``late``.
+    All folders belong to an epoch, so a batch that runs again changes nothing."""
+    def sink(batch: DataFrame, epoch: int):
+        spark = batch.sparkSession
+        before = [e for e in _epochs(spark, f"{out_dir}/marks") if e < epoch]
+        seen = spark.read.parquet(f"{out_dir}/marks/epoch={before[-1]}").first()["latest"] if before else None
+        rows = batch.persist()
+        try:
+            late = F.col(ts) < (F.lit(seen) - delay_sec if seen is not None else F.lit(None).cast("long"))
+            late = F.coalesce(late, F.lit(False))
+            done = F.col("kind") == "completion"
+            for name, part in (("ontime", rows.where(~late)), ("fenced", rows.where(late & done).withColumn("decision", F.lit("fenced_late"))), ("late", rows.where(late & ~done))):
+                part.write.mode("overwrite").parquet(f"{out_dir}/{name}/epoch={epoch}")
+            latest = F.greatest(F.max(ts), F.lit(seen).cast("long"))
+            rows.agg(latest.alias("latest")).coalesce(1).write.mode("overwrite").parquet(f"{out_dir}/marks/epoch={epoch}")
+        finally:
+            rows.unpersist()
+    return sink
+
+
+# ------------------------------------------------------------------ R13 cache replay
 
 def _cache_func(ttl: int):
     def func(key, pdfs, state: GroupState):
@@ -100,7 +135,18 @@ def cache_replay_stream(log: DataFrame, ttl: int = 3600, watermark: str = "10 mi
                                     GroupStateTimeout.EventTimeTimeout))
 
 
-# ------------------------------------------------------------------ R4 fixed-window rate limit
+def semantic_replay_batch(entries: DataFrame, out_dir: str, **search):
+    """R13, the semantic half: a ``foreachBatch`` sink that meets the micro-batch's probes with
+    the stored entries (``operators.similarity.nearest``, the search of J5) and writes
+    probe_id, vec_id, distance of its hits to the folder of its epoch."""
+    from agentlake.operators.similarity import nearest
+
+    def sink(batch: DataFrame, epoch: int):
+        nearest(batch, entries, **search).write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
+    return sink
+
+
+# ------------------------------------------------------------------ R4 rate limits
 
 def _rate_func(key, pdfs, state: GroupState):
     if state.hasTimedOut:
@@ -128,6 +174,31 @@ def rate_limit_stream(requests_with_capacity: DataFrame, watermark: str = "2 min
                                     GroupStateTimeout.EventTimeTimeout))
 
 
+def _fold_func(fold, key_cols: list, row_cols: list, order: list, names: list, idle: int):
+    """A handler that keeps a batch fold's state text and calls its ``step``."""
+    def func(key, pdfs, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        machine = fold(state.get[0] if state.exists else "")
+        data = pd.concat(list(pdfs)).sort_values(order)
+        out = [(*kept, *machine.step(*row)) for kept, row in zip(zip(*[data[c].tolist() for c in key_cols]), zip(*[data[c].tolist() for c in row_cols]))]
+        state.update((machine.dump(),))
+        _timeout(state, int(data["sec"].max()) + idle)
+        yield pd.DataFrame(out, columns=names)
+    return func
+
+
+def token_bucket_stream(requests_with_capacity: DataFrame, watermark: str = "2 minutes") -> DataFrame:
+    """R4, the bucket: the batch fold W5 per (tenant, model). A bucket without a request
+    for 60 s is full again, so its state goes then."""
+    from agentlake.operators.folds import BucketFold
+    r = requests_with_capacity.select("event_id", "tenant_id", "model", "sec", "capacity")
+    handler = _fold_func(BucketFold, ["event_id"], list(BucketFold.columns), ["sec", "event_id"], ["event_id", "allowed", "tokens_left"], 60)
+    return (with_event_time(r).withWatermark("event_time", watermark).groupBy("tenant_id", "model")
+            .applyInPandasWithState(handler, f"event_id long, {BucketFold.outputs}", STATE, "append", GroupStateTimeout.EventTimeTimeout))
+
+
 # ------------------------------------------------------------------ R7 breaker
 
 def _breaker_func(gap: int):
@@ -200,14 +271,49 @@ def budget_stream(scoped_costs: DataFrame, limit_by_scope: dict) -> DataFrame:
                                     "spend string", STATE, "append", GroupStateTimeout.NoTimeout))
 
 
+def _burn_func(key, pdfs, state: GroupState):
+    from decimal import Decimal
+    if state.hasTimedOut:
+        state.remove()
+        return
+    spend = {int(m): (Decimal(s), done) for m, (s, done) in json.loads(state.get[0]).items()} if state.exists else {}
+    data = pd.concat(list(pdfs)).sort_values(["sec", "event_id"])
+    out = []
+    for sec, ev, cost, limit in zip(data["sec"], data["event_id"], data["cost_usd"], data["burn_rate_limit"]):
+        minute = int(sec) // 60
+        total, done = spend.get(minute, (Decimal(0), False))
+        total += Decimal(str(cost))
+        if not done and total > Decimal(repr(float(limit))):
+            done = True
+            out.append((key[0], minute, int(ev), str(total)))
+        spend[minute] = total, done
+    newest = max(spend)
+    # a minute that the watermark has passed gets no more rows
+    old = state.getCurrentWatermarkMs() // 1000 - EPOCH
+    spend = {m: v for m, v in spend.items() if (m + 1) * 60 > old}
+    state.update((json.dumps({m: [str(s), done] for m, (s, done) in spend.items()}),))
+    _timeout(state, (newest + 1) * 60)
+    yield pd.DataFrame(out, columns=["session_id", "minute", "event_id", "spend"])
+
+
+def burn_rate_stream(costs: DataFrame, watermark: str = "2 minutes") -> DataFrame:
+    """R14, burn rate: session_id, sec, event_id, cost_usd, burn_rate_limit -> one alert for
+    each session and minute whose spend passes the limit, at the request that does it."""
+    c = costs.select("session_id", "sec", "event_id", F.col("cost_usd").cast("string").alias("cost_usd"), "burn_rate_limit")
+    return (with_event_time(c).withWatermark("event_time", watermark).groupBy("session_id")
+            .applyInPandasWithState(_burn_func, "session_id string, minute long, event_id long, spend string", STATE, "append", GroupStateTimeout.EventTimeTimeout))
+
+
 # ------------------------------------------------------------------ R10, R11 via foreachBatch
 
-def telemetry_split_batch(out_dir: str):
+def telemetry_split_batch(out_dir: str, compact_every: int = 16):
     """A ``foreachBatch`` sink that parses the micro-batch once and writes
     every event kind, known or not, to its partition (S3), and the batch's latest
     row of each trace key (S4). Both go to a folder of the epoch that is
-    overwritten, so a batch that runs again after a failure changes nothing;
-    :func:`latest_traces` merges the epochs when reading."""
+    overwritten, so a batch that runs again after a failure changes nothing. Every
+    ``compact_every`` epochs the latest rows so far are written as a snapshot, which
+    takes in the snapshot before and the epochs since; :func:`latest_traces` reads the
+    newest one and what came after it, so a read costs the live keys and a few epochs."""
     def sink(batch: DataFrame, epoch: int):
         from agentlake.plans.telemetry import classify, latest_by_key
         c = classify(batch).persist()
@@ -217,14 +323,28 @@ def telemetry_split_batch(out_dir: str):
             latest_by_key(c).write.mode("overwrite").parquet(f"{out_dir}/latest/epoch={epoch}")
         finally:
             c.unpersist()
+        if (epoch + 1) % compact_every == 0:
+            _newest(_latest_rows(batch.sparkSession, out_dir, epoch)).write.mode("overwrite").parquet(f"{out_dir}/snapshot/epoch={epoch}")
     return sink
 
 
+def _latest_rows(spark, out_dir: str, upto: int | None = None) -> DataFrame:
+    """The newest snapshot before epoch ``upto`` and the epochs after it, up to that."""
+    shots = [e for e in _epochs(spark, f"{out_dir}/snapshot") if upto is None or e < upto]
+    start = shots[-1] if shots else -1
+    parts = [f"{out_dir}/snapshot/epoch={start}"] if shots else []
+    parts += [f"{out_dir}/latest/epoch={e}" for e in _epochs(spark, f"{out_dir}/latest") if e > start and (upto is None or e <= upto)]
+    return spark.read.parquet(*parts)
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("trace_key").agg(F.max_by("kind", "o").alias("kind"), F.sum("versions").alias("versions"),
+                                         F.max_by("executed_provider", "o").alias("executed_provider"), F.max("o").alias("o"))
+
+
 def latest_traces(spark, out_dir: str) -> DataFrame:
     """The latest row of each trace key over all epochs written so far."""
-    rows = spark.read.parquet(f"{out_dir}/latest")
-    return rows.groupBy("trace_key").agg(F.max_by("kind", "o").alias("kind"), F.sum("versions").alias("versions"),
-                                         F.max_by("executed_provider", "o").alias("executed_provider"))
+    return _newest(_latest_rows(spark, out_dir)).drop("o")
 
 
 # ------------------------------------------------------------------ R11 reassembly
@@ -259,7 +379,7 @@ def _ema_func(alpha: float):
     return func
 
 
-def latency_p95_stream(requests: DataFrame, tick: str = "60 seconds", watermark: str = "2 minutes") -> DataFrame:
+def latency_p95_stream(requests: DataFrame, tick: str = "10 seconds", watermark: str = "2 minutes") -> DataFrame:
     """R5 (first stage): per-provider p95 of successful latency in tumbling event-time ticks."""
     r = requests.filter((F.col("status") == 200) & (F.col("executed_provider") != ""))
     return (with_event_time(r).withWatermark("event_time", watermark)
@@ -277,3 +397,44 @@ def latency_ema_stream(ticks: DataFrame, alpha: float = 0.3) -> DataFrame:
     return (t.groupBy("provider")
             .applyInPandasWithState(_ema_func(alpha), "provider string, tick long, p95 double, ema double",
                                     STATE, "append", GroupStateTimeout.NoTimeout))
+
+
+#: Seconds after its last tick for which a provider is ranked.
+RANKED_SEC = 30
+
+
+def _ranking_func(alpha: float):
+    def func(key, pdfs, state: GroupState):
+        last = {p: tuple(x) for p, x in json.loads(state.get[0]).items()} if state.exists else {}
+        data = pd.concat(list(pdfs)).sort_values(["tick", "provider"])
+        out = []
+        for tick, rows in data.groupby("tick"):
+            for provider, p95 in zip(rows["provider"], rows["p95"]):
+                before = last[provider][0] if provider in last else float(p95)
+                last[provider] = (alpha * float(p95) + (1 - alpha) * before, int(tick))
+            live = sorted((e, p, t) for p, (e, t) in last.items() if int(tick) - t <= RANKED_SEC)
+            out += [(int(tick), i + 1, p, e, t) for i, (e, p, t) in enumerate(live)]
+        state.update((json.dumps(last),))
+        yield pd.DataFrame(out, columns=["tick", "rank", "provider", "ema", "last_tick"])
+    return func
+
+
+def latency_ranking_stream(ticks: DataFrame, alpha: float = 0.3) -> DataFrame:
+    """R5 (second query, ranking): at every tick the providers seen within ``RANKED_SEC``, by
+    EMA. The rows are one p95 for each provider and tick, so one key holds all providers."""
+    t = ticks.select(F.lit("all").alias("scope"), "provider", (F.unix_seconds(F.col("window.start")) - EPOCH).alias("tick"), "p95")
+    return (t.groupBy("scope").applyInPandasWithState(_ranking_func(alpha), "tick long, rank int, provider string, ema double, last_tick long",
+                                                      STATE, "append", GroupStateTimeout.NoTimeout))
+
+
+def ranking_by_tick(ema: DataFrame) -> DataFrame:
+    """The batch form: provider, tick (second), ema -> tick, rank, provider, ema, last_tick."""
+    bin_ = lambda c: F.floor(F.col(c) / RANKED_SEC)
+    seen = ema.select("tick").distinct().withColumn("b", F.explode(F.array(bin_("tick"), bin_("tick") - 1)))
+    reach = ema.select("provider", F.col("tick").alias("last_tick"), "ema", bin_("tick").alias("b"))
+    live = seen.join(reach, "b").where(F.col("last_tick").between(F.col("tick") - RANKED_SEC, F.col("tick")))
+    newest = live.groupBy("tick", "provider").agg(F.max_by(F.struct("ema", "last_tick"), "last_tick").alias("x")).select("tick", "provider", "x.*")
+    order = F.struct("ema", "provider", "last_tick")
+    # a tick has one row a provider
+    ranked = newest.groupBy("tick").agg(F.array_sort(F.collect_list(order)).alias("all")).select("tick", F.posexplode("all").alias("at", "x"))
+    return ranked.select("tick", (F.col("at") + 1).cast("int").alias("rank"), "x.provider", "x.ema", "x.last_tick")

@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from agentlake.functions.jsonsig import loop_signature
+from agentlake.functions.jsonsig import with_loop_signature
 from agentlake.operators.folds import guardian_replay
 from agentlake.sources import views as V
 from agentlake.streaming import drivers as S
@@ -31,8 +31,7 @@ def _stage(spark, df, n_files=4, by=None):
 
 
 def test_guardian_stream_equals_batch(spark):
-    g = V.guard_calls(spark, SF).select("session_id", "sec", "event_id", "tool_name",
-                                        loop_signature(F.col("arguments")).alias("sig"))
+    g = with_loop_signature(V.guard_calls(spark, SF), "arguments").select("session_id", "sec", "event_id", "tool_name", "sig")
     d, src = _stage(spark, g, 4, "sec")
     stream = spark.readStream.schema(g.schema).option("maxFilesPerTrigger", 1).parquet(src)
     q = (S.guardian_stream(stream).writeStream.format("memory").queryName("guard_out")
@@ -112,6 +111,65 @@ def test_cache_and_rate_streams_equal_batch(spark):
     want2 = {r["event_id"]: r["blocked"] for r in rate_limit(spark, SF).collect()}
     assert got2 == want2
 
+    from agentlake.plans.governance import token_bucket
+    from agentlake.streaming.stateful import token_bucket_stream
+    d3, src3 = _stage(spark, req, 3, "sec")
+    s3 = spark.readStream.schema(req.schema).option("maxFilesPerTrigger", 1).parquet(src3)
+    q3 = (token_bucket_stream(s3).writeStream.format("memory").queryName("bucket_out")
+          .option("checkpointLocation", os.path.join(d3, "ckpt")).outputMode("append").trigger(availableNow=True).start())
+    q3.awaitTermination(300)
+    rows = lambda df: {r["event_id"]: (r["allowed"], round(r["tokens_left"], 6)) for r in df.collect()}
+    assert rows(spark.sql("SELECT * FROM bucket_out")) == rows(token_bucket(spark, SF))
+
+
+def test_late_completions_are_set_aside(spark, tmp_path):
+    from agentlake.operators import execution as X
+    from agentlake.streaming.stateful import execution_stream, split_late
+    cols = "idempotency_key string, event_id long, kind string, at_sec long, version long, outcome string, read_only boolean, ledger string"
+    batches = [[("a", 1, "claim", 0, None, None, False, None), ("b", 2, "claim", 5, None, None, False, None)],
+               [("c", 3, "claim", 100, None, None, False, None), ("b", 4, "completion", 101, 1, "success", None, None)],
+               [("a", 5, "completion", 20, 1, "success", None, None), ("a", 6, "claim", 21, None, None, False, None), ("c", 7, "completion", 99, 1, "success", None, None)]]
+    sink = split_late(str(tmp_path), 30)
+    for epoch, rows in [*enumerate(batches), (1, batches[1]), (2, batches[2])]:  # the last two run again
+        sink(spark.createDataFrame(rows, cols), epoch)
+    ids = lambda name: sorted(r["event_id"] for r in spark.read.parquet(f"{tmp_path}/{name}").collect())
+    assert ids("fenced") == [5] and ids("late") == [6] and ids("ontime") == [1, 2, 3, 4, 7]
+    assert spark.read.parquet(f"{tmp_path}/fenced").first()["decision"] == "fenced_late"
+    schema = spark.read.schema(cols).parquet(f"{tmp_path}/ontime").schema
+    s = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 100).parquet(f"{tmp_path}/ontime")
+    q = execution_stream(s).writeStream.format("memory").queryName("late_out").option("checkpointLocation", f"{tmp_path}/ckpt").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    got = {r["event_id"]: r["decision"] for r in spark.sql("SELECT * FROM late_out").collect()}
+    kept = [r for rows in batches for r in rows if r[1] not in (5, 6)]
+    assert got == {r["event_id"]: r["decision"] for r in X.replay(spark.createDataFrame(kept, cols)).collect()}
+
+
+def test_burn_rate_stream(spark):
+    from agentlake.plans.governance import _priced, burn_rate, effective_config
+    from agentlake.streaming.stateful import burn_rate_stream
+    p = effective_config(spark, _priced(spark, SF).select("session_id", "tenant_id", "sec", "event_id", "cost_usd"))
+    p = p.select("session_id", "sec", "event_id", "cost_usd", F.when(F.col("event_id") % 2 >= 0, 0.002).otherwise(F.col("burn_rate_limit")).alias("burn_rate_limit"))
+    d, src = _stage(spark, p, 3, "sec")
+    s = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (burn_rate_stream(s).writeStream.format("memory").queryName("burn_out").option("checkpointLocation", os.path.join(d, "ckpt"))
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = [(r["session_id"], r["minute"]) for r in spark.sql("SELECT * FROM burn_out").collect()]
+    want = [(r["session_id"], r["minute"]) for r in burn_rate(spark, SF).where("spend > 0.002").collect()]
+    assert sorted(got) == sorted(want) and got
+
+
+def test_semantic_replay_sink(spark, tmp_path):
+    from agentlake.operators.similarity import nearest
+    from agentlake.plans.similarity import _entries_probes
+    from agentlake.streaming.stateful import semantic_replay_batch
+    entries, probes = _entries_probes(spark, SF)
+    sink = semantic_replay_batch(entries, str(tmp_path))
+    for epoch in (0, 1, 1):
+        sink(probes.where(F.col("probe_id") % 2 == epoch), epoch)
+    got = sorted((r["probe_id"], r["vec_id"], round(r["distance"], 9)) for r in spark.read.parquet(str(tmp_path)).collect())
+    assert got == sorted((r["probe_id"], r["vec_id"], round(r["distance"], 9)) for r in nearest(probes, entries).collect()) and got
+
 
 def test_breaker_budget_and_split_streams(spark):
     from agentlake.operators.ordered import islands
@@ -126,8 +184,11 @@ def test_breaker_budget_and_split_streams(spark):
          .option("checkpointLocation", os.path.join(d, "ckpt")).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination(300)
-    opens = spark.sql("SELECT count(*) c FROM breaker_out WHERE event = 'open'").first()["c"]
-    assert opens == islands(f, ["tenant_id", "key_alias"], "sec", 60).count()
+    opens = [r["open_sec"] for r in spark.sql("SELECT * FROM breaker_out WHERE event = 'open'").collect()]
+    want = islands(f, ["tenant_id", "key_alias"], "sec", 60).collect()
+    assert sorted(opens) == sorted(r["open_sec"] for r in want) and opens
+    closes = [tuple(r) for r in spark.sql("SELECT open_sec, close_sec, failures FROM breaker_out WHERE event = 'close'").collect()]
+    assert closes and not set(closes) - {(r["open_sec"], r["close_sec"], r["events"]) for r in want}  # intervals still open at the end are not closed
 
     p = _priced(spark, SF).select(F.col("tenant_id").alias("scope"), "sec", "event_id", "cost_usd")
     d2, src2 = _stage(spark, p, 2, "sec")
@@ -161,6 +222,14 @@ def test_breaker_budget_and_split_streams(spark):
     cols = ["trace_key", "kind", "versions", "executed_provider"]
     key = lambda df: sorted(map(str, df.select(*cols).collect()))
     assert key(latest_traces(spark, out)) == key(latest_trace(spark, SF))
+    # with snapshots: a read takes the newest one and the epochs after it, and a replay changes nothing
+    from agentlake.streaming.stateful import _latest_rows
+    sink = telemetry_split_batch(out + "3", compact_every=2)
+    for epoch in (0, 1, 2, 3, 4, 3, 4):
+        sink(first.where(F.col("seq") % 5 == epoch), epoch)
+    assert key(latest_traces(spark, out + "3")) == key(latest_trace(spark, SF))
+    read = {"/".join(f.split("/")[-3:-1]) for f in _latest_rows(spark, out + "3").inputFiles()}
+    assert read == {"snapshot/epoch=3", "latest/epoch=4"}
 
 
 def test_reassembly_and_latency_streams(spark):
@@ -193,7 +262,28 @@ def test_reassembly_and_latency_streams(spark):
           .format("memory").queryName("ema_out").option("checkpointLocation", os.path.join(d2, "ckpt2"))
           .outputMode("append").trigger(availableNow=True).start())
     q3.awaitTermination(300)
-    assert spark.sql("SELECT count(*) c FROM ema_out").first()["c"] == ticks.count() > 0
+    got = sorted((r["provider"], r["tick"], round(r["p95"], 6), round(r["ema"], 6)) for r in spark.sql("SELECT * FROM ema_out").collect())
+    from agentlake.operators.ordered import ema
+    from agentlake.streaming.stateful import EPOCH, latency_ranking_stream, ranking_by_tick
+    flat = ticks.select("provider", (F.unix_seconds("window.start") - EPOCH).alias("tick"), "p95")
+    folded = ema(flat, ["provider"], "tick", "p95", 0.3)
+    assert got == sorted((r["provider"], r["tick"], round(r["p95"], 6), round(r["ema"], 6)) for r in folded.collect()) and len(got) > 50
+
+    # ranking: a provider leaves it 30 s after its last tick
+    sparse = ticks.where((F.col("provider") != "openai") | ((F.unix_seconds("window.start") / 10).cast("long") % 7 == 0))
+    d4, src4 = _stage(spark, sparse.withColumn("o", F.unix_seconds("window.start")), 3, "o")
+    s4 = spark.readStream.schema(spark.read.parquet(src4).schema).option("maxFilesPerTrigger", 1).parquet(src4)
+    q4 = (latency_ranking_stream(s4).writeStream.format("memory").queryName("ranking_out").option("checkpointLocation", os.path.join(d4, "ckpt"))
+          .outputMode("append").trigger(availableNow=True).start())
+    q4.awaitTermination(300)
+    flat = sparse.select("provider", (F.unix_seconds("window.start") - EPOCH).alias("tick"), "p95")
+    rows = lambda df: sorted((r["tick"], r["rank"], r["provider"], round(r["ema"], 6), r["last_tick"]) for r in df.collect())
+    want4 = rows(ranking_by_tick(ema(flat, ["provider"], "tick", "p95", 0.3)))
+    assert rows(spark.sql("SELECT * FROM ranking_out")) == want4
+    by_tick = {}
+    for r in want4:
+        by_tick.setdefault(r[0], set()).add(r[2])
+    assert any("openai" in p for p in by_tick.values()) and any("openai" not in p for p in by_tick.values())
 
 
 def test_dedup_and_sessions_streams(spark):

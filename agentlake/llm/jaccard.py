@@ -49,7 +49,7 @@ from agentlake.llm.components import components
 
 FREQUENT = 1000
 EXTRA = 0.03  # classes for each shingle of a band's least size
-GROUP_BYTES, CHUNK_SHINGLES = 1 << 20, 1 << 21
+GROUP_BYTES, CHUNK_SHINGLES = 1 << 18, 1 << 20
 
 _BASE = 0x5851F42D4C957F2D
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -89,8 +89,9 @@ class Shingler:
     def words(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, hash) of every word."""
         inside = ~_SPACE[raw]
-        edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
-        s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        padded = np.zeros(len(raw) + 2, bool)
+        padded[1:-1] = inside
+        s, e = np.flatnonzero(padded[1:] & ~padded[:-1]), np.flatnonzero(padded[:-1] & ~padded[1:])
         self._powers(len(raw) + 1)
         c = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((_FOLD[raw].astype(np.uint64) + np.uint64(1)) * self.down[:len(raw)], out=c[1:])
@@ -373,7 +374,9 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, small: int
     ends = [F.col("node1").alias("u"), F.col("node2").alias("v")]
     groups = components(near.select(*ends).unionAll(star.select(*ends)).unionAll(_forests(some, num, den)))
     groups = _placed(groups.join(nodes.select("node", "n"), "node"), bands(num, den, 1 << 40), block_shingles)
-    groups = stored(groups.join(nodes.select("node", "a", "b"), "node"), "groups")
+    if rows > ids:  # a doc_id has several texts: the node's is known by its fingerprint
+        groups = groups.join(nodes.select("node", "a", "b"), "node")
+    groups = stored(groups, "groups")
 
     links = components(_verified(docs, groups, k, num, den))
     final = nodes.select("a", "b", "node").join(links, "node", "left").select("a", "b", F.coalesce("component", "node").alias("component"))
@@ -456,10 +459,11 @@ def _placed(groups: DataFrame, low: np.ndarray, block_shingles: int) -> DataFram
 
 
 def _verified(docs: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The links found in all meetings, as edges (u, v). Of the texts of a doc_id
-    the one whose set is the node's takes part."""
-    rows = docs.join(groups, F.col("doc_id") == F.col("node")).select("doc_id", "a", "b", "text", F.explode("meetings").alias("m"))
-    rows = rows.select("doc_id", "a", "b", "text", "m.*")
+    """The links found in all meetings, as edges (u, v). If groups have fingerprints (a, b),
+    of the texts of a doc_id the one whose set has it takes part."""
+    prints = [c for c in ("a", "b") if c in groups.columns]
+    rows = docs.join(groups, F.col("doc_id") == F.col("node")).select("doc_id", *prints, "text", F.explode("meetings").alias("m"))
+    rows = rows.select("doc_id", *prints, "text", "m.*")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sh = Shingler(k)
@@ -468,8 +472,8 @@ def _verified(docs: DataFrame, groups: DataFrame, k: int, num: int, den: int) ->
             # texts leave as they come in: a meeting holds sets of hashes only
             for pdf in frames:
                 sets = sh.sets([(t or "").encode() for t in pdf["text"]])
-                right = [_print(s) == (a, b) for s, a, b in zip(sets, pdf["a"], pdf["b"])]
-                yield pdf.drop(columns=["text", "a", "b"]).assign(set=sets)[right]
+                held = pdf.drop(columns=["text", *prints]).assign(set=sets)
+                yield held[[_print(s) == (a, b) for s, a, b in zip(sets, pdf["a"], pdf["b"])]] if prints else held
 
         for _, pdf in _by_key(as_sets(), "key"):
             pdf = pdf.drop_duplicates("doc_id")

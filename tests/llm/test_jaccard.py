@@ -76,6 +76,18 @@ def test_nulls_short_long_ties_repeated_rows_and_empty_table(spark):
     assert J.join(df.limit(0)).count() == 0
 
 
+def test_a_doc_id_with_several_texts(spark):
+    """One of its texts counts, whatever the order of rows; a null one does no harm."""
+    base = " ".join(f"w{i}" for i in range(40))
+    for rows in ([(1, None), (1, base), (2, base + " x")], [(1, base), (1, None), (2, base + " x")], [(1, base), (1, "other words " * 9), (2, base + " x"), (3, base + " y")]):
+        got = [as_dict(J.join(spark.createDataFrame(r, "doc_id long, text string"))) for r in (rows, rows[::-1])]
+        assert got[0] == got[1] and set(got[0]) == {d for d, _ in rows}
+        for d, (n, c) in got[0].items():
+            assert any(len(shingles(t, 4)) == n for e, t in rows if e == d)
+        chosen = {d: next(t for e, t in rows if e == d and len(shingles(t, 4)) == n) for d, (n, _) in got[0].items()}
+        assert got[0] == brute(list(chosen.items()), 4, 85, 100)
+
+
 def test_sketch_and_signatures_lose_no_link():
     rng = np.random.default_rng(3)
     freq = np.sort(rng.integers(0, 1 << 63, 300).astype(np.uint64))

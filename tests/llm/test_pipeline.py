@@ -92,3 +92,11 @@ def test_nulls_and_repeated_rows(spark):
     for _, stage in P.STAGES[1:]:
         docs = stage(spark, docs, SF)
     assert {r["doc_id"] for r in docs.collect()} == {None}
+
+
+def test_one_row_of_duplicates_stays_whatever_its_id(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, text), (None, text), (None, text), (3, text + " more"), (3, text + " more"), (9, "quite another text of some words that is alone"), (None, ""), (None, None), (4, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r["doc_id"], r["text"]) for r in P.near_duplicate_stage(spark, docs, SF).collect()), key=str)
+    assert kept == sorted([(3, text + " more"), (9, rows[5][1]), (None, ""), (None, None), (4, "")], key=str)

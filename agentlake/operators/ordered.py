@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agentlake.session import written
+
 
 def _bin(ts: Column, width: int) -> Column:
     return F.floor(ts / width).cast("bigint")
@@ -102,7 +104,7 @@ def islands(events: DataFrame, keys: list[str], ts: str, gap: int) -> DataFrame:
             .drop("_island"))
 
 
-def affine_prefix(df: DataFrame, keys: list[str], pos: str, a: str, b: str, width: int = 64) -> DataFrame:
+def affine_prefix(df: DataFrame, keys: list[str], pos: str, a: str, b: str, width: int = 256) -> DataFrame:
     """Adds y, the value of y = a * y + b after each row of a key in the order of ``pos``
     (a long >= 0, unique in the key); before the first row y is 0.
 
@@ -120,6 +122,7 @@ def affine_prefix(df: DataFrame, keys: list[str], pos: str, a: str, b: str, widt
 
     zero = F.struct(F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")).cast(types[0]).alias("now"), F.array().cast(types[1]).alias("done"))
     bins = bins.withColumn("_x", F.aggregate("_steps", zero, after)).select(*keys, "_bin", "_x.now.a", "_x.now.b", F.col("_x.done").alias("_done"))
+    bins = written(bins, "affine")  # read by the level above and again on the way back
     top = bins.agg(F.max("_bin")).collect()[0][0]
     if top:
         upto = affine_prefix(bins.select(*keys, "_bin", "a", "b"), keys, "_bin", "a", "b", width).select(*keys, "_bin", "y")
@@ -132,9 +135,10 @@ def affine_prefix(df: DataFrame, keys: list[str], pos: str, a: str, b: str, widt
     return df.join(rows.select(*keys, F.col("_s.pos").alias(pos), y.alias("y")), [*keys, pos])
 
 
-def ema(df: DataFrame, keys: list[str], pos: str, value: str, alpha: float, out: str = "ema", width: int = 64) -> DataFrame:
+def ema(df: DataFrame, keys: list[str], pos: str, value: str, alpha: float, out: str = "ema", width: int = 256) -> DataFrame:
     """Adds the exponential moving average of ``value`` in the order of ``pos``: the first
     value of a key, then alpha * value + (1 - alpha) * average before."""
+    df = written(df, "ema")
     first = df.groupBy(*keys).agg(F.min(pos).alias("_first"))
     rows = df.join(first, keys).withColumn("_a", F.when(F.col(pos) == F.col("_first"), 0.0).otherwise(1 - alpha))
     rows = rows.withColumn("_b", F.when(F.col(pos) == F.col("_first"), F.col(value)).otherwise(F.lit(alpha) * F.col(value)))

@@ -13,7 +13,8 @@ Python, and cost per text, so hot sources and copies need no special care.
 
 Defined results: null and empty texts have no words and no detections; repeated
 rows are scanned each on their own; ties are settled by rule order; an empty
-table gives an empty result; extra columns are passed through by the caller.
+table gives an empty result; extra columns are passed through, those named like a
+result are replaced by it.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ class Rule:
     priority: int  # small wins between equal intervals
     weight: float  # what a detection adds to the certainty that the text is licence text
     base: bool = False  # never suppressed, reported separately
+    also: str = ""  # a second keyword, tested first
 
 
 #: label, keyword, regex of the name over canonical words. Hand-written.
@@ -100,7 +102,138 @@ NAMES = (
     ("llama", "llama", r"llama [23](?: [0-9])? community licen[sc]e"),
 )
 
-#: Forms in which any of these names may stand: a wider interval, a smaller priority number.
+#: Further licences, one hand-written rule each: label, keyword, regex. All hold the word itself, so they are only
+#: looked at in texts that have it.
+MORE_NAMES = (
+    ("aal", "attribution assurance", r"attribution assurance licen[sc]e"),
+    ("abstyles", "abstyles", r"abstyles licen[sc]e"),
+    ("adobe-source", "adobe systems", r"adobe systems incorporated (?:open )?source code licen[sc]e(?: agreement)?"),
+    ("adsl", "amazon digital", r"amazon digital services licen[sc]e"),
+    ("aladdin", "aladdin", r"aladdin free public licen[sc]e"),
+    ("aml", "apple mit", r"apple mit licen[sc]e"),
+    ("apafml", "adobe postscript", r"adobe postscript afm licen[sc]e"),
+    ("apl-1.0", "adaptive public", r"adaptive public licen[sc]e"),
+    ("apsl", "apple public source", r"apple public source licen[sc]e(?: v(?:ersion)? ?[12](?: [012])?)?"),
+    ("beerware", "beer", r"(?:the )?beer ?ware licen[sc]e(?: revision 42)?"),
+    ("bittorrent", "bittorrent", r"bittorrent open source licen[sc]e(?: v(?:ersion)? ?1(?: [01])?)?"),
+    ("blueoak", "blue oak", r"blue oak model licen[sc]e(?: 1 0 0)?"),
+    ("bzip2", "bzip2", r"bzip2 and libbzip2 licen[sc]e"),
+    ("cal-1.0", "cryptographic autonomy", r"cryptographic autonomy licen[sc]e"),
+    ("caldera", "caldera", r"caldera licen[sc]e"),
+    ("catosl", "computer associates", r"computer associates trusted open source licen[sc]e"),
+    ("cdla", "community data", r"community data licen[sc]e(?: agreement)?(?: permissive| sharing)?"),
+    ("cern-ohl", "cern open hardware", r"cern open hardware licen[sc]e(?: v(?:ersion)? ?[12](?: [012])?)?"),
+    ("clartistic", "clarified artistic", r"clarified artistic licen[sc]e"),
+    ("cnri-python", "cnri", r"cnri (?:python|jython) (?:open source )?licen[sc]e(?: agreement)?"),
+    ("condor", "condor", r"condor public licen[sc]e"),
+    ("cpal-1.0", "public attribution", r"common public attribution licen[sc]e"),
+    ("cpol", "code project", r"(?:the )?code project open licen[sc]e"),
+    ("crossword", "crossword", r"crossword licen[sc]e"),
+    ("cua-opl", "cua office", r"cua office public licen[sc]e"),
+    ("curl", "curl licen", r"curl licen[sc]e"),
+    ("doc", "doc software", r"doc software licen[sc]e"),
+    ("drl-1.0", "detection rule", r"detection rule licen[sc]e"),
+    ("ecos", "ecos licen", r"ecos licen[sc]e"),
+    ("efl", "eiffel forum", r"eiffel forum licen[sc]e(?: v(?:ersion)? ?[12])?"),
+    ("egenix", "egenix", r"egenix com public licen[sc]e(?: agreement)?"),
+    ("entessa", "entessa", r"entessa public licen[sc]e"),
+    ("erlpl", "erlang", r"erlang public licen[sc]e"),
+    ("etalab", "licence ouverte", r"licence ouverte(?: open licen[sc]e)?(?: v(?:ersion)? ?[12](?: 0)?)?"),
+    ("eudatagrid", "datagrid", r"eu datagrid software licen[sc]e"),
+    ("fair", "fair licen", r"fair licen[sc]e"),
+    ("frameworx", "frameworx", r"frameworx open licen[sc]e"),
+    ("free-art", "free art", r"free art licen[sc]e(?: v(?:ersion)? ?1(?: [123])?)?"),
+    ("freeimage", "freeimage", r"freeimage public licen[sc]e"),
+    ("ftl", "freetype", r"freetype (?:project )?licen[sc]e"),
+    ("gl2ps", "gl2ps", r"gl2ps licen[sc]e"),
+    ("glide", "3dfx", r"3dfx glide (?:source code general public )?licen[sc]e"),
+    ("gsoap", "gsoap", r"gsoap public licen[sc]e"),
+    ("gust-font", "gust font", r"gust font licen[sc]e"),
+    ("hippocratic", "hippocratic", r"hippocratic licen[sc]e(?: v(?:ersion)? ?[23](?: [01])?)?"),
+    ("icu", "icu licen", r"icu licen[sc]e"),
+    ("ijg", "independent jpeg", r"independent jpeg group licen[sc]e"),
+    ("imagemagick", "imagemagick", r"imagemagick licen[sc]e"),
+    ("info-zip", "info zip", r"info zip licen[sc]e"),
+    ("intel", "intel open source", r"intel open source licen[sc]e"),
+    ("interbase", "interbase", r"interbase public licen[sc]e"),
+    ("ipa-font", "ipa font", r"ipa font licen[sc]e(?: agreement)?"),
+    ("ipl-1.0", "ibm public", r"ibm public licen[sc]e"),
+    ("jasper", "jasper", r"jasper licen[sc]e(?: version 2 0)?"),
+    ("jpnic", "jpnic", r"jpnic (?:idn )?licen[sc]e"),
+    ("json", "json licen", r"json licen[sc]e"),
+    ("kicad", "kicad", r"kicad libraries licen[sc]e"),
+    ("latex2e", "latex2e", r"latex2e licen[sc]e"),
+    ("leptonica", "leptonica", r"leptonica licen[sc]e"),
+    ("liliq", "quebec", r"(?:licence libre du quebec|quebec free and open source licen[sc]e)"),
+    ("lpl", "lucent", r"lucent public licen[sc]e(?: v(?:ersion)? ?1(?: 0[0-9]*)?)?"),
+    ("lppl", "latex project", r"latex project public licen[sc]e(?: v(?:ersion)? ?1(?: [0-3][abc]?)?)?"),
+    ("makeindex", "makeindex", r"makeindex licen[sc]e"),
+    ("miros", "miros", r"miros licen[sc]e"),
+    ("motosoto", "motosoto", r"motosoto (?:open source )?licen[sc]e"),
+    ("mpich2", "mpich2", r"mpich2 licen[sc]e"),
+    ("mulan", "mulan", r"mulan (?:permissive software|public) licen[sc]e(?: v(?:ersion)? ?[12])?"),
+    ("multics", "multics", r"multics licen[sc]e"),
+    ("naumen", "naumen", r"naumen public licen[sc]e"),
+    ("net-snmp", "net snmp", r"net snmp licen[sc]e"),
+    ("netcdf", "netcdf", r"netcdf licen[sc]e"),
+    ("newsletr", "newsletr", r"newsletr licen[sc]e"),
+    ("ngpl", "nethack", r"nethack general public licen[sc]e"),
+    ("nlod", "norwegian", r"norwegian licen[sc]e for open government data"),
+    ("nokia", "nokia", r"nokia open source licen[sc]e"),
+    ("nosl", "netizen", r"netizen open source licen[sc]e"),
+    ("npl", "netscape", r"netscape public licen[sc]e(?: v(?:ersion)? ?1(?: [01])?)?"),
+    ("nposl-3.0", "non profit", r"non profit open software licen[sc]e(?: v(?:ersion)? ?3(?: 0)?)?"),
+    ("ntp", "ntp licen", r"ntp licen[sc]e"),
+    ("oclc", "oclc", r"oclc research public licen[sc]e"),
+    ("ogl", "open government", r"open government licen[sc]e(?: v(?:ersion)? ?[123](?: 0)?)?"),
+    ("oldap", "openldap", r"openldap public licen[sc]e(?: v(?:ersion)? ?[12](?: [0-9])?)?"),
+    ("omniorb", "omniorb", r"omniorb licen[sc]e"),
+    ("open-content", "opencontent", r"opencontent licen[sc]e(?: v(?:ersion)? ?1(?: 0)?)?"),
+    ("opl", "open public licen", r"open public licen[sc]e"),
+    ("opubl", "open publication", r"open publication licen[sc]e(?: v(?:ersion)? ?1(?: 0)?)?"),
+    ("oset", "oset", r"oset public licen[sc]e"),
+    ("parity", "parity public", r"parity public licen[sc]e(?: [67] 0 0)?"),
+    ("phorum", "phorum", r"phorum licen[sc]e"),
+    ("polyform", "polyform", r"polyform (?:noncommercial|small business|shield|perimeter|strict|free trial|internal use) licen[sc]e(?: 1 0 [01])?"),
+    ("postgresql", "postgresql", r"postgresql licen[sc]e"),
+    ("prosperity", "prosperity", r"prosperity public licen[sc]e(?: 3 0 0)?"),
+    ("qhull", "qhull", r"qhull licen[sc]e"),
+    ("ricoh", "ricoh", r"ricoh source code public licen[sc]e"),
+    ("rpl", "reciprocal public", r"reciprocal public licen[sc]e(?: v(?:ersion)? ?1(?: [15])?)?"),
+    ("rpsl", "realnetworks", r"realnetworks public source licen[sc]e"),
+    ("rsa-md", "rsa message", r"rsa message digest licen[sc]e"),
+    ("saxpath", "saxpath", r"saxpath licen[sc]e"),
+    ("sendmail", "sendmail", r"sendmail (?:open source )?licen[sc]e"),
+    ("sgi-b", "sgi free", r"sgi free software licen[sc]e b(?: version [12](?: [01])?)?"),
+    ("shareware", "shareware", r"shareware licen[sc]e"),
+    ("simpl-2.0", "simple public", r"simple public licen[sc]e"),
+    ("sissl", "sun industry", r"sun industry standards source licen[sc]e"),
+    ("sleepycat", "sleepycat", r"sleepycat (?:public )?licen[sc]e"),
+    ("snia", "snia", r"snia public licen[sc]e"),
+    ("spl-1.0", "sun public", r"sun public licen[sc]e"),
+    ("swig", "swig licen", r"swig licen[sc]e"),
+    ("tapr-ohl", "tapr", r"tapr open hardware licen[sc]e"),
+    ("tcl", "tcl tk", r"tcl tk licen[sc]e"),
+    ("tmate", "tmate", r"tmate open source licen[sc]e"),
+    ("torque", "torque", r"torque (?:v2 5 )?software licen[sc]e"),
+    ("ucl-1.0", "upstream compatibility", r"upstream compatibility licen[sc]e"),
+    ("unicode", "unicode", r"unicode (?:inc )?licen[sc]e(?: agreement)?(?: v3)?"),
+    ("vim", "vim licen", r"vim licen[sc]e"),
+    ("vostrom", "vostrom", r"vostrom public licen[sc]e"),
+    ("vsl-1.0", "vovida", r"vovida software licen[sc]e"),
+    ("w3c", "w3c", r"w3c software (?:notice and )?licen[sc]e"),
+    ("watcom", "watcom", r"(?:sybase )?open watcom public licen[sc]e"),
+    ("wxwindows", "wxwindows", r"wxwindows library licen[sc]e"),
+    ("xfree86", "xfree86", r"xfree86 licen[sc]e(?: 1 [01])?"),
+    ("xnet", "x net", r"x net licen[sc]e"),
+    ("ypl", "yahoo", r"yahoo public licen[sc]e(?: v(?:ersion)? ?1(?: [01])?)?"),
+    ("zed", "zed licen", r"zed licen[sc]e"),
+    ("zend", "zend", r"zend (?:engine )?licen[sc]e(?: version 2 00)?"),
+    ("zimbra", "zimbra", r"zimbra public licen[sc]e(?: v(?:ersion)? ?1(?: [34])?)?"),
+    ("zpl", "zope", r"zope public licen[sc]e(?: v(?:ersion)? ?[12](?: [01])?)?"),
+)
+
+#: Forms in which any of the names of ``NAMES`` may stand: a wider interval, a smaller priority number.
 FORMS = (
     ("grant", r"(?:this (?:work|software|program|file|text|page|document|content|data ?set) is )?(?:dual )?(?:licen[sc]ed|released|distributed|available|published|provided|made available|redistributed)(?: to you)? under (?:the )?(?:terms (?:and conditions )?of )?(?:the |a |an )?{name}", 1, 0.9),
     ("conditions", r"(?:terms|conditions|provisions) (?:and conditions )?of (?:the )?{name}", 2, 0.7),
@@ -167,7 +300,8 @@ BASE = (
     Rule("reserved", "all rights reserved", "all rights reserved", 9, 0.3, True),
 )
 
-RULES = (*OTHERS, *(Rule(label, kw, form.replace("{name}", f"(?:{name})"), prio, weight) for _, form, prio, weight in FORMS for label, kw, name in NAMES), *BASE)
+RULES = (*OTHERS, *(Rule(label, kw, form.replace("{name}", f"(?:{name})"), prio, weight) for _, form, prio, weight in FORMS for label, kw, name in NAMES),
+         *(Rule(label, kw, name, 5, 0.6, also="licen") for label, kw, name in MORE_NAMES), *BASE)
 
 SPAN = "array<struct<start:long,stop:long,priority:int,rule:int,label:string,weight:double,base:boolean>>"
 
@@ -220,13 +354,18 @@ def _suppress(spans: Column) -> Column:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Adds n_words, base (all base detections) and detections (what suppression
     leaves of the others, without pure suppressors), each an array of SPAN."""
-    keywords = sorted({r.keyword for r in rules})
-    table = F.array(*[F.struct(F.lit(keywords.index(r.keyword)).alias("keyword"), F.lit(f"(?<= )(?:{r.regex})(?= )").alias("regex"), F.lit(r.priority).alias("priority"),
+    keywords = sorted({(r.also, r.keyword) for r in rules})
+    table = F.array(*[F.struct(F.lit(keywords.index((r.also, r.keyword))).alias("keyword"), F.lit(f"(?<= )(?:{r.regex})(?= )").alias("regex"), F.lit(r.priority).alias("priority"),
                                F.lit(i).alias("rule"), F.lit(r.label).cast("string").alias("label"), F.lit(r.weight).alias("weight"), F.lit(r.base).alias("base"))
                       for i, r in enumerate(rules)])
-    cols = docs.columns
-    out = docs.withColumn("__line", canonical(F.col(text)))
-    out = out.withColumn("__found", F.array_compact(F.array(*[F.when(F.contains("__line", F.lit(k)), F.lit(i)) for i, k in enumerate(keywords)])))
+    cols = [c for c in docs.columns if c.lower() not in ("n_words", "base", "detections")]
+    out = docs.select(*cols).withColumn("__line", canonical(F.col(text)))
+    firsts = {a: F.contains("__line", F.lit(a)) for a in sorted({a for a, _ in keywords if a})}
+    out = out.withColumns({f"__has_{i}": has for i, has in enumerate(firsts.values())})
+    has = {a: F.col(f"__has_{i}") for i, a in enumerate(firsts)}
+    # a keyword beside another is looked for only where that one stands
+    held = [F.contains("__line", F.lit(k)) if not a else F.when(has[a], F.contains("__line", F.lit(k))) for a, k in keywords]
+    out = out.withColumn("__found", F.array_compact(F.array(*[F.when(h, F.lit(i)) for i, h in enumerate(held)])))
     spans = F.flatten(F.transform(F.filter(table, lambda r: F.array_contains(F.col("__found"), r["keyword"])), lambda r: _matches(F.col("__line"), r)))
     none = F.array().cast(SPAN)
     out = out.withColumn("__spans", F.when(F.size("__found") > 0, spans).otherwise(none))

@@ -26,7 +26,7 @@ def test_base_phrases_match_brute_force_on_all_documents(spark):
 
 def scan(spark, texts):
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, base int")
-    return {r["doc_id"]: r for r in L.scan(df.drop("base")).collect()}
+    return {r["doc_id"]: r for r in L.scan(df).collect()}
 
 
 def test_rules_priorities_and_containment(spark):
@@ -60,3 +60,30 @@ def test_hundreds_of_rules_compile(spark):
     assert len(L.RULES) > 250
     for r in L.RULES:
         re.compile(r.regex)
+
+
+def sample(regex):
+    """The shortest plain text of a rule: options left out, the first of alternatives."""
+    text = re.sub(r"\(\?:((?:[^()]|\([^()]*\))*)\)\?", "", regex.replace("licen[sc]e", "license"))
+    text = re.sub(r"\(\?:([^()|]*)[^()]*\)", r"\1", text)
+    return " ".join(re.sub(r" \?", "", text.split("|")[0]).split())
+
+
+def test_every_further_name_is_found(spark):
+    assert len(L.NAMES) + len(L.MORE_NAMES) + len(L.OTHERS) + len(L.BASE) > 220
+    assert len({r for _, _, r in L.MORE_NAMES}) == len({x for x, _, _ in L.MORE_NAMES}) == len(L.MORE_NAMES)
+    texts = [f"Some words, then the {sample(r)}. More words." for _, _, r in L.MORE_NAMES]
+    for (label, keyword, regex), text in zip(L.MORE_NAMES, texts):
+        assert re.search(rf"(?<= )(?:{regex})(?= )", " " + " ".join(WORDS.findall(text.lower())) + " "), (label, text)
+        assert keyword in text.lower(), (label, text)
+    got = scan(spark, [*texts, "We stick to the wine list of the bzip2 and unicode people."])
+    for i, (label, _, _) in enumerate(L.MORE_NAMES):
+        assert label in {x["label"] for x in got[i]["detections"]}, (label, texts[i])
+    assert got[len(texts)]["detections"] == []
+
+
+def test_extra_columns_of_the_same_names(spark):
+    df = spark.createDataFrame([(1, "MIT license", "mine", 5)], "doc_id long, text string, base string, n_words int")
+    got = L.scan(df)
+    assert got.columns == ["doc_id", "text", "n_words", "base", "detections"]
+    assert got.collect()[0]["n_words"] == 2 and got.collect()[0]["base"] == []

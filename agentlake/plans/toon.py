@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,43 +23,53 @@ def mcp_responses(spark, sf_dir):
     g = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
     het = F.col("l_orderkey") % 3 == 0
     n = F.size("items")
-    objs = F.transform(F.sequence(F.lit(1), n), lambda i: F.when(
-        het & (i == n), F.to_json(F.struct(F.element_at("items", i)["line"].alias("line"),
-                                           F.element_at("items", i)["part"].alias("part"),
-                                           F.element_at("items", i)["qty"].alias("qty"))))
-        .otherwise(F.to_json(F.element_at("items", i))))
+    objs = F.transform("items", lambda x, i: F.when(
+        het & (i == n - 1), F.to_json(F.struct(x["line"].alias("line"), x["part"].alias("part"), x["qty"].alias("qty"))))
+        .otherwise(F.to_json(x)))
     text = F.concat(F.lit("["), F.array_join(objs, ","), F.lit("]"))
     body = F.to_json(F.struct(F.struct(F.array(F.struct(F.lit("text").alias("type"), text.alias("text")))
                                        .alias("content")).alias("result")))
     return g.select(F.col("l_orderkey").alias("batch_id"), body.alias("body"))
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once a row. A Column written several times, or inside a
+    lambda, is computed at each place, and in a lambda for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def tool_result_content(body: Column) -> Column:
     """Result.content[0].text, else the result as JSON, else the body."""
-    v = F.try_parse_json(body)
-    return F.coalesce(F.try_variant_get(v, "$.result.content[0].text", "string"),
-                      F.to_json(F.try_variant_get(v, "$.result", "variant")), body)
+    return _once(F.try_parse_json(body), lambda v: F.coalesce(
+        F.try_variant_get(v, "$.result.content[0].text", "string"),
+        F.to_json(F.try_variant_get(v, "$.result", "variant")), body))
 
 
 def to_toon(text: Column) -> Column:
     """A homogeneous JSON array of objects -> ``array[n]{k1,k2}: \\n v,v \\n v,v``
     (sorted keys, strings raw, null -> ``null``); empty -> ``array[0]{}:``;
-    anything else (not an array, heterogeneous keys, non-objects) unchanged."""
-    v = F.try_parse_json(text)
-    arr = F.try_variant_get(v, "$", "array<variant>")
-    elems = F.transform(arr, lambda e: F.to_json(e))
-    is_obj = F.forall(arr, lambda e: F.coalesce(F.schema_of_variant(e).startswith("OBJECT"), F.lit(False)))
-    keys = F.array_sort(F.json_object_keys(F.element_at(elems, 1)))
-    same = F.forall(elems, lambda e: F.array_sort(F.json_object_keys(e)) == keys)
-
-    # each object as map<key, text>: strings unescaped, numbers / nested values as JSON text
-    maps = F.transform(elems, lambda e: F.from_json(e, "map<string,string>"))
-    rows = F.transform(maps, lambda m: F.array_join(
-        F.transform(keys, lambda k: F.coalesce(F.element_at(m, k), F.lit("null"))), ","))
-    toon = F.concat(F.lit("array["), F.size(arr).cast("string"), F.lit("]{"), F.array_join(keys, ","), F.lit("}: \n "),
-                    F.array_join(rows, " \n "))
-    return (F.when(arr.isNull(), text).when(F.size(arr) == 0, F.lit("array[0]{}:"))
-            .when(is_obj & same, toon).otherwise(text))
+    anything else (not an array, heterogeneous keys, non-objects) unchanged.
+
+    Every element is written and read once, so the work grows with the array."""
+    def table(text, objs):
+        # entries of each object by key: strings unescaped, numbers / nested values as JSON text
+        keys = F.transform(F.get(objs, F.lit(0)), lambda kv: kv["key"])
+        rows = F.transform(objs, lambda o: F.array_join(F.transform(o, lambda kv: F.coalesce(kv["value"], F.lit("null"))), ","))
+        toon = _once(keys, lambda k: F.when(
+            F.forall(objs, lambda o: F.transform(o, lambda kv: kv["key"]) == k),
+            F.concat(F.lit("array["), F.size(objs).cast("string"), F.lit("]{"), F.array_join(k, ","), F.lit("}: \n "),
+                     F.array_join(rows, " \n "))))
+        return F.coalesce(toon, text)
+
+    def elements(text, elems):
+        array = F.from_json(F.concat(F.lit("["), F.array_join(elems, ","), F.lit("]")), "array<map<string,string>>")
+        objs = F.transform(array, lambda o: F.sort_array(F.map_entries(o)))
+        is_obj = F.forall(elems, lambda e: F.coalesce(e.startswith("{"), F.lit(False)))  # only objects are written so
+        return (F.when(elems.isNull(), text).when(F.size(elems) == 0, F.lit("array[0]{}:"))
+                .when(is_obj, _once(objs, lambda o: table(text, o))).otherwise(text))
+
+    arr = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
+    return _once(text, lambda t: _once(F.transform(arr, lambda e: F.to_json(e)), lambda elems: elements(t, elems)))
 
 
 _ORDERS = """

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from agentlake.operators import similarity as S
 
@@ -63,3 +64,35 @@ def test_no_rows(spark):
     none = lambda s: spark.createDataFrame([], s)
     assert S.nearest(none(PROBE), spark.createDataFrame(entries, ENTRY)).collect() == []
     assert S.nearest(spark.createDataFrame(probes, PROBE), none(ENTRY)).collect() == []
+
+
+def test_vectors_travel_once_for_each_ball_of_their_group(spark):
+    """Vectors in all directions, where no ball is ruled out: the entries of a group fit one ball,
+    whatever the other groups hold, so that each probe is met once."""
+    rng = np.random.default_rng(3)
+    vecs = rng.normal(size=(12900, 16))
+    entries = [("abc"[i % 3], i, v.tolist(), None, i) for i, v in enumerate(vecs)]
+    probes = [("abc"[i % 3], i, (v + 0.05).tolist(), None, False, i) for i, v in enumerate(vecs) if i % 40 == 0]
+    counts = {}
+    got = S.nearest(spark.createDataFrame(probes, PROBE), spark.createDataFrame(entries, ENTRY), counts=counts).collect()
+    assert counts == {"all": len(probes), "first": len(probes), "second": 0}
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    want = {}
+    for _, i, v, *_ in probes:
+        d = 1 - unit[i % 3:i + 1:3] @ np.array(v) / np.linalg.norm(v)
+        if d.min() < S.LONG_THRESHOLD:
+            want[i] = int(d.argmin()) * 3 + i % 3
+    assert {r["probe_id"]: r["vec_id"] for r in got} == want and len(want) > 300
+
+
+def test_intents_and_lengths_equal_lists_of_words(spark):
+    import re
+    texts = ["", " ", "What is it", "...how?", "somewhat; whatever", "a.WHY-b", "is how", "Do", "x can", "wh who", "éwhat what", "what  why", "\U0001d400how why",
+             "a b c d e f g h", " a b c d e f g h \n", "a b c d e f g h i", "a\tb c\nd e f g h, i j", "show how_when", "the when"]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select(S.primary_interrogative(F.col("t")), S.short_prompt(F.col("t"))).collect()
+    for t, (intent, short) in zip(texts, rows[:-1], strict=True):
+        words = [w for w in re.split(r"[!-/:-@\[-`{-~ \t\n\x0b\f\r]+", t.lower()) if w]
+        strong = [w for w in words if w in S.STRONG_INTERROGATIVES]
+        want = words[0] if words and words[0] in S.STRONG_INTERROGATIVES + S.WEAK_INTERROGATIVES else strong[0] if strong else None
+        assert (intent, short) == (want, len([w for w in re.split(r"[ \t\n\x0b\f\r]+", t) if w]) <= 8), t
+    assert tuple(rows[-1]) == (None, None)

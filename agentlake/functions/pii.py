@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from agentlake.functions.once import once
+
 SPACE = r" \t\n\x0B\f\r"
 # The PII alternatives, in match-priority order, with the
 # category each one reports.
@@ -31,6 +33,7 @@ PII_JAVA = "(?U)" + PII_PATTERN
 # Every alternative needs a digit or '@' (the IFSC form has a literal 0), so a
 # text without either cannot match: a one-class scan gates the full pattern.
 PII_GATE = r"[\p{Nd}@]"
+WORD_END = r"\b"
 PII_GROUPED = "(?U)" + "|".join(f"({p})" for _, p in PII_ALTERNATIVES)
 CATEGORIES = [c for c, _ in PII_ALTERNATIVES]
 
@@ -53,20 +56,35 @@ def redact_text(text: Column) -> Column:
     return _gated(text, _by_alphabet(text, lambda pattern: F.regexp_replace(text, pattern, REDACTED)), text)
 
 
-def pii_matches(text: Column) -> Column:
-    """ARRAY<STRUCT<idx INT, category STRING, value STRING>> of all matches in order."""
-    groups = [F.regexp_extract_all(text, F.lit(PII_GROUPED), F.lit(i + 1)) for i in range(len(CATEGORIES))]
-    whole = F.regexp_extract_all(text, F.lit(PII_GROUPED), F.lit(0))
-    cats = F.array(*[F.lit(c) for c in CATEGORIES])
+def _category(value: Column) -> Column:
+    """Category of a match: the first alternative that covers the whole of it. All alternatives stand
+    between word boundaries, so one that covers a match would have matched there."""
+    out = F
+    for name, p in PII_ALTERNATIVES:
+        out = out.when(value.rlike(rf"(?U)\A(?:{p.removeprefix(WORD_END).removesuffix(WORD_END)})\z"), name)
+    return out
 
-    def pick(x, i):
-        # category = first alternative whose group took part in match i
-        flags = F.array(*[F.when(F.element_at(g, i + 1) != "", F.lit(j + 1)) for j, g in enumerate(groups)])
-        first = F.array_min(flags)
-        return F.struct((i + 1).alias("idx"), F.element_at(cats, first).alias("category"), x.alias("value"))
 
+def pii_matches(text: Column) -> Column:
+    """ARRAY<STRUCT<idx INT, category STRING, value STRING>> of all matches in order; the text is searched once."""
+    whole = _by_alphabet(text, lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     empty = F.array().cast("array<struct<idx:int,category:string,value:string>>")
-    return _gated(text, F.transform(whole, pick), F.when(text.isNotNull(), empty))
+    found = F.transform(whole, lambda x, i: F.struct((i + 1).alias("idx"), _category(x).alias("category"), x.alias("value")))
+    return _gated(text, found, F.when(text.isNotNull(), empty))
+
+
+def token_names(matches: Column) -> Column:
+    """``[EMAIL_1]`` for each match: numbers of a category's values by first appearance."""
+    key = lambda x: F.concat(x["category"], F.lit("\u0000"), x["value"])
+    categories = F.array(*[F.lit(c) for c in CATEGORIES])
+    values = F.array_distinct(F.transform(matches, key))
+    of = once(values, lambda vs: F.transform(categories, lambda c: F.filter(vs, lambda v: v.startswith(F.concat(c, F.lit("\u0000"))))))
+
+    def name(x: Column, of: Column) -> Column:
+        mine = F.element_at(of, F.array_position(categories, x["category"]).cast("int"))
+        return F.concat(F.lit("["), x["category"], F.lit("_"), F.array_position(mine, key(x)).cast("string"), F.lit("]"))
+
+    return once(of, lambda o: F.transform(matches, lambda x: name(x, o)))
 
 
 def tokenize(text: Column, matches: Column, tokens: Column) -> Column:
@@ -74,9 +92,8 @@ def tokenize(text: Column, matches: Column, tokens: Column) -> Column:
 
     ``split`` on the same pattern yields the n+1 pieces between the n matches.
     """
-    pieces = F.split(text, PII_JAVA, -1)
-    inner = F.transform(tokens, lambda t, i: F.concat(F.element_at(pieces, i + 1), t))
-    return F.concat(F.array_join(inner, ""), F.element_at(pieces, -1))
+    pieces = _by_alphabet(text, lambda pattern: F.split(text, pattern, -1))
+    return once(pieces, lambda p: F.concat(F.array_join(F.transform(tokens, lambda t, i: F.concat(F.get(p, i), t)), ""), F.element_at(p, -1)))
 
 
 def injection_flag(text: Column) -> Column:

@@ -11,6 +11,7 @@ from agentlake.functions import pii as PII
 from agentlake.operators import network
 from agentlake.operators.dims import bounded
 from agentlake.plans.registry import query
+from agentlake.session import written
 from agentlake.sources import dimensions as D
 from agentlake.sources import views as V
 from agentlake.sources.tables import read
@@ -29,9 +30,15 @@ FROM (SELECT doc_id, m0, {", ".join(f"g{i + 1}" for i in range(len(PII.CATEGORIE
 """
 
 
+def matched(df, text_col="text"):
+    """The rows with PII, and their matches as m."""
+    return df.where(PII.has_pii(F.col(text_col))).withColumn("m", PII.pii_matches(F.col(text_col)))
+
+
 def entities(df, text_col="text", id_col="doc_id"):
-    return (df.select(id_col, F.explode(PII.pii_matches(F.col(text_col))).alias("m"))
-            .select(id_col, F.col("m.idx").cast("int").alias("idx"), "m.category", "m.value"))
+    rows = df if "m" in df.columns else matched(df, text_col)
+    # all rows have matches: the outer form only spares the filter on m, which would search the texts again
+    return rows.select(id_col, F.explode_outer("m").alias("m")).select(id_col, F.col("m.idx").cast("int").alias("idx"), "m.category", "m.value")
 
 
 @query("redact_text", bench=True, sql=f"""
@@ -67,20 +74,11 @@ def tokenize_pii(spark, sf_dir):
 
     Computed inside each row with array functions: no shuffle, no Python.
     """
-    d = read(spark, sf_dir, "documents").select("doc_id", "text")
-    d = d.withColumn("m", PII.pii_matches(F.col("text"))).filter(F.size("m") > 0)
-    keys = F.transform("m", lambda x: F.concat(x["category"], F.lit("\u0000"), x["value"]))
+    return tokenized(matched(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
-    def token(x, i):
-        first = F.array_position(keys, F.concat(x["category"], F.lit("\u0000"), x["value"]))
-        seen = F.slice("m", 1, first.cast("int"))
-        n = F.size(F.array_distinct(F.transform(F.filter(seen, lambda y: y["category"] == x["category"]),
-                                                lambda y: y["value"])))
-        return F.concat(F.lit("["), x["category"], F.lit("_"), n.cast("string"), F.lit("]"))
 
-    d = d.withColumn("tokens", F.transform("m", token))
-    return d.select("doc_id", F.size("m").alias("matches"),
-                    PII.tokenize(F.col("text"), F.col("m"), F.col("tokens")).alias("tokenized"))
+def tokenized(rows):
+    return rows.select("doc_id", F.size("m").alias("matches"), PII.tokenize(F.col("text"), F.col("m"), PII.token_names(F.col("m"))).alias("tokenized"))
 
 
 @query("detokenize", sql=f"""
@@ -90,8 +88,9 @@ SELECT doc_id, count(*) AS matches FROM e GROUP BY doc_id
 def detokenize(spark, sf_dir):
     """Round trip: tokenised text + token map -> original text; reports matches
     of documents whose round trip restores the original exactly."""
-    t = tokenize_pii(spark, sf_dir)
-    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    # the one search of the texts: all steps read the rows with PII and their matches
+    d = written(matched(read(spark, sf_dir, "documents").select("doc_id", "text")), "pii")
+    t = tokenized(d)
     e = entities(d)
     # token -> value map per document (tokens are unique per value and category)
     tok = tokenize_pii_tokens(d)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from agentlake.functions.once import once
 from agentlake.plans.registry import query
 from agentlake.sources.tables import read
 
@@ -32,15 +31,9 @@ def mcp_responses(spark, sf_dir):
     return g.select(F.col("l_orderkey").alias("batch_id"), body.alias("body"))
 
 
-def _once(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then(value)`` with the value computed once a row. A Column written several times, or inside a
-    lambda, is computed at each place, and in a lambda for each element."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def tool_result_content(body: Column) -> Column:
     """Result.content[0].text, else the result as JSON, else the body."""
-    return _once(F.try_parse_json(body), lambda v: F.coalesce(
+    return once(F.try_parse_json(body), lambda v: F.coalesce(
         F.try_variant_get(v, "$.result.content[0].text", "string"),
         F.to_json(F.try_variant_get(v, "$.result", "variant")), body))
 
@@ -55,7 +48,7 @@ def to_toon(text: Column) -> Column:
         # entries of each object by key: strings unescaped, numbers / nested values as JSON text
         keys = F.transform(F.get(objs, F.lit(0)), lambda kv: kv["key"])
         rows = F.transform(objs, lambda o: F.array_join(F.transform(o, lambda kv: F.coalesce(kv["value"], F.lit("null"))), ","))
-        toon = _once(keys, lambda k: F.when(
+        toon = once(keys, lambda k: F.when(
             F.forall(objs, lambda o: F.transform(o, lambda kv: kv["key"]) == k),
             F.concat(F.lit("array["), F.size(objs).cast("string"), F.lit("]{"), F.array_join(k, ","), F.lit("}: \n "),
                      F.array_join(rows, " \n "))))
@@ -66,10 +59,10 @@ def to_toon(text: Column) -> Column:
         objs = F.transform(array, lambda o: F.sort_array(F.map_entries(o)))
         is_obj = F.forall(elems, lambda e: F.coalesce(e.startswith("{"), F.lit(False)))  # only objects are written so
         return (F.when(elems.isNull(), text).when(F.size(elems) == 0, F.lit("array[0]{}:"))
-                .when(is_obj, _once(objs, lambda o: table(text, o))).otherwise(text))
+                .when(is_obj, once(objs, lambda o: table(text, o))).otherwise(text))
 
     arr = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
-    return _once(text, lambda t: _once(F.transform(arr, lambda e: F.to_json(e)), lambda elems: elements(t, elems)))
+    return once(text, lambda t: once(F.transform(arr, lambda e: F.to_json(e)), lambda elems: elements(t, elems)))
 
 
 _ORDERS = """
